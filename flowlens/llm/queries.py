@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import language, mixing, quality
+from flowlens.llm import language, mixing, quality, toxicity
 from flowlens.llm.common import fold, labelled, table
 
 
@@ -17,6 +17,14 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held.alias("held_out"), found.alias("found")).select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(labelled(docs, table(spark, sf_dir, "labels"), "toxic", fold("doc_id", 5) != 0, toxicity.DOCS_PER_CLASS))
+    signals = toxicity.signals_column(spark, model, "text")
+    scored = docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), signals.alias("s"))
+    return scored.select("doc_id", "held_out", F.col("s.score").alias("score"), (F.col("s.score") >= 0.5).cast("int").alias("predicted"), F.col("s.spans").alias("spans"))
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.Forest:
     rows = labelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", fold("doc_id", 4) != 2, quality.DOCS_PER_CLASS)
     return quality.fit(rows)
@@ -33,7 +41,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_language": op3_language, "op5_quality": op5_quality, "op6_mixing": op6_mixing}
+    return {"op3_language": op3_language, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_mixing": op6_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
