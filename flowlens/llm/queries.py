@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import language, mixing, quality, toxicity
+from flowlens.llm import language, mixing, pii, quality, toxicity
 from flowlens.llm.common import fold, labelled, table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("found.base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    found = table(spark, sf_dir, "documents").select("doc_id", pii.spans_column(spark, "text").alias("found"))
+    return found.select("doc_id", *[count(kind) for kind in pii.BASE_KINDS], F.sha2(written(F.col("found.base")), 256).alias("base_sha256"), written(F.col("found.spans")).alias("spans"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold("doc_id", 4) == 2
@@ -41,7 +48,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_language": op3_language, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_mixing": op6_mixing}
+    return {"op1_pii": op1_pii, "op3_language": op3_language, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_mixing": op6_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
