@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import language, mixing, pii, quality, toxicity
+from flowlens.llm import language, licenses, mixing, pii, quality, toxicity
 from flowlens.llm.common import fold, labelled, table
 
 
@@ -47,8 +47,18 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scan = licenses.scan_column(spark, "text")
+    got = table(spark, sf_dir, "documents").select("doc_id", scan.alias("s")).select("doc_id", "s.*")
+    starts, base, found = F.transform("base", lambda b: b["start"]), F.transform("base", lambda b: b["label"]), F.transform("found", lambda m: m["label"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    # A matched template is full evidence; a phrase alone, without the wording around it, is half.
+    score = F.when(F.size("found") > 0, 1.0).when(F.size("base") > 0, 0.5).otherwise(0.0)
+    return got.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), joined(base).alias("base_labels"), joined(F.concat(base, found)).alias("labels"), score.alias("score"))
+
+
 def queries() -> dict:
-    return {"op1_pii": op1_pii, "op3_language": op3_language, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_mixing": op6_mixing}
+    return {"op1_pii": op1_pii, "op3_language": op3_language, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_mixing": op6_mixing, "op8_licenses": op8_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
