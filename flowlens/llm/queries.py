@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import language, licenses, mixing, pii, quality, toxicity
+from flowlens.llm import language, licenses, media, mixing, pii, quality, toxicity
 from flowlens.llm.common import fold, labelled, table
 
 
@@ -47,6 +47,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), media.store_column("text").alias("media"))
+    return stored.select("doc_id", "n_bytes", media.features_column("media").alias("m")).select("doc_id", "n_bytes", "m.*")
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     scan = licenses.scan_column(spark, "text")
     got = table(spark, sf_dir, "documents").select("doc_id", scan.alias("s")).select("doc_id", "s.*")
@@ -58,7 +63,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_pii": op1_pii, "op3_language": op3_language, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_mixing": op6_mixing, "op8_licenses": op8_licenses}
+    return {"op1_pii": op1_pii, "op3_language": op3_language, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_mixing": op6_mixing, "op7_media": op7_media, "op8_licenses": op8_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
