@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import language, licenses, media, mixing, pii, quality, toxicity
+from flowlens.llm import language, licenses, media, mixing, packing, pii, quality, toxicity
 from flowlens.llm.common import fold, labelled, table
 
 
@@ -16,6 +16,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(kind) for kind in pii.BASE_KINDS], F.sha2(written(F.col("found.base")), 256).alias("base_sha256"), written(F.col("found.spans")).alias("spans"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold("doc_id", 4) == 2
@@ -63,7 +67,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_pii": op1_pii, "op3_language": op3_language, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_mixing": op6_mixing, "op7_media": op7_media, "op8_licenses": op8_licenses}
+    return {"op1_pii": op1_pii, "op2_packing": op2_packing, "op3_language": op3_language, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_mixing": op6_mixing, "op7_media": op7_media, "op8_licenses": op8_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
