@@ -84,19 +84,21 @@ class Block:
         return self.runs(flags)
 
 
-def _cut(text: str, limit: int) -> Iterator[tuple[int, str]]:
+def _cut(text: str, limit: int, whole_words: bool) -> Iterator[tuple[int, str]]:
     start = 0
     while len(text) - start > limit:
         end = start + limit
         space = max(text.rfind(" ", start + limit // 2, end), text.rfind("\n", start + limit // 2, end))
+        if space < 0 and whole_words:
+            space = min([k for k in (text.find(" ", end), text.find("\n", end)) if k >= 0], default=len(text) - 1)
         end = space + 1 if space >= 0 else end
         yield start, text[start:end]
         start = end
     yield start, text[start:] if start else text
 
 
-def blocks(texts: list[str], limit: int = BLOCK_CHARS) -> Iterator[Block]:
-    """Blocks over all texts, in order; an empty text is a piece of length 0."""
+def blocks(texts: list[str], limit: int = BLOCK_CHARS, whole_words: bool = False) -> Iterator[Block]:
+    """Blocks over all texts, in order; an empty text is a piece of length 0. whole_words: a piece may exceed the limit by part of a word."""
 
     def build(pieces: list[tuple[int, int, str]]) -> Block:
         lengths = np.fromiter((len(p[2]) for p in pieces), np.int64, len(pieces))
@@ -107,7 +109,7 @@ def blocks(texts: list[str], limit: int = BLOCK_CHARS) -> Iterator[Block]:
 
     held, size = [], 0
     for row, text in enumerate(texts):
-        for begin, piece in _cut(text, limit):
+        for begin, piece in _cut(text, limit, whole_words):
             if held and size + len(piece) > limit:
                 yield build(held)
                 held, size = [], 0

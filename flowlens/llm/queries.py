@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import fingerprint, language, licenses, media, mixing, packing, pii, quality, toxicity
+from flowlens.llm import fingerprint, jaccard, language, licenses, media, mixing, packing, pii, quality, toxicity
 from flowlens.llm.common import fold, labelled, table
 
 
@@ -70,8 +70,12 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_pii": op1_pii, "op2_packing": op2_packing, "op3_language": op3_language, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_mixing": op6_mixing, "op7_media": op7_media, "op8_licenses": op8_licenses, "op9_fingerprint": op9_fingerprint}
+    return {"op1_pii": op1_pii, "op2_packing": op2_packing, "op3_language": op3_language, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_mixing": op6_mixing, "op7_media": op7_media, "op8_licenses": op8_licenses, "op9_fingerprint": op9_fingerprint, "op10_jaccard": op10_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
