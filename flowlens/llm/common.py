@@ -18,11 +18,18 @@ def fold(doc_id: str | Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(column.cast("string")) % modulus, F.lit(0))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which all executors share; a folder of our own only where it is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="flowlens-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage in the folder that ``spark.checkpoint.dir`` names; a folder of our own only where it is unset."""
-    session = df.sparkSession
-    if not session.conf.get("spark.checkpoint.dir", None) and session.sparkContext.getCheckpointDir() is None:
-        session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="flowlens-"))
+    """``df`` computed once and cut from its lineage, in the shared folder, so that lost executors cost no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

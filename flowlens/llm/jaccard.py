@@ -89,10 +89,12 @@ def differences(smaller: int, percent: int = PERCENT) -> int:
     return both * (100 - percent) // (100 + percent)
 
 
-def allocate(largest: int, sizes: dict[int, int], percent: int = PERCENT) -> dict[int, tuple[int, int]]:
-    """band number -> (segments, how many of them, the first ones, get one-deletion neighbourhoods); bands where only equal sets link are left out.
+def allocate(largest: int, sizes: dict[int, int], percent: int = PERCENT) -> dict[int, tuple[int, int, int]]:
+    """band number -> (segments, wide, spare), the cheapest by estimated signatures written and pairs that meet by chance.
 
-    sizes: number of classes by size, over all documents.
+    The first ``wide`` segments get one-deletion neighbourhoods. ``spare`` is how far segments, wide ones counting 2, exceed H + 1: a set
+    with at most so many empty segments need not index them, for then it shares more than those with any set it links to.
+    sizes: number of classes by size, over all documents. Bands where only equal sets link are left out.
     """
     starts, out = band_starts(largest), {}
     for band, low in enumerate(starts[:-1]):
@@ -103,19 +105,33 @@ def allocate(largest: int, sizes: dict[int, int], percent: int = PERCENT) -> dic
         sets = float(sum(n for size, n in sizes.items() if low <= size <= high * 100 // percent)) or 1.0
         best = None
         for wide in sorted({0, 1, need // 8, need // 4, need // 2}):
-            segments = need - wide
-            load = low / segments
-            written = sets * (segments - wide + wide * (1 + load))
-            # Unrelated sets share no token as a rule: they meet where both segments are empty, or nearly so.
-            met = sets * sets / 2 * ((segments - wide) * np.exp(-2 * load) + wide * np.exp(-2 * load) * (1 + 2 * load))
-            cost = written + 3 * met
-            if best is None or cost < best[0]:
-                best = (cost, segments, wide)
+            for sigmas in (None, 0, 1, 2, 3, 4):
+                spare, segments = 0, need - wide
+                for _ in range(3 if sigmas is not None else 0):  # more segments leave more of them empty
+                    empty = (segments - wide) * np.exp(-low / segments)
+                    spare = int(np.ceil(empty + sigmas * np.sqrt(empty)))
+                    segments = need - wide + spare
+                load = low / segments
+                empty = (segments - wide) * np.exp(-load)
+                crowded = sets * _poisson_tail(empty, spare)
+                met = crowded**2 / 2 * empty**2 / max(1, segments - wide) + sets**2 / 2 * wide * np.exp(-2 * load) * (1 + 2 * load)
+                cost = sets * (segments - wide + wide * (1 + load)) + 3 * met
+                if best is None or cost < best[0]:
+                    best = (cost, segments, wide, spare)
         out[band] = best[1:]
     return out
 
 
-def signatures(sets: list[np.ndarray], allocation: dict[int, tuple[int, int]], starts: tuple[int, ...], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+def _poisson_tail(mean: float, k: int) -> float:
+    """The chance of more than ``k`` events."""
+    term = total = np.exp(-mean)
+    for i in range(1, k + 1):
+        term *= mean / i
+        total += term
+    return max(0.0, 1 - total)
+
+
+def signatures(sets: list[np.ndarray], allocation: dict[int, tuple[int, int, int]], starts: tuple[int, ...], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """(set number, signature): for each set those of its own band and of lower bands that hold sets it can link to."""
     sizes = np.array([len(s) for s in sets])
     own = np.searchsorted(starts, sizes, side="right") - 1
@@ -124,7 +140,7 @@ def signatures(sets: list[np.ndarray], allocation: dict[int, tuple[int, int]], s
     if not entries:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     owner, band = (np.array(c, np.int64) for c in zip(*entries))
-    segments, wide = (np.array([allocation[b][k] for b in band], np.int64) for k in (0, 1))
+    segments, wide, spare = (np.array([allocation[b][k] for b in band], np.int64) for k in range(3))
     base = np.cumsum(segments) - segments
     entry = np.repeat(np.arange(len(entries)), sizes[owner])
     tokens = np.concatenate([sets[k] for k in owner])
@@ -136,9 +152,12 @@ def signatures(sets: list[np.ndarray], allocation: dict[int, tuple[int, int]], s
     holder = np.repeat(np.arange(len(entries)), segments)
     place = np.arange(len(sums)) - base[holder]
     name = lambda e, s: mix((band[e] << 32 | s).astype(np.uint64) + np.uint64(0xA5A5A5A5))
+    empty = (np.bincount(base[entry] + segment, minlength=len(sums)) == 0) & (place >= wide[holder])
+    written = ~empty | (np.bincount(holder, empty, len(entries)) > spare)[holder]
+    holder, place, exact = holder[written], place[written], sums[written]
     near = segment < wide[entry]
     deleted = mix((sums[base[entry] + segment] - weight)[near] ^ name(entry[near], segment[near]))
-    return np.concatenate([owner[holder], owner[entry[near]]]), np.concatenate([mix(sums ^ name(holder, place)), deleted])
+    return np.concatenate([owner[holder], owner[entry[near]]]), np.concatenate([mix(exact ^ name(holder, place)), deleted])
 
 
 def forest(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -335,3 +354,19 @@ def link_components(documents: DataFrame, text: str = "text", words: int = WORDS
         copies = named.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = salted.join(copies, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("_salt") == F.col("_of")) & (F.col("n") > 0), "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The documents that are the first, by id, of their component; of rows that are alike in id and text one stays.
+
+    Only ids that go, or that occur more than once, are joined to the texts.
+    """
+    found = checkpointed(link_components(documents, text, words, percent))
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    gone = checkpointed(found.where("doc_id <> component_id").select("doc_id").distinct())
+    kept = documents.join(small(gone), "doc_id", "left_anti")
+    twice = checkpointed(found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
+    if twice.isEmpty():
+        return kept
+    again = kept.join(small(twice), "doc_id", "left_semi").dropDuplicates(["doc_id", text])
+    return kept.join(small(twice), "doc_id", "left_anti").unionByName(again)

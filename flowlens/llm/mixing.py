@@ -12,6 +12,10 @@ and size are treated alike.
 
 from __future__ import annotations
 
+import itertools
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +27,8 @@ BINS = 4096
 #: Sources up to this number are broadcast; beyond it they are joined by shuffle.
 BROADCAST_SOURCES = 50_000
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
 
 def word_count(text: str | Column) -> Column:
     r"""Number of runs of ``[^\x20\x09-\x0D]``; 0 for null."""
@@ -51,34 +57,60 @@ def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return filled.withColumn("target", F.when(F.col("_settled").isNull() | (share > F.col("_cap")), F.col("_cap").cast("double")).otherwise(share)).drop("_cap", "_level", "_free", "_settled")
 
 
-def mix(documents: DataFrame, text: str = "text", max_epochs: int = MAX_EPOCHS, weights: tuple = WEIGHTS, seed: int = 17) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every document.
+def with_size(documents: DataFrame, text: str = "text", seed: int = 17) -> DataFrame:
+    """Adds ``size`` and ``_bin``, the place of the document in the seeded order of its source."""
+    place = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")), F.lit(BINS)).cast("int")
+    return documents.withColumn("size", word_count(text)).withColumn("_bin", place)
 
-    The text is read once; sizes, a few bytes a document, are checkpointed. They are summed by (source, bin of a seeded hash) before any
-    shuffle, so a source with a third of all rows costs no more than another.
+
+def mixing_plan(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, weights: tuple = WEIGHTS) -> DataFrame:
+    """From (source, size, _bin): a row per source with its target, its whole repetitions and where its last, partial repetition ends.
+
+    Sizes are summed by (source, bin of a seeded hash) before any shuffle, so a source with a third of all rows costs no more than another.
     """
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")), F.lit(BINS)).cast("int")
-    sizes = checkpointed(documents.select("doc_id", "source", word_count(text).alias("size")).withColumn("_bin", place))
-    bins = sizes.groupBy("source", "_bin").agg(F.sum("size").alias("bin_size"))
+    bins = checkpointed(sizes.groupBy("source", "_bin").agg(F.sum("size").alias("bin_size")))
     sources = bins.groupBy("source").agg(F.sum("bin_size").alias("source_size"))
-    targets = checkpointed(water_fill(cyclic_weights(sources, weights), max_epochs))
-    small = targets.count() <= BROADCAST_SOURCES
-    hint = F.broadcast if small else (lambda df: df)
-
-    run = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    t = targets.withColumnRenamed("source", "_source")
-    # What the last, partial repetition takes, and how much of that falls into each bin.
-    cut = bins.join(hint(t), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_extra", F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size"))
-    cut = cut.withColumn("_left", F.col("_extra") - F.coalesce(F.sum("bin_size").over(run), F.lit(0)))
-    cut = cut.where((F.col("_left") > 0) & (F.col("_left") <= F.col("bin_size"))).select(F.col("_source").alias("_cut_source"), F.col("_bin").alias("_cut_bin"), (F.col("_left") / F.col("bin_size")).alias("_cut_share"))
-    plan = t.join(hint(cut), F.col("_source").eqNullSafe(F.col("_cut_source")), "left")
-
-    joined = sizes.join(hint(plan), F.col("source").eqNullSafe(F.col("_source")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    targets = water_fill(cyclic_weights(sources, weights), max_epochs).withColumn("_whole", whole).withColumnRenamed("source", "_source")
+    extra = F.col("target") - F.col("_whole") * F.col("source_size")
+    run = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    left = extra - F.coalesce(F.sum("bin_size").over(run), F.lit(0))
+    cut = bins.join(targets, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_left", left).where((F.col("_left") > 0) & (F.col("_left") <= F.col("bin_size")))
+    cut = cut.select(F.col("source").alias("_cut_source"), F.col("_bin").alias("_cut_bin"), (F.col("_left") / F.col("bin_size")).alias("_cut_share"))
+    return checkpointed(targets.join(cut, F.col("_source").eqNullSafe(F.col("_cut_source")), "left").drop("_cut_source", "weight"))
+
+
+def with_taken(sized: DataFrame, plan: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = 17) -> DataFrame:
+    """Adds ``source_size``, ``target`` and ``taken`` to rows that have source, size and _bin."""
+    hint = F.broadcast if plan.count() <= BROADCAST_SOURCES else (lambda df: df)
     part = (
         F.when(F.col("_cut_bin").isNull() | (F.col("_bin") > F.col("_cut_bin")), F.lit(0))
         .when(F.col("_bin") < F.col("_cut_bin"), F.col("size"))
         .otherwise(F.floor(F.col("size") * F.col("_cut_share") + F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.lit(1 << 20)) / float(1 << 20)))
     )
-    taken = F.least(whole * F.col("size") + F.least(part, F.col("size")), F.col("size") * max_epochs).cast("long")
-    return joined.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    taken = F.least(F.col("_whole") * F.col("size") + F.least(part, F.col("size")), F.col("size") * max_epochs).cast("long")
+    return sized.join(hint(plan), F.col("source").eqNullSafe(F.col("_source"))).withColumn("taken", taken).drop("_source", "_whole", "_cut_bin", "_cut_share", "_bin")
+
+
+def mix(documents: DataFrame, text: str = "text", max_epochs: int = MAX_EPOCHS, weights: tuple = WEIGHTS, seed: int = 17) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) for every document. The text is read once; sizes are checkpointed."""
+    sizes = checkpointed(with_size(documents.select("doc_id", "source", F.col(text).alias("text")), "text", seed).drop("text"))
+    return with_taken(sizes, mixing_plan(sizes, max_epochs, weights), max_epochs, seed)
+
+
+def repeat_column(text: str | Column, size: str | Column, taken: str | Column) -> Column:
+    """The texts that a document gives to the mix: whole repetitions, then its first words up to what is left of ``taken``."""
+
+    @F.pandas_udf("array<string>")
+    def repeat(texts: pd.Series, sizes: pd.Series, takes: pd.Series) -> pd.Series:
+        out = []
+        for text, size, take in zip(texts, sizes, takes):
+            whole, rest = divmod(int(take), int(size)) if size else (0, 0)
+            copies = [text] * whole
+            if rest:
+                last = next(itertools.islice(_WORD.finditer(text), rest - 1, None))
+                copies.append(text[: last.end()])
+            out.append(copies)
+        return pd.Series(out, dtype=object)
+
+    return repeat(text, size, taken)

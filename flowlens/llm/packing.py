@@ -154,9 +154,10 @@ def pack(lengths: list[int], window: int = WINDOW) -> list[list[tuple[int, int,
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
-def pack_documents(documents: DataFrame, tokenizer_path: str | None = None, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack_documents(documents: DataFrame, tokenizer_path: str | None = None, text: str = "text", window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, the piece's token ids."""
     path = tokenizer_path or public_tokenizer_path()
+    fields = _SCHEMA.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else _SCHEMA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, sequence = coder(path).encode, TaskContext.get().partitionId() << 32
@@ -171,11 +172,12 @@ def pack_documents(documents: DataFrame, tokenizer_path: str | None = None, text
             for sequence_pieces in pack([len(t) for t in tokens], window):
                 offset = 0
                 for k, a, n in sequence_pieces:
-                    rows.append((ids[k], a, n, zlib.crc32(tokens[k][a : a + n].tobytes()), len(tokens[k]), sequence, offset))
+                    piece = tokens[k][a : a + n]
+                    rows.append((ids[k], a, n, zlib.crc32(piece.tobytes()), len(tokens[k]), sequence, offset, *([piece.astype(np.int32)] if with_ids else [])))
                     offset += n
                 sequence += 1
             ids.clear(), tokens.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SCHEMA.types)], schema=_SCHEMA)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), fields.types)], schema=fields)
 
         for batch in batches:
             names, texts = batch.column(0), batch.column(1)
@@ -190,5 +192,5 @@ def pack_documents(documents: DataFrame, tokenizer_path: str | None = None, text
         if ids:
             yield flush()
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return documents.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(run, schema)
