@@ -6,7 +6,8 @@ signature. How many segments get the neighbourhood is chosen by cost for each ba
 chance. Sets that share a signature are verified exactly, in buckets, and each bucket gives the edges of a spanning forest of its links.
 
 * Equal sets are one class from the start; only one member of a class is indexed.
-* Buckets with equal members are one bucket; a large bucket is dealt into pairs of blocks, so no task holds more than two blocks.
+* Buckets with equal members are one bucket; a large bucket is dealt into pairs of blocks. Buckets that share classes form clusters, and a
+  task holds each set of a cluster once; a large cluster is dealt into parts by its buckets and blocks. So what a task holds is bounded.
 * Components are found by alternating large-star and small-star steps, each a Spark aggregation and join.
 
 Defined cases: null and empty texts, and rows without an id, link with nothing and are their own component; repeated rows are one class;
@@ -28,7 +29,7 @@ from flowlens.llm.common import checkpointed
 
 WORDS = 3
 PERCENT = 90
-BLOCK_SETS, BLOCK_TOKENS = 512, 1 << 20
+BLOCK_SETS, BLOCK_TOKENS, CLUSTER_TOKENS = 512, 1 << 20, 1 << 22
 #: Tables of up to this many rows (a few dozen bytes each) are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 SALTS = 16
@@ -76,10 +77,11 @@ def set_hashes(tokens: np.ndarray) -> tuple[int, int]:
 
 @lru_cache(maxsize=8)
 def band_starts(largest: int) -> tuple[int, ...]:
-    """Smallest sizes of the bands, each about a fifth wider than the one before, past ``largest``."""
+    """Smallest sizes of the bands, past ``largest``. A band reaches to half as much again: wider ones need more segments, narrower ones put
+    more sets into two bands."""
     out = [1]
     while out[-1] <= largest:
-        out.append(max(out[-1] + 1, out[-1] * 6 // 5))
+        out.append(max(out[-1] + 1, out[-1] * 3 // 2))
     return tuple(out)
 
 
@@ -160,13 +162,13 @@ def signatures(sets: list[np.ndarray], allocation: dict[int, tuple[int, int, int
     return np.concatenate([owner[holder], owner[entry[near]]]), np.concatenate([mix(exact ^ name(holder, place)), deleted])
 
 
-def forest(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among ``sets``; where both sides 0 and 1 occur, of the links between them."""
+def forest(sets: list[np.ndarray], side: np.ndarray, group: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Edges that join sets of different groups along links; where both sides 0 and 1 occur, along links between them. Changes ``group``."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     _, token = np.unique(np.concatenate(sets), return_inverse=True)
     at = np.cumsum(sizes) - sizes
-    group, edges = np.arange(n), []
+    edges = []
     across = side.min() != side.max()
     flags = np.zeros(token.max() + 1, bool)
     for p in np.flatnonzero(side == 0) if across else range(n - 1):
@@ -283,28 +285,36 @@ def _set_rows(documents: DataFrame, text: str, words: int) -> DataFrame:
 
 
 def _forest_rows(dealt: DataFrame, percent: int) -> DataFrame:
-    """(a, b) class edges; ``dealt`` has the rows of a bucket, or of a pair of blocks of one, next to each other."""
+    """(a, b) class edges; ``dealt`` has the classes of a part of a cluster next to each other, each with the units it belongs to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, names, sets, side = None, [], [], []
+        key, held = None, {}
         out: list[tuple[int, int]] = []
 
         def close() -> None:
-            if len(names) > 1:
-                order = np.argsort(names, kind="stable")
-                keep = [k for i, k in enumerate(order) if not i or names[k] != names[order[i - 1]]]
-                if len(keep) > 1:
-                    found = forest([sets[k] for k in keep], np.array([side[k] for k in keep]), percent)
-                    out.extend((names[keep[p]], names[keep[q]]) for p, q in found)
-            names.clear(), sets.clear(), side.clear()
+            names = list(held)
+            sets, units = [held[c][0] for c in names], {}
+            for k, c in enumerate(names):
+                for u in held[c][1]:
+                    units.setdefault((u["bucket"], u["i"], u["j"]), []).append((k, int(u["block"] != u["i"])))
+            group = np.arange(len(names))
+            # The largest units first: what they link need not be looked at again in the others.
+            for members in sorted(units.values(), key=len, reverse=True):
+                index = np.array([k for k, _ in members])
+                if len(index) > 1 and (group[index] != group[index[0]]).any():
+                    own = group[index].copy()
+                    for p, q in forest([sets[k] for k in index], np.array([b for _, b in members]), own, percent):
+                        a, b = index[p], index[q]
+                        out.append((names[a], names[b]))
+                        group[group == group[b]] = group[a]
+            held.clear()
 
         for batch in batches:
-            columns = batch.to_pydict()
-            for bucket, i, j, block, cls, tokens in zip(*(columns[c] for c in ("bucket", "i", "j", "block", "cls", "tokens"))):
-                if (bucket, i, j) != key:
+            for row in batch.to_pylist():
+                if (row["cluster"], row["part"]) != key:
                     close()
-                    key = (bucket, i, j)
-                names.append(cls), sets.append(np.frombuffer(tokens, np.uint64)), side.append(int(block != i))
+                    key = (row["cluster"], row["part"])
+                held[row["cls"]] = (np.frombuffer(row["tokens"], np.uint64), row["units"])
             if out:
                 yield _arrow(list(zip(*out)), [pa.int64()] * 2, ["a", "b"])
                 out.clear()
@@ -330,16 +340,23 @@ def link_components(documents: DataFrame, text: str = "text", words: int = WORDS
     buckets = met.where("_least <> _most").select(F.xxhash64("_all", "_count", "_least", "_most").alias("bucket"), "cls", "n").distinct()
     per = Window.partitionBy("bucket")
     blocks_of = F.ceil(F.greatest(F.count("*").over(per) / BLOCK_SETS, F.sum("n").over(per) / BLOCK_TOKENS)).cast("int")
-    buckets = checkpointed(buckets.select("bucket", "cls", blocks_of.alias("blocks")))
+    buckets = checkpointed(buckets.select("bucket", "cls", "n", blocks_of.alias("blocks"), F.min("cls").over(per).alias("_first")))
 
     needed = checkpointed(classes.join(buckets.select(F.col("cls").alias("h1")).distinct(), "h1", "left_semi").select(F.col("rep").alias("doc_id")))
     hint = F.broadcast if needed.count() <= BROADCAST_ROWS else (lambda df: df)
     sets = _set_rows(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).join(hint(needed), "doc_id", "left_semi"), "text", words)
 
+    # Buckets that share classes form clusters. A part of a cluster is a task's work: it holds each of its sets once, whatever the buckets.
+    clusters = components(buckets.select(F.col("cls").alias("a"), F.col("_first").alias("b")))
+    units = buckets.join(clusters, F.col("cls") == F.col("node")).withColumnRenamed("root", "cluster")
+    load = units.groupBy("cluster", "cls").agg(F.first("n").alias("n"), F.sum(F.col("n") * F.col("blocks")).alias("m")).groupBy("cluster").agg(F.sum("n").alias("once"), F.sum("m").alias("all"))
+    load = load.select("cluster", F.when(F.col("once") <= CLUSTER_TOKENS, 1).otherwise(F.ceil(F.col("all") / CLUSTER_TOKENS)).cast("int").alias("parts"))
     block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    dealt = buckets.withColumn("block", block).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", "cls", "block", F.least("block", "_with").alias("i"), F.greatest("block", "_with").alias("j"))
-    dealt = dealt.join(sets, "cls").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    units = units.join(load, "cluster").withColumn("block", block).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = units.select("cluster", "parts", "cls", "bucket", "block", F.least("block", "_with").alias("i"), F.greatest("block", "_with").alias("j"))
+    units = units.withColumn("part", F.pmod(F.xxhash64("bucket", "i", "j"), F.col("parts")).cast("int"))
+    dealt = units.groupBy("cluster", "part", "cls").agg(F.collect_list(F.struct("bucket", "i", "j", "block")).alias("units"))
+    dealt = dealt.join(sets, "cls").repartition("cluster", "part").sortWithinPartitions("cluster", "part")
     found = components(_forest_rows(dealt, percent))
 
     # The smallest id of each component, then of each class that stands alone with its copies.
