@@ -86,15 +86,15 @@ def by_score(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 def roc_auc(rows: DataFrame, by: tuple[str, ...] = ("model_name",)) -> DataFrame:
     """Area under the ROC curve: a negative is below the positives above it and half below those it ties with; 0.5 with one class."""
-    area = F.sum(F.col("n") * (F.col("p_above") + F.col("p") / 2)) / F.max(F.col("p_all") * F.col("n_all"))
-    return by_score(rows, by).groupBy(*by).agg(F.when(F.max(F.col("p_all") * F.col("n_all")) > 0, area).otherwise(0.5).alias("roc_auc"))
+    area = F.try_divide(F.sum(F.col("n") * (F.col("p_above") + F.col("p") / 2)), F.max(F.col("p_all") * F.col("n_all")))
+    return by_score(rows, by).groupBy(*by).agg(F.coalesce(area, F.lit(0.5)).alias("roc_auc"))
 
 
 def average_precision(rows: DataFrame, by: tuple[str, ...] = ("model_name",)) -> DataFrame:
     """Sum of recall steps times precision; 0 without positives, 1 without negatives."""
     p, n = F.col("p") + F.col("p_above"), F.col("n") + F.col("n_above")
-    area = F.sum(F.col("p") / F.col("p_all") * p / (p + n))
-    return by_score(rows, by).groupBy(*by).agg(F.when(F.max("p_all") > 0, area).otherwise(0.0).alias("average_precision"))
+    area = F.sum(F.try_divide(F.col("p"), F.col("p_all")) * p / (p + n))
+    return by_score(rows, by).groupBy(*by).agg(F.coalesce(area, F.lit(0.0)).alias("average_precision"))
 
 
 def shares(rows: DataFrame, field: str = "score", bins: int = 10) -> DataFrame:
@@ -136,7 +136,8 @@ def _distribution_gap(reference: DataFrame, current: DataFrame, field: str) -> D
     inside = Window.partitionBy("range").orderBy("v")
     run = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = ranged.withColumn("ra", F.sum("a").over(run)).withColumn("rb", F.sum("b").over(run)).withColumn("nxt", F.lead("v").over(inside)).join(F.broadcast(totals), "range")
-    gap = F.abs((F.col("oa") + F.col("ra")) / F.col("na") - (F.col("ob") + F.col("rb")) / F.col("nb"))
+    share = lambda part, run, n: F.try_divide(F.col(part) + F.col(run), F.col(n))
+    gap = F.abs(share("oa", "ra", "na") - share("ob", "rb", "nb"))
     return joined.select(F.col("v").alias("value"), gap.alias("gap"), (F.coalesce("nxt", "following") - F.col("v")).alias("width"))
 
 
