@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.blocks import as_texts, blocks, mix, run_hashes
+from flowlens.llm.common import checkpointed
 
 BITS = 20
 GROUPS, LEVELS = 16, 10
@@ -43,8 +44,8 @@ def term_pairs(texts: list[str]) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
-def document_frequencies(documents: DataFrame, text: str = "text") -> tuple[int, np.ndarray]:
-    """Number of documents, and in how many of them each term stands: summed in each task first, then by Spark."""
+def document_frequencies(documents: DataFrame, text: str = "text") -> DataFrame:
+    """(term, n): in how many documents each term stands, and as term -1 the number of documents. Summed in each task first, then by Spark."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(1 << BITS, np.int64), 0
@@ -55,16 +56,16 @@ def document_frequencies(documents: DataFrame, text: str = "text") -> tuple[int,
         seen = np.flatnonzero(df)
         yield pd.DataFrame({"term": np.append(seen, -1), "n": np.append(df[seen], n)})
 
-    summed = documents.select(text).mapInPandas(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    term, n = summed["term"].to_numpy(np.int64), summed["n"].to_numpy(np.int64)
-    df = np.zeros(1 << BITS, np.int64)
-    df[term[term >= 0]] = n[term >= 0]
-    return int(n[term < 0].sum()), df
+    return documents.select(text).mapInPandas(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def band(n: int, df: np.ndarray, least: int = LEAST_DOCUMENTS, most: float = MOST_SHARE) -> np.ndarray:
-    """The kept terms as packed bits: idf between ln(1 / most) and ln(n / least)."""
-    return np.packbits((df >= least) & (df <= most * n))
+def band(frequencies: DataFrame, least: int = LEAST_DOCUMENTS, most: float = MOST_SHARE) -> np.ndarray:
+    """The kept terms as packed bits: idf between ln(1 / most) and ln(n / least). Spark selects them; only their numbers come to the driver."""
+    frequencies = checkpointed(frequencies)
+    n = frequencies.where("term = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    kept = np.zeros(1 << BITS, bool)
+    kept[frequencies.where((F.col("term") >= 0) & F.col("n").between(least, most * n)).select("term").toPandas()["term"].to_numpy(np.int64)] = True
+    return np.packbits(kept)
 
 
 @lru_cache(maxsize=1)
@@ -126,7 +127,7 @@ def compare_with_next(documents: DataFrame, text: str = "text") -> DataFrame:
     """
     docs = documents.select(F.col("doc_id").cast("long"), F.coalesce(text, F.lit("")).alias("text"))
     session = docs.sparkSession
-    kept = session.sparkContext.broadcast(band(*document_frequencies(docs)))
+    kept = session.sparkContext.broadcast(band(document_frequencies(docs)))
     order = F.coalesce("doc_id", F.lit(-(1 << 63)))
 
     slots = 4 * int(session.conf.get("spark.sql.shuffle.partitions"))

@@ -6,12 +6,14 @@ signature. How many segments get the neighbourhood is chosen by cost for each ba
 chance. Sets that share a signature are verified exactly, in buckets, and each bucket gives the edges of a spanning forest of its links.
 
 * Equal sets are one class from the start; only one member of a class is indexed.
-* Buckets with equal members are one bucket; a large bucket is dealt into pairs of blocks. Buckets that share classes form clusters, and a
-  task holds each set of a cluster once; a large cluster is dealt into parts by its buckets and blocks. So what a task holds is bounded.
+* Buckets with equal members are one bucket; a large bucket is dealt into pairs of blocks. Outlines of the sets, a few bytes each, then rule
+  out most pairs that met by chance. The groups left that share classes form clusters, and a task holds each set of a cluster once; a large
+  cluster is dealt into parts by its groups. So what a task holds is bounded.
 * Components are found by alternating large-star and small-star steps, each a Spark aggregation and join.
 
 Defined cases: null and empty texts, and rows without an id, link with nothing and are their own component; repeated rows are one class;
-very long texts are read whole. Tokens are 64-bit hashes of shingles, classes 128-bit hashes of sets.
+very long texts are read whole. Tokens are 64-bit hashes of shingles, classes 128-bit hashes of sets,
+named by the first 64 bits while candidates are gathered.
 """
 
 from __future__ import annotations
@@ -75,6 +77,33 @@ def set_hashes(tokens: np.ndarray) -> tuple[int, int]:
     return int(pair[0]), int(pair[1])
 
 
+def outline(tokens: np.ndarray) -> bytes:
+    """Counts of tokens by their low bits, a byte each, for about sixteen tokens: two sets differ in at least the sum of differences of counts."""
+    bins = 32
+    while bins * 16 < len(tokens):
+        bins *= 2
+    return np.minimum(np.bincount((tokens & np.uint64(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
+
+
+def survivors(outlines: list[bytes], sizes: np.ndarray, side: np.ndarray, percent: int = PERCENT) -> list[np.ndarray]:
+    """Groups of sets that hang together by pairs whose sizes and outlines allow a link; where both sides 0 and 1 occur, by pairs across."""
+    n = len(outlines)
+    bins = min(map(len, outlines))
+    counts = np.stack([np.frombuffer(o, np.uint8).reshape(-1, bins).sum(axis=0, dtype=np.int32) for o in outlines])
+    across = side.min() != side.max()
+    group = np.arange(n)
+    for p in np.flatnonzero(side == 0) if across else range(n - 1):
+        other = (group != group[p]) & ((side == 1) if across else (np.arange(n) > p))
+        other &= (100 * sizes >= percent * sizes[p]) & (100 * sizes[p] >= percent * sizes)
+        others = np.flatnonzero(other)
+        if len(others):
+            apart = np.abs(counts[others] - counts[p]).sum(axis=1)
+            for q in others[apart * (100 + percent) <= (sizes[others] + sizes[p]) * (100 - percent)]:
+                if group[q] != group[p]:
+                    group[group == group[q]] = group[p]
+    return [members for g in np.unique(group) if len(members := np.flatnonzero(group == g)) > 1]
+
+
 @lru_cache(maxsize=8)
 def band_starts(largest: int) -> tuple[int, ...]:
     """Smallest sizes of the bands, past ``largest``. A band reaches to half as much again: wider ones need more segments, narrower ones put
@@ -162,18 +191,16 @@ def signatures(sets: list[np.ndarray], allocation: dict[int, tuple[int, int, int
     return np.concatenate([owner[holder], owner[entry[near]]]), np.concatenate([mix(exact ^ name(holder, place)), deleted])
 
 
-def forest(sets: list[np.ndarray], side: np.ndarray, group: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Edges that join sets of different groups along links; where both sides 0 and 1 occur, along links between them. Changes ``group``."""
+def forest(sets: list[np.ndarray], group: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Edges that join sets of different groups along links. Changes ``group``."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     _, token = np.unique(np.concatenate(sets), return_inverse=True)
     at = np.cumsum(sizes) - sizes
     edges = []
-    across = side.min() != side.max()
     flags = np.zeros(token.max() + 1, bool)
-    for p in np.flatnonzero(side == 0) if across else range(n - 1):
-        other = group != group[p]
-        other &= (side == 1) if across else (np.arange(n) > p)
+    for p in range(n - 1):
+        other = (group != group[p]) & (np.arange(n) > p)
         other &= (100 * sizes >= percent * sizes[p]) & (100 * sizes[p] >= percent * sizes)
         others = np.flatnonzero(other)
         if not len(others):
@@ -219,16 +246,16 @@ def _texts(column: pa.Array, step: int = 500) -> Iterator[tuple[int, list[str]]]
 
 
 def class_hashes(documents: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, n, h1, h2): the size of each document's set and its class."""
+    """(doc_id, n, h1, h2, outline): the size of each document's set, its class and its outline."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for a, texts in _texts(batch.column(1)):
-                got = [(len(s), *set_hashes(s)) for _, s in token_sets(texts, words)]
-                yield _arrow([ids.slice(a, len(texts)), *zip(*got)], [pa.int64()] * 4, ["doc_id", "n", "h1", "h2"])
+                got = [(len(s), *set_hashes(s), outline(s)) for _, s in token_sets(texts, words)]
+                yield _arrow([ids.slice(a, len(texts)), *zip(*got)], [*[pa.int64()] * 4, pa.binary()], ["doc_id", "n", "h1", "h2", "outline"])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
+    return documents.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(run, "doc_id long, n long, h1 long, h2 long, outline binary")
 
 
 def _signature_rows(documents: DataFrame, allocation: dict, largest: int, text: str, words: int, percent: int) -> DataFrame:
@@ -284,51 +311,69 @@ def _set_rows(documents: DataFrame, text: str, words: int) -> DataFrame:
     return documents.select(text).mapInArrow(run, "cls long, tokens binary")
 
 
-def _forest_rows(dealt: DataFrame, percent: int) -> DataFrame:
-    """(a, b) class edges; ``dealt`` has the classes of a part of a cluster next to each other, each with the units it belongs to."""
+def _by_key(run_group, names: list[str], types: list):
+    """A mapInArrow function over rows sorted by their first column: ``run_group(rows)`` gives the output rows of a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, {}
-        out: list[tuple[int, int]] = []
-
-        def close() -> None:
-            names = list(held)
-            sets, units = [held[c][0] for c in names], {}
-            for k, c in enumerate(names):
-                for u in held[c][1]:
-                    units.setdefault((u["bucket"], u["i"], u["j"]), []).append((k, int(u["block"] != u["i"])))
-            group = np.arange(len(names))
-            # The largest units first: what they link need not be looked at again in the others.
-            for members in sorted(units.values(), key=len, reverse=True):
-                index = np.array([k for k, _ in members])
-                if len(index) > 1 and (group[index] != group[index[0]]).any():
-                    own = group[index].copy()
-                    for p, q in forest([sets[k] for k in index], np.array([b for _, b in members]), own, percent):
-                        a, b = index[p], index[q]
-                        out.append((names[a], names[b]))
-                        group[group == group[b]] = group[a]
-            held.clear()
-
+        key, held, out = None, [], []
         for batch in batches:
-            for row in batch.to_pylist():
-                if (row["cluster"], row["part"]) != key:
-                    close()
-                    key = (row["cluster"], row["part"])
-                held[row["cls"]] = (np.frombuffer(row["tokens"], np.uint64), row["units"])
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[0] != key:
+                    out += run_group(held) if len(held) > 1 else []
+                    key, held = row[0], []
+                held.append(row)
             if out:
-                yield _arrow(list(zip(*out)), [pa.int64()] * 2, ["a", "b"])
-                out.clear()
-        close()
+                yield _arrow(list(zip(*out)), types, names)
+                out = []
+        out += run_group(held) if len(held) > 1 else []
         if out:
-            yield _arrow(list(zip(*out)), [pa.int64()] * 2, ["a", "b"])
+            yield _arrow(list(zip(*out)), types, names)
+
+    return run
+
+
+def _refined(units: DataFrame, percent: int) -> DataFrame:
+    """(sub, first, cls, n) from (unit, side, cls, n, outline): the groups of a unit that outlines leave, named by their members."""
 
-    return dealt.mapInArrow(run, "a long, b long")
+    def refine(rows: list[tuple]) -> list[tuple]:
+        _, side, names, sizes, outlines = zip(*{r[2]: r for r in rows}.values())
+        out = []
+        for members in survivors(list(outlines), np.array(sizes, np.int64), np.array(side), percent):
+            cls = sorted(names[k] for k in members)
+            sub = set_hashes(np.array(cls, np.int64).view(np.uint64))[0]
+            out += [(sub, cls[0], names[k], sizes[k]) for k in members]
+        return out
+
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    return units.mapInArrow(_by_key(refine, ["sub", "first", "cls", "n"], types), "sub long, first long, cls long, n int")
+
+
+def _forest_rows(dealt: DataFrame, percent: int) -> DataFrame:
+    """(a, b) class edges from (place, cls, subs, tokens), a place being a part of a cluster."""
+
+    def link(rows: list[tuple]) -> list[tuple]:
+        rows = list({r[1]: r for r in rows}.values())
+        names, sets, subs, out = [r[1] for r in rows], [np.frombuffer(r[3], np.uint64) for r in rows], {}, []
+        for k, r in enumerate(rows):
+            for sub in r[2]:
+                subs.setdefault(sub, []).append(k)
+        group = np.arange(len(names))
+        # The largest first: what they link need not be looked at again in the others.
+        for members in sorted(subs.values(), key=len, reverse=True):
+            index = np.array(members)
+            if (group[index] != group[index[0]]).any():
+                for p, q in forest([sets[k] for k in members], group[index].copy(), percent):
+                    out.append((names[members[p]], names[members[q]]))
+                    group[group == group[members[q]]] = group[members[p]]
+        return out
+
+    return dealt.mapInArrow(_by_key(link, ["a", "b"], [pa.int64()] * 2), "a long, b long")
 
 
 def link_components(documents: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``documents`` (which need doc_id and the text)."""
     hashed = checkpointed(class_hashes(documents, text, words))
-    classes = checkpointed(hashed.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n")))
+    classes = checkpointed(hashed.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("outline").alias("outline")))
     # One number for each size of set that occurs: the input of the cost model.
     sizes = {r["n"]: r["c"] for r in classes.groupBy("n").agg(F.count("*").alias("c")).collect()}
     largest = max(sizes, default=0)
@@ -340,24 +385,28 @@ def link_components(documents: DataFrame, text: str = "text", words: int = WORDS
     buckets = met.where("_least <> _most").select(F.xxhash64("_all", "_count", "_least", "_most").alias("bucket"), "cls", "n").distinct()
     per = Window.partitionBy("bucket")
     blocks_of = F.ceil(F.greatest(F.count("*").over(per) / BLOCK_SETS, F.sum("n").over(per) / BLOCK_TOKENS)).cast("int")
-    buckets = checkpointed(buckets.select("bucket", "cls", "n", blocks_of.alias("blocks"), F.min("cls").over(per).alias("_first")))
-
-    needed = checkpointed(classes.join(buckets.select(F.col("cls").alias("h1")).distinct(), "h1", "left_semi").select(F.col("rep").alias("doc_id")))
+    units = buckets.select("bucket", "cls", "n", blocks_of.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    units = units.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    i, j = F.least("block", "_with"), F.greatest("block", "_with")
+    units = units.select(F.xxhash64("bucket", i, j).alias("unit"), (F.col("block") != i).cast("int").alias("side"), "cls", "n")
+    outlines = classes.select(F.col("h1").alias("cls"), "outline").dropDuplicates(["cls"])
+    units = units.join(outlines, "cls").select("unit", "side", "cls", "n", "outline")
+    subs = checkpointed(_refined(units.repartition("unit").sortWithinPartitions("unit"), percent).distinct())
+
+    needed = checkpointed(classes.join(subs.select(F.col("cls").alias("h1")).distinct(), "h1", "left_semi").select(F.col("rep").alias("doc_id")))
     hint = F.broadcast if needed.count() <= BROADCAST_ROWS else (lambda df: df)
     sets = _set_rows(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).join(hint(needed), "doc_id", "left_semi"), "text", words)
 
-    # Buckets that share classes form clusters. A part of a cluster is a task's work: it holds each of its sets once, whatever the buckets.
-    clusters = components(buckets.select(F.col("cls").alias("a"), F.col("_first").alias("b")))
-    units = buckets.join(clusters, F.col("cls") == F.col("node")).withColumnRenamed("root", "cluster")
-    load = units.groupBy("cluster", "cls").agg(F.first("n").alias("n"), F.sum(F.col("n") * F.col("blocks")).alias("m")).groupBy("cluster").agg(F.sum("n").alias("once"), F.sum("m").alias("all"))
-    load = load.select("cluster", F.when(F.col("once") <= CLUSTER_TOKENS, 1).otherwise(F.ceil(F.col("all") / CLUSTER_TOKENS)).cast("int").alias("parts"))
-    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    units = units.join(load, "cluster").withColumn("block", block).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("cluster", "parts", "cls", "bucket", "block", F.least("block", "_with").alias("i"), F.greatest("block", "_with").alias("j"))
-    units = units.withColumn("part", F.pmod(F.xxhash64("bucket", "i", "j"), F.col("parts")).cast("int"))
-    dealt = units.groupBy("cluster", "part", "cls").agg(F.collect_list(F.struct("bucket", "i", "j", "block")).alias("units"))
-    dealt = dealt.join(sets, "cls").repartition("cluster", "part").sortWithinPartitions("cluster", "part")
-    found = components(_forest_rows(dealt, percent))
+    # Groups that share classes form clusters. A part of a cluster is a task's work: it holds each of its sets once, whatever the groups.
+    clusters = components(subs.select(F.col("cls").alias("a"), F.col("first").alias("b")))
+    placed = checkpointed(subs.join(clusters, F.col("cls") == F.col("node")).select(F.col("root").alias("cluster"), "sub", "cls", "n"))
+    load = placed.groupBy("cluster", "cls").agg(F.first("n").alias("n"), F.sum("n").alias("m")).groupBy("cluster").agg(F.sum("n").alias("once"), F.sum("m").alias("all"))
+    # Most clusters are one part. Only the parts of the others are joined, so that a large cluster is not dealt by its number alone.
+    load = checkpointed(load.where(F.col("once") > CLUSTER_TOKENS).select("cluster", F.ceil(F.col("all") / CLUSTER_TOKENS).cast("int").alias("parts")))
+    hint = F.broadcast if load.count() <= BROADCAST_ROWS else (lambda df: df)
+    placed = placed.join(hint(load), "cluster", "left").withColumn("place", F.xxhash64("cluster", F.pmod(F.xxhash64("sub"), F.coalesce("parts", F.lit(1)))))
+    dealt = placed.groupBy("place", "cls").agg(F.collect_set("sub").alias("subs")).join(sets, "cls").select("place", "cls", "subs", "tokens")
+    found = components(_forest_rows(dealt.repartition("place").sortWithinPartitions("place"), percent))
 
     # The smallest id of each component, then of each class that stands alone with its copies.
     root = classes.join(found, F.col("h1") == F.col("node"), "left").select("h1", "h2", "rep", "copies", F.coalesce("root", "h1").alias("_root"), F.col("root").isNotNull().alias("_linked"))

@@ -13,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
