@@ -34,14 +34,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def labelled(documents: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int) -> DataFrame:
-    """(doc_id, text, y) of labelled documents for which ``keep``, a condition on doc_id, holds.
+    """(doc_id, text, y, weight) of labelled documents for which ``keep``, a condition on doc_id, holds.
 
     At most ``per_class`` documents of each label, taken by a hash of the id, so the side that is broadcast is bounded by that
-    parameter. A document labelled twice counts as its largest label; null labels and labels of unknown documents are left out.
+    parameter; ``weight`` is how many labels of its class a row stands for, so that weighted classes keep the shares of the whole table.
+    A document labelled twice counts as its largest label; null labels and labels of unknown documents are left out.
     """
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & keep).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    size = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     taken = None
     for y in (0, 1):
-        part = rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        weight = max(1.0, size.get(y, 0) / per_class)
+        part = rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).withColumn("weight", F.lit(weight))
         taken = part if taken is None else taken.unionByName(part)
     return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(taken), "doc_id")

@@ -188,11 +188,15 @@ def statistics_column(text: str | Column = "text") -> Column:
 
 
 def fit(rows: DataFrame) -> Forest:
-    """Trees from (text, y) rows, a bounded sample (see ``common.labelled``). Only the statistics come to the driver."""
-    got = rows.select(statistics_column("text").alias("x"), "y").toPandas()
+    """Trees from (text, y, weight) rows, a bounded sample (see ``common.labelled``). Only the statistics come to the driver.
+
+    The weights restore the class shares of all labels; their mean is set to 1, for which ``least`` and ``penalty`` of ``boost`` are meant.
+    """
+    got = rows.select(statistics_column("text").alias("x"), "y", "weight").toPandas()
     if not len(got):
         return Forest(30.0)
-    return boost(np.array(got["x"].tolist()), got["y"].to_numpy(float))
+    weight = got["weight"].to_numpy(float)
+    return boost(np.array(got["x"].tolist()), got["y"].to_numpy(float), weight / weight.mean())
 
 
 def score_column(session, model: Forest, text: str | Column = "text") -> Column:

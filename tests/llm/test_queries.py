@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from flowlens.llm import jaccard, mixing, packing, queries
+from flowlens.llm import jaccard, mixing, packing, quality, queries
 from flowlens.llm.media import padded
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, spans string, slot int, cluster long"
@@ -115,6 +115,20 @@ def test_toxicity_and_quality(spark, odd):
         assert found <= {"idiot", "scum"}
 
 
+def test_quality_scores_do_not_depend_on_the_bound_per_class(spark, tmp_path, monkeypatch):
+    """Unbalanced labels (6 to 1) that the statistics tell apart only in part: a cut of the larger class must leave the level of the scores."""
+    texts = [(k, " ".join("word" if (k * 31 + j * 17) % 23 else "###" for j in range(5 + (k * 7) % 40))) for k in range(2100)]
+    spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in texts], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(zlib.crc32(b"y%d" % k) % 7 > 0), 0) for k, _ in texts], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    mean = {}
+    for bound in (6000, 225):
+        monkeypatch.setattr(quality, "DOCS_PER_CLASS", bound)
+        mean[bound] = queries.op5_quality(spark, str(tmp_path)).agg(F.avg("score")).first()[0]
+        kept = corpus_pipeline.keep_quality(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).count()
+        assert kept > 1600
+    assert abs(mean[6000] - 6 / 7) < 0.05 and abs(mean[225] - mean[6000]) < 0.05
+
+
 def filled(sizes, epochs=3, weights=(5, 2, 1)):
     """Targets by rounds of sharing, the plain way."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
