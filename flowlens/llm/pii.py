@@ -2,7 +2,8 @@
 
 The base patterns are the contract: their spans always stay. The CRF is trained from a small labelled table (``labelled_table``) of
 sentences with emails, addresses, cards, phones and identity numbers in many written forms, beside numbers that are none of these; it is
-decoded by Viterbi in numpy batches, over whitespace tokens. A run of tokens of one kind is a span, added where no base span overlaps.
+decoded by Viterbi in numpy batches, over whitespace tokens. A run of tokens of one kind is divided into its values (``_values``), each a
+span, added where no base span overlaps.
 
 Defined cases: a null text counts as empty and has no spans; a very long text is matched whole by the patterns and decoded in blocks cut
 at white space; equal spans occur once; offsets are code points, end exclusive.
@@ -195,8 +196,78 @@ def _acceptable(kind: int, value: str) -> bool:
     return 7 <= digits <= 15 if kind == 3 else 6 <= digits <= 30
 
 
+#: What stands between values of a list parts a run into atoms, of which a value takes some in a row.
+_ATOM = re.compile(r"[^\s,;|]+")
+_BETWEEN = re.compile(r"[,;|\r\n]")
+_FORMS = {
+    3: re.compile(r"(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}"),
+    4: re.compile(r"[0-9]{3}[ -]?[0-9]{2}[ -]?[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?(?![A-Z]{2}[0-9]{2})[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?"),
+}
+_AT = re.compile(r"@|(?i:at)(?![^\W_])")
+#: Digits below and beyond which no piece of a run is acceptable, and the most atoms of a piece; the run as a whole may have more.
+_DIGITS = {2: (13, 19), 3: (7, 15), 4: (6, 30)}
+_MOST_ATOMS = 40
+
+
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    while a < b and not (text[a].isalnum() or text[a] in "+("):
+        a += 1
+    while b > a and not text[b - 1].isalnum():
+        b -= 1
+    return a, b
+
+
+def _values(kind: int, text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """The values in a tagged run, which may be a list: acceptable pieces that cover most of it, in as usual forms as can be.
+
+    A piece of usual form costs 1, another one 2 for each atom and 3 for each mark of lists in it; of equal costs fewer pieces win.
+    A run that is acceptable as a whole stays one value unless it falls into several.
+    """
+    a, b = _trimmed(text, a, b)
+    run = text[a:b]
+    if (kind == 0 and not _AT.search(run)) or (kind == 1 and run.count(".") < 3 and run.count(":") < 2):
+        return []
+    whole = [(a, b)] if a < b and _acceptable(kind, run) else []
+    atoms = [m.span() for m in _ATOM.finditer(text, a, b)]
+    if len(atoms) < 2:
+        return whole
+    size = [sum(map(str.isalnum, text[i:j])) for i, j in atoms]
+    digits = [sum(map(str.isdigit, text[i:j])) for i, j in atoms]
+    least, most = _DIGITS.get(kind, (0, len(text)))
+    if sum(digits) < least:
+        return []
+    if kind == 0:  # an e-mail has an @ or "at", which is counted as the digits of the other kinds are
+        digits, least = [bool(_AT.search(text, i, j)) for i, j in atoms], 1
+    # Up to each atom: what is covered, minus the cost, minus the number of pieces, and the last piece with the atom it begins at.
+    best: list[tuple[int, int, int, int, tuple[int, int] | None]] = [(0, 0, 0, 0, None)]
+    for j in range(len(atoms)):
+        top, held, counted = (*best[j][:3], j, None), 0, 0
+        for i in range(j, max(-1, j - _MOST_ATOMS), -1):
+            held += size[i]
+            counted += digits[i]
+            if counted > most:
+                break
+            if counted < least or not size[i] or not size[j]:
+                continue
+            piece = _trimmed(text, atoms[i][0], atoms[j][1])
+            value = text[piece[0] : piece[1]]
+            if not _acceptable(kind, value):
+                continue
+            marks = len(_BETWEEN.findall(value))
+            usual = not marks and (i == j or kind in (0, 2) or bool(kind in _FORMS and _FORMS[kind].fullmatch(value)))
+            before = best[i]
+            top = max(top, (before[0] + held, before[1] - (1 if usual else 2 * (j - i + 1) + 3 * marks), before[2] - 1, i, piece), key=lambda x: x[:3])
+        best.append(top)
+    pieces, at = [], len(atoms)
+    while at:
+        if best[at][4]:
+            pieces.append(best[at][4])
+        at = best[at][3]
+    return pieces[::-1] if len(pieces) > 1 or not whole else whole
+
+
 def crf_spans(crf: Crf, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-    """(start, kind number, end) of the tagged runs of each text, without the marks around them."""
+    """(start, kind number, end) of the values in the tagged runs of each text, without the marks around them."""
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for block in blocks(texts):
         features, starts, ends, piece = token_features(block)
@@ -213,12 +284,7 @@ def crf_spans(crf: Crf, texts: list[str]) -> list[list[tuple[int, int, int]]]:
             shift = int(block.begin[k] - block.at[k])
             a, b = int(starts[group[0]]) + shift, int(ends[group[-1]]) + shift
             text = texts[block.rows[k]]
-            while a < b and not (text[a].isalnum() or text[a] in "+("):
-                a += 1
-            while b > a and not text[b - 1].isalnum():
-                b -= 1
-            if a < b and _acceptable(kind, text[a:b]):
-                found[block.rows[k]].append((a, kind, b))
+            found[block.rows[k]] += [(i, kind, j) for i, j in _values(kind, text, a, b)]
     return found
 
 

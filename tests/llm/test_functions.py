@@ -52,6 +52,28 @@ def test_crf_adds_what_the_patterns_miss_and_leaves_prose_alone():
     assert [[(pii.KINDS[k], t[a:b]) for a, k, b in s] for t, s in zip(texts, got)] == [[("phone", "555-123-4567")], [("id", "123-45-6789")], [("email", "jane dot doe at mail dot com")], [], [], [], []]
 
 
+LISTS = [
+    ("call {} today", "phone", ", ", ["377-555-0271", "377-555-0272"]), ("{}", "phone", " ", ["377-555-0271", "377-555-0272"]), ("{}", "phone", "\n", ["377-555-0271"] * 40), ("{} now", "phone", ", ", ["(377) 555-0271", "(377) 555-0272"]),
+    ("write to {} please", "email", ", ", ["ana at mail dot com", "ben at web dot org"]), ("email {}", "email", " ", ["ana at mail dot com", "ben at web dot org"]), ("{}", "email", ", ", ["jane(at)mail.com", "bob(at)web.org"]),
+    ("card {}", "card", " ", ["4000 0000 0000 6", "4222 2222 2222 2"]), ("ssn {} ok", "id", ", ", ["123-45-6789", "987-65-4321"]), ("ssn {} ok", "id", ", ", ["123-45-6789", "987-65-4321", "111-22-3333", "123-12-1234"]),
+    ("iban {}", "id", ", ", ["GB12 3456 7890 1234 5678", "DE12 3456 7890 1234 5678"]), ("from ip {}", "ip", " ", ["1a2b:3c4d:1111:2222:3333:4444:5555:6666", "2a2b:3c4d:1111:2222:3333:4444:5555:6666"]),
+]
+
+
+@pytest.mark.parametrize("frame, kind, mark, values", LISTS)
+def test_each_value_of_a_list_is_a_span(frame, kind, mark, values):
+    text = frame.format(mark.join(values))
+    assert [(pii.KINDS[k], text[a:b]) for a, k, b in pii.find(pii.model(), [text])[0][1]] == [(kind, v) for v in values]
+
+
+def test_runs_are_divided_into_values():
+    for kind, run, values in (
+        (2, "4222222222222, 4000000000006", ["4222222222222", "4000000000006"]), (1, "300.1.2.3, 300.1.2.4", ["300.1.2.3", "300.1.2.4"]), (3, "377 555 0271 377 555 0272", ["377 555 0271", "377 555 0272"]),
+        (4, "GB12 3456 7890 1234 5678", ["GB12 3456 7890 1234 5678"]), (4, "AB 123456, CD 234567", ["AB 123456", "CD 234567"]), (3, "phone 377-555-0271", ["phone 377-555-0271"]), (2, "4222222222222 1", ["4222222222222"]), (2, "1234567890123 1", []), (0, "dot by dot", []),
+    ):
+        assert [run[a:b] for a, b in pii._values(kind, run, 0, len(run))] == values
+
+
 def test_crf_inference_equals_enumeration():
     rng = np.random.default_rng(1)
     model = crf.Crf(np.zeros((1, 3), np.float32), rng.normal(size=(3, 3)), rng.normal(size=3))
