@@ -53,7 +53,7 @@ def eve_parse(s: SparkSession, d: str) -> DataFrame:
 
 
 def stream_rollup(s: SparkSession, d: str) -> DataFrame:
-    rows = jobs.drain(jobs.rollup(jobs.event_stream(s, d)), _folder(s), "update", ["start", "user_id"])
+    rows = jobs.drain(jobs.rollup(jobs.event_stream(s, d, None)), _folder(s), "update", ["start", "user_id"])
     return rows.select(F.unix_micros("start").alias("bucket_us"), "user_id", "connections", F.round("bytes_total", 6).alias("bytes_total"))
 
 
@@ -63,7 +63,7 @@ def stream_sessions(s: SparkSession, d: str) -> DataFrame:
 
 
 def stream_sliding(s: SparkSession, d: str) -> DataFrame:
-    return jobs.drain(jobs.sliding(jobs.event_stream(s, d), 6 * A.HOUR), _folder(s), "append")
+    return jobs.drain(jobs.sliding(jobs.event_stream(s, d, None), 6 * A.HOUR), _folder(s), "append")
 
 
 QUERIES = {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,10 +13,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from flowlens.operators.severity import validate
 
 
-def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    """The driver's events as a stream of files: event_id, ts, us, user_id, event_type, value, k."""
+def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = 1) -> DataFrame:
+    """The driver's events as a stream of files: event_id, ts, us, user_id, event_type, value, k.
+
+    With None all files that are there make one micro-batch, so that none of a stored table comes late, in whatever order its files are.
+    """
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    rows = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
     return rows.select("event_id", F.timestamp_micros(us).alias("ts"), us.alias("us"), "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
@@ -38,10 +45,11 @@ def sessions(stream: DataFrame, gap: str = "30 minutes", delay: str = "1 hour")
     return grouped.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "user_id", "alerts")
 
 
-def sliding(stream: DataFrame, window: int, least: int = 2, most: int = 1000, delay: str = "1 hour", idle: int | None = None) -> DataFrame:
-    """Per event the size of its source's closed window [us - window, us] if at least ``least``: keyed state of at most ``most`` times.
+def sliding(stream: DataFrame, window: int, least: int = 2, delay: str = "1 hour", idle: int | None = None) -> DataFrame:
+    """Per event the size of its source's closed window [us - window, us] if at least ``least``: keyed state of counts by distinct time.
 
-    Within a batch events are taken in order of event time; a source's state goes once the watermark passes its last event by the window.
+    An event is counted with all of its own and earlier batches, however many a source has; times go once the watermark passes them by the
+    window, a source's state once it passes its last event by the window.
     """
     hold = (idle or window) // 1000
 
@@ -49,24 +57,23 @@ def sliding(stream: DataFrame, window: int, least: int = 2, most: int = 1000, de
         if state.hasTimedOut:
             state.remove()
             return
-        held = list(state.get[0]) if state.exists else []
+        held, held_counts = (np.array(x, np.int64) for x in (state.get if state.exists else ([], [])))
         rows = pd.concat(list(parts)).sort_values(["us", "event_id"])
-        out = []
-        times = rows["us"].tolist()
+        us = rows["us"].to_numpy(np.int64)
         # Ties in time belong to each other's windows, as in a frame by range.
-        for k, (event, us) in enumerate(zip(rows["event_id"], times)):
-            ahead = 0
-            while k + ahead + 1 < len(times) and times[k + ahead + 1] == us:
-                ahead += 1
-            held = [t for t in held if t >= us - window][-(most - 1) :] + [us]
-            if len(held) + ahead >= least:
-                out.append((event, key[0], len(held) + ahead))
-        state.update((held,))
-        state.setTimeoutTimestamp(max(times) // 1000 + hold)
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "size"])
+        times, place = np.unique(np.concatenate([held, us]), return_inverse=True)
+        counts = np.zeros(len(times), np.int64)
+        np.add.at(counts, place, np.concatenate([held_counts, np.ones(len(us), np.int64)]))
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        size = upto[np.searchsorted(times, us, "right")] - upto[np.searchsorted(times, us - window, "left")]
+        live = times >= state.getCurrentWatermarkMs() * 1000 - window
+        state.update((times[live].tolist(), counts[live].tolist()))
+        state.setTimeoutTimestamp(int(times[-1]) // 1000 + hold)
+        enough = size >= least
+        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy()[enough], "user_id": key[0], "size": size[enough]})
 
     keyed = stream.withWatermark("ts", delay).groupBy("user_id")
-    return keyed.applyInPandasWithState(step, "event_id long, user_id long, size long", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.applyInPandasWithState(step, "event_id long, user_id long, size long", "times array<long>, counts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def deduplicated(stream: DataFrame, keys: list[str], delay: str = "1 hour") -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from flowlens.operators import correlate
+from flowlens.plans import models
 from flowlens.streaming import jobs
 
 HOUR = 3_600_000_000
@@ -57,3 +58,24 @@ def test_invalid_rows_go_to_the_dead_letters(spark, tmp_path):
     query = files(spark, str(tmp_path), BATCHES).writeStream.foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(good) == [1, 2, 3, 4, 6, 7] and bad == [(5, "target")]
+
+
+def test_replay_counts_all_events_whatever_the_order_of_files(spark, tmp_path):
+    """The newest file comes first; one source has 3000 events in a window, some at equal times."""
+    events = [(k, T0 + 2 * 24 * HOUR + k // 2 * 1_000_000, 7) for k in range(3000)] + [(3000 + k, T0 + k * HOUR, 8) for k in range(40)] + [(4000 + k, T0 + k * HOUR, 7) for k in range(10)]
+    for part in (events[:3000], events[3020:3040], events[3000:3020] + events[3040:]):
+        rows = spark.createDataFrame([(*e, "view", 1.0, '{"k": 1}') for e in part], "event_id long, us long, user_id long, event_type string, value double, props string")
+        rows.select("event_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    sizes = {e: sum(v == u and t - 6 * HOUR <= s <= t for _, s, v in events) for e, t, u in events}
+    got = {r["event_id"]: r["size"] for r in models.stream_sliding(spark, str(tmp_path)).collect()}
+    assert got == {e: n for e, n in sizes.items() if n >= 2} and max(got.values()) == 3000
+    rolled = {}
+    for _, t, u in events:
+        rolled[t - t % HOUR, u] = rolled.get((t - t % HOUR, u), 0) + 1
+    assert {(r["bucket_us"], r["user_id"]): r["connections"] for r in models.stream_rollup(spark, str(tmp_path)).collect()} == rolled
+
+
+def test_sliding_state_is_not_cut_over_batches(spark, tmp_path):
+    batches = [[(1500 * b + k, b * HOUR + k, 7, 1) for k in range(1500)] for b in range(2)]
+    got = [r["size"] for r in jobs.drain(jobs.sliding(files(spark, str(tmp_path), batches), 2 * HOUR), f"{tmp_path}/run", "append").collect()]
+    assert sorted(got) == list(range(2, 3001))
