@@ -12,21 +12,26 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 
-BLOCK_CHARS = 1 << 19
+BLOCK_CHARS = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 @lru_cache(maxsize=1)
 def char_tables() -> dict[str, np.ndarray]:
     """Per code point: lower-case code point, and whether it is a letter, upper case, a digit, white space, alphanumeric."""
-    chars = [chr(i) for i in range(0x110000)]
-    lower = np.arange(0x110000, dtype=np.uint32)
-    for i, c in enumerate(chars):
-        low = c.lower()
-        if low != c and len(low) == 1:
-            lower[i] = ord(low)
-    flag = lambda f: np.fromiter((f(c) for c in chars), bool, len(chars))
-    return {"lower": lower, "alpha": flag(str.isalpha), "upper": flag(str.isupper), "digit": flag(str.isdigit), "space": flag(str.isspace), "alnum": flag(str.isalnum)}
+    size, step = 0x110000, 1 << 14
+    lower = np.arange(size, dtype=np.uint32)
+    tests = {"alpha": str.isalpha, "upper": str.isupper, "digit": str.isdigit, "space": str.isspace, "alnum": str.isalnum}
+    out = {name: np.zeros(size, bool) for name in tests}
+    for first in range(0, size, step):  # in slices, as every Python worker builds the tables and strings are large
+        chars = [chr(i) for i in range(first, first + step)]
+        for i, c in enumerate(chars, first):
+            low = c.lower()
+            if low != c and len(low) == 1:
+                lower[i] = ord(low)
+        for name, test in tests.items():
+            out[name][first : first + step] = np.fromiter(map(test, chars), bool, step)
+    return {"lower": lower, **out}
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fold(doc_id: str | Column, modulus: int) -> Column:
@@ -19,14 +19,41 @@ def fold(doc_id: str | Column, modulus: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, which all executors share; a folder of our own only where it is unset."""
+    """The folder that ``spark.checkpoint.dir`` names, which all executors share.
+
+    Where it is unset, a temporary folder of our own in local mode; an error on a cluster, whose machines do not see each other's folders.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="flowlens-")
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of intermediate results, wherever Spark's file systems keep it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows and bytes of an Arrow batch of texts, at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Lowers the session's Arrow batches to ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes, where they are larger.
+
+    The default of 10,000 rows suits numbers; of whole texts it makes tens of MB, held several times over by the executor and its Python worker.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+    return spark
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and cut from its lineage, in the shared folder, so that lost executors cost no recomputation."""
     shared_folder(df.sparkSession)

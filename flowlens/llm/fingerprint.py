@@ -5,12 +5,13 @@ randomised subsets of the lexicon. Subsets come in ``GROUPS`` nested families th
 length have subsets in which only a few of their terms stand; a fingerprint holds one byte (two hex digits) per subset, 00 where a text has
 no term in it. Likeness compares subsets that are not empty on both sides, the sparsest of a family counting most.
 
-A term is its hash bucket of ``BITS`` bits. So document frequencies, counted over all documents by Spark, are a table of fixed size, and
-what is broadcast is one bit a bucket however large the corpus is.
+A term is its hash bucket of ``BITS`` bits, wide enough for the vocabulary of a large corpus. Document frequencies are counted over all
+documents by Spark; what is broadcast is one bit a bucket, 8 MB however large the corpus is.
 
 Defined cases: a null text counts as empty; a text without a term in the band is fingerprinted by all its terms; texts without terms have
-an all-zero fingerprint, alike only to its equal; very long texts are read whole; of rows that share an id the one whose text sorts first
-comes first.
+an all-zero fingerprint, alike only to its equal; very long texts are read whole; of rows that share an id, and of rows without one, which
+come first of all, the one whose text sorts first comes first, so repeated rows follow each other; the only row of a table is its own
+successor; an empty table gives no rows. Only doc_id and the text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -26,12 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.blocks import as_texts, blocks, mix, run_hashes
-from flowlens.llm.common import checkpointed
+from flowlens.llm.common import checkpointed, small_batches
 
-BITS = 20
+BITS = 26
 GROUPS, LEVELS = 16, 10
 #: Terms are kept that stand in at least two documents and in at most this share of them.
 LEAST_DOCUMENTS, MOST_SHARE = 2, 0.05
+#: What a task holds at once, at most by one text or batch more: terms of documents, characters of texts.
+HELD_PAIRS, HELD_CHARS = 1 << 22, 1 << 20
+#: Slots hold about so many characters, and more where that would make more slots than the driver should keep the bounds of.
+SLOT_CHARS, MOST_SLOTS = 1 << 24, 20_000
 
 
 def term_pairs(texts: list[str]) -> np.ndarray:
@@ -45,52 +50,72 @@ def term_pairs(texts: list[str]) -> np.ndarray:
 
 
 def document_frequencies(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(term, n): in how many documents each term stands, and as term -1 the number of documents. Summed in each task first, then by Spark."""
+    """(term, n): in how many documents each term stands; as term -1 the number of documents, as term -2 that of their characters.
+
+    Summed in each task over ``HELD_PAIRS`` terms of documents first, then by Spark.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, n = np.zeros(1 << BITS, np.int64), 0
+        held, size, rows, chars = [], 0, 0, 0
+
+        def flush() -> pd.DataFrame:
+            seen, n = np.unique(np.concatenate(held), return_counts=True)
+            return pd.DataFrame({"term": seen, "n": n})
+
         for pdf in batches:
-            for a in range(0, len(pdf), 1000):
-                df += np.bincount(term_pairs(as_texts(pdf.iloc[a : a + 1000, 0])) & ((1 << BITS) - 1), minlength=1 << BITS)
-            n += len(pdf)
-        seen = np.flatnonzero(df)
-        yield pd.DataFrame({"term": np.append(seen, -1), "n": np.append(df[seen], n)})
+            texts = as_texts(pdf.iloc[:, 0])
+            held.append(term_pairs(texts) & ((1 << BITS) - 1))
+            size, rows, chars = size + len(held[-1]), rows + len(texts), chars + sum(map(len, texts))
+            if size > HELD_PAIRS:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+        yield pd.DataFrame({"term": [-1, -2], "n": [rows, chars]})
 
     return documents.select(text).mapInPandas(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def band(frequencies: DataFrame, least: int = LEAST_DOCUMENTS, most: float = MOST_SHARE) -> np.ndarray:
-    """The kept terms as packed bits: idf between ln(1 / most) and ln(n / least). Spark selects them; only their numbers come to the driver."""
-    frequencies = checkpointed(frequencies)
+    """The kept terms, a bit each: idf between ln(1 / most) and ln(n / least). Spark builds the bitmaps; what comes to the driver has a fixed size."""
     n = frequencies.where("term = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    kept = np.zeros(1 << BITS, bool)
-    kept[frequencies.where((F.col("term") >= 0) & F.col("n").between(least, most * n)).select("term").toPandas()["term"].to_numpy(np.int64)] = True
-    return np.packbits(kept)
+    number = F.col("term").cast("long") + 1  # Spark's bitmaps begin with 1
+    kept = frequencies.where((F.col("term") >= 0) & F.col("n").between(least, most * n))
+    maps = kept.groupBy(F.bitmap_bucket_number(number).alias("place")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
+    out = np.zeros(1 << (BITS - 3), np.uint8)
+    for r in maps.toLocalIterator():
+        bits = np.frombuffer(bytes(r["bits"]), np.uint8)
+        out[(r["place"] - 1) * len(bits) : r["place"] * len(bits)] = bits
+    return out
+
+
+def _is_kept(term: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    return (kept[term >> 3] >> (term & 7).astype(np.uint8)) & 1 == 1
 
 
 @lru_cache(maxsize=1)
-def _lexicon() -> tuple[np.ndarray, np.ndarray]:
-    """Per term its 32-bit hash, and per group the sparsest level of subset it belongs to (0: none)."""
-    term = np.arange(1 << BITS, dtype=np.uint64)
-    zeros = np.array([LEVELS, *[(k & -k).bit_length() - 1 for k in range(1, 1 << LEVELS)]], np.uint8)
-    levels = np.stack([zeros[(mix(term + np.uint64((g + 1) << 32)) & np.uint64((1 << LEVELS) - 1)).astype(np.int64)] for g in range(GROUPS)])
-    return (mix(term + np.uint64(1 << 60)) >> np.uint64(32)).astype(np.float64) + 1, levels
+def _ones() -> np.ndarray:
+    """For any ``LEVELS`` bits the sparsest subset of a family that a term with these bits belongs to (0: none)."""
+    return np.array([LEVELS, *[(k & -k).bit_length() - 1 for k in range(1, 1 << LEVELS)]], np.uint8)
 
 
 def fingerprints(texts: list[str], kept: np.ndarray) -> np.ndarray:
     """(texts, GROUPS, LEVELS) bytes: hashes of each text's terms in each subset, from the half of the lexicon to its 1/2**LEVELS."""
     pairs = term_pairs(texts)
     row, term = pairs >> BITS, pairs & ((1 << BITS) - 1)
-    inside = np.unpackbits(kept)[term].astype(bool)
+    inside = _is_kept(term, kept)
     use = inside | (np.bincount(row, inside, len(texts)) == 0)[row]
-    row, term = row[use], term[use]
-    value, levels = _lexicon()
+    row, term = row[use], term[use].astype(np.uint64)
+    value = (mix(term + np.uint64(1 << 60)) >> np.uint64(32)).astype(np.float64) + 1
     out = np.zeros((len(texts), GROUPS, LEVELS), np.uint8)
+    per_hash = 64 // LEVELS
     for g in range(GROUPS):
-        level = levels[g][term]
+        if g % per_hash == 0:
+            drawn = mix(term + np.uint64((g + 1) << 32))
+        level = _ones()[((drawn >> np.uint64(g % per_hash * LEVELS)) & np.uint64((1 << LEVELS) - 1)).astype(np.int64)]
         on = level > 0
         # Sums of 32-bit hashes of distinct terms are exact in a double; they do not depend on the order of terms.
-        sums = np.bincount(row[on] * LEVELS + level[on] - 1, value[term[on]], len(texts) * LEVELS).reshape(len(texts), LEVELS)
+        sums = np.bincount(row[on] * LEVELS + level[on] - 1, value[on], len(texts) * LEVELS).reshape(len(texts), LEVELS)
         sums = sums[:, ::-1].cumsum(axis=1)[:, ::-1]
         hashed = mix(sums.astype(np.uint64) + np.uint64(g << 56)) % np.uint64(255) + np.uint64(1)
         out[:, g] = np.where(sums > 0, hashed, 0)
@@ -122,17 +147,19 @@ def _edit(texts: list[str], following: list[str]) -> list[str]:
 def compare_with_next(documents: DataFrame, text: str = "text") -> DataFrame:
     """Each document's fingerprint against that of its edited text and of the next document by id.
 
-    Documents are dealt by ranges of ids into slots of like size; only the first document of a slot is sent twice, to serve as the last
-    one's successor in the slot before. The texts are shuffled once.
+    Documents are dealt by ranges of ids into slots of about ``SLOT_CHARS`` characters; only the first document of a slot is sent twice, to
+    serve as the last one's successor in the slot before. The texts are shuffled once, sorted by Spark, and streamed through a task.
     """
     docs = documents.select(F.col("doc_id").cast("long"), F.coalesce(text, F.lit("")).alias("text"))
-    session = docs.sparkSession
-    kept = session.sparkContext.broadcast(band(document_frequencies(docs)))
+    session = small_batches(docs.sparkSession)
+    frequencies = checkpointed(document_frequencies(docs))
+    kept = session.sparkContext.broadcast(band(frequencies))
     order = F.coalesce("doc_id", F.lit(-(1 << 63)))
 
-    slots = 4 * int(session.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx(order, [k / slots for k in range(1, slots)], F.lit(10 * slots)).alias("cuts")).first()["cuts"]
-    cuts = np.unique(np.array(cuts or [], np.int64))
+    chars = frequencies.where("term = -2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    slots = min(MOST_SLOTS, max(int(session.conf.get("spark.sql.shuffle.partitions")), chars // SLOT_CHARS))
+    cuts = docs.agg(F.percentile_approx(order, [k / slots for k in range(1, slots)] or [0.5], F.lit(10 * slots)).alias("cuts")).first()["cuts"]
+    cuts = np.unique(np.array(cuts if cuts and slots > 1 else [], np.int64))
 
     @F.pandas_udf("int")
     def slot_of(ids: pd.Series) -> pd.Series:
@@ -147,31 +174,31 @@ def compare_with_next(documents: DataFrame, text: str = "text") -> DataFrame:
         # A copy for the slot before is written as -1 - slot.
         return pd.Series([[int(s), -1 - before[i]] if i in before else [int(s)] for i, s in zip(ids, own)], dtype=object)
 
-    dealt = docs.withColumn("_at", F.explode(slots_of(order))).select("doc_id", "text", F.when(F.col("_at") < 0, -1 - F.col("_at")).otherwise(F.col("_at")).alias("slot"), (F.col("_at") < 0).alias("_copy"))
-
-    def compare(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        rows.sort(key=lambda r: (r["_copy"], -(1 << 63) if r["doc_id"] is None else r["doc_id"], r["text"]))
-        own = [r for r in rows if not r["_copy"]]
-        texts = [r["text"] for r in own]
-        after = [r["text"] for r in rows[len(own) : len(own) + 1]]
-        parts, size, start = [], 0, 0
-        for k, t in enumerate(texts):  # in parts of a few million characters
-            size += len(t)
-            if size > 1 << 21 or k + 1 == len(texts):
-                parts.append((start, k + 1))
-                start, size = k + 1, 0
-        out = []
-        for a, b in parts:
-            here = texts[a : b + 1] if b < len(texts) else texts[a:] + after
-            edited = _edit(here[:-1], here[1:])
-            plain, other = fingerprints(here, kept.value), fingerprints(edited, kept.value)
-            n = len(edited)
-            columns = [[r["doc_id"] for r in own[a:b]], [len(t) for t in here[:-1]], [hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited], as_hex(plain[:n]), as_hex(other), likeness(plain[:n], other).tolist(), likeness(plain[:n], plain[1:]).tolist()]
-            out.append(pa.table([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES))
-        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in _TYPES], names=_NAMES)
+    dealt = docs.withColumn("_at", F.explode(slots_of(order))).select(F.when(F.col("_at") < 0, -1 - F.col("_at")).otherwise(F.col("_at")).alias("slot"), (F.col("_at") < 0).alias("copy"), "doc_id", "text")
 
-    return dealt.groupBy("slot").applyInArrow(compare, _SCHEMA)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # rows in order, of which the last has yet to meet its successor
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            here, own = [r[3] for r in held], [k for k in range(len(held) - 1) if not held[k][1]]
+            edited = _edit([here[k] for k in own], [here[k + 1] for k in own])
+            plain, other = fingerprints(here, kept.value), fingerprints(edited, kept.value)
+            mine, after = plain[own], plain[[k + 1 for k in own]]
+            columns = [[held[k][2] for k in own], [len(here[k]) for k in own], [hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited], as_hex(mine), as_hex(other), likeness(mine, other).tolist(), likeness(mine, after).tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                held.append(row)
+                size += len(row[3])
+                if size > HELD_CHARS:
+                    yield flush()
+                    held, size = held[-1:], len(row[3])
+        if len(held) > 1:
+            yield flush()
+
+    return dealt.repartition(slots, "slot").sortWithinPartitions("slot", "copy", order, "text").mapInArrow(compare, _SCHEMA)
 
 
 _NAMES = [part.split()[0] for part in _SCHEMA.split(", ")]

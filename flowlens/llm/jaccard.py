@@ -12,7 +12,8 @@ chance. Sets that share a signature are verified exactly, in buckets, and each b
 * Components are found by alternating large-star and small-star steps, each a Spark aggregation and join.
 
 Defined cases: null and empty texts, and rows without an id, link with nothing and are their own component; repeated rows are one class;
-very long texts are read whole. Tokens are 64-bit hashes of shingles, classes 128-bit hashes of sets,
+very long texts are read whole; a similarity of exactly the threshold links; an empty table gives no rows. Only doc_id and the text are read,
+so other columns may have any names. Tokens are 64-bit hashes of shingles, classes 128-bit hashes of sets,
 named by the first 64 bits while candidates are gathered.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm.blocks import blocks, mix, run_hashes
-from flowlens.llm.common import checkpointed
+from flowlens.llm.common import checkpointed, small_batches
 
 WORDS = 3
 PERCENT = 90
@@ -35,6 +36,8 @@ BLOCK_SETS, BLOCK_TOKENS, CLUSTER_TOKENS = 512, 1 << 20, 1 << 22
 #: Tables of up to this many rows (a few dozen bytes each) are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 SALTS = 16
+#: From so many edges on a node of the graph of links counts as heavy, at least.
+HEAVY_NODE = 1000
 
 
 def token_sets(texts: list[str], words: int = WORDS) -> Iterator[tuple[int, np.ndarray]]:
@@ -219,18 +222,31 @@ def forest(sets: list[np.ndarray], group: np.ndarray, percent: int = PERCENT) ->
     return edges
 
 
+def _with_least(pairs: DataFrame, least: DataFrame, edges: int) -> DataFrame:
+    """``pairs`` (a, b) with m, what ``least`` (a, m, degree) has for a.
+
+    A node with many edges would be one task's work in a join by a. So nodes of more than ``heavy`` edges are broadcast, of which there are at
+    most 2 * edges / heavy <= 40,000 by its choice; the others are joined by shuffle.
+    """
+    heavy = max(HEAVY_NODE, edges // 20_000)
+    large, small = least.where(F.col("degree") > heavy).select("a", "m"), least.where(F.col("degree") <= heavy).select("a", "m")
+    many = F.broadcast(large)
+    return pairs.join(many, "a").unionByName(pairs.join(many, "a", "left_anti").join(small, "a"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the undirected edges (a, b): root is the smallest node of its component. Nodes without an edge are left out."""
     pairs = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    before = mark(pairs)
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("degree"))
+        large = _with_least(both, least, before[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
+        small = _with_least(large, least, before[0])
         pairs = checkpointed(small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())
-        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        state = mark(pairs)
         if state == before:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         before = state
@@ -372,6 +388,7 @@ def _forest_rows(dealt: DataFrame, percent: int) -> DataFrame:
 
 def link_components(documents: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``documents`` (which need doc_id and the text)."""
+    small_batches(documents.sparkSession)
     hashed = checkpointed(class_hashes(documents, text, words))
     classes = checkpointed(hashed.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("outline").alias("outline")))
     # One number for each size of set that occurs: the input of the cost model.

@@ -4,7 +4,8 @@
 (``2**bits`` rows); ``LanguageModel.predict`` scores a batch by gathering the rows of the n-grams that occur, in numpy.
 
 Defined cases: a null or letterless text is ``und`` with score 0; very long texts are scored whole, block by block; ties go to the
-language that sorts first; with no labelled row every text is ``und``.
+language that sorts first; repeated rows get equal results and count as often as they stand there in the fit; with no labelled row every
+text is ``und``; an empty table gives no rows. Only doc_id, the text and the language are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.blocks import Block, as_texts, blocks, char_tables, mix
+from flowlens.llm.common import small_batches
 
 #: Bound on the documents of one language that the model is fitted on.
 DOCS_PER_LANGUAGE = 5000
@@ -99,7 +101,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", per_language: i
 
 def predict_column(session, model: LanguageModel, text: str | Column = "text") -> Column:
     """struct<lang string, score double> for a text column; the model is broadcast (its size is fixed by ``bits`` and the languages)."""
-    shared = session.sparkContext.broadcast(model)
+    shared = small_batches(session).sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -8,7 +8,8 @@ templates, base phrases are looked up at every place of the text.
 Words are runs of ``[0-9a-z]`` and of code points from 0x80 on after lower-casing A-Z, so case, punctuation and line breaks never matter.
 
 Defined cases: a null text counts as empty (no words, null places, empty labels, score 0); texts are scanned whole; overlapping places of
-one phrase all count; a text may carry several labels.
+one phrase all count; a text may carry several labels; of matches from one place the longest counts; repeated rows get equal results; an
+empty table gives no rows. Only the named text column is read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from flowlens.llm.blocks import as_texts
+from flowlens.llm.common import small_batches
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _MARKUP = re.compile(r"\[\[|\]\]|\{\{\w+:(\d+)-(\d+)\}\}")
@@ -202,7 +204,7 @@ def scanner(templates=TEMPLATES, phrases=PHRASES) -> Scanner:
 
 def scan_column(session, text: str | Column = "text", templates=TEMPLATES, phrases=PHRASES) -> Column:
     """struct<n_words, base array<struct<start, label>>, found array<struct<start, end, label>>> for a text column, in words from 0."""
-    shared = session.sparkContext.broadcast(scanner(templates, phrases))
+    shared = small_batches(session).sparkContext.broadcast(scanner(templates, phrases))
 
     @F.pandas_udf("n_words long, base array<struct<start:long,label:string>>, found array<struct<start:long,end:long,label:string>>")
     def compute(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

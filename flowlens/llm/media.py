@@ -5,7 +5,8 @@ byte less 128, and the DC-only luminance thumbnail (one pixel a block) gives the
 scans and rebuilds that thumbnail for any baseline JPEG with interleaved components; all restart intervals of a batch advance together.
 
 Defined cases: a null text counts as empty and is stored as 576 bytes of padding; payloads of more than ``FRAME_BYTES`` become several JPEGs
-one after the other; media that is no baseline JPEG gives null features.
+one after the other; media that is no baseline JPEG gives null features; equal texts give equal media and features, so repeated rows and ties
+are alike; very long texts are stored whole; an empty table gives no rows. Only the named column is read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -310,30 +312,56 @@ def thumbnail_hash(image: np.ndarray) -> str:
     return np.packbits(cell > cell.mean()).tobytes().hex()
 
 
+def _slices(sizes: list[int], most: int = BATCH_BYTES) -> Iterator[slice]:
+    """Successive slices of values whose sizes sum to about ``most`` at most, or of one value."""
+    start, total = 0, 0
+    for k, size in enumerate(sizes):
+        if k > start and total + size > most:
+            yield slice(start, k)
+            start, total = k, 0
+        total += size
+    if start < len(sizes):
+        yield slice(start, len(sizes))
+
+
 def store_column(text: str | Column = "text") -> Column:
-    """The medium (binary) that holds a text's padded UTF-8 bytes."""
+    """The medium (binary) that holds a text's padded UTF-8 bytes. Texts of a batch are encoded about ``BATCH_BYTES`` at a time."""
 
     @F.pandas_udf("binary")
-    def store(texts: pd.Series) -> pd.Series:
-        return pd.Series(encode([padded(t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"") for t in texts]), dtype=object)
+    def store(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            values = [t if isinstance(t, str) else "" for t in texts]
+            out: list[bytes] = []
+            for s in _slices([len(t) for t in values]):
+                out += encode([padded(t.encode("utf-8", "surrogatepass")) for t in values[s]])
+            yield pd.Series(out, dtype=object)
 
     return store(text)
 
 
+_FEATURES = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+
+
+def _features(media: list[bytes | None]) -> list[list]:
+    rows = []
+    for m, images in zip(media, decode(media)):
+        if images is None:
+            rows.append([None, None, None, None if m is None else len(m), None if m is None else hashlib.sha256(m).hexdigest(), None])
+            continue
+        payload = b"".join(i.tobytes() for i in images)
+        feature = ";".join(f"{i.shape[1]}x{i.shape[0]}:{thumbnail_hash(i)}" for i in images)
+        rows.append([len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature])
+    return rows
+
+
 def features_column(media: str | Column) -> Column:
     """What the stored bytes hold: frames, payload size and hashes, the medium's size and hash, and per frame its dimensions with a thumbnail hash."""
 
     @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    def features(media: pd.Series) -> pd.DataFrame:
-        values = [None if m is None else bytes(m) for m in media]
-        rows = []
-        for m, images in zip(values, decode(values)):
-            if images is None:
-                rows.append([None, None, None, None if m is None else len(m), None if m is None else hashlib.sha256(m).hexdigest(), None])
-                continue
-            payload = b"".join(i.tobytes() for i in images)
-            feature = ";".join(f"{i.shape[1]}x{i.shape[0]}:{thumbnail_hash(i)}" for i in images)
-            rows.append([len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature])
-        return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+    def features(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            values = [None if m is None else bytes(m) for m in part]
+            rows = [row for s in _slices([len(m or b"") for m in values]) for row in _features(values[s])]
+            yield pd.DataFrame(rows, columns=_FEATURES)
 
     return features(media)

@@ -7,7 +7,7 @@ of the source's documents, the last of them in part, so that a source meets its
 
 Defined cases: null or empty texts have size 0 and are taken 0 times; a null source is a source of its own, last in order; a source of
 size 0 has target 0; an empty table gives no rows. Results depend on (seed, doc_id, size) alone, so reruns agree; rows that share an id
-and size are treated alike.
+and size are treated alike. Other columns are kept as they are; names that begin with an underscore are the operator's own.
 """
 
 from __future__ import annotations

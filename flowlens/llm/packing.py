@@ -1,16 +1,17 @@
 """Packing documents into fixed windows by Karmarkar-Karp multiway differencing.
 
 Tokens come from a public tokenizer, an end id closes each document. Whole windows are cut off documents longer than a window; the rests of
-a block of documents are then divided among windows: differencing keeps partial partitions, merges the two with the largest imbalance by
-pairing the fullest windows of the one with the emptiest of the other, and ends with near-equal windows. What a window holds beyond its
-capacity is cut off and moves on to windows with room; if none has room, the window count rises by one. So at most one window of a block
-is left partly empty.
+a block of documents, in parts of at most ``GRAIN`` tokens, are then divided among windows: differencing keeps partial partitions, merges
+the two of the largest imbalance by pairing the fullest windows of the one with the emptiest of the other, and ends with near-equal
+windows. It starts with as many windows as the sum needs; whenever one exceeds its capacity the count rises by one and all are divided
+again. So the padding of a block is what its count rose by, spread over its windows.
 
 Blocks are formed inside a task from the rows as they come, with a bound on their tokens; no shuffle and no global order are needed, and a
 lost task makes the same windows again.
 
-Defined cases: a null or empty text is the end id alone; equal rows are packed separately; very long texts are tokenized in parts at places
-where the tokenizer's pattern always splits; sequence ids are unique, not gapless; an empty table gives no rows.
+Defined cases: a null or empty text is the end id alone; equal rows are packed separately; parts of equal size are dealt in the order of
+rows; very long texts are tokenized in parts at places where the tokenizer's pattern always splits; sequence ids are unique, not gapless;
+an empty table gives no rows. Only doc_id and the named text column are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -29,10 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.llm.common import small_batches
+
 WINDOW = 2048
 END_ID = 1
 BLOCK_TOKENS = 1 << 20
 BLOCK_ITEMS = 1024
+#: Rests of documents are dealt in parts of at most so many tokens: the smaller the parts, the nearer to equal the windows.
+GRAIN = 512
+#: So many rests for each window have a part that halves down to this many tokens.
+FINE, LEAST = 0.5, 16
 
 #: A single space between two other characters: the tokenizer's pattern always splits before it.
 _PLACE = re.compile(r"(?<=\S)(?= \S)")
@@ -87,68 +94,84 @@ def coder(path: str) -> Coder:
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
-    """Item numbers of ``windows`` near-equal groups. A partial partition is (loads, groups), loads descending and relative to its least."""
-    if windows <= 1:
-        return [list(range(len(sizes)))]
-    # (negative imbalance, order, loads, groups): a partition keeps only its filled windows; the others are empty.
-    heap = [(-size, k, [size], [[k]]) for k, size in enumerate(sizes)]
+    """Item numbers of ``windows`` near-equal groups, by Karmarkar-Karp differencing.
+
+    A partial partition is its loads, descending and relative to the least. The two of the largest imbalance are merged, the fullest groups of
+    the one with the emptiest of the other. The groups are read off the merges afterwards, from the last to the first.
+    """
+    if windows <= 1 or not sizes:
+        return [list(range(len(sizes)))] + [[] for _ in range(windows - 1)]
+    # (negative imbalance, order, loads); groups beyond those listed are empty and have load 0.
+    heap = [(-size, k, np.array([size], np.int32)) for k, size in enumerate(sizes)]
     heapq.heapify(heap)
-    order = len(heap)
+    merges, number = [], len(heap)
     while len(heap) > 1:
-        (_, _, la, ga), (_, _, lb, gb) = heapq.heappop(heap), heapq.heappop(heap)
-        la, ga = la + [0] * (windows - len(la)), ga + [[]] * (windows - len(ga))
-        lb, gb = lb + [0] * (windows - len(lb)), gb + [[]] * (windows - len(gb))
-        merged = sorted(((x + y, p + q) for x, y, p, q in zip(la, reversed(lb), ga, reversed(gb))), key=lambda m: -m[0])
-        least = merged[-1][0]
-        loads, groups = [m[0] - least for m in merged], [m[1] for m in merged]
-        while least == 0 and groups and not groups[-1]:  # empty windows need not be carried along
-            loads.pop(), groups.pop()
-        heapq.heappush(heap, (-loads[0], order, loads, groups))
-        order += 1
-    groups = heap[0][3] if heap else []
-    return groups + [[] for _ in range(windows - len(groups))]
-
-
-def pack(lengths: list[int], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """Windows of (item, start, length): every token of every item lies in exactly one piece, in windows of at most ``window`` tokens."""
-    out, rests = [], []
+        (_, a, la), (_, b, lb) = heapq.heappop(heap), heapq.heappop(heap)
+        width = min(windows, len(la) + len(lb))
+        loads = np.zeros(width, np.int32)
+        loads[: len(la)] = la
+        loads[width - len(lb) :] += lb[::-1]
+        order = np.argsort(-loads, kind="stable")
+        loads = loads[order]
+        if width == windows:
+            loads -= loads[-1]
+        merges.append((a, len(la), b, len(lb), order))
+        heapq.heappush(heap, (-int(loads[0]), number, loads))
+        number += 1
+    held = {heap[0][1]: np.arange(len(heap[0][2]))}  # the group of each load of a partition
+    for k in range(len(merges) - 1, -1, -1):
+        a, na, b, nb, order = merges[k]
+        group = np.empty(len(order), np.int64)
+        group[order] = held.pop(len(sizes) + k)
+        held[a], held[b] = group[:na], group[len(order) - nb :][::-1]
+    groups: list[list[int]] = [[] for _ in range(windows)]
+    for item, group in sorted(held.items()):
+        groups[int(group[0])].append(item)
+    return groups
+
+
+def parts_of(rest: int, fine: bool, grain: int = GRAIN) -> list[int]:
+    """Sizes of the parts in which a rest is dealt: of like size and at most ``grain`` tokens; of a ``fine`` one the last part halves down to ``LEAST``."""
+    number = -(-rest // grain)
+    parts = [rest * (i + 1) // number - rest * i // number for i in range(number)]
+    while fine and parts[-1] >= 2 * LEAST:
+        parts[-1:] = [parts[-1] - parts[-1] // 2, parts[-1] // 2]
+    return parts
+
+
+def pack(lengths: list[int], window: int = WINDOW, grain: int = GRAIN) -> list[list[tuple[int, int, int]]]:
+    """Windows of (item, start, length): every token of every item lies in exactly one piece, in windows of at most ``window`` tokens.
+
+    Whole windows are cut off long items. The rests, in parts, are divided by ``difference`` into as few windows as their sum needs; while one
+    exceeds its capacity the number of windows rises, to what the excess over the mean asks for, and they are divided again.
+    """
+    out, rests, total, fine = [], [], 0, 0
     for k, n in enumerate(lengths):
         out += [[(k, a, window)] for a in range(0, n - window + 1, window)]
         if n % window:
-            rests.append((k, n - n % window, n % window))
+            at, level = n - n % window, fine * window < total * FINE  # small parts level the windows: so many rests a window give some
+            for size in parts_of(n % window, level, grain):
+                rests.append((k, at, size))
+                at += size
+            total, fine = total + n % window, fine + level
     if not rests:
         return out
-    windows, spilled = [], []
-    for group in difference([r[2] for r in rests], max(1, sum(r[2] for r in rests) // window)):
-        held, room = [], window
-        for k, a, n in sorted((rests[i] for i in group), key=lambda r: -r[2]):
-            taken = min(n, room)
-            if taken:
-                held.append((k, a, taken))
-            if taken < n:
-                spilled.append((k, a + taken, n - taken))
-            room -= taken
-        windows.append((room, held))
-    k = 0
-    for room, held in sorted(windows, key=lambda w: w[0]):
-        while room and k < len(spilled):
-            item, a, n = spilled[k]
-            taken = min(n, room)
-            held.append((item, a, taken))
-            room -= taken
-            spilled[k] = (item, a + taken, n - taken)
-            k += taken == n
+    windows = -(-total // window)
+    while True:
+        groups = difference([r[2] for r in rests], windows)
+        largest = max(sum(rests[i][2] for i in group) for group in groups)
+        if largest <= window:
+            break
+        windows = max(windows + 1, int(total / (window - (largest - total / windows)))) if largest - total / windows < window / 2 else windows + 1
+    for group in groups:
+        held: list[tuple[int, int, int]] = []
+        for k, a, n in sorted(rests[i] for i in group):
+            if held and held[-1][0] == k and held[-1][1] + held[-1][2] == a:  # parts that met again are one piece
+                held[-1] = (k, held[-1][1], held[-1][2] + n)
+            else:
+                held.append((k, a, n))
         out.append(held)
-    extra, room = [], window
-    for item, a, n in spilled[k:]:
-        while n:
-            if not room:
-                out.append(extra)
-                extra, room = [], window
-            taken = min(n, room)
-            extra.append((item, a, taken))
-            a, n, room = a + taken, n - taken, room - taken
-    return out + ([extra] if extra else [])
+    return out
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -193,4 +216,5 @@ def pack_documents(documents: DataFrame, tokenizer_path: str | None = None, text
             yield flush()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
+    small_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(run, schema)

@@ -1,12 +1,14 @@
 """Personal data: exact base patterns plus the spans that a linear-chain CRF over word-shape features adds.
 
 The base patterns are the contract: their spans always stay. The CRF is trained from a small labelled table (``labelled_table``) of
-sentences with emails, addresses, cards, phones and identity numbers in many written forms, beside numbers that are none of these; it is
-decoded by Viterbi in numpy batches, over whitespace tokens. A run of tokens of one kind is divided into its values (``_values``), each a
-span, added where no base span overlaps.
-
-Defined cases: a null text counts as empty and has no spans; a very long text is matched whole by the patterns and decoded in blocks cut
-at white space; equal spans occur once; offsets are code points, end exclusive.
+sentences with emails, addresses, cards, phones, identity numbers and secrets (keys, tokens, passwords) in many written forms, beside
+numbers and names that are none of these; it is decoded by Viterbi in numpy batches, over whitespace tokens. A run of tokens of one kind
+is divided into its values (``_values``), each a span, added where no base span overlaps.
+
+Defined cases: a null text counts as empty and has no spans (``redact_column`` leaves it null); a very long text is matched whole by the
+patterns and decoded in blocks cut at white space; equal spans occur once; of tags that score alike the first of ``KINDS`` wins; repeated
+rows each get their own, equal result; an empty table gives no rows. Offsets are code points, end exclusive. Only the named text column is
+read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from flowlens.llm.blocks import Block, as_texts, blocks, char_tables, mix, run_hashes
+from flowlens.llm.common import small_batches
 from flowlens.llm.crf import Crf, train
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "id")
+KINDS = (*BASE_KINDS, "id", "secret")
 BITS = 14
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -127,27 +130,34 @@ def token_features(block: Block) -> tuple[list[np.ndarray], np.ndarray, np.ndarr
         return out
 
     size = np.minimum(ends - starts, 24).astype(np.uint64)
-    features = [shape, size + np.uint64(64) * telling, word, near(shape, 1), near(shape, -1), near(word, 1), near(word, -1)]
+    # How often digits and letters, or lower and upper case, take turns in a token, by its length: keys and tokens do so, words and numbers do not.
+    turns = np.concatenate([[0, 0], np.cumsum((kind[1:] != kind[:-1]) & (kind[1:] <= 3) & (kind[:-1] <= 3) & (kind[1:] > 0) & (kind[:-1] > 0))])
+    mixed = np.minimum(turns[ends] - turns[np.minimum(starts + 1, ends)], 6).astype(np.uint64) + np.uint64(8) * np.minimum((ends - starts) // 6, 7).astype(np.uint64)
+    # Two words before: the name of an assigned value stands there.
+    features = [shape, size + np.uint64(64) * telling, word, near(shape, 1), near(shape, -1), near(word, 1), near(word, -1), mixed, near(near(word, 1), 1)]
     return [(mix(h + np.uint64(k << 58)) >> np.uint64(64 - BITS)).astype(np.int64) for k, h in enumerate(features)], starts, ends, piece
 
 
-def labelled_table(rows: int = 900, seed: int = 11) -> list[tuple[str, list[tuple[int, int, int]]]]:
+def labelled_table(rows: int = 1600, seed: int = 11) -> list[tuple[str, list[tuple[int, int, int]]]]:
     """The small labelled table: sentences with their (start, end, kind number) spans, written by rule from forms and contexts."""
     rng = np.random.default_rng(seed)
     digit = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     pick = lambda options: options[rng.integers(len(options))]
+    hexes, letters = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    some = lambda options, n: "".join(options[i] for i in rng.integers(0, len(options), n))
     syllables = "an ber con de el fer gra hi in jo ka lo mi ne or pa que ri sa tion un ver wa xi yo za".split()
     word = lambda: "".join(pick(syllables) for _ in range(rng.integers(1, 4)))
     name = lambda: pick("ana ben carla david emma felix grace hugo ines jan".split())
     forms = (
         (lambda: f"{name()}.{word()}@{word()}.{pick(['com', 'org', 'net', 'example.com'])}", lambda: f"{digit(2)}@{word()}{digit(1)}.example.com", lambda: f"{name()} at {word()} dot com", lambda: f"{name()} dot {word()} at {word()} dot org", lambda: f"{name()}(at){word()}.com", lambda: f"{name()}[at]{word()}[dot]net"),
         (lambda: ".".join(str(rng.integers(1, 256)) for _ in range(4)), lambda: ":".join(f"{rng.integers(4096, 65536):x}" for _ in range(8))),
-        (lambda: digit(16), lambda: "-".join(digit(4) for _ in range(4)), lambda: " ".join(digit(4) for _ in range(4)), lambda: f"{digit(4)} {digit(6)} {digit(5)}"),
-        (lambda: f"+{digit(1)} ({digit(3)}) {digit(3)}-{digit(4)}", lambda: f"({digit(3)}) {digit(3)}-{digit(4)}", lambda: f"{digit(3)}-{digit(3)}-{digit(4)}", lambda: f"{digit(3)}.{digit(3)}.{digit(4)}", lambda: f"+{digit(2)} {digit(3)} {digit(3)} {digit(4)}"),
+        (lambda: digit(16), lambda: "-".join(digit(4) for _ in range(4)), lambda: " ".join(digit(4) for _ in range(4)), lambda: f"{digit(4)} {digit(6)} {digit(5)}", lambda: digit(13), lambda: f"{digit(4)} {digit(4)} {digit(4)} {digit(1)}"),
+        (lambda: f"+{digit(1)} ({digit(3)}) {digit(3)}-{digit(4)}", lambda: f"({digit(3)}) {digit(3)}-{digit(4)}", lambda: f"{digit(3)}-{digit(3)}-{digit(4)}", lambda: f"{digit(3)}.{digit(3)}.{digit(4)}", lambda: f"+{digit(2)} {digit(3)} {digit(3)} {digit(4)}", lambda: f"00{digit(2)} {digit(2)} {digit(7)}", lambda: f"0{digit(3)} {digit(3)} {digit(3)}", lambda: f"+{digit(2)} {digit(2)} {digit(4)} {digit(4)}"),
         (lambda: f"{digit(3)}-{digit(2)}-{digit(4)}", lambda: f"{pick(['GB', 'DE', 'FR', 'ES'])}{digit(2)} {digit(4)} {digit(4)} {digit(4)} {digit(4)}", lambda: f"{pick('ABCDEFGH')}{pick('ABCDEFGH')}{digit(6)}{pick('ABCD')}"),
+        (lambda: f'"{some(hexes, 40)}"', lambda: f'"{some(hexes, 32)}"', lambda: some(hexes, 64), lambda: f"'{some(letters, 24)}'", lambda: some(letters, 40), lambda: f"AKIA{some(letters.upper(), 16)}", lambda: f"ghp_{some(letters, 36)}", lambda: f"sk-{some(letters, 32)}", lambda: f"eyJ{some(letters, 17)}.eyJ{some(letters, 30)}.{some(letters, 27)}", lambda: f"{word().capitalize()}{digit(3)}{pick('!#%')}{some(letters, 4)}"),
     )
-    cues = (("email", "write to", "mail", "e-mail:", "reach", ""), ("address", "host", "from ip", "server", ""), ("card", "card number", "visa", "paid with", ""), ("call", "phone", "tel:", "mobile", "ring", ""), ("ssn", "passport", "iban", "social security number", "id number"))
-    others = (lambda: f"{rng.integers(1900, 2100)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}", lambda: f"{rng.integers(1, 29)}/{rng.integers(1, 13)}/{rng.integers(1990, 2030)}", lambda: f"${digit(3)}.{digit(2)}", lambda: f"version {digit(1)}.{digit(1)}.{digit(1)}", lambda: digit(rng.integers(1, 9)), lambda: f"{digit(2)}:{digit(2)}", lambda: f"order {digit(10)}", lambda: f"{digit(2)}%", lambda: f"page {digit(3)}", lambda: f"at {word()}", lambda: f"{word()} dot {word()}", lambda: f"{digit(1)},{digit(3)},{digit(3)}", lambda: f"{word()}{pick(['###', '$$$', '%%%', '!!', ' |', '***', '&&&'])}", lambda: digit(20), lambda: f"@{word()}", lambda: word().upper())
+    cues = (("email", "write to", "mail", "e-mail:", "reach", ""), ("address", "host", "from ip", "server", ""), ("card", "card number", "visa", "paid with", ""), ("call", "phone", "tel:", "mobile", "ring", ""), ("ssn", "passport", "iban", "social security number", "id number"), ("token =", "token", "api_key =", "api key:", "secret =", "secret key", "password:", "password =", "key =", "access token:", "authorization: bearer", "auth ="))
+    others = (lambda: f"{rng.integers(1900, 2100)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}", lambda: f"{rng.integers(1, 29)}/{rng.integers(1, 13)}/{rng.integers(1990, 2030)}", lambda: f"${digit(3)}.{digit(2)}", lambda: f"version {digit(1)}.{digit(1)}.{digit(1)}", lambda: digit(rng.integers(1, 9)), lambda: f"{digit(2)}:{digit(2)}", lambda: f"order {digit(10)}", lambda: f"{digit(2)}%", lambda: f"page {digit(3)}", lambda: f"at {word()}", lambda: f"{word()} dot {word()}", lambda: f"{digit(1)},{digit(3)},{digit(3)}", lambda: f"{word()}{pick(['###', '$$$', '%%%', '!!', ' |', '***', '&&&'])}", lambda: digit(20), lambda: f"@{word()}", lambda: word().upper(), lambda: f"commit {some(hexes, 40)}", lambda: f"sha256 {some(hexes, 64)}", lambda: f"token {word()}", lambda: f"key = {word()}", lambda: f"secret {word()}", lambda: f"{word()} = {digit(2)}", lambda: f"https://{word()}.example.org/{word()}/{some(letters, 12)}", lambda: f"{word()}{digit(2)}")
     table = []
     for _ in range(rows):
         text, spans = " ".join(word() for _ in range(rng.integers(0, 6))), []
@@ -155,9 +165,12 @@ def labelled_table(rows: int = 900, seed: int = 11) -> list[tuple[str, list[tupl
             if rng.random() < 0.55:
                 kind = int(rng.integers(len(KINDS)))
                 lead = f"{text} {pick(cues[kind])}".strip()
-                value = pick(forms[kind])()
-                text = f"{lead} {value}".strip()
-                spans.append((len(text) - len(value), len(text), kind))
+                form, mark = pick(forms[kind]), pick([", ", " ", "; "])
+                text = lead
+                for k in range(int(rng.choice([1, 2, 3], p=[0.7, 0.2, 0.1]))):  # single values, and lists of them
+                    value = form()
+                    text = f"{text}{mark if k else ' '}{value}".strip()
+                    spans.append((len(text) - len(value), len(text), kind))
                 text += pick(["", "", ".", ","])
             else:
                 text = f"{text} {pick(others)()}".strip()
@@ -193,6 +206,8 @@ def _acceptable(kind: int, value: str) -> bool:
         return value.count(".") == 3 or value.count(":") >= 2
     if kind == 2:
         return 13 <= digits <= 19 and luhn("".join(c for c in value if c.isdigit() and c.isascii()))
+    if kind == 5:
+        return len(value) >= 8 and 0 < digits < sum(c.isalnum() for c in value)
     return 7 <= digits <= 15 if kind == 3 else 6 <= digits <= 30
 
 
@@ -203,6 +218,8 @@ _FORMS = {
     3: re.compile(r"(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}"),
     4: re.compile(r"[0-9]{3}[ -]?[0-9]{2}[ -]?[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?(?![A-Z]{2}[0-9]{2})[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?"),
 }
+#: A secret in a tagged run, without the name it is assigned to and the quotes around it.
+_SECRET = re.compile(r"""(?![A-Za-z_-]+[=:])[^\s"'=:,;<>()]{8,}""")
 _AT = re.compile(r"@|(?i:at)(?![^\W_])")
 #: Digits below and beyond which no piece of a run is acceptable, and the most atoms of a piece; the run as a whole may have more.
 _DIGITS = {2: (13, 19), 3: (7, 15), 4: (6, 30)}
@@ -225,6 +242,8 @@ def _values(kind: int, text: str, a: int, b: int) -> list[tuple[int, int]]:
     """
     a, b = _trimmed(text, a, b)
     run = text[a:b]
+    if kind == 5:
+        return [m.span() for m in _SECRET.finditer(text, a, b) if _acceptable(kind, m.group())]
     if (kind == 0 and not _AT.search(run)) or (kind == 1 and run.count(".") < 3 and run.count(":") < 2):
         return []
     whole = [(a, b)] if a < b and _acceptable(kind, run) else []
@@ -293,14 +312,20 @@ def find(crf: Crf, texts: list[str]) -> list[tuple[list[tuple[int, int, int]], l
     out = []
     for text, tagged in zip(texts, crf_spans(crf, texts)):
         base = base_spans(text)
-        added = [s for s in tagged if not any(s[0] < b[2] and b[0] < s[2] for b in base)]
-        out.append((base, sorted({*base, *added}) if added else base))
+        added, k, reach = [], 0, 0
+        for span in sorted(set(tagged)):  # both are in order of their starts, so one pass tells which touch
+            while k < len(base) and base[k][0] < span[2]:
+                reach = max(reach, base[k][2])
+                k += 1
+            if reach <= span[0]:
+                added.append(span)
+        out.append((base, sorted([*base, *added]) if added else base))
     return out
 
 
 def spans_column(session, text: str | Column = "text") -> Column:
     """struct<base, spans array<struct<start, end, kind>>> for a text column."""
-    shared = session.sparkContext.broadcast(model())
+    shared = small_batches(session).sparkContext.broadcast(model())
     one = "array<struct<start:long,end:long,kind:string>>"
 
     @F.pandas_udf(f"base {one}, spans {one}")
@@ -315,7 +340,7 @@ def spans_column(session, text: str | Column = "text") -> Column:
 
 def redact_column(session, text: str | Column = "text") -> Column:
     """The text with each span replaced by its kind in angle brackets; overlapping spans become one; null stays null."""
-    shared = session.sparkContext.broadcast(model())
+    shared = small_batches(session).sparkContext.broadcast(model())
 
     @F.pandas_udf("string")
     def compute(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

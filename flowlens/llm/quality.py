@@ -5,7 +5,8 @@ trees as flat arrays and walks all rows through a tree level by level.
 
 Defined cases: a null text counts as empty and gets a score like any other vector (all statistics 0); of a very long text every
 character counts, repetition being measured in blocks and averaged by words; with no labelled row every score is 1, with one class it
-is that class.
+is that class; repeated rows get equal scores; of splits of equal gain the first statistic and the lowest cut wins; an empty table gives no
+rows. Only the text, doc_id and the label are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.blocks import as_texts, blocks, char_tables, run_hashes
+from flowlens.llm.common import small_batches
 
 #: Bound on the labelled documents of each class that the trees are fitted on.
 DOCS_PER_CLASS = 6000
@@ -201,7 +203,7 @@ def fit(rows: DataFrame) -> Forest:
 
 def score_column(session, model: Forest, text: str | Column = "text") -> Column:
     """The probability of label 1."""
-    shared = session.sparkContext.broadcast(model)
+    shared = small_batches(session).sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -13,7 +13,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("found.base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     found = table(spark, sf_dir, "documents").select("doc_id", pii.spans_column(spark, "text").alias("found"))
-    return found.select("doc_id", *[count(kind) for kind in pii.BASE_KINDS], F.sha2(written(F.col("found.base")), 256).alias("base_sha256"), written(F.col("found.spans")).alias("spans"))
+    return found.select("doc_id", *[count(kind) for kind in pii.BASE_KINDS], F.sha2(written(F.col("found.base")), 256).alias("base_sha256"), written(F.col("found.spans")).alias("spans"), F.size("found.spans").cast("long").alias("n_spans"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ learns from windows around such tokens and from windows of clean documents; a lo
 marginal and the expected number and share of toxic tokens to a score.
 
 Defined cases: a null or empty text has no spans and the score of a document without a toxic token; very long texts are tagged whole;
-with no labelled row, or one class, every score is 0.
+repeated rows get equal results; a token is toxic at ``SPAN_LEVEL`` or more, a tie included; with no labelled row, or one class, every score
+is 0; an empty table gives no rows. Only doc_id, the text and the label are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.blocks import Block, as_texts, blocks, run_hashes
+from flowlens.llm.common import checkpointed, small_batches
 from flowlens.llm.crf import Crf, train
 
 #: Bounds of the fit: labelled documents of each class, seed words, and token windows of each class.
@@ -86,8 +88,11 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.calibration[0] + evidence @ self.calibration[1:], -30, 30)))
 
 
-def _seed_words(sample: DataFrame, least: int = 3, odds: float = 12.0) -> np.ndarray:
-    """Hashes of the units whose share of toxic documents is at least ``odds`` times that of clean ones, the most telling first."""
+def _seed_words(sample: DataFrame, least: int = 8, odds: float = 12.0, deviations: float = 2.5) -> np.ndarray:
+    """Hashes of the units whose share of toxic documents is at least ``odds`` times that of clean ones, the most telling first.
+
+    At least ``least`` toxic documents must hold a unit, and more than expected by ``deviations`` of a Poisson count; ties go to the smaller hash.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -104,8 +109,9 @@ def _seed_words(sample: DataFrame, least: int = 3, odds: float = 12.0) -> np.nda
         return np.zeros(0, np.uint64)
     by_word = sample.select("text", "y").mapInPandas(count, "word long, y long, n long").groupBy("word").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
     toxic, clean = F.col("a") / n[1], (F.col("b") + 0.5) / n[0]
-    # A unit must also be common enough among toxic documents that chance does not explain it.
-    rows = by_word.where((F.col("a") >= max(least, 0.01 * n[1])) & (toxic >= odds * clean)).orderBy(F.desc(toxic - clean), "word").limit(SEED_WORDS).collect()
+    # A unit must also stand in so many more toxic documents than clean ones lead to expect that chance does not explain it.
+    excess = F.col("a") - n[1] * clean
+    rows = by_word.where((F.col("a") >= least) & (toxic >= odds * clean) & (excess >= deviations * F.sqrt(F.col("a")))).orderBy(F.desc(toxic - clean), "word").limit(SEED_WORDS).collect()
     return np.sort(np.array([r["word"] for r in rows], np.int64).view(np.uint64))
 
 
@@ -151,7 +157,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> np.ndarray
 
 
 def fit(sample: DataFrame) -> ToxicityModel:
-    """From (doc_id, text, y), a bounded sample (see ``common.labelled``); words, windows and signals reach the driver, texts do not."""
+    """From (doc_id, text, y), a bounded sample (see ``common.labelled``); words, windows and signals reach the driver, texts do not.
+
+    The sample is read several times, so it is written once, in the shared folder.
+    """
+    sample = checkpointed(sample)
     seeds = _seed_words(sample)
     if not len(seeds):
         return ToxicityModel(None, np.zeros(4))
@@ -164,7 +174,7 @@ def fit(sample: DataFrame) -> ToxicityModel:
 
 def signals_column(session, model: ToxicityModel, text: str | Column = "text") -> Column:
     """struct<evidence array<double>, score double, spans array<struct<start, end>>>: the offending offsets are in code points, end exclusive."""
-    shared = session.sparkContext.broadcast(model)
+    shared = small_batches(session).sparkContext.broadcast(model)
 
     @F.pandas_udf("evidence array<double>, score double, spans array<struct<start:long,end:long>>")
     def compute(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
