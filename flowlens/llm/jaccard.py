@@ -222,13 +222,21 @@ def forest(sets: list[np.ndarray], group: np.ndarray, percent: int = PERCENT) ->
     return edges
 
 
-def _with_least(pairs: DataFrame, least: DataFrame, edges: int) -> DataFrame:
+def _state(pairs: DataFrame) -> tuple:
+    """Number of the edges (a, b), a sum of their hashes, and how many edges the most frequent b has."""
+    by_b = pairs.groupBy("b").agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+    return tuple(by_b.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("h"), F.coalesce(F.max("n"), F.lit(0))).first())
+
+
+def _with_least(pairs: DataFrame, least: DataFrame, edges: int, most: int) -> DataFrame:
     """``pairs`` (a, b) with m, what ``least`` (a, m, degree) has for a.
 
-    A node with many edges would be one task's work in a join by a. So nodes of more than ``heavy`` edges are broadcast, of which there are at
-    most 2 * edges / heavy <= 40,000 by its choice; the others are joined by shuffle.
+    A node with many edges would be one task's work in a join by a. So where there are such, nodes of more than ``heavy`` edges are broadcast,
+    of which there are at most 2 * edges / heavy <= 40,000 by its choice, and only the others are joined by shuffle.
     """
     heavy = max(HEAVY_NODE, edges // 20_000)
+    if most <= heavy:
+        return pairs.join(least.drop("degree"), "a")
     large, small = least.where(F.col("degree") > heavy).select("a", "m"), least.where(F.col("degree") <= heavy).select("a", "m")
     many = F.broadcast(large)
     return pairs.join(many, "a").unionByName(pairs.join(many, "a", "left_anti").join(small, "a"))
@@ -237,16 +245,14 @@ def _with_least(pairs: DataFrame, least: DataFrame, edges: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the undirected edges (a, b): root is the smallest node of its component. Nodes without an edge are left out."""
     pairs = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    before = mark(pairs)
+    before = _state(pairs)
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("degree"))
-        large = _with_least(both, least, before[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
-        small = _with_least(large, least, before[0])
+        large = _with_least(both, least, before[0], before[2]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         pairs = checkpointed(small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())
-        state = mark(pairs)
+        state = _state(pairs)
         if state == before:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         before = state
