@@ -228,34 +228,35 @@ def _state(pairs: DataFrame) -> tuple:
     return tuple(by_b.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("h"), F.coalesce(F.max("n"), F.lit(0))).first())
 
 
-def _with_least(pairs: DataFrame, least: DataFrame, edges: int, most: int) -> DataFrame:
-    """``pairs`` (a, b) with m, what ``least`` (a, m, degree) has for a.
+def _with_least(pairs: DataFrame, heavy: int) -> DataFrame:
+    """Edges (a, b) with m, the least of a and of all that a meets: by a window over a, one shuffle.
 
-    A node with many edges would be one task's work in a join by a. So where there are such, nodes of more than ``heavy`` edges are broadcast,
-    of which there are at most 2 * edges / heavy <= 40,000 by its choice, and only the others are joined by shuffle.
+    A node of many edges would be one task's work there. With ``heavy``, nodes of more edges than that are summed in two steps and broadcast
+    instead; there are at most 2 * edges / heavy <= 40,000 of them by its choice.
     """
-    heavy = max(HEAVY_NODE, edges // 20_000)
-    if most <= heavy:
-        return pairs.join(least.drop("degree"), "a")
-    large, small = least.where(F.col("degree") > heavy).select("a", "m"), least.where(F.col("degree") <= heavy).select("a", "m")
-    many = F.broadcast(large)
-    return pairs.join(many, "a").unionByName(pairs.join(many, "a", "left_anti").join(small, "a"))
+    least = F.least(F.min("b").over(Window.partitionBy("a")), F.col("a"))
+    if not heavy:
+        return pairs.withColumn("m", least)
+    many = F.broadcast(pairs.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")).where(F.col("degree") > heavy).select("a", F.least("m", "a").alias("m")))
+    return pairs.join(many, "a").unionByName(pairs.join(many, "a", "left_anti").withColumn("m", least))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the undirected edges (a, b): root is the smallest node of its component. Nodes without an edge are left out."""
+    jvm = edges.sparkSession.sparkContext._jvm
     pairs = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _state(pairs)
     while True:
+        heavy = max(HEAVY_NODE, before[0] // 20_000)
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("degree"))
-        large = _with_least(both, least, before[0], before[2]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        large = _with_least(both, heavy if before[2] > heavy else 0).where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = _with_least(large, 0)
         pairs = checkpointed(small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())
         state = _state(pairs)
         if state == before:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         before = state
+        jvm.System.gc()  # shuffle files of a round go only when the driver finds that nothing refers to them
 
 
 def _arrow(columns: list, types: list, names: list[str]) -> pa.RecordBatch:
