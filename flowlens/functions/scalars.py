@@ -69,13 +69,23 @@ def playbook(label: str | Column, routes: dict[str, str] | None = None) -> Colum
     return F.coalesce(table[col(label)], F.lit(routes["low"]))
 
 
-def zone(ip: str | Column, prefixes: tuple[tuple[str, str], ...] = (("10.0.", "servers"), ("10.1.", "workstations"), ("192.168.", "office"), ("172.16.", "dmz"))) -> Column:
-    """The first zone whose prefix an address has; pseudonyms (more than 15 characters) and others are external."""
-    ip = col(ip)
-    out = F.when(F.length(ip) > 15, "external")
+#: Address prefixes of the network's zones, in order, and the kind of device in a zone.
+ZONES = (("10.0.0.", "dmz"), ("10.1.0.", "core"), ("10.2.0.", "lan"), ("10.3.0.", "iot"), ("10.", "lan"), ("192.168.", "lan"), ("172.", "lan"))
+ZONE_KINDS = {"internet": "external", "dmz": "server", "core": "server", "lan": "workstation", "iot": "iot"}
+
+
+def zone(ip: str | Column, prefixes: tuple[tuple[str, str], ...] = ZONES) -> Column:
+    """The first zone whose prefix an address has; none, pseudonyms (more than 15 characters) and others are the internet."""
+    ip = F.coalesce(col(ip), F.lit(""))
+    out = F.when(F.length(ip) > 15, "internet")
     for prefix, name in prefixes:
         out = out.when(ip.startswith(prefix), name)
-    return out.otherwise("external")
+    return out.otherwise("internet")
+
+
+def zone_kind(zone_: str | Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in ZONE_KINDS.items() for x in pair])
+    return F.coalesce(table[col(zone_)], F.lit("unknown"))
 
 
 def link_score(total_bytes: str | Column) -> Column:
@@ -91,12 +101,23 @@ def device_risk(incidents: str | Column, high: int = 200_000, medium: int = 100_
     return F.when(n > high, "critical").when(n > medium, "high").when(n > low, "medium").otherwise("low")
 
 
+#: Words of attack tactics and their event types; the first rule that holds wins.
+TACTIC_TYPES = (
+    (("exfiltration",), "exfiltration"),
+    (("command and control", "c2"), "c2_beaconing"),
+    (("lateral",), "lateral_movement"),
+    (("discovery", "reconnaissance"), "scan"),
+    (("credential",), "credential_theft"),
+)
+
+
 def tactic_event_type(tactic: str | Column) -> Column:
-    """Event type of an attack tactic: the first rule whose word the tactic contains."""
-    rules = (("command", "c2_beaconing"), ("lateral", "lateral_movement"), ("exfil", "exfiltration"), ("discovery", "scan"), ("reconnaissance", "scan"))
-    name, out = F.lower(col(tactic)), None
-    for word, kind in rules:
-        hit = name.contains(word)
+    """Event type of an attack tactic: the first rule of which the tactic contains a word; anomaly without one."""
+    name, out = F.lower(F.coalesce(col(tactic), F.lit(""))), None
+    for words, kind in TACTIC_TYPES:
+        hit = name.contains(words[0])
+        for word in words[1:]:
+            hit = hit | name.contains(word)
         out = F.when(hit, kind) if out is None else out.when(hit, kind)
     return out.otherwise("anomaly")
 

@@ -37,36 +37,74 @@ def session_recent(alerts: DataFrame, gap: int = GAP, last: int = WINDOW) -> Dat
 
 
 def expired(alerts: DataFrame, now_us: int, gap: int = GAP) -> DataFrame:
-    """Sessions idle for more than ``gap`` at ``now_us`` with at least two alerts."""
-    return session_summary(alerts, gap).where((F.col("alerts") >= 2) & (F.lit(now_us) - F.col("end_us") > gap))
+    """Sessions idle for more than ``gap`` at ``now_us`` whose alerts, at least two, show a pattern: what closes as a group of its own."""
+    closed = attack_patterns(alerts, gap).where(F.lit(now_us) - F.col("end_us") > gap)
+    return closed.withColumn("reason", F.concat(F.lit("session_expired_pattern_"), "pattern"))
 
 
 def attack_patterns(alerts: DataFrame, gap: int = GAP, by: tuple[str, ...] = ("src_ip", "session")) -> DataFrame:
-    """Per session of at least two alerts the first pattern in priority that it shows, with the alerts that make it up.
+    """Per session of at least two alerts the first pattern in priority that it shows, the number of alerts that make it up, and its end.
 
-    scan_to_exfiltration: a scan before an exfiltration, the alerts from the first scan to the first exfiltration; c2_communication: beaconing
-    with tunnelling or anomalies; lateral_movement: scan and lateral movement in any order; dns_tunneling: two or more. Places within a
-    session come from one window; the rest is one aggregation.
+    scan_to_exfiltration: the first scan before the first exfiltration, with all alerts between them; c2_beaconing: beaconing, with tunnelling
+    and anomalies where there are any; lateral_movement: scan and lateral movement in any order; dns_tunneling: one tunnelling alert is enough.
+    Places within a session come from one window; the rest is one aggregation.
     """
     placed = sessions(alerts, gap).withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("us", "alert_id")))
     first = lambda kind: F.min(F.when(F.col("event_type") == kind, F.col("_n")))
     count = lambda *kinds: F.count(F.when(F.col("event_type").isin(*kinds), 1))
     rows = placed.groupBy(*by).agg(
-        F.count("*").alias("alerts"), first("scan").alias("_scan"), F.min(F.when(F.col("event_type") == "exfiltration", F.col("_n"))).alias("_exfil"), count("c2_beaconing").alias("_c2"), count("dns_tunneling", "anomaly").alias("_side"),
+        F.count("*").alias("alerts"), F.max("us").alias("end_us"), first("scan").alias("_scan"), first("exfiltration").alias("_exfil"), count("c2_beaconing").alias("_c2"), count("dns_tunneling", "anomaly").alias("_side"),
         count("lateral_movement").alias("_lateral"), count("scan").alias("_scans"), count("dns_tunneling").alias("_dns"),
     )
     exfil = F.col("_scan") < F.col("_exfil")
     name = (
         F.when(exfil, "scan_to_exfiltration")
-        .when((F.col("_c2") > 0) & (F.col("_side") > 0), "c2_communication")
+        .when(F.col("_c2") > 0, "c2_beaconing")
         .when((F.col("_scans") > 0) & (F.col("_lateral") > 0), "lateral_movement")
-        .when(F.col("_dns") >= 2, "dns_tunneling")
+        .when(F.col("_dns") > 0, "dns_tunneling")
     )
     size = (
-        F.when(exfil, F.col("_exfil") - F.col("_scan") + 1).when(F.col("pattern") == "c2_communication", F.col("_c2") + F.col("_side"))
+        F.when(exfil, F.col("_exfil") - F.col("_scan") + 1).when(F.col("pattern") == "c2_beaconing", F.col("_c2") + F.col("_side"))
         .when(F.col("pattern") == "lateral_movement", F.col("_scans") + F.col("_lateral")).otherwise(F.col("_dns"))
     )
-    return rows.where("alerts >= 2").withColumn("pattern", name).where("pattern IS NOT NULL").withColumn("pattern_alerts", size.cast("long")).select(*by, "alerts", "pattern", "pattern_alerts")
+    found = rows.where("alerts >= 2").withColumn("pattern", name).where("pattern IS NOT NULL").withColumn("pattern_alerts", size.cast("long"))
+    return found.select(*by, "alerts", "pattern", "pattern_alerts", "end_us")
+
+
+def pattern_members(alerts: DataFrame, gap: int = GAP) -> DataFrame:
+    """The alerts that make up each session's pattern: src_ip, session, pattern, alert_id."""
+    by = ["src_ip", "session"]
+    placed = sessions(alerts, gap).withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("us", "alert_id")))
+    ends = placed.groupBy(*by).agg(*[F.min(F.when(F.col("event_type") == kind, F.col("_n"))).alias(name) for kind, name in (("scan", "_scan"), ("exfiltration", "_exfil"))])
+    rows = placed.join(attack_patterns(alerts, gap).select(*by, "pattern"), by).join(ends, by)
+    kind = F.col("event_type")
+    inside = (
+        F.when(F.col("pattern") == "scan_to_exfiltration", F.col("_n").between(F.col("_scan"), F.col("_exfil")))
+        .when(F.col("pattern") == "c2_beaconing", kind.isin("c2_beaconing", "dns_tunneling", "anomaly"))
+        .when(F.col("pattern") == "lateral_movement", kind.isin("scan", "lateral_movement"))
+        .otherwise(kind == "dns_tunneling")
+    )
+    return rows.where(inside).select(*by, "pattern", "alert_id")
+
+
+def candidate_groups(alerts: DataFrame, hour: Column, window: int = WINDOW, gap: int = GAP, least: int = 2) -> DataFrame:
+    """What has to be looked at for each source's latest session: the window group of its newest alerts and the group of its pattern.
+
+    Groups that hold a known false positive go, then those with the same alerts as an earlier one. (src_ip, session, reason, pattern, alert_ids)
+    """
+    by = ["src_ip", "session"]
+    recent = session_recent(alerts, gap, window).select(*by, F.lit("shared_source_proximity").alias("reason"), F.lit(None).cast("string").alias("pattern"), "alert_id")
+    shown = pattern_members(alerts, gap).select(*by, F.concat(F.lit("attack_pattern_"), "pattern").alias("reason"), "pattern", "alert_id")
+    marks = alerts.select("alert_id", known_false_positive(F.col("backup"), F.col("scheduled"), F.col("event_type"), hour).alias("_known"))
+    keys = [*by, "reason", "pattern"]
+    groups = recent.unionByName(shown).join(marks, "alert_id").groupBy(*keys).agg(F.array_sort(F.collect_list("alert_id")).alias("alert_ids"), F.max("_known").alias("_known"))
+    groups = groups.where(~F.col("_known") & (F.col("pattern").isNotNull() | (F.size("alert_ids") >= least)))
+    return groups.groupBy(*by, "alert_ids").agg(F.min_by(F.struct("reason", "pattern"), F.col("pattern").isNotNull()).alias("g")).select(*by, "g.*", "alert_ids")
+
+
+def needs_no_explanation(alerts: Column, severity: Column, pattern: Column, least: int = 40) -> Column:
+    """A single alert of a severity below ``least`` that is part of no pattern."""
+    return (alerts == 1) & (severity < least) & pattern.isNull()
 
 
 def known_false_positive(backup: Column, scheduled: Column, event_type: Column, hour: Column) -> Column:

@@ -12,24 +12,30 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.functions.scalars import tactic_event_type
+from flowlens.operators import matching
+
 
 @dataclass(frozen=True)
 class LabelSource:
-    """A labelling function: DataFrame of records -> DataFrame of weak labels, with its weight and least confidence."""
+    """A labelling function: (records, least confidence) -> weak labels, with its weight and least confidence.
+
+    The function applies the minimum itself, since a source may lower the confidence after the check.
+    """
 
     name: str
     weight: float
     min_confidence: float
-    label: Callable[[DataFrame], DataFrame]
+    label: Callable[[DataFrame, float], DataFrame]
 
     def weak_labels(self, records: DataFrame) -> DataFrame:
-        return self.label(records).where(F.col("confidence") >= self.min_confidence).withColumn("source", F.lit(self.name))
+        return self.label(records, self.min_confidence).withColumn("source", F.lit(self.name))
 
 
 SOURCES: dict[str, LabelSource] = {}
 
 
-def register_label_source(name: str, weight: float, min_confidence: float, label: Callable[[DataFrame], DataFrame]) -> LabelSource:
+def register_label_source(name: str, weight: float, min_confidence: float, label: Callable[[DataFrame, float], DataFrame]) -> LabelSource:
     SOURCES[name] = LabelSource(name, weight, min_confidence, label)
     return SOURCES[name]
 
@@ -38,52 +44,111 @@ def _table(column: str, table: dict, default) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[F.col(column)], F.lit(default))
 
 
+#: Confidences by severity or threat level, and event types by category, rule group and vendor category.
 IDS_CONFIDENCE = {1: 0.95, 2: 0.80, 3: 0.60}
 INTEL_CONFIDENCE = {1: 0.95, 2: 0.85, 3: 0.70, 4: 0.60}
 VENDOR_CONFIDENCE = {"critical": 1.0, "high": 0.9, "medium": 0.7, "low": 0.5}
-CATEGORY_TYPES = {"Network Scan": "scan", "Trojan": "c2_beaconing", "Exfiltration": "exfiltration"}
-
-
-def ids_labels(records: DataFrame) -> DataFrame:
+IDS_TYPES = {
+    "Trojan Activity": "c2_beaconing",
+    "Attempted Administrator Privilege Gain": "lateral_movement",
+    "Attempted User Privilege Gain": "lateral_movement",
+    "Data Exfiltration": "exfiltration",
+    "DNS Tunneling": "dns_tunneling",
+    "Network Scan": "scan",
+    "Malware Command and Control Activity Detected": "c2_beaconing",
+}
+HIDS_TYPES = {
+    "syscheck": "file_integrity",
+    "rootcheck": "rootkit",
+    "auth": "auth_anomaly",
+    "web": "web_attack",
+    "malware": "malware",
+    "vulnerability-detector": "vulnerability",
+    "sql_injection": "sql_injection",
+    "xss": "xss",
+}
+VENDOR_TYPES = ("exfiltration", "c2_beaconing", "lateral_movement", "dns_tunneling", "scan")
+
+
+def ids_labels(records: DataFrame, min_confidence: float = 0.5) -> DataFrame:
     """Signature alerts: confidence by severity, type by category."""
-    return records.select("label_id", F.lit(True).alias("label"), _table("severity", IDS_CONFIDENCE, 0.5).alias("confidence"), _table("category", CATEGORY_TYPES, "anomaly").alias("event_type"))
+    rows = records.withColumn("_c", _table("severity", IDS_CONFIDENCE, 0.5)).where(F.col("_c") >= min_confidence)
+    return rows.select("label_id", F.lit(True).alias("label"), F.col("_c").alias("confidence"), _table("category", IDS_TYPES, "anomaly").alias("event_type"))
+
 
+def hids_labels(records: DataFrame, min_confidence: float = 0.5, least_level: int = 6) -> DataFrame:
+    """Host-agent alerts of at least ``least_level``: confidence by level, type by the first known rule group.
 
-def hids_labels(records: DataFrame, least_level: int = 6, min_confidence: float = 0.0) -> DataFrame:
-    """Host-agent alerts of at least ``least_level``: confidence by level, after the check of the minimum lowered where both addresses miss."""
+    Where both addresses miss, the confidence is lowered after the check of the minimum; the agent stands in for a missing source.
+    """
     level = F.col("level")
     confidence = F.when(level >= 12, 0.95).when(level >= 9, 0.85).when(level >= 6, 0.70).when(level >= 3, 0.50).otherwise(0.30)
-    nowhere = (F.coalesce(F.col("src_ip").cast("string"), F.lit("")) == "") & (F.coalesce(F.col("dst_ip").cast("string"), F.lit("")) == "")
+    source, target = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("src_ip", "dst_ip"))
+    types = F.create_map(*[F.lit(x) for pair in HIDS_TYPES.items() for x in pair])
+    kind = F.element_at(F.filter(F.transform("groups", lambda g: types[g]), lambda t: t.isNotNull()), 1)
     rows = records.where(level >= least_level).withColumn("_c", confidence).where(F.col("_c") >= min_confidence)
-    return rows.select("label_id", F.lit(True).alias("label"), (F.col("_c") * F.when(nowhere, 0.7).otherwise(1.0)).alias("confidence"), _table("category", CATEGORY_TYPES, "host_anomaly").alias("event_type"))
+    kind = F.when(F.size(F.filter("groups", lambda g: types[g].isNotNull())) > 0, kind).otherwise("anomaly")
+    return rows.select(
+        "label_id", F.lit(True).alias("label"), (F.col("_c") * F.when((source == "") & (target == ""), 0.7).otherwise(1.0)).alias("confidence"), kind.alias("event_type"),
+        F.when(source == "", F.concat(F.lit("agent:"), F.col("agent_id").cast("string"))).otherwise(source).alias("src_ip"), target.alias("dst_ip"),
+    )
 
 
-def intel_labels(records: DataFrame) -> DataFrame:
-    """Threat intelligence: confidence by threat level (1 to 4), type by the first telling tag."""
-    kind = F.when(F.array_contains("tags", "c2"), "c2_beaconing").when(F.array_contains("tags", "exfil"), "exfiltration").otherwise("anomaly")
-    return records.select("label_id", F.lit(True).alias("label"), _table("threat_level", INTEL_CONFIDENCE, 0.5).alias("confidence"), kind.alias("event_type"))
+def intel_labels(records: DataFrame, min_confidence: float = 0.5) -> DataFrame:
+    """Threat intelligence: confidence by threat level (1 to 4, else as 4), type by the first telling tags."""
+    tagged = lambda *names: F.arrays_overlap("tags", F.array(*[F.lit(n) for n in names]))
+    kind = F.when(tagged("c2", "botnet"), "c2_beaconing").when(tagged("exfiltration"), "exfiltration").when(tagged("scan", "recon"), "scan").otherwise("threat_intel_match")
+    rows = records.withColumn("_c", _table("threat_level", INTEL_CONFIDENCE, 0.6)).where(F.col("_c") >= min_confidence)
+    return rows.select("label_id", F.lit(True).alias("label"), F.col("_c").alias("confidence"), kind.alias("event_type"))
 
 
-def correlation_labels(records: DataFrame, factor: float = 0.8, least: float = 0.3) -> DataFrame:
-    """Correlated incidents: their confidence times ``factor``, not below ``least``."""
-    rows = records.withColumn("_c", F.col("confidence") * factor).where(F.col("_c") >= least)
-    return rows.select("label_id", F.lit(True).alias("label"), F.col("_c").alias("confidence"))
+def correlation_labels(records: DataFrame, min_confidence: float = 0.3, factor: float = 0.8) -> DataFrame:
+    """Correlated incidents: their confidence times ``factor``, type by tactic."""
+    rows = records.withColumn("_c", F.col("confidence") * factor).where(F.col("_c") >= min_confidence)
+    return rows.select("label_id", F.lit(True).alias("label"), F.col("_c").alias("confidence"), tactic_event_type("tactic").alias("event_type"))
 
 
-def analyst_labels(records: DataFrame) -> DataFrame:
-    return records.select("label_id", "label", F.lit(1.0).alias("confidence"))
+def analyst_labels(records: DataFrame, min_confidence: float = 0.0) -> DataFrame:
+    return records.select("label_id", "label", F.lit(1.0).alias("confidence"), F.lit("analyst_confirmed").alias("event_type"))
 
 
-def vendor_labels(records: DataFrame, minimum: Column) -> DataFrame:
-    """Vendor alerts for which ``minimum`` holds: confidence by the exact severity name."""
-    return records.where(minimum).select("label_id", F.lit(True).alias("label"), _table("severity_name", VENDOR_CONFIDENCE, 0.5).alias("confidence"), _table("category", CATEGORY_TYPES, "anomaly").alias("event_type"))
+def vendor_labels(records: DataFrame, min_confidence: float = 0.5, minimum: Column | None = None, deduplicate: bool = True) -> DataFrame:
+    """Vendor alerts for which ``minimum`` holds: confidence by the exact severity name, type by category; one a second at the same addresses."""
+    rows = records if minimum is None else records.where(minimum)
+    if deduplicate:
+        rows = rows.join(matching.dedup_labels(rows).select("label_id"), "label_id", "left_semi")
+    kind = F.when(F.col("vendor_category").isin(*VENDOR_TYPES), F.col("vendor_category")).otherwise("anomaly")
+    rows = rows.withColumn("_c", _table("severity_name", VENDOR_CONFIDENCE, 0.5)).where(F.col("_c") >= min_confidence)
+    return rows.select("label_id", F.lit(True).alias("label"), F.col("_c").alias("confidence"), kind.alias("event_type"))
 
 
-register_label_source("ids", 1.0, 0.5, ids_labels)
-register_label_source("hids", 0.8, 0.5, hids_labels)
-register_label_source("intel", 1.2, 0.5, intel_labels)
-register_label_source("correlation", 0.9, 0.3, correlation_labels)
+register_label_source("ids", 1.2, 0.5, ids_labels)
+register_label_source("hids", 1.0, 0.5, hids_labels)
+register_label_source("intel", 1.3, 0.5, intel_labels)
+register_label_source("correlation", 0.7, 0.3, correlation_labels)
 register_label_source("analyst", 2.0, 0.0, analyst_labels)
+register_label_source("vendor", 1.5, 0.5, vendor_labels)
+
+
+def label_events(events: DataFrame, records: dict[str, DataFrame], window: int = matching.WINDOW, weights: dict[str, float] | None = None) -> DataFrame:
+    """End to end: each source labels its records, labels go to the nearest event at their addresses within ``window``, votes are agreed upon.
+
+    events: event_id, us, src_ip, dst_ip; records by source name, each with label_id, us, src_ip, dst_ip and what its source reads.
+    """
+    votes = None
+    for place, (name, rows) in enumerate(records.items()):
+        made = SOURCES[name].weak_labels(rows)
+        at = rows.select("label_id", "us", "src_ip", "dst_ip")
+        matched = matching.match_events(at.join(made.select("label_id"), "label_id", "left_semi"), events, window).select("label_id", "event_id")
+        part = made.select("label_id", "label", "confidence", "event_type", "source").join(at.select("label_id", "us"), "label_id").join(matched, "label_id")
+        part = part.select("event_id", "us", "source", "label", "confidence", "event_type", F.struct(F.lit(place).alias("source"), "label_id").alias("ord"))
+        votes = part if votes is None else votes.unionByName(part)
+    return consensus(votes, weights)
+
+
+def supervised(agreed: DataFrame) -> DataFrame:
+    """Consensus as training labels: event_id, us, label, source, confidence, event_type."""
+    return agreed.select("event_id", "us", "label", F.lit("consensus").alias("source"), "confidence", "event_type")
 
 
 def consensus(votes: DataFrame, weights: dict[str, float] | None = None, abstain: float = 0.1, decision: float = 0.0, analyst: str | None = "analyst") -> DataFrame:

@@ -11,26 +11,33 @@ WEIGHTS = {"model": 0.40, "asset": 0.25, "intel": 0.15, "history": 0.10, "correl
 ENRICHMENTS = ("asset", "geo", "intel", "history")
 
 
+#: Tags that make an address suspicious without its being known as malicious.
+SUSPICIOUS_TAGS = ("botnet", "c2-server", "malware", "phishing", "suspicious")
+
+
 def enrich(groups: DataFrame, assets: DataFrame, geo: DataFrame, intel: DataFrame, history: DataFrame) -> DataFrame:
     """Left joins of the four look-ups: criticality (2 where unknown), country, malicious with tags, deviation; and which of them failed.
 
-    assets: src_ip, criticality; geo: dst_ip, country; intel: ip, tag; history: dst_ip, deviation. Intelligence on the source marks the
-    target too. Dimension tables are broadcast by Spark while small.
+    groups: src_ip, dst_ip, and targets as an array ``target_ips`` of all its distinct ones; assets: src_ip, criticality; geo: dst_ip, country;
+    intel: ip, tag, malicious; history: dst_ip, deviation. Intelligence counts for any address of a group: malicious if one of them is, with the
+    tags of all. Pseudonyms are in no look-up and so miss by themselves. Sides are left to Spark, which broadcasts them while small.
     """
-    tags = intel.groupBy("ip").agg(F.concat_ws(",", F.array_sort(F.collect_set("tag"))).alias("tags"))
-    by_source, by_target = tags.select(F.col("ip").alias("src_ip"), F.col("tags").alias("_src_tags")), tags.select(F.col("ip").alias("dst_ip"), F.col("tags").alias("_dst_tags"))
-    rows = groups.join(assets, "src_ip", "left").join(geo, "dst_ip", "left").join(history, "dst_ip", "left").join(by_source, "src_ip", "left").join(by_target, "dst_ip", "left")
-    rows = rows.withColumn("tags", F.coalesce("_src_tags", "_dst_tags")).drop("_src_tags", "_dst_tags")
+    known = intel.groupBy("ip").agg(F.collect_set("tag").alias("_tags"), F.max(F.coalesce("malicious", F.lit(False))).alias("_bad"))
+    addresses = groups.select("src_ip", "session", F.explode(F.array_union(F.array("src_ip"), "target_ips")).alias("ip"))
+    met = addresses.join(known, "ip").groupBy("src_ip", "session").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_tags")))).alias("_tags"), F.max("_bad").alias("malicious"))
+    rows = groups.join(assets, "src_ip", "left").join(geo, "dst_ip", "left").join(history, "dst_ip", "left").join(met, ["src_ip", "session"], "left")
+    rows = rows.withColumn("tags", F.when(F.col("_tags").isNotNull(), F.concat_ws(",", "_tags"))).withColumn("suspicious", F.coalesce(F.arrays_overlap("_tags", F.array(*[F.lit(t) for t in SUSPICIOUS_TAGS])), F.lit(False))).drop("_tags")
     missing = {"asset": F.col("criticality").isNull(), "geo": F.col("country").isNull(), "intel": F.col("tags").isNull(), "history": F.col("deviation").isNull()}
     failed = F.concat_ws(",", *[F.when(missing[e], e) for e in ENRICHMENTS])
-    return rows.withColumn("failed_sources", failed).withColumn("partial", failed != "").withColumn("criticality", F.coalesce(F.when(F.col("criticality") > 0, F.col("criticality")), F.lit(2))).withColumn("malicious", F.col("tags").isNotNull())
+    rows = rows.withColumn("failed_sources", failed).withColumn("partial", failed != "")
+    return rows.withColumn("criticality", F.coalesce(F.when(F.col("criticality") > 0, F.col("criticality")), F.lit(2))).withColumn("malicious", F.coalesce("malicious", F.lit(False)))
 
 
-def components(model: Column, criticality: Column, malicious: Column, tagged: Column, deviation: Column, alerts: Column) -> dict[str, Column]:
+def components(model: Column, criticality: Column, malicious: Column, suspicious: Column, deviation: Column, alerts: Column) -> dict[str, Column]:
     """The five parts of the severity, each from 0 to 100."""
     cap = lambda c: F.least(F.lit(100.0), c)
     return {
-        "model": model.cast("double"), "asset": cap(criticality * 20.0), "intel": F.when(malicious, 100.0).when(tagged, 50.0).otherwise(0.0),
+        "model": model.cast("double"), "asset": cap(criticality * 20.0), "intel": F.when(malicious, 100.0).when(suspicious, 50.0).otherwise(0.0),
         "history": cap(F.coalesce(deviation, F.lit(0.0)) * 10.0), "correlation": cap(alerts * 25.0),
     }
 
@@ -45,18 +52,30 @@ def severity(parts: dict[str, Column]) -> Column:
 
 def score_groups(enriched: DataFrame) -> DataFrame:
     """Adds the five components, ``severity_score`` and ``severity_label``."""
-    parts = components(F.col("severity"), F.col("criticality"), F.col("malicious"), F.col("tags").isNotNull(), F.col("deviation"), F.col("alerts"))
+    parts = components(F.col("severity"), F.col("criticality"), F.col("malicious"), F.col("suspicious"), F.col("deviation"), F.col("alerts"))
     rows = enriched.withColumns({f"c_{k}": v for k, v in parts.items()})
     rows = rows.withColumn("severity_score", severity({k: F.col(f"c_{k}") for k in parts}))
     return rows.withColumn("severity_label", severity_label("severity_score"))
 
 
-DESTRUCTIVE = ("isolate_host", "block_ip", "disable_account")
+#: Actions that wait for a hand, and the ladder of actions by severity: action, target, priority, runs by itself.
+DESTRUCTIVE = ("isolate_host", "block_ip", "block_domain", "quarantine")
+LADDER = {
+    "critical": (("notify_soc", "soc-team", "immediate", True), ("create_ticket", "thehive", "immediate", True), ("isolate_host", None, "high", False)),
+    "high": (("notify_soc", "soc-team", "high", True), ("create_ticket", "thehive", "high", True)),
+    "medium": (("create_ticket", "thehive", "medium", True),),
+    "low": (("log_only", "opensearch", "low", True),),
+}
 
 
-def actions(label: Column) -> Column:
-    """The fallback ladder of actions, comma-joined, by severity label."""
-    return F.when(label == "critical", "isolate_host,block_ip,notify_team").when(label == "high", "block_ip,notify_team").when(label == "medium", "monitor,notify_team").otherwise("monitor")
+def actions(label: Column, host: Column) -> Column:
+    """The ladder's actions for a severity label: array<struct<action, target, priority, auto_execute>>; ``host`` is what is to be isolated."""
+    one = lambda a: F.struct(F.lit(a[0]).alias("action"), (F.lit(a[1]) if a[1] else host.cast("string")).alias("target"), F.lit(a[2]).alias("priority"), F.lit(a[3]).alias("auto_execute"))
+    out = None
+    for name, ladder in LADDER.items():
+        made = F.array(*map(one, ladder))
+        out = F.when(label == name, made) if out is None else out.when(label == name, made)
+    return out.otherwise(F.array(one(LADDER["low"][0])))
 
 
 def adjusted(score: Column, adjustment: Column) -> Column:
@@ -65,12 +84,32 @@ def adjusted(score: Column, adjustment: Column) -> Column:
 
 
 def incidents(scored: DataFrame) -> DataFrame:
-    """The deterministic incident of each group: title, text, actions, those that need a hand, and whether explanation is certain."""
-    label = F.col("severity_label")
-    title = F.format_string("[%s] %d alerts from %d", F.upper(label), F.col("alerts"), F.col("src_ip"))
-    text = F.format_string("%d alerts towards %d targets within %d s", F.col("alerts"), F.col("targets"), F.floor(F.col("span_us") / 1_000_000))
-    manual = F.array_join(F.filter(F.split(F.col("actions"), ","), lambda a: a.isin(*DESTRUCTIVE)), ",")
-    return scored.withColumn("title", title).withColumn("description", text).withColumn("actions", actions(label)).withColumn("manual_actions", manual)
+    """The deterministic incident of each group: title, description, reason, false-positive text, actions and those that need a hand.
+
+    scored: alerts, kinds (sorted, comma and space joined), src_ip, hosts, pattern (null without one), severity_score, severity_label,
+    malicious, deviation. The wording is fixed.
+    """
+    text = lambda c: F.col(c).cast("string")
+    kinds = F.when(F.coalesce(F.col("kinds"), F.lit("")) == "", "anomalía").otherwise(F.col("kinds"))
+    title = F.concat(F.lit("Incidente correlacionado: "), kinds, F.lit(" ("), text("alerts"), F.lit(" alertas, severidad "), text("severity_score"), F.lit(")"))
+    description = F.concat(
+        F.lit("Incidente correlacionado por scoring automático (LLM no disponible). "), text("alerts"), F.lit(" alertas, severidad "), text("severity_score"), F.lit(". "),
+        F.when(F.coalesce(F.col("kinds"), F.lit("")) != "", F.concat(F.lit("Tipos de evento: "), F.col("kinds"), F.lit(". "))).otherwise(""), F.lit("Entidad: "), text("src_ip"), F.lit(". "),
+        F.when(F.col("pattern").isNotNull(), F.concat(F.lit("Patrón detectado: "), F.col("pattern"), F.lit("."))).otherwise(""),
+    )
+    how = F.when(F.col("pattern").isNotNull(), F.concat(F.lit(" y siguen el patrón de ataque "), F.col("pattern"))).otherwise(" y ocurren en proximidad temporal")
+    reason = F.concat(F.lit("Las "), text("alerts"), F.lit(" alertas comparten la misma entidad ("), text("src_ip"), F.lit(")"), how, F.lit("."))
+    judged = (
+        F.when(F.col("malicious"), "IP destino marcada como maliciosa en threat intel. FP descartado.")
+        .when(F.col("deviation") > 5, "Desviación significativa del baseline histórico. FP improbable.")
+        .otherwise("Datos insuficientes para evaluación automática. Requiere revisión manual.")
+    )
+    host = F.coalesce(F.element_at(F.split("hosts", ","), 1), text("src_ip"))
+    rows = scored.withColumn("title", title).withColumn("description", description).withColumn("correlation_reason", reason)
+    rows = rows.withColumn("false_positive_assessment", F.concat(F.lit("Evaluación automática (sin LLM): "), judged)).withColumn("_actions", actions(F.col("severity_label"), host))
+    named = lambda which: F.array_join(F.transform(which, lambda a: a["action"]), ",")
+    priorities = F.array_join(F.transform("_actions", lambda a: F.concat(a["action"], F.lit(":"), a["target"], F.lit(":"), a["priority"])), ",")
+    return rows.withColumn("actions", priorities).withColumn("manual_actions", named(F.filter("_actions", lambda a: ~a["auto_execute"]))).drop("_actions")
 
 
 def timeline(alerts: DataFrame, by: list[str]) -> DataFrame:
@@ -92,3 +131,39 @@ def weekly_report(incidents_: DataFrame) -> DataFrame:
     """Per event type: incidents, true and false positives, share of false ones; categories with most false ones first."""
     false = F.count(F.when(F.col("verdict") == "false_positive", 1))
     return incidents_.groupBy("event_type").agg(F.count("*").alias("n"), false.alias("false_positives"), (false / F.count("*")).alias("fp_rate")).orderBy(F.desc("false_positives"), "event_type")
+
+
+def comparison_report(ours: DataFrame, theirs: DataFrame, received: DataFrame) -> DataFrame:
+    """One row of weekly figures of two systems' incidents (true_positive, ttd_seconds, explained) and the alerts received.
+
+    coverage and precision in percent, advantage, mean time to detect in minutes with its difference in percent, share of false positives,
+    reduction from alerts to incidents, and availability of explanations. What has nothing to compare with is 100 for coverage, else 0.
+    """
+    mine = ours.agg(F.count("*").alias("n"), F.count(F.when(F.col("true_positive"), 1)).alias("tp"), F.avg("ttd_seconds").alias("ttd"), F.count(F.when(F.col("explained"), 1)).alias("explained"))
+    other = theirs.agg(F.count("*").alias("other_n"), F.avg("ttd_seconds").alias("other_ttd"))
+    every = received.agg(F.count("*").alias("received"))
+    row = mine.crossJoin(other).crossJoin(every)  # one row each
+    share = lambda a, b, none=0.0: F.when(b > 0, a / b * 100).otherwise(none)
+    n, tp, m, r = F.col("n"), F.col("tp"), F.col("other_n"), F.col("received")
+    ttd, other_ttd = F.coalesce(F.col("ttd"), F.lit(0.0)) / 60, F.coalesce(F.col("other_ttd"), F.lit(0.0)) / 60
+    return row.select(
+        n.alias("incidents"), m.alias("other_incidents"), share(n, m, 100.0).alias("coverage"), share(tp, n).alias("precision_pct"), (n - m).alias("advantage"), ttd.alias("mttd_minutes"), other_ttd.alias("other_mttd_minutes"),
+        F.when(other_ttd > 0, (ttd - other_ttd) / other_ttd * 100).otherwise(0.0).alias("mttd_difference"), share(n - tp, n).alias("fp_rate"), share(r - n, r).alias("reduction"), share(F.col("explained"), n).alias("availability"),
+    )
+
+
+def by_category(ours: DataFrame, theirs: DataFrame, categories: tuple[str, ...] = ("exfiltration", "c2_beaconing", "lateral_movement", "dns_tunneling", "scan")) -> DataFrame:
+    """Incidents of both systems in each category, 0 where there are none."""
+    both = ours.select("event_type", F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(theirs.select("event_type", F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    names = ours.sparkSession.createDataFrame([(c,) for c in categories], "event_type string")
+    sums = both.groupBy("event_type").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    return names.join(sums, "event_type", "left").select("event_type", F.coalesce("_a", F.lit(0)).cast("long").alias("incidents"), F.coalesce("_b", F.lit(0)).cast("long").alias("other_incidents"))
+
+
+def route_feedback(feedback: DataFrame) -> dict[str, DataFrame]:
+    """What verdicts on incidents lead to: patterns to filter, patterns to reinforce, incidents to review, and the log of severity changes."""
+    verdict = lambda v: feedback.where(F.col("verdict") == v)
+    return {
+        "fp_patterns": verdict("false_positive").select("incident_id", "reason"), "tp_patterns": verdict("true_positive").select("incident_id"), "review": verdict("needs_review").select("incident_id", "reason"),
+        "calibrations": feedback.where("severity_adjustment IS NOT NULL").select("incident_id", "original_severity", "adjusted_severity", F.col("severity_adjustment").alias("adjustment")),
+    }

@@ -24,31 +24,39 @@ SESSION = f"{A.ALERTS}, lagged AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTIT
 
 
 def groups(s, d):
-    """Sessions of at least three alerts with their metrics and last target."""
+    """Sessions of at least three alerts with their metrics, kinds, targets, last target and pattern."""
     rows = by_session(s, d)
-    target = rows.groupBy("src_ip", "session").agg(F.max_by("dst_ip", F.struct("us", "alert_id")).alias("dst_ip"))
-    return C.group_metrics(rows, ["src_ip", "session"]).where("alerts >= 3").join(target, ["src_ip", "session"])
+    target = rows.groupBy("src_ip", "session").agg(F.max_by("dst_ip", F.struct("us", "alert_id")).alias("dst_ip"), F.array_sort(F.collect_set("dst_ip")).alias("target_ips"), F.concat_ws(", ", F.array_sort(F.collect_set("event_type"))).alias("kinds"))
+    shown = C.attack_patterns(A.alerts(s, d), GAP).select("src_ip", "session", "pattern")
+    return C.group_metrics(rows, ["src_ip", "session"]).where("alerts >= 3").join(target, ["src_ip", "session"]).join(shown, ["src_ip", "session"], "left")
 
 
-GROUPS = f"{SESSION}, grp AS (SELECT src_ip, session, count(*) AS alerts, max(us) - min(us) AS span_us, count(DISTINCT dst_ip) AS targets, string_agg(DISTINCT host, ',' ORDER BY host) AS hosts, CASE WHEN sum(confidence) > 0 THEN sum(severity * confidence) / sum(confidence) ELSE avg(severity) END AS severity, arg_max(dst_ip, (us, alert_id)) AS dst_ip FROM ses GROUP BY 1, 2 HAVING count(*) >= 3)"
+GROUPS = (
+    f"{SESSION}, grp AS (SELECT src_ip, session, count(*) AS alerts, max(us) - min(us) AS span_us, count(DISTINCT dst_ip) AS targets, string_agg(DISTINCT host, ',' ORDER BY host) AS hosts, "
+    "CASE WHEN sum(confidence) > 0 THEN sum(severity * confidence) / sum(confidence) ELSE avg(severity) END AS severity, arg_max(dst_ip, (us, alert_id)) AS dst_ip FROM ses GROUP BY 1, 2 HAVING count(*) >= 3)"
+)
+INTEL_TAGS = ("c2-server", "scanner", "phishing", "cdn", "botnet")
 
 
 def enriched(s, d):
     assets = A.read(s, d, "supplier").select(F.col("s_suppkey").alias("src_ip"), (F.col("s_suppkey") % 5 + 1).alias("criticality"))
     geo = A.read(s, d, "nation").select(F.col("n_nationkey").cast("int").alias("dst_ip"), F.col("n_name").alias("country"))
-    intel = A.read(s, d, "part").where("p_partkey % 9 = 0 AND p_partkey <= 150").select(F.col("p_partkey").alias("ip"), F.concat(F.lit("tag"), (F.col("p_partkey") % 4).cast("string")).alias("tag"))
+    tag = F.element_at(F.array(*[F.lit(t) for t in INTEL_TAGS]), (F.col("p_partkey") % len(INTEL_TAGS) + 1).cast("int"))
+    intel = A.read(s, d, "part").where("p_name LIKE '%e%'").select(F.col("p_partkey").alias("ip"), tag.alias("tag"), (F.col("p_size") % 10 == 0).alias("malicious"))
     history = rollups.historical(A.conn(s, d)).select("dst_ip", "deviation")
     return S.enrich(groups(s, d), assets, geo, intel, history)
 
 
 ENRICHED = (
     f"{GROUPS}, conn AS (SELECT k AS dst_ip, CAST(floor(value * 100) AS BIGINT) AS b FROM ev WHERE event_type IN ('view', 'click', 'purchase')), hist AS (SELECT dst_ip, CASE WHEN quantile_cont(b, 0.99) > 0 THEN sum(b) / quantile_cont(b, 0.99) ELSE 0 END AS deviation FROM conn GROUP BY 1), "
-    "intel AS (SELECT p_partkey AS ip, concat('tag', CAST(p_partkey % 4 AS VARCHAR)) AS tags FROM part WHERE p_partkey % 9 = 0 AND p_partkey <= 150), "
-    "en AS (SELECT g.*, coalesce(nullif(s_suppkey % 5 + 1, 0), 2) AS criticality, n_name AS country, deviation, coalesce(i.tags, j.tags) AS tags, concat_ws(',', CASE WHEN s_suppkey IS NULL THEN 'asset' END, CASE WHEN n_name IS NULL THEN 'geo' END, CASE WHEN coalesce(i.tags, j.tags) IS NULL THEN 'intel' END, CASE WHEN deviation IS NULL THEN 'history' END) AS failed_sources "
-    "FROM grp g LEFT JOIN supplier ON s_suppkey = g.src_ip LEFT JOIN nation ON n_nationkey = g.dst_ip LEFT JOIN hist h ON h.dst_ip = g.dst_ip LEFT JOIN intel i ON i.ip = g.src_ip LEFT JOIN intel j ON j.ip = g.dst_ip)"
+    f"intel AS (SELECT p_partkey AS ip, (ARRAY[{', '.join(repr(t) for t in INTEL_TAGS)}])[p_partkey % 5 + 1] AS tag, p_size % 10 = 0 AS bad FROM part WHERE p_name LIKE '%e%'), "
+    "addr AS (SELECT DISTINCT src_ip, session, dst_ip AS ip FROM ses UNION SELECT DISTINCT src_ip, session, src_ip FROM ses), "
+    "met AS (SELECT src_ip, session, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags, bool_or(bad) AS bad, bool_or(tag IN ('c2-server', 'botnet', 'malware', 'phishing', 'suspicious')) AS sus FROM addr JOIN intel USING (ip) GROUP BY 1, 2), "
+    "en AS (SELECT g.*, coalesce(nullif(s_suppkey % 5 + 1, 0), 2) AS criticality, n_name AS country, deviation, m.tags, coalesce(m.bad, false) AS malicious, coalesce(m.sus, false) AS suspicious, concat_ws(',', CASE WHEN s_suppkey IS NULL THEN 'asset' END, CASE WHEN n_name IS NULL THEN 'geo' END, CASE WHEN m.tags IS NULL THEN 'intel' END, CASE WHEN deviation IS NULL THEN 'history' END) AS failed_sources "
+    "FROM grp g LEFT JOIN supplier ON s_suppkey = g.src_ip LEFT JOIN nation ON n_nationkey = g.dst_ip LEFT JOIN hist h ON h.dst_ip = g.dst_ip LEFT JOIN met m ON m.src_ip = g.src_ip AND m.session = g.session)"
 )
 SCORED = (
-    f"{ENRICHED}, comp AS (SELECT *, severity::DOUBLE AS c_model, least(100, criticality * 20.0::DOUBLE) AS c_asset, CASE WHEN tags IS NOT NULL THEN 100.0::DOUBLE ELSE 0 END AS c_intel, least(100, coalesce(deviation, 0) * 10.0::DOUBLE) AS c_history, least(100, alerts * 25.0::DOUBLE) AS c_correlation FROM en), "
+    f"{ENRICHED}, comp AS (SELECT *, severity::DOUBLE AS c_model, least(100, criticality * 20.0::DOUBLE) AS c_asset, CASE WHEN malicious THEN 100.0::DOUBLE WHEN suspicious THEN 50 ELSE 0 END AS c_intel, least(100, coalesce(deviation, 0) * 10.0::DOUBLE) AS c_history, least(100, alerts * 25.0::DOUBLE) AS c_correlation FROM en), "
     "t1 AS (SELECT *, c_model * 0.4::DOUBLE + c_asset * 0.25::DOUBLE + c_intel * 0.15::DOUBLE + c_history * 0.1::DOUBLE + c_correlation * 0.1::DOUBLE AS t FROM comp), t2 AS (SELECT *, CASE WHEN c_intel >= 100 AND c_asset >= 80 THEN least(100, t * 1.2::DOUBLE) ELSE t END AS u FROM t1), "
     "t3 AS (SELECT *, CASE WHEN c_correlation >= 100 AND c_model >= 70 THEN least(100, u * 1.1::DOUBLE) ELSE u END AS v FROM t2), sc AS (SELECT *, CAST(round_even(round(least(100, v), 9), 0) AS INTEGER) AS severity_score FROM t3), "
     "fin AS (SELECT *, CASE WHEN severity_score >= 80 THEN 'critical' WHEN severity_score >= 60 THEN 'high' WHEN severity_score >= 40 THEN 'medium' ELSE 'low' END AS severity_label FROM sc)"
@@ -61,7 +69,7 @@ def scored(s, d):
 
 
 def _incidents(s, d):
-    return S.incidents(scored(s, d)).select(*_KEYS, "severity_label", "title", "description", "actions", "manual_actions")
+    return S.incidents(scored(s, d)).select(*_KEYS, "severity_label", "title", "description", "correlation_reason", "false_positive_assessment", "actions", "manual_actions")
 
 
 def _dedup(s, d):
@@ -85,10 +93,12 @@ def _entities(s, d):
 
 
 def _made_up(s, d):
-    text = A.read(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"[a-z]+"), F.lit(0)))
-    first, last = F.element_at("t", 1)["text"], F.element_at("t", -1)["text"]
-    return text.select("conv_id", F.size(E.unsupported(words(last), words(first))).cast("long").alias("unsupported"))
+    """Words of the assistant's turns that stand in no other turn of their conversation."""
+    rows = A.read(s, d, "conversations").where("conv_id IS NOT NULL")
+    words = lambda mine: F.array_distinct(F.flatten(F.collect_list(F.when(mine, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[a-z]+"), F.lit(0))))))
+    mine = F.col("role").eqNullSafe("assistant")
+    text = rows.groupBy("conv_id").agg(words(mine).alias("said"), words(~mine).alias("given"))
+    return text.select("conv_id", F.size(E.unsupported("said", "given")).cast("long").alias("unsupported"))
 
 
 def _tags(s, d):
@@ -106,11 +116,11 @@ def _fp(s, d):
     return kept.groupBy(*_KEYS).agg(F.count("*").alias("alerts"))
 
 
-_PATTERNS = (
-    f"WITH {SESSION}, pl AS (SELECT *, row_number() OVER (PARTITION BY src_ip, session ORDER BY us, alert_id) AS n FROM ses), c AS (SELECT src_ip, session, count(*) AS alerts, min(n) FILTER (event_type = 'scan') AS sc, min(n) FILTER (event_type = 'exfiltration') AS ex, count(*) FILTER (event_type = 'c2_beaconing') AS c2, count(*) FILTER (event_type IN ('dns_tunneling', 'anomaly')) AS side, count(*) FILTER (event_type = 'lateral_movement') AS lat, count(*) FILTER (event_type = 'scan') AS scans, count(*) FILTER (event_type = 'dns_tunneling') AS dn FROM pl GROUP BY 1, 2 HAVING count(*) >= 2), "
-    "p AS (SELECT *, CASE WHEN sc < ex THEN 'scan_to_exfiltration' WHEN c2 > 0 AND side > 0 THEN 'c2_communication' WHEN scans > 0 AND lat > 0 THEN 'lateral_movement' WHEN dn >= 2 THEN 'dns_tunneling' END AS pattern FROM c) "
-    "SELECT src_ip, session, alerts, pattern, CASE pattern WHEN 'scan_to_exfiltration' THEN ex - sc + 1 WHEN 'c2_communication' THEN c2 + side WHEN 'lateral_movement' THEN scans + lat ELSE dn END AS pattern_alerts FROM p WHERE pattern IS NOT NULL"
+_SHOWN = (
+    "pl AS (SELECT *, row_number() OVER (PARTITION BY src_ip, session ORDER BY us, alert_id) AS n FROM ses), c AS (SELECT src_ip, session, count(*) AS alerts, max(us) AS end_us, min(n) FILTER (event_type = 'scan') AS sc, min(n) FILTER (event_type = 'exfiltration') AS ex, count(*) FILTER (event_type = 'c2_beaconing') AS c2, count(*) FILTER (event_type IN ('dns_tunneling', 'anomaly')) AS side, count(*) FILTER (event_type = 'lateral_movement') AS lat, count(*) FILTER (event_type = 'scan') AS scans, count(*) FILTER (event_type = 'dns_tunneling') AS dn FROM pl GROUP BY 1, 2 HAVING count(*) >= 2), "
+    "p AS (SELECT * FROM (SELECT *, CASE WHEN sc < ex THEN 'scan_to_exfiltration' WHEN c2 > 0 THEN 'c2_beaconing' WHEN scans > 0 AND lat > 0 THEN 'lateral_movement' WHEN dn > 0 THEN 'dns_tunneling' END AS pattern FROM c) WHERE pattern IS NOT NULL)"
 )
+_PATTERN_COLUMNS = "src_ip, session, alerts, pattern, CASE pattern WHEN 'scan_to_exfiltration' THEN ex - sc + 1 WHEN 'c2_beaconing' THEN c2 + side WHEN 'lateral_movement' THEN scans + lat ELSE dn END AS pattern_alerts, end_us"
 _BAD = f"backup OR (event_type = 'exfiltration' AND {HOUR_SQL} BETWEEN 2 AND 4 AND scheduled)"
 
 QUERIES = {
@@ -119,12 +129,13 @@ QUERIES = {
     "session_recent": lambda s, d: C.session_recent(A.alerts(s, d), GAP, WINDOW).select("alert_id", "src_ip", "session"),
     "session_expired": lambda s, d: C.expired(A.alerts(s, d), 1_706_745_600_000_000, GAP),
     "attack_patterns": lambda s, d: C.attack_patterns(A.alerts(s, d), GAP),
+    "candidate_groups": lambda s, d: C.candidate_groups(A.alerts(s, d), hour_of_day("us"), WINDOW, GAP).select("src_ip", "session", "reason", F.coalesce("pattern", F.lit("")).alias("pattern"), F.array_join(F.transform("alert_ids", lambda x: x.cast("string")), ",").alias("members")),
     "fp_filter": _fp,
     "group_dedup": lambda s, d: C.group_dedup(_dedup(s, d)).na.fill("", ["pattern"]),
     "group_dedup_prefer_pattern": lambda s, d: C.group_dedup(_dedup(s, d), prefer_pattern=True).na.fill("", ["pattern"]),
-    "group_metrics": lambda s, d: groups(s, d).drop("sources").withColumn("severity", F.round("severity", 9)),
+    "group_metrics": lambda s, d: groups(s, d).drop("sources", "target_ips", "kinds", "pattern").withColumn("severity", F.round("severity", 9)),
     "enrich_partial": lambda s, d: enriched(s, d).select(*_KEYS, "criticality", F.coalesce("country", F.lit("")).alias("country"), F.coalesce("tags", F.lit("")).alias("tags"), "failed_sources", "partial"),
-    "threat_intel_flags": lambda s, d: enriched(s, d).select(*_KEYS, "malicious"),
+    "threat_intel_flags": lambda s, d: enriched(s, d).select(*_KEYS, "malicious", "suspicious"),
     "severity_score": lambda s, d: scored(s, d).select(*_KEYS, "severity_score", "severity_label"),
     "severity_components": lambda s, d: rounded(scored(s, d).select(*_KEYS, "c_model", "c_asset", "c_intel", "c_history", "c_correlation"), "c_history").withColumn("c_model", F.round("c_model", 9)),
     "incident_fallback": _incidents,
@@ -135,30 +146,42 @@ QUERIES = {
     "validate_accept": lambda s, d: _valid(s, d)[0].select("alert_id"),
     "validate_reject": lambda s, d: _valid(s, d)[1].select("alert_id", "error"),
     "weekly_report": lambda s, d: rounded(_feedback(s, d), "fp_rate"),
-    "tactic_types": lambda s, d: A.read(s, d, "part").select("p_partkey", tactic_event_type(F.element_at(F.array(*[F.lit(x) for x in ("Command and Control", "Lateral Movement", "Exfiltration", "Discovery", "Impact")]), (F.col("p_partkey") % 5 + 1).cast("int"))).alias("event_type")),
+    "tactic_types": lambda s, d: A.read(s, d, "part").select("p_partkey", tactic_event_type(F.element_at(F.array(*[F.lit(x) for x in A.TACTICS]), (F.col("p_partkey") % 6 + 1).cast("int"))).alias("event_type")),
 }
 _F = "FROM fin"
 SQL = {
     "sliding_groups": f"WITH {A.ALERTS}, w AS (SELECT a.alert_id, a.us, a.src_ip, count(*) AS size, min(b.us) AS first_us, count(DISTINCT b.dst_ip) AS targets, count(DISTINCT b.event_type) AS kinds, max(b.severity) AS max_severity FROM alerts a JOIN alerts b ON a.src_ip = b.src_ip AND b.us BETWEEN a.us - {WINDOW} AND a.us GROUP BY 1, 2, 3) SELECT *, us - first_us AS span_us FROM w WHERE size >= 2",
     "session_gap": f"WITH {SESSION} SELECT src_ip, session, min(us) AS start_us, max(us) AS end_us, count(*) AS alerts, count(DISTINCT dst_ip) AS targets FROM ses GROUP BY 1, 2",
     "session_recent": f"WITH {SESSION} SELECT alert_id, src_ip, session FROM ses QUALIFY us >= max(us) OVER (PARTITION BY src_ip, session) - {WINDOW}",
-    "session_expired": f"WITH {SESSION} SELECT src_ip, session, min(us) AS start_us, max(us) AS end_us, count(*) AS alerts, count(DISTINCT dst_ip) AS targets FROM ses GROUP BY 1, 2 HAVING count(*) >= 2 AND 1706745600000000 - max(us) > {GAP}",
-    "attack_patterns": _PATTERNS,
+    "session_expired": f"WITH {SESSION}, {_SHOWN} SELECT {_PATTERN_COLUMNS}, concat('session_expired_pattern_', pattern) AS reason FROM p WHERE 1706745600000000 - end_us > {GAP}",
+    "attack_patterns": f"WITH {SESSION}, {_SHOWN} SELECT {_PATTERN_COLUMNS} FROM p",
+    "candidate_groups": (
+        f"WITH {SESSION}, {_SHOWN}, newest AS (SELECT *, max(us) OVER (PARTITION BY src_ip, session) AS nu FROM pl), g AS (SELECT src_ip, session, 'shared_source_proximity' AS reason, '' AS pattern, alert_id, {_BAD} AS bad FROM newest WHERE us >= nu - {WINDOW} "
+        f"UNION ALL SELECT pl.src_ip, pl.session, concat('attack_pattern_', pattern), pattern, alert_id, {_BAD} FROM pl JOIN p ON p.src_ip = pl.src_ip AND p.session = pl.session WHERE CASE pattern WHEN 'scan_to_exfiltration' THEN n BETWEEN sc AND ex WHEN 'c2_beaconing' THEN event_type IN ('c2_beaconing', 'dns_tunneling', 'anomaly') WHEN 'lateral_movement' THEN event_type IN ('scan', 'lateral_movement') ELSE event_type = 'dns_tunneling' END), "
+        "m AS (SELECT src_ip, session, reason, pattern, string_agg(CAST(alert_id AS VARCHAR), ',' ORDER BY alert_id) AS members FROM g GROUP BY 1, 2, 3, 4 HAVING NOT bool_or(bad) AND (pattern <> '' OR count(*) >= 2)) SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY src_ip, session, members ORDER BY pattern <> '') = 1"
+    ),
     "fp_filter": f"WITH {SESSION} SELECT src_ip, session, count(*) AS alerts FROM ses GROUP BY 1, 2 HAVING NOT bool_or({_BAD})",
     "group_dedup": _DEDUP + "SELECT members, ord, reason, coalesce(pattern, '') AS pattern FROM a QUALIFY row_number() OVER (PARTITION BY members ORDER BY ord) = 1",
     "group_dedup_prefer_pattern": _DEDUP + "SELECT members, ord, reason, coalesce(pattern, '') AS pattern FROM a QUALIFY row_number() OVER (PARTITION BY members ORDER BY pattern IS NULL, ord) = 1",
     "group_metrics": f"WITH {GROUPS} SELECT * EXCLUDE (severity), round(severity, 9) AS severity FROM grp",
     "enrich_partial": f"WITH {ENRICHED} SELECT src_ip, session, criticality, coalesce(country, '') AS country, coalesce(tags, '') AS tags, failed_sources, failed_sources <> '' AS partial FROM en",
-    "threat_intel_flags": f"WITH {ENRICHED} SELECT src_ip, session, tags IS NOT NULL AS malicious FROM en",
+    "threat_intel_flags": f"WITH {ENRICHED} SELECT src_ip, session, malicious, suspicious FROM en",
     "severity_score": f"WITH {SCORED} SELECT src_ip, session, severity_score, severity_label {_F}",
     "severity_components": f"WITH {SCORED} SELECT src_ip, session, round(c_model, 9) AS c_model, c_asset, c_intel, round(c_history, 6) AS c_history, c_correlation {_F}",
-    "incident_fallback": f"WITH {SCORED} SELECT src_ip, session, severity_label, concat('[', upper(severity_label), '] ', alerts, ' alerts from ', src_ip) AS title, concat(alerts, ' alerts towards ', targets, ' targets within ', span_us // 1000000, ' s') AS description, CASE severity_label WHEN 'critical' THEN 'isolate_host,block_ip,notify_team' WHEN 'high' THEN 'block_ip,notify_team' WHEN 'medium' THEN 'monitor,notify_team' ELSE 'monitor' END AS actions, CASE severity_label WHEN 'critical' THEN 'isolate_host,block_ip' WHEN 'high' THEN 'block_ip' ELSE '' END AS manual_actions {_F}",
+    "incident_fallback": (
+        f"WITH {SCORED}, {_SHOWN}, k AS (SELECT src_ip, session, string_agg(DISTINCT event_type, ', ' ORDER BY event_type) AS kinds FROM ses GROUP BY 1, 2), x AS (SELECT fin.*, kinds, pattern, string_split(fin.hosts, ',')[1] AS host FROM fin JOIN k ON k.src_ip = fin.src_ip AND k.session = fin.session LEFT JOIN p ON p.src_ip = fin.src_ip AND p.session = fin.session) "
+        "SELECT src_ip, session, severity_label, concat('Incidente correlacionado: ', kinds, ' (', alerts, ' alertas, severidad ', severity_score, ')') AS title, "
+        "concat('Incidente correlacionado por scoring automático (LLM no disponible). ', alerts, ' alertas, severidad ', severity_score, '. Tipos de evento: ', kinds, '. Entidad: ', src_ip, '. ', CASE WHEN pattern IS NULL THEN '' ELSE concat('Patrón detectado: ', pattern, '.') END) AS description, "
+        "concat('Las ', alerts, ' alertas comparten la misma entidad (', src_ip, ')', CASE WHEN pattern IS NULL THEN ' y ocurren en proximidad temporal' ELSE concat(' y siguen el patrón de ataque ', pattern) END, '.') AS correlation_reason, "
+        "concat('Evaluación automática (sin LLM): ', CASE WHEN malicious THEN 'IP destino marcada como maliciosa en threat intel. FP descartado.' WHEN deviation > 5 THEN 'Desviación significativa del baseline histórico. FP improbable.' ELSE 'Datos insuficientes para evaluación automática. Requiere revisión manual.' END) AS false_positive_assessment, "
+        "CASE severity_label WHEN 'critical' THEN concat('notify_soc:soc-team:immediate,create_ticket:thehive:immediate,isolate_host:', host, ':high') WHEN 'high' THEN 'notify_soc:soc-team:high,create_ticket:thehive:high' WHEN 'medium' THEN 'create_ticket:thehive:medium' ELSE 'log_only:opensearch:low' END AS actions, CASE severity_label WHEN 'critical' THEN 'isolate_host' ELSE '' END AS manual_actions FROM x"
+    ),
     "incident_timeline": f"WITH {SESSION} SELECT src_ip, session, concat(string_agg(concat(us, ' ', event_type), '; ' ORDER BY us, alert_id), '; incident created') AS timeline FROM ses GROUP BY 1, 2",
     "entity_extract": r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b'), lambda x: length(x) >= 7))), ',') AS ips, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '\b[A-Za-z][A-Za-z0-9]*-[A-Za-z0-9-]*[A-Za-z0-9]\b'), lambda x: length(x) >= 5))), ',') AS hosts, len(list_distinct(regexp_extract_all(text, '\b[0-9a-fA-F]{32,64}\b'))) AS hashes FROM documents",
-    "entity_except": "WITH t AS (SELECT conv_id, arg_min(text, turn) AS a, arg_max(text, turn) AS b FROM conversations GROUP BY 1) SELECT conv_id, len(list_filter(list_distinct(regexp_extract_all(b, '[a-z]+')), lambda x: NOT list_contains(regexp_extract_all(a, '[a-z]+'), x))) AS unsupported FROM t",
+    "entity_except": "WITH w AS (SELECT DISTINCT conv_id, coalesce(role = 'assistant', false) AS mine, unnest(regexp_extract_all(coalesce(text, ''), '[a-z]+')) AS word FROM conversations), u AS (SELECT conv_id, word FROM w WHERE mine EXCEPT SELECT conv_id, word FROM w WHERE NOT mine) SELECT c.conv_id, count(u.word) AS unsupported FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL) c LEFT JOIN u USING (conv_id) GROUP BY 1",
     "tag_overlap": f"WITH {A.ALERTS} SELECT alert_id, event_type = 'scan' OR source_type = 'host' AS suspicious FROM alerts",
     "validate_accept": f"WITH {A.ALERTS} SELECT alert_id FROM alerts WHERE severity BETWEEN 5 AND 90 AND confidence BETWEEN 0.05 AND 0.95 AND event_type <> 'dns_tunneling'",
     "validate_reject": f"WITH {A.ALERTS}, e AS (SELECT alert_id, concat_ws(',', CASE WHEN NOT severity BETWEEN 5 AND 90 THEN 'severity' END, CASE WHEN NOT confidence BETWEEN 0.05 AND 0.95 THEN 'confidence' END, CASE WHEN event_type = 'dns_tunneling' THEN 'event_type' END) AS error FROM alerts) SELECT * FROM e WHERE error <> ''",
     "weekly_report": f"WITH {A.ALERTS} SELECT event_type, count(*) AS n, count(*) FILTER (backup OR severity < 10) AS false_positives, round(count(*) FILTER (backup OR severity < 10) / count(*), 6) AS fp_rate FROM alerts GROUP BY 1",
-    "tactic_types": "SELECT p_partkey, (ARRAY['c2_beaconing', 'lateral_movement', 'exfiltration', 'scan', 'anomaly'])[p_partkey % 5 + 1] AS event_type FROM part",
+    "tactic_types": "SELECT p_partkey, (ARRAY['c2_beaconing', 'lateral_movement', 'exfiltration', 'scan', 'credential_theft', 'anomaly'])[p_partkey % 6 + 1] AS event_type FROM part",
 }

@@ -57,8 +57,9 @@ def _active_links(spark, d):
 
 
 def _zones(spark, d):
-    flows = A.conn(spark, d).select(F.concat(F.when(F.col("src_ip") % 3 == 0, "10.0.").when(F.col("src_ip") % 3 == 1, "192.168.").otherwise("8.8."), F.col("src_ip").cast("string")).alias("ip"))
-    return flows.groupBy(scalars.zone("ip").alias("zone")).agg(F.count("*").alias("n"))
+    nets = F.array(*[F.lit(x) for x in ("10.0.0.", "10.1.0.", "10.2.0.", "10.3.0.", "10.9.0.", "192.168.1.", "172.16.0.", "8.8.8.", "0123456789abcdef")])
+    flows = A.conn(spark, d).select(F.concat(F.element_at(nets, (F.col("src_ip") % 9 + 1).cast("int")), F.col("src_ip").cast("string")).alias("ip"))
+    return flows.groupBy(scalars.zone("ip").alias("zone")).agg(F.count("*").alias("n")).withColumn("kind", scalars.zone_kind("zone"))
 
 
 QUERIES = {
@@ -105,7 +106,7 @@ SQL = {
     "window_features": f"WITH {A.CONN}, {A.DNS}, o AS (SELECT min(us) AS origin FROM conn), cw AS (SELECT src_ip, us - ((us - origin) % {W} + {W}) % {W} AS window_us, {_SUM('orig_bytes')} AS bytes_out, {_SUM('resp_bytes')} AS bytes_in, {_SUM('orig_pkts + resp_pkts')} AS pkts_total, count(DISTINCT dst_ip) AS unique_destinations, count(DISTINCT dst_port) AS unique_ports, round(avg(duration), 6) AS avg_duration, count(*) AS connection_count FROM conn, o GROUP BY 1, 2), dw AS (SELECT src_ip, us - ((us - origin) % {W} + {W}) % {W} AS window_us, count(*) AS dns_queries, avg(CASE WHEN rcode IN ('NXDOMAIN', 'SERVFAIL') THEN 1.0::DOUBLE ELSE 0 END) AS nx FROM dns, o GROUP BY 1, 2) SELECT cw.*, coalesce(dns_queries, 0) AS dns_queries, round(coalesce(nx, 0), 6) AS nxdomain_ratio FROM cw LEFT JOIN dw USING (src_ip, window_us)",
     "scaled_features": f"WITH {FEATURES}, st AS (SELECT avg(duration) m1, stddev_pop(duration) s1, avg(bytes_total) m2, stddev_pop(bytes_total) s2, avg(bytes_ratio) m3, stddev_pop(bytes_ratio) s3, avg(unique_destinations) m4, stddev_pop(unique_destinations) s4 FROM feats) SELECT uid, round((duration - m1) / (CASE WHEN s1 = 0 THEN 1 ELSE s1 END), 6) AS duration, round((bytes_total - m2) / (CASE WHEN s2 = 0 THEN 1 ELSE s2 END), 6) AS bytes_total, round((bytes_ratio - m3) / (CASE WHEN s3 = 0 THEN 1 ELSE s3 END), 6) AS bytes_ratio, round((unique_destinations - m4) / (CASE WHEN s4 = 0 THEN 1 ELSE s4 END), 6) AS unique_destinations FROM feats, st",
     "baseline_stats": f"WITH {BASE} SELECT src_ip, service, metric, {', '.join(f'round({c}, 9) AS {c}' for c in baseline.STATS)}, sample_count FROM base",
-    "baseline_compare": f"WITH {BASE} SELECT uid, metric, round(v, 6) AS value, round(z, 6) AS z, round(r, 6) AS ratio, abs(z) > 3 OR r > 1 AS is_anomalous FROM (SELECT uid, l.metric, v, CASE WHEN std > 0 THEN (v - mean) / std ELSE 0 END AS z, CASE WHEN p99 > 0 THEN v / p99 ELSE 0 END AS r FROM long l LEFT JOIN base b ON l.src_ip = b.src_ip AND l.service = b.service AND l.metric = b.metric)",
+    "baseline_compare": f"WITH {BASE} SELECT uid, metric, round(v, 6) AS value, round(z, 6) AS z, round(r, 6) AS ratio, coalesce(std, 0) > 0 AND (abs(z) > 3 OR r > 1) AS is_anomalous FROM (SELECT uid, l.metric, v, std, CASE WHEN std > 0 THEN (v - mean) / std ELSE 0 END AS z, CASE WHEN p99 > 0 THEN v / p99 ELSE 0 END AS r FROM long l LEFT JOIN base b ON l.src_ip = b.src_ip AND l.service = b.service AND l.metric = b.metric)",
     "panel_bytes_over_time": f"WITH {A.CONN} SELECT us - us % 3600000000 AS bucket_us, {_SUM('orig_bytes')} AS metric, count(*) AS doc_count FROM conn GROUP BY 1",
     "panel_top_talkers": f"WITH {A.CONN} SELECT src_ip, {_SUM('orig_bytes')} AS metric, count(*) AS doc_count FROM conn GROUP BY 1 ORDER BY doc_count DESC, src_ip LIMIT 10",
     "panel_cardinality": f"WITH {A.CONN} SELECT service, count(DISTINCT dst_ip) AS metric, count(*) AS doc_count FROM conn GROUP BY 1",
@@ -119,7 +120,7 @@ SQL = {
     "source_type_distribution": f"WITH {A.ALERTS} SELECT source_type, count(*) AS n FROM (SELECT DISTINCT src_ip, source_type FROM alerts) GROUP BY 1",
     "topology_edges": f"WITH {A.CONN}, e AS (SELECT src_ip, dst_ip, count(*) AS n, sum(orig_bytes + resp_bytes) AS b FROM conn WHERE src_ip <> dst_ip GROUP BY 1, 2), dv AS (SELECT s_suppkey AS ip, concat('device-', CAST(s_nationkey AS VARCHAR)) AS device FROM supplier) SELECT x.device AS from_device, y.device AS to_device, {_SUM('n')} AS connections, {_SUM('b')} AS bytes_total FROM e JOIN dv x ON src_ip = x.ip JOIN dv y ON dst_ip = y.ip WHERE x.device <> y.device GROUP BY 1, 2",
     "topology_devices": f"WITH {A.CONN} SELECT ip, {_SUM('a')} AS as_src, {_SUM('b')} AS as_dst, CASE WHEN sum(a) > 80 THEN 'critical' WHEN sum(a) > 60 THEN 'high' WHEN sum(a) > 40 THEN 'medium' ELSE 'low' END AS risk FROM (SELECT src_ip AS ip, 1 AS a, 0 AS b FROM conn UNION ALL SELECT dst_ip, 0, 1 FROM conn) GROUP BY 1",
-    "topology_zones": f"WITH {A.CONN} SELECT CASE src_ip % 3 WHEN 0 THEN 'servers' WHEN 1 THEN 'office' ELSE 'external' END AS zone, count(*) AS n FROM conn GROUP BY 1",
+    "topology_zones": f"WITH {A.CONN}, z AS (SELECT (ARRAY['dmz', 'core', 'lan', 'iot', 'lan', 'lan', 'lan', 'internet', 'internet'])[src_ip % 9 + 1] AS zone FROM conn) SELECT zone, count(*) AS n, (MAP {{'internet': 'external', 'dmz': 'server', 'core': 'server', 'lan': 'workstation', 'iot': 'iot'}})[zone] AS kind FROM z GROUP BY 1",
     "active_links": f"WITH {A.CONN}, e AS (SELECT src_ip, dst_ip, {_SUM('orig_bytes + resp_bytes')} AS bytes_total, max(conn_state) AS st FROM conn WHERE src_ip <> dst_ip GROUP BY 1, 2), f AS (SELECT *, CASE WHEN bytes_total > 1000000 THEN 0.85::DOUBLE WHEN bytes_total > 100000 THEN 0.55::DOUBLE ELSE 0.25::DOUBLE END AS score FROM e) SELECT src_ip, dst_ip, bytes_total, score, st IN ('S0', 'REJ', 'S1') OR score > 0.7 AS is_anomaly FROM f",
     "line_rollup_daily": f"WITH {A.LINES} SELECT us, src_ip, count(*) AS connections, {_SUM('bytes')} AS bytes_total, count(DISTINCT dst_ip) AS unique_destinations FROM line GROUP BY 1, 2",
     "latest_by_key": f"WITH {A.ALERTS} SELECT src_ip, event_type, alert_id, us FROM alerts QUALIFY row_number() OVER (PARTITION BY src_ip, event_type ORDER BY us DESC, alert_id DESC) = 1",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowlens.functions.scalars import at_least
 from flowlens.operators import labels as L
 from flowlens.operators import matching as M
 from flowlens.operators import tuning as T
@@ -41,15 +42,15 @@ def votes(s, d):
         return got.withColumn("event_type", kind).join(base, "label_id").select(F.floor(F.col("label_id") / 4).alias("event_id"), "us", "source", "label", "confidence", "event_type", (F.col("label_id") * 10 + ordinal).alias("ord"))
 
     analyst = rows.where("label_id % 10 = 0")
-    out = of("ids", 0, rows).unionByName(of("hids", 1, rows)).unionByName(of("correlation", 2, rows)).unionByName(of("analyst", 3, analyst))
+    out = of("ids", 0, rows).unionByName(of("hids", 1, A.host_records(s, d))).unionByName(of("correlation", 2, rows)).unionByName(of("analyst", 3, analyst))
     return out
 
 
 VOTES = (
-    f"{A.EVENTS}, {A.LABELS}, votes AS (SELECT label_id // 4 AS event_id, us, 'ids' AS source, true AS label, CASE severity WHEN 1 THEN 0.95::DOUBLE WHEN 2 THEN 0.80::DOUBLE WHEN 3 THEN 0.60::DOUBLE ELSE 0.5::DOUBLE END AS confidence, CASE category WHEN 'Network Scan' THEN 'scan' WHEN 'Trojan' THEN 'c2_beaconing' WHEN 'Exfiltration' THEN 'exfiltration' ELSE 'anomaly' END AS event_type, label_id * 10 AS ord, 1.0::DOUBLE AS w FROM lab "
-    "UNION ALL SELECT label_id // 4, us, 'hids', true, CASE WHEN level >= 12 THEN 0.95::DOUBLE WHEN level >= 9 THEN 0.85::DOUBLE ELSE 0.70::DOUBLE END, CASE category WHEN 'Network Scan' THEN 'scan' WHEN 'Trojan' THEN 'c2_beaconing' WHEN 'Exfiltration' THEN 'exfiltration' ELSE 'host_anomaly' END, label_id * 10 + 1, 0.8::DOUBLE FROM lab WHERE level >= 6 "
-    "UNION ALL SELECT label_id // 4, us, 'correlation', true, confidence * 0.8::DOUBLE, NULL, label_id * 10 + 2, 0.9::DOUBLE FROM lab WHERE confidence * 0.8::DOUBLE >= 0.3 "
-    "UNION ALL SELECT label_id // 4, us, 'analyst', label, 1.0::DOUBLE, NULL, label_id * 10 + 3, 2.0::DOUBLE FROM lab WHERE label_id % 10 = 0)"
+    f"{A.EVENTS}, {A.LABELS}, votes AS (SELECT label_id // 4 AS event_id, us, 'ids' AS source, true AS label, ids_conf AS confidence, ids_type AS event_type, label_id * 10 AS ord, 1.2::DOUBLE AS w FROM lab "
+    "UNION ALL SELECT label_id // 4, us, 'hids', true, hids_conf, hids_type, label_id * 10 + 1, 1.0::DOUBLE FROM lab WHERE level >= 6 "
+    "UNION ALL SELECT label_id // 4, us, 'correlation', true, confidence * 0.8::DOUBLE, tactic_type, label_id * 10 + 2, 0.7::DOUBLE FROM lab WHERE confidence * 0.8::DOUBLE >= 0.3 "
+    "UNION ALL SELECT label_id // 4, us, 'analyst', label, 1.0::DOUBLE, 'analyst_confirmed', label_id * 10 + 3, 2.0::DOUBLE FROM lab WHERE label_id % 10 = 0)"
 )
 
 
@@ -64,22 +65,28 @@ def machine_votes(s, d):
 
 CONSENSUS = (
     f"WITH {A.EVENTS}, v AS (SELECT event_id // 3 AS event_id, us, (ARRAY['ids', 'hids', 'intel', 'other'])[k % 4 + 1] AS source, CASE WHEN k % 5 = 0 THEN NULL ELSE k % 2 = 0 END AS label, (k + 1) / 128 AS confidence, CASE WHEN k % 3 = 0 THEN event_type END AS event_type, event_id AS ord FROM ev), "
-    "w AS (SELECT *, CASE source WHEN 'ids' THEN 1.0::DOUBLE WHEN 'hids' THEN 0.8::DOUBLE WHEN 'intel' THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END * confidence AS wc FROM v), "
+    "w AS (SELECT *, CASE source WHEN 'ids' THEN 1.2::DOUBLE WHEN 'hids' THEN 1.0::DOUBLE WHEN 'intel' THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END * confidence AS wc FROM v), "
     "g AS (SELECT event_id, arg_min(us, ord) AS us, sum(CASE WHEN label THEN wc WHEN NOT label THEN -wc END) / sum(CASE WHEN label IS NOT NULL THEN wc END) AS score, arg_min(event_type, ord) FILTER (label IS NOT NULL AND event_type IS NOT NULL) AS event_type, coalesce(string_agg(DISTINCT source, ',' ORDER BY source) FILTER (label IS NOT NULL), '') AS sources, count(*) FILTER (label) AS votes_positive, count(*) FILTER (NOT label) AS votes_negative, count(*) FILTER (label IS NULL) AS votes_abstain FROM w GROUP BY 1) "
     "SELECT event_id, us, score > 0 AS label, round(abs(score), 6) AS confidence, round(score, 6) AS score, event_type, sources, votes_positive, votes_negative, votes_abstain FROM g WHERE round(abs(score), 9) >= 0.1"
 )
 
 
-def _weak(source, extra=()):
+def _weak(source, columns=("label_id", "label", "confidence", "event_type")):
     def run(s, d):
-        rows = A.label_rows(s, d).withColumn("threat_level", F.col("severity")).withColumn("tags", F.when(F.col("severity") == 1, F.array(F.lit("c2"), F.lit("botnet"))).when(F.col("severity") == 2, F.array(F.lit("exfil"))).otherwise(F.array().cast("array<string>")))
-        got = L.SOURCES[source].weak_labels(rows)
-        return got.select("label_id", "label", F.round("confidence", 6).alias("confidence"), *[c for c in ("event_type",) if c in got.columns])
+        got = L.SOURCES[source].weak_labels(A.host_records(s, d) if source == "hids" else A.label_rows(s, d))
+        return got.select(*columns).withColumn("confidence", F.round("confidence", 6))
 
     return run
 
 
-_KIND = "CASE category WHEN 'Network Scan' THEN 'scan' WHEN 'Trojan' THEN 'c2_beaconing' WHEN 'Exfiltration' THEN 'exfiltration' ELSE '{}' END AS event_type"
+_RECORDS = ("ids", "intel", "correlation", "analyst")
+
+
+def label_events(s, d):
+    """All events labelled from the records of four sources."""
+    rows = A.label_rows(s, d)
+    records = {name: rows.where("label_id % 10 = 0") if name == "analyst" else rows for name in _RECORDS}
+    return L.label_events(A.events(s, d).select("event_id", "us", F.col("user_id").alias("src_ip"), F.col("k").alias("dst_ip")), records)
 
 
 def _grid_sql(weight: str) -> str:
@@ -166,10 +173,11 @@ QUERIES = {
     "alignment_summary": lambda s, d: rounded(M.alignment_summary(aligned(s, d)), "match_rate", "avg_distance_us", "avg_confidence"),
     "label_dedup": lambda s, d: M.dedup_labels(A.label_rows(s, d)),
     "weak_labels_ids": _weak("ids"),
-    "weak_labels_hids": _weak("hids"),
+    "weak_labels_hids": _weak("hids", ("label_id", "label", "confidence", "event_type", "src_ip", "dst_ip")),
     "weak_labels_intel": _weak("intel"),
     "weak_labels_corr": _weak("correlation"),
-    "weak_labels_vendor": lambda s, d: L.vendor_labels(A.label_rows(s, d).withColumn("severity_name", F.element_at(F.array(*[F.lit(x) for x in ("low", "medium", "high", "Critical")]), F.col("severity").cast("int"))), F.col("severity") >= 2),
+    "weak_labels_vendor": lambda s, d: L.vendor_labels(A.label_rows(s, d), minimum=at_least("severity_name", "medium")),
+    "label_events": lambda s, d: L.supervised(label_events(s, d)).withColumn("confidence", F.round("confidence", 6)),
     "consensus_vote": lambda s, d: rounded(L.consensus(machine_votes(s, d)).where("round(abs(score), 9) >= 0.1"), "confidence", "score"),
     "consensus_analyst": lambda s, d: L.consensus(votes(s, d)).select("event_id", "us", "label", F.round("confidence", 6).alias("confidence"), "event_type", "sources"),
     "source_stats": lambda s, d: rounded(L.source_stats(votes(s, d)), "avg_confidence"),
@@ -206,11 +214,18 @@ SQL = {
     "nearest_event_match": f"WITH {A.EVENTS}, {A.LABELS} SELECT label_id, e.event_id, abs(l.us - e.us) AS distance_us FROM lab l JOIN ev e ON e.event_type = 'purchase' AND e.user_id = l.src_ip AND e.k = l.dst_ip AND abs(l.us - e.us) <= {REACH} QUALIFY row_number() OVER (PARTITION BY label_id ORDER BY abs(l.us - e.us), e.us, e.event_id) = 1",
     "alignment_summary": f"WITH {ALIGNED} SELECT count(*) AS total, count(label_id) AS matched, count(*) - count(label_id) AS unmatched, round(count(label_id) / greatest(count(*), 1), 6) AS match_rate, round(coalesce(sum(distance_us), 0) / greatest(count(label_id), 1), 6) AS avg_distance_us, round(sum(match_confidence) / greatest(count(label_id), 1), 6) AS avg_confidence FROM al",
     "label_dedup": f"WITH {A.EVENTS}, {A.LABELS} SELECT src_ip, dst_ip, label_id, us FROM lab QUALIFY row_number() OVER (PARTITION BY src_ip, dst_ip, round_even(us / 1000000, 0) ORDER BY us, label_id) = 1",
-    "weak_labels_ids": f"WITH {A.EVENTS}, {A.LABELS} SELECT label_id, true AS label, CASE severity WHEN 1 THEN 0.95::DOUBLE WHEN 2 THEN 0.8::DOUBLE WHEN 3 THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END AS confidence, {_KIND.format('anomaly')} FROM lab",
-    "weak_labels_hids": f"WITH {A.EVENTS}, {A.LABELS} SELECT label_id, true AS label, CASE WHEN level >= 12 THEN 0.95::DOUBLE WHEN level >= 9 THEN 0.85::DOUBLE ELSE 0.7::DOUBLE END AS confidence, {_KIND.format('host_anomaly')} FROM lab WHERE level >= 6",
-    "weak_labels_intel": f"WITH {A.EVENTS}, {A.LABELS} SELECT label_id, true AS label, CASE severity WHEN 1 THEN 0.95::DOUBLE WHEN 2 THEN 0.85::DOUBLE WHEN 3 THEN 0.7::DOUBLE ELSE 0.6::DOUBLE END AS confidence, CASE severity WHEN 1 THEN 'c2_beaconing' WHEN 2 THEN 'exfiltration' ELSE 'anomaly' END AS event_type FROM lab",
-    "weak_labels_corr": f"WITH {A.EVENTS}, {A.LABELS} SELECT label_id, true AS label, round(confidence * 0.8::DOUBLE, 6) AS confidence FROM lab WHERE confidence * 0.8::DOUBLE >= 0.3",
-    "weak_labels_vendor": f"WITH {A.EVENTS}, {A.LABELS} SELECT label_id, true AS label, CASE severity WHEN 2 THEN 0.7::DOUBLE WHEN 3 THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END AS confidence, {_KIND.format('anomaly')} FROM lab WHERE severity >= 2",
+    "weak_labels_ids": f"WITH {A.EVENTS}, {A.LABELS} SELECT label_id, true AS label, ids_conf AS confidence, ids_type AS event_type FROM lab",
+    "weak_labels_hids": f"WITH {A.EVENTS}, {A.LABELS} SELECT label_id, true AS label, round(hids_conf, 6) AS confidence, hids_type AS event_type, CASE WHEN k % 7 = 0 THEN concat('agent:', k % 10) ELSE CAST(src_ip AS VARCHAR) END AS src_ip, CASE WHEN k % 7 = 0 OR k % 5 = 0 THEN '' ELSE CAST(dst_ip AS VARCHAR) END AS dst_ip FROM lab WHERE level >= 6",
+    "weak_labels_intel": f"WITH {A.EVENTS}, {A.LABELS} SELECT label_id, true AS label, intel_conf AS confidence, intel_type AS event_type FROM lab",
+    "weak_labels_corr": f"WITH {A.EVENTS}, {A.LABELS} SELECT label_id, true AS label, round(confidence * 0.8::DOUBLE, 6) AS confidence, tactic_type AS event_type FROM lab WHERE confidence * 0.8::DOUBLE >= 0.3",
+    "weak_labels_vendor": f"WITH {A.EVENTS}, {A.LABELS} SELECT label_id, true AS label, vendor_conf AS confidence, vendor_type AS event_type FROM lab WHERE k % 5 >= 1 QUALIFY row_number() OVER (PARTITION BY src_ip, dst_ip, round_even(us / 1000000, 0) ORDER BY us, label_id) = 1",
+    "label_events": (
+        f"WITH {A.EVENTS}, {A.LABELS}, made AS (SELECT 0 AS so, label_id, us, src_ip, dst_ip, 'ids' AS source, true AS label, ids_conf AS confidence, ids_type AS event_type, 1.2::DOUBLE AS w FROM lab UNION ALL SELECT 1, label_id, us, src_ip, dst_ip, 'intel', true, intel_conf, intel_type, 1.3::DOUBLE FROM lab "
+        "UNION ALL SELECT 2, label_id, us, src_ip, dst_ip, 'correlation', true, confidence * 0.8::DOUBLE, tactic_type, 0.7::DOUBLE FROM lab WHERE confidence * 0.8::DOUBLE >= 0.3 UNION ALL SELECT 3, label_id, us, src_ip, dst_ip, 'analyst', label, 1.0::DOUBLE, 'analyst_confirmed', 2.0::DOUBLE FROM lab WHERE label_id % 10 = 0), "
+        "v AS (SELECT m.*, e.event_id FROM made m JOIN ev e ON e.user_id = m.src_ip AND e.k = m.dst_ip AND abs(e.us - m.us) <= 60000000 QUALIFY row_number() OVER (PARTITION BY so, label_id ORDER BY abs(e.us - m.us), e.us, e.event_id) = 1), "
+        "g AS (SELECT event_id, arg_min(us, (so, label_id)) AS us, sum(CASE WHEN label THEN w * confidence ELSE -w * confidence END) / sum(w * confidence) AS score, arg_max(label, (us, so, label_id)) FILTER (source = 'analyst') AS an, arg_min(event_type, (so, label_id)) AS event_type FROM v GROUP BY 1) "
+        "SELECT event_id, us, coalesce(an, score > 0) AS label, 'consensus' AS source, CASE WHEN an IS NULL THEN round(abs(score), 6) ELSE 1 END AS confidence, event_type FROM g WHERE an IS NOT NULL OR abs(score) >= 0.1"
+    ),
     "consensus_vote": CONSENSUS,
     "consensus_analyst": f"WITH {VOTES}, g AS (SELECT event_id, arg_min(us, ord) AS us, sum(CASE WHEN label THEN w * confidence WHEN NOT label THEN -w * confidence END) / sum(w * confidence) AS score, arg_max(label, (us, ord)) FILTER (source = 'analyst') AS an, arg_min(event_type, ord) FILTER (event_type IS NOT NULL) AS event_type, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM votes GROUP BY 1) SELECT event_id, us, coalesce(an, score > 0) AS label, round(CASE WHEN an IS NOT NULL THEN 1 ELSE abs(score) END, 6) AS confidence, event_type, sources FROM g WHERE an IS NOT NULL OR abs(score) >= 0.1",
     "source_stats": f"WITH {VOTES} SELECT source, count(*) AS n, count(*) FILTER (label) AS positive, count(*) FILTER (NOT label) AS negative, count(*) FILTER (label IS NULL) AS abstained, round(avg(confidence), 6) AS avg_confidence FROM votes GROUP BY 1",

@@ -92,17 +92,46 @@ SCORES = (
 )
 
 
+#: What label records hold, by k: categories, rule groups, tags, vendor categories and tactics.
+CATEGORIES = ("Network Scan", "Trojan Activity", "Other", "Data Exfiltration", "Attempted User Privilege Gain", "DNS Tunneling", "Attempted Administrator Privilege Gain", "Malware Command and Control Activity Detected")
+GROUPS = (("ossec", "syscheck"), ("auth", "web"), ("rootcheck",), ("unknown",), ("malware",), ("sql_injection", "xss"))
+TAGS = (("c2",), ("scan", "botnet"), ("exfiltration",), ("recon",), ("tor",), ())
+VENDOR_CATEGORIES = ("exfiltration", "c2_beaconing", "lateral_movement", "dns_tunneling", "scan", "other")
+TACTICS = ("Command and Control", "Lateral Movement", "Exfiltration over C2", "Discovery", "Credential Access", "Impact")
+SEVERITY_NAMES = ("low", "medium", "high", "critical", "Critical")
+
+
+def _by_k(values: tuple) -> Column:
+    one = lambda v: F.array(*map(F.lit, v)).cast("array<string>") if isinstance(v, tuple) else F.lit(v)
+    return F.element_at(F.array(*map(one, values)), (F.col("k") % len(values) + 1).cast("int"))
+
+
 def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels at a time and place: label_id, us, src_ip, dst_ip, label, confidence, severity (1 to 3), level (0 to 15), category."""
+    """Labels at a time and place: label_id, us, src_ip, dst_ip, label, confidence, severity (1 to 4), level (0 to 15) and what sources read."""
+    k = F.col("k")
     return events(spark, sf_dir).where("event_type = 'error'").select(
-        F.col("event_id").alias("label_id"), "us", F.col("user_id").alias("src_ip"), F.col("k").alias("dst_ip"), (F.col("k") % 3 != 0).alias("label"), (F.col("k") / 100).alias("confidence"), (F.col("k") % 4 + 1).alias("severity"), (F.col("k") % 16).alias("level"),
-        F.element_at(F.array(F.lit("Network Scan"), F.lit("Trojan"), F.lit("Other"), F.lit("Exfiltration")), (F.col("k") % 4 + 1).cast("int")).alias("category"),
+        F.col("event_id").alias("label_id"), "us", F.col("user_id").alias("src_ip"), k.alias("dst_ip"), (k % 3 != 0).alias("label"), (k / 100).alias("confidence"), (k % 4 + 1).alias("severity"), (k % 16).alias("level"),
+        _by_k(CATEGORIES).alias("category"), _by_k(GROUPS).alias("groups"), (k % 10).alias("agent_id"), (k % 5).alias("threat_level"), _by_k(TAGS).alias("tags"), _by_k(VENDOR_CATEGORIES).alias("vendor_category"), _by_k(TACTICS).alias("tactic"), _by_k(SEVERITY_NAMES).alias("severity_name"),
     )
 
 
+def host_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label records of host agents, some without addresses."""
+    return label_rows(spark, sf_dir).withColumn("src_ip", F.when(F.col("dst_ip") % 7 != 0, F.col("src_ip"))).withColumn("dst_ip", F.when((F.col("dst_ip") % 7 != 0) & (F.col("dst_ip") % 5 != 0), F.col("dst_ip")))
+
+
 LABELS = (
-    "lab AS (SELECT event_id AS label_id, us, user_id AS src_ip, k AS dst_ip, k % 3 <> 0 AS label, k / 100 AS confidence, k % 4 + 1 AS severity, k % 16 AS level, "
-    "(ARRAY['Network Scan', 'Trojan', 'Other', 'Exfiltration'])[k % 4 + 1] AS category FROM ev WHERE event_type = 'error')"
+    "lab AS (SELECT event_id AS label_id, us, user_id AS src_ip, k AS dst_ip, k % 3 <> 0 AS label, k / 100 AS confidence, k % 4 + 1 AS severity, k % 16 AS level, k, "
+    "(ARRAY['scan', 'c2_beaconing', 'anomaly', 'exfiltration', 'lateral_movement', 'dns_tunneling', 'lateral_movement', 'c2_beaconing'])[k % 8 + 1] AS ids_type, "
+    "(ARRAY['file_integrity', 'auth_anomaly', 'rootkit', 'anomaly', 'malware', 'sql_injection'])[k % 6 + 1] AS hids_type, "
+    "CASE WHEN k % 16 >= 12 THEN 0.95::DOUBLE WHEN k % 16 >= 9 THEN 0.85::DOUBLE ELSE 0.7::DOUBLE END * CASE WHEN k % 7 = 0 THEN 0.7::DOUBLE ELSE 1 END AS hids_conf, "
+    "(ARRAY['c2_beaconing', 'c2_beaconing', 'exfiltration', 'scan', 'threat_intel_match', 'threat_intel_match'])[k % 6 + 1] AS intel_type, "
+    "(ARRAY[0.6, 0.95, 0.85, 0.7, 0.6]::DOUBLE[])[k % 5 + 1] AS intel_conf, "
+    "(ARRAY['exfiltration', 'c2_beaconing', 'lateral_movement', 'dns_tunneling', 'scan', 'anomaly'])[k % 6 + 1] AS vendor_type, "
+    "(ARRAY[0.5, 0.7, 0.9, 1.0, 0.5]::DOUBLE[])[k % 5 + 1] AS vendor_conf, "
+    "(ARRAY['c2_beaconing', 'lateral_movement', 'exfiltration', 'scan', 'credential_theft', 'anomaly'])[k % 6 + 1] AS tactic_type, "
+    "CASE severity WHEN 1 THEN 0.95::DOUBLE WHEN 2 THEN 0.80::DOUBLE WHEN 3 THEN 0.60::DOUBLE ELSE 0.5::DOUBLE END AS ids_conf "
+    "FROM (SELECT *, k % 4 + 1 AS severity FROM ev) WHERE event_type = 'error')"
 )
 
 
