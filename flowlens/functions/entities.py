@@ -33,3 +33,15 @@ def hosts(text: str | Column) -> Column:
 def unsupported(named: str | Column, allowed: str | Column) -> Column:
     """What is named but not allowed: entities that an explanation made up."""
     return F.array_except(col(named), col(allowed))
+
+
+ALERT_ID = r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b"
+
+
+def alert_ids(text: str | Column) -> Column:
+    return found(text, ALERT_ID)
+
+
+def invented(text: str | Column, ips_: str | Column, hosts_: str | Column, ids: str | Column) -> Column:
+    """What a text names that its input does not have: struct of arrays of addresses, host names and alert ids."""
+    return F.struct(unsupported(ips(text), ips_).alias("ips"), unsupported(hosts(text), hosts_).alias("hosts"), unsupported(alert_ids(text), ids).alias("alert_ids"))

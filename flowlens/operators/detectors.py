@@ -1,7 +1,8 @@
-"""Anomaly detectors: isolation forest, autoencoder and hidden Markov model, fitted on bounded samples and applied by Spark.
+"""Anomaly detectors: isolation forest, autoencoder and hidden Markov model, fitted and applied by Spark.
 
-A detector is fitted on at most ``SAMPLE`` rows, taken by a hash of the id, which is what its algorithm needs however large the table; it is
-applied to all rows in Arrow batches, or per host for sequences. Its parameters are plain arrays that ``artifacts`` writes as JSON.
+The trees of the forest and the autoencoder are fitted on at most ``SAMPLE`` rows, taken by a hash of the id; scores' bounds and thresholds come
+from all rows (``calibrated``). The hidden Markov model is fitted on all windows of all hosts, whose sums Spark collects in each round. A model
+is applied to all rows in Arrow batches, or per host for sequences. Fitted on an empty table, a forest gives 0.5 for every row, the others 0. Its parameters are plain arrays that ``artifacts`` writes as JSON.
 """
 
 from __future__ import annotations
@@ -74,6 +75,8 @@ def _average_path(n: float) -> float:
 
 def fit_forest(x: np.ndarray, trees: int = 100, size: int = 256, seed: int = SEED) -> IsolationForest:
     rng = np.random.default_rng(seed)
+    if not len(x):
+        return IsolationForest(np.full((1, 1), -1), np.zeros((1, 1)), np.ones((1, 1)), 2)
     size = min(size, len(x))
     depth = max(1, int(np.ceil(np.log2(max(2, size)))))
     nodes = 2 ** (depth + 1) - 1
@@ -121,10 +124,11 @@ class Autoencoder:
         return np.minimum(1.0, self.error(x) / (2 * self.threshold)) if self.threshold > 0 else np.zeros(len(x))
 
 
-def fit_autoencoder(x: np.ndarray, hidden: tuple[int, ...] = (64, 32, 16, 32, 64), epochs: int = 50, batch: int = 32, rate: float = 1e-3, seed: int = SEED, most: int = 4000) -> Autoencoder:
-    """Adam on the squared error over at most ``most`` rows; the threshold is the 99th percentile of the training error."""
+def fit_autoencoder(x: np.ndarray, hidden: tuple[int, ...] = (64, 32, 16, 32, 64), epochs: int = 50, batch: int = 32, rate: float = 1e-3, seed: int = SEED) -> Autoencoder:
+    """Adam on the squared error over the rows of the sample; the threshold is the 99th percentile of the training error."""
     rng = np.random.default_rng(seed)
-    x = x[:most]
+    if not len(x):
+        return Autoencoder([np.zeros((x.shape[1], x.shape[1]))], [np.zeros(x.shape[1])], np.zeros(x.shape[1]), np.ones(x.shape[1]))
     sd = x.std(axis=0)
     sizes = [x.shape[1], *hidden, x.shape[1]]
     model = Autoencoder([rng.normal(0, np.sqrt(2 / a), (a, b)) for a, b in zip(sizes, sizes[1:])], [np.zeros(b) for b in sizes[1:]], x.mean(axis=0), np.where(sd > 0, sd, 1.0))
@@ -151,8 +155,9 @@ def fit_autoencoder(x: np.ndarray, hidden: tuple[int, ...] = (64, 32, 16, 32, 64
     return model
 
 
-STATE_LABELS = ("normal", "scan", "exfiltration", "c2_beaconing")
-STATE_BASE = {"normal": 0.1, "scan": 0.6, "exfiltration": 0.8, "c2_beaconing": 0.7, "unknown": 0.5}
+#: Names of the states, and what a window in each scores at least.
+STATE_LABELS = ("normal", "scan", "exfil", "c2")
+STATE_BASE = {"normal": 0.1, "scan": 0.6, "exfil": 0.8, "c2": 0.7, "unknown": 0.5}
 
 
 @dataclass
@@ -187,57 +192,134 @@ class Hmm:
 
 
 def label_states(means: np.ndarray, columns: list[str]) -> list[str]:
-    """Greedy: the state with most bytes out is exfiltration, of the others the one with most destinations a scan, the quietest normal, the last c2."""
-    index = {c: k for k, c in enumerate(columns)}
+    """Greedy, in this order: the state of most bytes out is "exfil", of the others the one of most destinations "scan", the one of least bytes
+    and destinations (a destination weighs as 1,000 bytes) "normal", the last "c2"."""
+    sent, met = (means[:, columns.index(c)] if c in columns else np.zeros(len(means)) for c in ("bytes_out", "unique_destinations"))
+    worth = {"exfil": sent, "scan": met, "normal": -sent - 1000 * met, "c2": np.zeros(len(means))}
     left, labels = list(range(len(means))), ["unknown"] * len(means)
-    for label, column, sign in (("exfiltration", "bytes_out", 1), ("scan", "unique_destinations", 1), ("normal", "connection_count", -1), ("c2_beaconing", "connection_count", 1)):
+    for label, value in worth.items():
         if left:
-            pick = min(left, key=lambda k: (-sign * means[k][index.get(column, 0)], k))
+            pick = max(left, key=lambda k: (value[k], -k))
             labels[pick] = label
             left.remove(pick)
     return labels
 
 
+def _expected(model: Hmm, x: np.ndarray) -> np.ndarray:
+    """Sums of a sequence's expectations, flat: starts, steps, and for each state its weight, its features and their squares (standardized)."""
+    states = len(model.start)
+    z, e = (x - model.center) / model.spread, model.emissions(x)
+    p = np.exp(e - e.max(1, keepdims=True))
+    forward, scale, step = np.zeros_like(p), np.zeros(len(p)), np.zeros((states, states))
+    state = model.start * p[0]
+    for t in range(len(p)):
+        state = (state @ model.step) * p[t] if t else state
+        scale[t] = state.sum() or 1e-300
+        state = forward[t] = state / scale[t]
+    beta, gamma = np.ones(states), np.zeros_like(p)
+    for t in range(len(p) - 1, -1, -1):
+        gamma[t] = forward[t] * beta
+        gamma[t] /= gamma[t].sum() or 1e-300
+        if t:
+            pair = forward[t - 1][:, None] * model.step * (p[t] * beta)[None]
+            step += pair / (pair.sum() or 1e-300)
+            beta = model.step @ (p[t] * beta) / scale[t]
+    return np.concatenate([gamma[0], step.ravel(), gamma.sum(0), (gamma.T @ z).ravel(), (gamma.T @ z**2).ravel()])
+
+
+def _improved(model: Hmm, sums: np.ndarray) -> Hmm:
+    states, width = model.means.shape
+    start, step, mass, first, second = np.split(sums, np.cumsum([states, states * states, states, states * width]))
+    step, mass = step.reshape(states, states) + 1e-3, mass[:, None] + 1e-9
+    means = first.reshape(states, width) / mass
+    return Hmm(start / start.sum(), step / step.sum(1, keepdims=True), means, np.maximum(1e-3, second.reshape(states, width) / mass - means**2), model.center, model.spread, [])
+
+
+def _first_guess(means: np.ndarray, center: np.ndarray, spread: np.ndarray, seed: int) -> Hmm:
+    """States with the given means, standardized and set apart a little; a state lasts."""
+    states = len(means)
+    means = (means - center) / spread + np.random.default_rng(seed).normal(0, 1e-3, means.shape)
+    return Hmm(np.full(states, 1 / states), np.full((states, states), 0.1 / (states - 1)) + np.eye(states) * (0.9 - 0.1 / (states - 1)), means, np.ones_like(means), center, spread, [])
+
+
+def _named(model: Hmm, columns: list[str]) -> Hmm:
+    model.labels = label_states(model.means * model.spread + model.center, columns)
+    return model
+
+
 def fit_hmm(sequences: list[np.ndarray], columns: list[str], states: int = 4, rounds: int = 20, seed: int = SEED) -> Hmm | None:
-    """Baum-Welch over sequences of at least two windows; none below four windows in all."""
+    """Baum-Welch over sequences of at least two windows; none below ``states`` windows in all."""
     sequences = [s for s in sequences if len(s) >= 2]
     if sum(map(len, sequences)) < states:
         return None
     x = np.concatenate(sequences)
     center, spread = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
-    z = (x - center) / spread
-    rng = np.random.default_rng(seed)
-    order = np.argsort(z.sum(1), kind="stable")
-    means = np.array([z[part].mean(0) for part in np.array_split(order, states)]) + rng.normal(0, 1e-3, (states, z.shape[1]))
-    model = Hmm(np.full(states, 1 / states), np.full((states, states), 0.1 / (states - 1)) + np.eye(states) * (0.9 - 0.1 / (states - 1)), means, np.ones_like(means), center, spread, [])
+    # The first states are equal parts of the windows in order of the sum of their standardized features.
+    order = np.argsort(((x - center) / spread).sum(1), kind="stable")
+    model = _first_guess(np.array([x[part].mean(0) for part in np.array_split(order, states)]), center, spread, seed)
     for _ in range(rounds):
-        start, step = np.zeros(states), np.full((states, states), 1e-3)
-        weights = []
-        for s in sequences:
-            e = model.emissions(s)
-            p = np.exp(e - e.max(1, keepdims=True))
-            forward, scale = np.zeros_like(p), np.zeros(len(p))
-            state = model.start * p[0]
-            for t in range(len(p)):
-                state = (state @ model.step) * p[t] if t else state
-                scale[t] = state.sum() or 1e-300
-                state = forward[t] = state / scale[t]
-            beta, gamma = np.ones(states), np.zeros_like(p)
-            for t in range(len(p) - 1, -1, -1):
-                gamma[t] = forward[t] * beta
-                gamma[t] /= gamma[t].sum() or 1e-300
-                if t:
-                    pair = forward[t - 1][:, None] * model.step * (p[t] * beta)[None]
-                    step += pair / (pair.sum() or 1e-300)
-                    beta = model.step @ (p[t] * beta) / scale[t]
-            start += gamma[0]
-            weights.append(gamma)
-        g = np.concatenate(weights)
-        mass = g.sum(0)[:, None] + 1e-9
-        model.start, model.step = start / start.sum(), step / step.sum(1, keepdims=True)
-        model.means = g.T @ z / mass
-        model.variances = np.maximum(1e-3, g.T @ z**2 / mass - model.means**2)
-    model.labels = label_states(model.means * spread + center, columns)
+        model = _improved(model, sum(_expected(model, s) for s in sequences))
+    return _named(model, columns)
+
+
+def fit_hmm_windows(windows: DataFrame, columns: list[str], key: str = "src_ip", order: str = "window_us", states: int = 4, rounds: int = 20, seed: int = SEED) -> Hmm | None:
+    """The same over all windows of a table. Each round a task sums the expectations of its hosts and Spark sums those of the tasks.
+
+    A host's windows are one sequence; there are as many as the time span has windows, however many flows they sum up.
+    """
+    rows = windows.select(key, order, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    several = rows.groupBy(key).count().where("count >= 2").select(key)
+    held = rows.join(several, key, "left_semi").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("s")).select(F.transform("s", lambda w: F.array(*[w[c] for c in columns])).alias("x")).persist()
+    flat = held.select(F.explode("x").alias("w"))
+    every = range(len(columns))
+    got = flat.agg(F.count("*").alias("n"), *[f(F.col("w")[k]).alias(f"{name}{k}") for k in every for name, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    if got["n"] < states:
+        held.unpersist()
+        return None
+    center, spread = (np.array([got[f"{name}{k}"] for k in every], float) for name in "ms")
+    spread = np.where(spread > 0, spread, 1.0)
+    # The first states are about equal parts of the windows in order of the sum of their standardized features.
+    total = sum(((F.col("w")[k] - float(center[k])) / float(spread[k]) for k in every), F.lit(0.0))
+    cuts = flat.agg(F.percentile_approx(total, [k / states for k in range(1, states)])).first()[0]
+    part = sum(((total > c).cast("int") for c in cuts), F.lit(0))
+    sums_of = {r["part"]: r for r in flat.groupBy(part.alias("part")).agg(*[F.avg(F.col("w")[k]).alias(f"m{k}") for k in every]).collect()}
+    model = _first_guess(np.array([[sums_of[s][f"m{k}"] for k in every] if s in sums_of else center for s in range(states)], float), center, spread, seed)
+    for _ in range(rounds):
+        now = model
+
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = None
+            for pdf in batches:
+                for x in pdf["x"]:
+                    made = _expected(now, np.stack(x).astype(float))
+                    total = made if total is None else total + made
+            if total is not None:
+                yield pd.DataFrame({"place": np.arange(len(total)), "v": total})
+
+        parts = held.mapInPandas(sums, "place int, v double").groupBy("place").agg(F.sum("v").alias("v")).orderBy("place").collect()
+        model = _improved(model, np.array([r["v"] for r in parts]))
+    held.unpersist()
+    return _named(model, columns)
+
+
+def calibrated(rows: DataFrame, columns: list[str], model):
+    """The model with the bounds of its scores (a forest) or its threshold (an autoencoder) taken from all rows, in one aggregation."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def measure(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        m = shared.value
+        for part in parts:
+            x = np.column_stack([c.fillna(0.0).to_numpy(float) for c in part])
+            yield pd.Series(m.error(x) if isinstance(m, Autoencoder) else m.raw(x))
+
+    value = rows.select(measure(*[F.col(c).cast("double") for c in columns]).alias("v"))
+    got = value.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.percentile_approx("v", 0.99).alias("p99")).first()
+    shared.unpersist()
+    if got["low"] is not None and isinstance(model, Autoencoder):
+        model.threshold = float(got["p99"])
+    elif got["low"] is not None:
+        model.low, model.high = float(got["low"]), float(got["high"])
     return model
 
 
@@ -257,11 +339,14 @@ def score_rows(rows: DataFrame, columns: list[str], model, key: str, name: str)
     return scored.select(key, F.lit(name).alias("model_name"), "score", (F.col("score") > limit).alias("is_anomaly"))
 
 
-def score_sequences(windows: DataFrame, columns: list[str], model: Hmm, key: str = "src_ip", order: str = "window_us", longest: int = 2000) -> DataFrame:
+def score_sequences(windows: DataFrame, columns: list[str], model: Hmm | None, key: str = "src_ip", order: str = "window_us") -> DataFrame:
     """(key, window, state_label, score, is_anomaly) per window: base by state plus a part of the sequence's unlikeliness.
 
-    A host's windows are decoded in order, in stretches of at most ``longest`` windows, so a host with any number of windows is no one task.
+    A host's windows are decoded as one sequence, whose length is the number of windows in the time span. Without a model all are unknown, 0.
     """
+    rows = windows.select(F.col(key).cast("long").alias(key), order, *columns)
+    if model is None:
+        return rows.select(key, order, F.lit("unknown").alias("state_label"), F.lit(0.0).alias("score"), F.lit(False).alias("is_anomaly"))
     shared = windows.sparkSession.sparkContext.broadcast(model)
     schema = f"{key} long, {order} long, state_label string, score double, is_anomaly boolean"
 
@@ -272,11 +357,7 @@ def score_sequences(windows: DataFrame, columns: list[str], model: Hmm, key: str
         score = np.clip(np.array([STATE_BASE.get(v, 0.5) for v in labels]) + np.clip(-likelihood / 100, 0, 0.2), 0, 1)
         return pd.DataFrame({key: pdf[key], order: pdf[order], "state_label": labels, "score": score, "is_anomaly": (score > 0.5) | (np.array(labels) != "normal")})
 
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
-    stretched = windows.select(F.col(key).cast("long").alias(key), order, *columns).withColumn("_stretch", F.floor(place / longest))
-    return stretched.groupBy(key, "_stretch").applyInPandas(lambda pdf: decode(pdf), schema)
+    return rows.groupBy(key).applyInPandas(decode, schema)
 
 
 def artifact(model) -> str:
@@ -292,15 +373,28 @@ def from_artifact(text: str):
     return kind(**arrays)
 
 
-register_detector("isolation_forest", lambda rows, columns, key: fit_forest(sample(rows, columns, key)), lambda rows, columns, model, key: score_rows(rows, columns, model, key, "isolation_forest"))
-register_detector("autoencoder", lambda rows, columns, key: fit_autoencoder(sample(rows, columns, key)), lambda rows, columns, model, key: score_rows(rows, columns, model, key, "autoencoder"))
+register_detector("isolation_forest", lambda rows, columns, key: calibrated(rows, columns, fit_forest(sample(rows, columns, key))), lambda rows, columns, model, key: score_rows(rows, columns, model, key, "isolation_forest"))
+register_detector("autoencoder", lambda rows, columns, key: calibrated(rows, columns, fit_autoencoder(sample(rows, columns, key))), lambda rows, columns, model, key: score_rows(rows, columns, model, key, "autoencoder"))
+
 
+def detect(rows: DataFrame, columns: list[str], key: str, names: tuple[str, ...] = ("isolation_forest", "autoencoder"), windows: DataFrame | None = None, window_columns: list[str] | None = None) -> DataFrame:
+    """Fits and applies the named detectors; their results (key, model_name, score, is_anomaly) one below the other.
 
-def detect(rows: DataFrame, columns: list[str], key: str, names: tuple[str, ...] = ("isolation_forest", "autoencoder")) -> DataFrame:
-    """Fits and applies the named detectors; their results one below the other."""
+    With ``windows`` (src_ip, window_us and ``window_columns``) the hidden Markov model is one of them; keys are text then, its own "source@start".
+    """
     out = None
     for name in names:
         fit, transform = DETECTORS[name]
         part = transform(rows, columns, fit(rows, columns, key), key)
+        part = part if windows is None else part.withColumn(key, F.col(key).cast("string"))
+        out = part if out is None else out.unionByName(part)
+    if windows is not None:
+        found = score_sequences(windows, window_columns, fit_hmm_windows(windows, window_columns))
+        part = found.select(F.concat_ws("@", "src_ip", "window_us").alias(key), F.lit("hmm").alias("model_name"), "score", "is_anomaly")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def training_summary(results: DataFrame) -> DataFrame:
+    """Rows scored, anomalies and mean score of each model."""
+    return results.groupBy("model_name").agg(F.count("*").alias("n"), F.count(F.when(F.col("is_anomaly"), 1)).alias("anomalies"), F.avg("score").alias("mean_score"))

@@ -61,3 +61,26 @@ def dedup_labels(labels: DataFrame) -> DataFrame:
     keyed = labels.withColumn("_second", F.bround(F.col("us") / 1_000_000))
     first = keyed.groupBy("src_ip", "dst_ip", "_second").agg(F.min(F.struct("us", "label_id")).alias("f"))
     return first.select("src_ip", "dst_ip", F.col("f.label_id").alias("label_id"), F.col("f.us").alias("us"))
+
+
+def in_range(rows: DataFrame, start_us: int, end_us: int, closed: bool = False) -> DataFrame:
+    """Rows of [start, end), or of [start, end] if ``closed``."""
+    us = F.col("us")
+    return rows.where((us >= start_us) & ((us <= end_us) if closed else (us < end_us)))
+
+
+def in_list(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` stands in a look-up list, however often it stands there."""
+    return rows.join(keys.select(key).distinct(), key, "left_semi")
+
+
+def nearby_consensus(fused: DataFrame, agreed: DataFrame, within: int = WINDOW) -> DataFrame:
+    """Each (us, src_ip) with the first consensus of its source, by (us, event_id), less than ``within`` away: label, confidence, null without.
+
+    An equi-join on source and time bucket, as ``_near``; agreed: event_id, us, src_ip, label, confidence.
+    """
+    bucket = lambda c: F.floor(F.col(c) / within)
+    spread = agreed.select("src_ip", F.col("us").alias("_at"), "event_id", "label", "confidence").withColumn("_bucket", F.explode(F.array(*[bucket("_at") + i for i in (-1, 0, 1)])))
+    met = fused.select("us", "src_ip").withColumn("_bucket", bucket("us")).join(spread, ["src_ip", "_bucket"]).where(F.abs(F.col("us") - F.col("_at")) < within)
+    first = met.groupBy("us", "src_ip").agg(F.min(F.struct("_at", "event_id", "label", "confidence")).alias("c"))
+    return fused.join(first, ["us", "src_ip"], "left").withColumn("label", F.col("c.label")).withColumn("confidence", F.col("c.confidence")).drop("c")

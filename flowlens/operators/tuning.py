@@ -71,9 +71,12 @@ def sweep(rows: DataFrame, by: tuple[str, ...] = ("model_name",), n: int = GRID,
 
 
 def optimal(swept: DataFrame, metric: str = "cost", by: tuple[str, ...] = ("model_name",)) -> DataFrame:
-    """The lowest threshold with the largest metric, with its figures."""
-    columns = ["threshold", "precision", "recall", "f1", "cost", "youden"]
-    return swept.groupBy(*by).agg(F.max_by(F.struct(*columns), F.struct(F.round(metric, 12), -F.col("threshold"))).alias("b")).select(*by, "b.*")
+    """The lowest threshold with the largest metric, with its figures; precision, recall and f1 are of counts, even after a weighted sweep."""
+    columns = ["threshold", "tp", "fp", "fn", "cost", "youden"]
+    best = swept.groupBy(*by).agg(F.max_by(F.struct(*columns), F.struct(F.round(metric, 12), -F.col("threshold"))).alias("b")).select(*by, "b.*")
+    tp, precision, recall = F.col("tp"), F.col("precision"), F.col("recall")
+    out = best.withColumn("precision", _ratio(tp, tp + F.col("fp"))).withColumn("recall", _ratio(tp, tp + F.col("fn"))).withColumn("f1", _ratio(2 * precision * recall, precision + recall))
+    return out.select(*by, "threshold", "precision", "recall", "f1", "cost", "youden")
 
 
 def by_score(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -189,8 +192,11 @@ def disagreement(sd: Column, models: Column) -> Column:
 
 
 def diversity(scored: DataFrame, bins: int = 10) -> DataFrame:
-    """Adds ``diversity``: 1 less the share of events in the same bin of the mean score. The bins are a ten-row table, joined by broadcast."""
-    placed = scored.withColumn("_bin", F.least(F.floor(F.col("mean_score") * bins), F.lit(bins - 1)).cast("int"))
+    """Adds ``diversity``: 1 less the share of events in the same bin of the mean score; events without a score are a bin of their own.
+
+    The bins are a table of eleven rows, joined by broadcast.
+    """
+    placed = scored.withColumn("_bin", F.coalesce(F.least(F.floor(F.col("mean_score") * bins), F.lit(bins - 1)), F.lit(-1)).cast("int"))
     sums = placed.groupBy("_bin").agg(F.count("*").alias("_n"))
     sums = sums.withColumn("_all", F.sum("_n").over(Window.partitionBy()))
     return placed.join(F.broadcast(sums), "_bin").withColumn("diversity", 1 - F.col("_n") / F.col("_all")).drop("_bin", "_n", "_all")
@@ -265,3 +271,35 @@ def compare_runs(runs: DataFrame) -> DataFrame:
     """The run with the largest coverage + precision + advantage - |mttd difference|; ties go to the smaller id."""
     composite = F.col("coverage") + F.col("precision_pct") + F.col("advantage") - F.abs("mttd_diff_pct")
     return runs.withColumn("composite", composite).orderBy(F.desc("composite"), "run_id").limit(1)
+
+
+def unlabelled_queries(scores: DataFrame, labelled: DataFrame, k: int = 20, threshold: float = 0.5, unified: DataFrame | None = None) -> DataFrame:
+    """The ``k`` events without a label to ask about first: highest unified score, or mean of the models' where there is none; ties by id."""
+    rows = event_scores(scores.join(labelled.select("event_id"), "event_id", "left_anti"))
+    rows = rows.join(unified.select("event_id", "unified_score"), "event_id", "left") if unified is not None else rows.withColumn("unified_score", F.lit(None).cast("double"))
+    rows = rows.withColumn("unified_score", F.coalesce("unified_score", "mean_score")).withColumn("uncertainty", 1 - F.abs(F.col("unified_score") - threshold))
+    return rows.select("event_id", "unified_score", "models", "uncertainty", (F.col("unified_score") >= threshold).alias("suggested_label"), F.lit("unlabeled").alias("reason")).orderBy(F.desc("unified_score"), "event_id").limit(k)
+
+
+def by_time_and_source(results: DataFrame, places: int = 4) -> DataFrame:
+    """Results of several models put together by (us, src_ip): mean score, rounded, number of models, whether any finds an anomaly."""
+    return results.groupBy("us", "src_ip").agg(F.round(F.avg("score"), places).alias("avg_score"), F.count("*").alias("models"), F.max("is_anomaly").alias("is_anomaly"))
+
+
+def most_suspicious(fused: DataFrame, k: int = 50) -> DataFrame:
+    return fused.orderBy(F.desc("avg_score"), "us", "src_ip").limit(k)
+
+
+def alert_payload(fused: DataFrame) -> DataFrame:
+    """Alerts from fused scores (event_id, us, src_ip, dst_ip, fused, is_anomaly, models): severity in percent, cut; confidence is the score."""
+    tags = F.when(F.col("is_anomaly"), F.array(F.lit("ml_detection"), F.lit("anomaly"))).otherwise(F.array(F.lit("ml_detection")))
+    known = lambda c: F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", "unknown").otherwise(F.col(c).cast("string"))
+    return fused.select(
+        F.col("event_id").alias("alert_id"), "us", F.lit("detection_consumer").alias("source"), F.lit("anomaly").alias("source_type"), F.floor(F.col("fused") * 100).cast("int").alias("severity_raw"), F.col("fused").alias("confidence"),
+        known("src_ip").alias("src_ip"), known("dst_ip").alias("dst_ip"), F.lit("tcp").alias("protocol"), F.lit("anomaly").alias("event_type"), F.concat_ws(",", "models").alias("ml_model"), F.col("fused").alias("ml_score"), tags.alias("tags"),
+    )
+
+
+def tuning_scores(results: DataFrame, threshold: float) -> DataFrame:
+    """A detector's results as scores to tune on: what it found and at which threshold become features."""
+    return results.select("event_id", "us", "src_ip", F.coalesce(F.col("dst_ip").cast("string"), F.lit("")).alias("dst_ip"), "model_name", "score", F.struct("is_anomaly", F.lit(threshold).alias("threshold")).alias("features"))

@@ -19,7 +19,11 @@ STATES = ["bytes_out", "unique_destinations", "unique_ports", "connection_count"
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flowlens-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="flowlens-")
     return f"{root}/stream-{uuid.uuid4().hex}"
 
 
@@ -28,16 +32,21 @@ def _events(s: SparkSession, d: str) -> DataFrame:
 
 
 def hmm_states(s: SparkSession, d: str) -> DataFrame:
-    windows = features.window_features(A.conn(s, d), A.dns(s, d), 6 * A.HOUR)
-    hosts = windows.select("src_ip").distinct().orderBy(F.xxhash64("src_ip")).limit(50)
-    got = windows.join(F.broadcast(hosts), "src_ip").select("src_ip", "window_us", *STATES).toPandas().sort_values(["src_ip", "window_us"])
-    sequences = [g[STATES].to_numpy(float)[:200] for _, g in got.groupby("src_ip")]
-    model = D.fit_hmm(sequences, STATES)
-    return D.score_sequences(windows, STATES, model)
+    windows = features.window_features(A.conn(s, d), A.dns(s, d), 6 * A.HOUR).persist()
+    return D.score_sequences(windows, STATES, D.fit_hmm_windows(windows, STATES))
+
+
+def _detected(name: str):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        fit, transform = D.DETECTORS[name]
+        rows = _events(s, d).select("uid", *FORM).persist()
+        return transform(rows, FORM, fit(rows, FORM, "uid"), "uid")
+
+    return run
 
 
 def zeek_parse(s: SparkSession, d: str) -> DataFrame:
-    """The flows written as a tab-separated log, and read again."""
+    """The flows as lines of a tab-separated log, parsed."""
     rows = A.conn(s, d).select(F.concat_ws("\t", (F.col("us") / 1_000_000).cast("decimal(20,6)").cast("string"), F.col("uid").cast("string"), F.concat(F.lit("10.0.0."), F.col("src_ip").cast("string")), F.col("dst_port").cast("string"), F.col("duration").cast("string"), F.when(F.col("service") == "view", "-").otherwise(F.col("service"))).alias("value"))
     head = s.createDataFrame([("#separator \\x09",), ("#fields\tts\tuid\tid.orig_h\tid.resp_p\tduration\tservice",), ("#types\ttime\tstring\taddr\tport\tinterval\tstring",)], "value string")
     parsed, _ = logs.read_tsv(head.unionByName(rows))
@@ -45,7 +54,7 @@ def zeek_parse(s: SparkSession, d: str) -> DataFrame:
 
 
 def eve_parse(s: SparkSession, d: str) -> DataFrame:
-    """The alerts written as EVE lines, and read again."""
+    """The alerts as EVE lines, parsed."""
     alert = F.struct(F.col("event_type").alias("signature"), F.col("source_type").alias("category"), F.col("severity").cast("int").alias("severity"), F.col("alert_id").alias("signature_id"), F.array(F.array(F.lit("mitre_attack_id"), F.concat(F.lit("T"), F.col("dst_ip").cast("string")))).alias("metadata"))
     kind = F.when(F.col("backup"), "stats").otherwise("alert")
     lines = A.alerts(s, d).select(F.to_json(F.struct(F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), kind.alias("event_type"), F.col("src_ip").cast("string").alias("src_ip"), F.lit("TCP").alias("proto"), F.col("alert_id").alias("flow_id"), alert.alias("alert"))).alias("value"))
@@ -67,8 +76,8 @@ def stream_sliding(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "iforest_scores": lambda s, d: D.score_rows(_events(s, d), FORM, D.fit_forest(D.sample(_events(s, d), FORM, "uid")), "uid", "isolation_forest"),
-    "autoencoder_scores": lambda s, d: D.score_rows(_events(s, d), FORM, D.fit_autoencoder(D.sample(_events(s, d), FORM, "uid", 2000), epochs=10), "uid", "autoencoder"),
+    "iforest_scores": _detected("isolation_forest"),
+    "autoencoder_scores": _detected("autoencoder"),
     "hmm_states": hmm_states,
     "zeek_parse": zeek_parse,
     "eve_parse": eve_parse,

@@ -167,6 +167,15 @@ def _mttd(s, d):
     return rounded(T.mean_times(rows), "mttd_own", "mttd_vendor", "mttd_diff_pct")
 
 
+def weighted_optimum_sql() -> str:
+    """The threshold of the largest weighted cost, with figures of plain counts."""
+    ratio = lambda a, b: f"CASE WHEN {b} > 0 THEN {a} / ({b}) ELSE 0 END"
+    return (
+        _grid_sql("confidence") + "SELECT model_name, round(threshold, 6) AS threshold, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, round(cost, 6) AS cost, round(youden, 6) AS youden "
+        f"FROM (SELECT *, {ratio('tp', 'tp + fp')} AS p, {ratio('tp', 'tp + fn')} AS r FROM sw QUALIFY row_number() OVER (PARTITION BY model_name ORDER BY round(sw.cost, 12) DESC, sw.threshold) = 1)"
+    )
+
+
 QUERIES = {
     "nearest_label_align": lambda s, d: rounded(aligned(s, d), "match_confidence").na.fill(-1, ["label_id", "distance_us"]),
     "nearest_event_match": lambda s, d: M.match_events(A.label_rows(s, d), purchases(s, d), REACH),

@@ -35,13 +35,14 @@ def typed(value: Column, kind: str) -> Column:
 
 
 def header(lines: DataFrame) -> tuple[list[str], list[str]]:
-    """Field names and types of the last such header lines; no types are all strings, no fields give none.
+    """Field names and types of the last such header lines, by the order of rows; no types are all strings, no fields give none.
 
-    Only header lines come to the driver.
+    One aggregation; two lines come to the driver.
     """
-    marks = [r["value"] for r in lines.where(F.col("value").startswith("#fields") | F.col("value").startswith("#types")).select("value").distinct().collect()]
-    fields = next((m.split("\t")[1:] for m in reversed(marks) if m.startswith("#fields")), [])
-    types = next((m.split("\t")[1:] for m in reversed(marks) if m.startswith("#types")), [])
+    place, value = F.monotonically_increasing_id(), F.col("value")
+    last = lambda mark: F.max(F.when(value.startswith(mark), F.struct(F.col("_place"), value)))
+    got = lines.select(value, place.alias("_place")).where(value.startswith("#")).agg(last("#fields").alias("f"), last("#types").alias("t")).first()
+    fields, types = (g["value"].split("\t")[1:] if g else [] for g in (got["f"], got["t"]))
     return fields, (types + ["string"] * len(fields))[: len(fields)]
 
 
@@ -65,8 +66,15 @@ def read_tsv(lines: DataFrame, columns: list[str] | None = None, salt: str | Non
     return rows, body.where(broken).select("value")
 
 
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines under ``path``; none where there is no such path."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
+    return spark.read.text(path) if found else spark.createDataFrame([], "value string")
+
+
 def read_tsv_path(spark: SparkSession, path: str, **options) -> tuple[DataFrame, DataFrame]:
-    return read_tsv(spark.read.text(path), **options)
+    return read_tsv(text_lines(spark, path), **options)
 
 
 EVE_SCHEMA = "timestamp string, event_type string, src_ip string, dest_ip string, src_port int, dest_port int, proto string, flow_id long, alert struct<signature:string, category:string, severity:int, signature_id:long, metadata:array<array<string>>>, _corrupt string"
@@ -94,7 +102,10 @@ def json_logs(spark: SparkSession, root: str, schema: str, sensor: str, log_type
 
 
 class PagedSource(DataSource):
-    """A REST source read page by page with a cursor: ``fetch(cursor, options) -> (rows, next cursor or None)``, at most ``max_pages`` pages."""
+    """A REST source read page by page with a cursor: ``fetch(cursor, options) -> (rows, next cursor or None)``.
+
+    All pages are read, unless the option ``max_pages`` sets a limit.
+    """
 
     fetch: Callable | None = None
 
@@ -120,7 +131,9 @@ class _PagedReader(DataSourceReader):
         import time
 
         cursor, wait = None, 1 / float(self.options.get("requests_per_second", "1000"))
-        for _ in range(int(self.options.get("max_pages", "100"))):
+        pages, most = 0, int(self.options.get("max_pages", "0"))
+        while not most or pages < most:
+            pages += 1
             for attempt in range(int(self.options.get("retries", "3")) + 1):
                 try:
                     rows, cursor = self.fetch(cursor, self.options)

@@ -43,16 +43,26 @@ def action_payload(incidents: DataFrame, destructive: tuple[str, ...]) -> DataFr
     return incidents.withColumn("auto", F.filter(every, lambda a: ~a.isin(*destructive))).withColumn("manual", F.filter(every, lambda a: a.isin(*destructive)))
 
 
-def fan_out(*writers: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that feeds several sinks from one computation of the batch."""
+def fan_out(*writers: Callable[[DataFrame, int], None], failed: Callable[[Callable, Exception], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that feeds several sinks from one computation of the batch.
+
+    A sink that fails does not keep the others from theirs: ``failed`` is told of it, or without that the first error is raised at the end.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
-        try:
-            for w in writers:
+        errors: list[Exception] = []
+        for w in writers:
+            try:
                 w(batch, number)
-        finally:
-            batch.unpersist()
+            except Exception as error:
+                if failed:
+                    failed(w, error)
+                else:
+                    errors.append(error)
+        batch.unpersist()
+        if errors:
+            raise errors[0]
 
     return write
 

@@ -62,20 +62,81 @@ def votes(spark, rows):
 
 def test_consensus(spark):
     got = {r["event_id"]: r for r in labels.consensus(votes(spark, [
-        ("one", 1, "ids", True, 0.9, "scan", 0), ("split", 1, "ids", True, 0.9, None, 0), ("split", 2, "hids", False, 0.9, "x", 1), ("none", 1, "ids", None, 0.9, None, 0),
+        ("one", 1, "ids", True, 0.9, "scan", 0), ("split", 1, "ids", True, 0.9, None, 0), ("split", 2, "hids", False, 0.5, "x", 1), ("none", 1, "ids", None, 0.9, None, 0),
         ("over", 1, "ids", True, 0.9, None, 0), ("over", 2, "analyst", False, 1.0, None, 1), ("over", 3, "analyst", True, 1.0, None, 2), ("zero", 1, "ids", True, 0.0, None, 0), (None, 1, "ids", True, 1.0, None, 0),
     ])).collect()}
     assert set(got) == {"one", "split", "over"}
     assert got["one"]["label"] and got["one"]["confidence"] == pytest.approx(1.0) and got["one"]["event_type"] == "scan"
-    assert got["split"]["score"] == pytest.approx((0.9 - 0.72) / 1.62) and got["split"]["event_type"] == "x"
+    assert got["split"]["score"] == pytest.approx((1.08 - 0.5) / 1.58) and got["split"]["event_type"] == "x"
     assert got["over"]["label"] and got["over"]["confidence"] == 1 and got["over"]["votes_positive"] == 0
     plain = {r["event_id"]: r for r in labels.consensus(votes(spark, [("over", 1, "ids", True, 0.9, None, 0), ("over", 2, "analyst", False, 1.0, None, 1)]), analyst=None).collect()}
     assert plain["over"]["label"] is False
 
 
 def test_hids_minimum_comes_before_the_factor(spark):
-    rows = spark.createDataFrame([("a", 6, "", "", "x"), ("b", 6, "h", "", "x"), ("c", 5, "h", "", "x")], "label_id string, level int, src_ip string, dst_ip string, category string")
-    assert {r["label_id"]: r["confidence"] for r in labels.hids_labels(rows, min_confidence=0.6).collect()} == {"a": pytest.approx(0.49), "b": 0.7}
+    schema = "label_id string, level int, src_ip string, dst_ip string, groups array<string>, agent_id string"
+    rows = spark.createDataFrame([("a", 6, "", None, ["ossec", "syscheck", "web"], "7"), ("b", 6, "h", "", ["x"], "7"), ("c", 5, "h", "", [], "7"), ("d", 12, None, "t", None, "8")], schema)
+    got = {r["label_id"]: (r["confidence"], r["event_type"], r["src_ip"], r["dst_ip"], r["source"]) for r in labels.SOURCES["hids"].weak_labels(rows).collect()}
+    assert got == {"a": (pytest.approx(0.49), "file_integrity", "agent:7", "", "hids"), "b": (0.7, "anomaly", "h", "", "hids"), "d": (0.95, "anomaly", "agent:8", "t", "hids")}
+
+
+def test_label_sources(spark):
+    rows = spark.createDataFrame([(1, 1, ["botnet", "scan"], "Trojan Activity"), (2, 9, ["exfiltration"], "DNS Tunneling"), (3, 4, ["recon"], "nothing"), (4, 3, [], None)], "label_id int, threat_level int, tags array<string>, category string").withColumn("severity", F.col("label_id"))
+    assert [(r["confidence"], r["event_type"]) for r in labels.SOURCES["intel"].weak_labels(rows).orderBy("label_id").collect()] == [(0.95, "c2_beaconing"), (0.6, "exfiltration"), (0.6, "scan"), (0.7, "threat_intel_match")]
+    assert [(r["confidence"], r["event_type"]) for r in labels.SOURCES["ids"].weak_labels(rows).orderBy("label_id").collect()] == [(0.95, "c2_beaconing"), (0.8, "dns_tunneling"), (0.6, "anomaly"), (0.5, "anomaly")]
+    assert {n: s.weight for n, s in labels.SOURCES.items()} == {"ids": 1.2, "hids": 1.0, "intel": 1.3, "correlation": 0.7, "analyst": 2.0, "vendor": 1.5}
+    kinds = spark.createDataFrame([("Exfiltration over C2 Channel",), ("Command and Control",), ("uses C2",), ("Lateral Movement",), ("Reconnaissance",), ("Credential Access",), (None,)], "t string").select(scalars.tactic_event_type("t").alias("k"))
+    assert [r["k"] for r in kinds.collect()] == ["exfiltration", "c2_beaconing", "c2_beaconing", "lateral_movement", "scan", "credential_theft", "anomaly"]
+
+
+def test_patterns_of_one_alert_kind(spark):
+    rows = [(1, 0, "A", "c2_beaconing"), (2, S, "A", "scan"), (3, 0, "B", "dns_tunneling"), (4, S, "B", "scan"), (5, 0, "C", "exfiltration"), (6, S, "C", "scan"), (7, 0, "D", "dns_tunneling")]
+    alerts = spark.createDataFrame(rows, "alert_id long, us long, src_ip string, event_type string").withColumn("dst_ip", F.lit("X")).withColumn("backup", F.col("alert_id") == 4).withColumn("scheduled", F.lit(False))
+    assert {(r["src_ip"], r["pattern"], r["pattern_alerts"]) for r in correlate.attack_patterns(alerts).collect()} == {("A", "c2_beaconing", 1), ("B", "dns_tunneling", 1)}
+    late = 3 * 3600 * S
+    assert {(r["src_ip"], r["reason"]) for r in correlate.expired(alerts, late).collect()} == {("A", "session_expired_pattern_c2_beaconing"), ("B", "session_expired_pattern_dns_tunneling")}
+    assert correlate.expired(alerts, S).count() == 0
+    groups = {(r["src_ip"], r["reason"], tuple(r["alert_ids"])) for r in correlate.candidate_groups(alerts, F.lit(12)).collect()}
+    assert groups == {("A", "shared_source_proximity", (1, 2)), ("A", "attack_pattern_c2_beaconing", (1,)), ("B", "attack_pattern_dns_tunneling", (3,)), ("C", "shared_source_proximity", (5, 6))}
+
+
+def test_incidents_follow_the_ladder(spark):
+    rows = [("A", 3, "scan", "h1,h2", "lateral_movement", 85, "critical", True, 1.0), ("B", 2, "anomaly, scan", None, None, 65, "high", False, 6.0), ("C", 1, "scan", "h", None, 45, "medium", False, None), ("D", 1, "", "h", None, 5, "low", False, 1.0)]
+    frame = spark.createDataFrame(rows, "src_ip string, alerts long, kinds string, hosts string, pattern string, severity_score int, severity_label string, malicious boolean, deviation double")
+    got = {r["src_ip"]: r for r in severity.incidents(frame).collect()}
+    assert got["A"]["actions"] == "notify_soc:soc-team:immediate,create_ticket:thehive:immediate,isolate_host:h1:high" and got["A"]["manual_actions"] == "isolate_host"
+    assert [got[k]["actions"] for k in "BCD"] == ["notify_soc:soc-team:high,create_ticket:thehive:high", "create_ticket:thehive:medium", "log_only:opensearch:low"] and got["B"]["manual_actions"] == ""
+    assert "FP descartado" in got["A"]["false_positive_assessment"] and "FP improbable" in got["B"]["false_positive_assessment"] and "revisión manual" in got["C"]["false_positive_assessment"]
+    assert got["D"]["title"] == "Incidente correlacionado: anomalía (1 alertas, severidad 5)" and "patrón de ataque lateral_movement." in got["A"]["correlation_reason"] and got["C"]["correlation_reason"].endswith("proximidad temporal.")
+
+
+def test_tags_without_malice_count_half(spark):
+    groups = spark.createDataFrame([("A", 1, "X", ["X", "Y"]), ("B", 1, "Z", ["Z"]), ("C", 1, "W", ["W"])], "src_ip string, session long, dst_ip string, target_ips array<string>")
+    intel = spark.createDataFrame([("Y", "botnet", False), ("Z", "cdn", True), ("W", "cdn", False)], "ip string, tag string, malicious boolean")
+    none = lambda schema: spark.createDataFrame([], schema)
+    rows = severity.enrich(groups, none("src_ip string, criticality int"), none("dst_ip string, country string"), intel, none("dst_ip string, deviation double"))
+    rows = severity.score_groups(rows.withColumn("severity", F.lit(10.0)).withColumn("alerts", F.lit(1)))
+    assert {r["src_ip"]: (r["malicious"], r["suspicious"], r["c_intel"]) for r in rows.collect()} == {"A": (False, True, 50.0), "B": (True, False, 100.0), "C": (False, False, 0.0)}
+
+
+def test_baseline_without_deviation_or_service(spark):
+    from flowlens.operators import baseline
+
+    rows = [("a", "A", None, 10), ("b", "A", "", 10), ("c", "B", "ssl", 1), ("d", "B", "ssl", 2)]
+    conn = spark.createDataFrame(rows, "uid string, src_ip string, service string, orig_bytes long").withColumns({"us": F.lit(0), "dst_ip": F.lit("X"), "dst_port": F.lit(1), "resp_bytes": F.lit(5), "duration": F.lit(1.0), "orig_pkts": F.lit(1), "resp_pkts": F.lit(1)})
+    base = baseline.baselines(conn, spark.createDataFrame([], "src_ip string"))
+    got = {r["uid"]: r for r in baseline.compare(conn.withColumn("orig_bytes", F.col("orig_bytes") * 10), base).where("metric = 'orig_bytes'").collect()}
+    assert got["a"]["ratio"] == 10 and not got["a"]["is_anomalous"] and not got["b"]["is_anomalous"] and got["c"]["is_anomalous"] and got["d"]["z"] > 3
+
+
+def test_comparison_report_of_nothing(spark):
+    none = spark.createDataFrame([], "event_type string, true_positive boolean, ttd_seconds double, explained boolean")
+    row = one(severity.comparison_report(none, none, none))
+    assert (row["coverage"], row["precision_pct"], row["reduction"], row["availability"], row["mttd_difference"]) == (100, 0, 0, 0, 0)
+    ours = spark.createDataFrame([("scan", True, 60.0, True), ("scan", False, 120.0, False)], "event_type string, true_positive boolean, ttd_seconds double, explained boolean")
+    row = one(severity.comparison_report(ours, ours.limit(1), ours.unionByName(ours)))
+    assert (row["coverage"], row["precision_pct"], row["advantage"], row["reduction"], row["availability"]) == (200, 50, 1, 50, 50) and row["mttd_minutes"] == 1.5
+    assert one(severity.by_category(ours, ours.limit(1)).where("event_type = 'scan'")).asDict() == {"event_type": "scan", "incidents": 2, "other_incidents": 1}
 
 
 def test_severity_of_three_alerts(spark):
@@ -89,7 +150,7 @@ def test_sessions_sliding_and_patterns(spark):
     rows = spark.createDataFrame([(1, 0, "scan"), (2, 25 * 60 * S, "exfiltration"), (3, 60 * 60 * S, "scan")], "alert_id long, us long, event_type string").withColumn("src_ip", F.lit("A")).withColumn("dst_ip", F.lit("X")).withColumn("severity", F.lit(10))
     assert correlate.sliding_groups(rows).count() == 0
     assert [r["session"] for r in correlate.sessions(rows).orderBy("alert_id").collect()] == [1, 1, 2]
-    assert one(correlate.attack_patterns(rows)).asDict() == {"src_ip": "A", "session": 1, "alerts": 2, "pattern": "scan_to_exfiltration", "pattern_alerts": 2}
+    assert one(correlate.attack_patterns(rows)).asDict() == {"src_ip": "A", "session": 1, "alerts": 2, "pattern": "scan_to_exfiltration", "pattern_alerts": 2, "end_us": 25 * 60 * S}
 
 
 def test_threshold_sweep_counts_scores_at_a_threshold(spark):
@@ -154,6 +215,16 @@ def test_paged_source(spark):
     spark.dataSource.register(Alerts)
     assert sorted(r["id"] for r in spark.read.format("test_alerts").option("schema", "id long").load().collect()) == [0, 1, 10, 11, 20, 21]
 
+    class Many(logs.PagedSource):
+        fetch = staticmethod(lambda cursor, options: ([(cursor or 0,)], (cursor or 0) + 1 if (cursor or 0) < 149 else None))
+
+        @classmethod
+        def name(cls):
+            return "test_many"
+
+    spark.dataSource.register(Many)
+    assert spark.read.format("test_many").option("schema", "id long").load().count() == 150
+
 
 def test_times_pseudonyms_and_entities(spark):
     times = spark.createDataFrame([("2026-07-01T00:00:00Z",), ("1782864000",), ("2026-07-01T00:00:00",), ("never",)], "t string").select(F.unix_micros(scalars.parse_time("t")).alias("us")).collect()
@@ -202,3 +273,47 @@ def test_generators_repeat_and_mix(spark):
     a, b = generate.flows(spark, 500), generate.flows(spark, 500)
     assert a.exceptAll(b).count() == 0 and a.where("kind <> 'normal'").count() < 50 and generate.lookups(spark, 100).count() == 100
     assert generate.sensor_stream(spark).isStreaming
+
+
+def test_the_last_header_counts(spark):
+    lines = ["#fields\tzz\tuid", "#types\tstring\tstring", "#fields\tts\tuid", "#types\ttime\tstring", "1\tu1"]
+    fields, types = logs.header(spark.createDataFrame([(v,) for v in lines], "value string").coalesce(1))
+    assert (fields, types) == (["ts", "uid"], ["time", "string"])
+    assert logs.text_lines(spark, "/nowhere/at/all").count() == 0
+
+
+def test_detectors_on_an_empty_table_and_all_windows(spark):
+    empty = spark.createDataFrame([], "id long, a double, b double")
+    for name in ("isolation_forest", "autoencoder"):
+        fit, transform = detectors.DETECTORS[name]
+        model = fit(empty, ["a", "b"], "id")
+        assert transform(spark.createDataFrame([(1, 2.0, 3.0)], "id long, a double, b double"), ["a", "b"], model, "id").count() == 1
+    columns = ["bytes_out", "unique_destinations"]
+    rng = np.random.default_rng(0)
+    levels = {0: (0, 0), 1: (0, 50), 2: (90_000, 0), 3: (30_000, 3)}
+    rows = [(host, t, *(float(v) for v in np.add(levels[(t // 20 + host) % 4], rng.random(2)))) for host in range(3) for t in range(160)]
+    windows = spark.createDataFrame(rows, "src_ip long, window_us long, bytes_out double, unique_destinations double")
+    model = detectors.fit_hmm_windows(windows, columns)
+    got = {(r["src_ip"], r["window_us"]): r["state_label"] for r in detectors.score_sequences(windows, columns, model).collect()}
+    want = {0: "normal", 1: "scan", 2: "exfil", 3: "c2"}
+    assert sum(got[h, t] == want[(t // 20 + h) % 4] for h, t, *_ in rows) > 0.95 * len(rows)
+    assert detectors.fit_hmm_windows(windows.limit(1), columns) is None
+    assert {r["state_label"] for r in detectors.score_sequences(windows, columns, None).collect()} == {"unknown"}
+
+
+def test_fan_out_goes_on_after_a_failed_sink(spark):
+    seen = []
+
+    def broken(batch, number):
+        raise ValueError("down")
+
+    with pytest.raises(ValueError):
+        sinks.fan_out(broken, lambda b, n: seen.append(b.count()))(spark.range(3), 0)
+    sinks.fan_out(broken, lambda b, n: seen.append(n), failed=lambda w, e: seen.append(str(e)))(spark.range(3), 1)
+    assert seen == [3, "down", 1]
+
+
+def test_events_without_a_score_stay_in_active_learning(spark):
+    rows = spark.createDataFrame([(1, "a", 0.5), (2, "a", None), (3, "a", 0.9)], "event_id long, model_name string, score double")
+    assert tuning.active_learning(rows, 0.5).count() == 3
+    assert [r["event_id"] for r in tuning.unlabelled_queries(rows.where("score IS NOT NULL"), rows.where("event_id = 1")).collect()] == [3]

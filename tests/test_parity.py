@@ -5,9 +5,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from flowlens.plans import correlation, detection, models, tuning
+from flowlens.plans import correlation, detection, models, tuning, workflow
 
-PARTS = (detection, tuning, correlation, models)
+PARTS = (detection, tuning, correlation, workflow, models)
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 CASES = [(part, name) for part in PARTS for name in part.QUERIES]
 
