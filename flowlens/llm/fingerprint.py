@@ -157,7 +157,8 @@ def compare_with_next(documents: DataFrame, text: str = "text") -> DataFrame:
     order = F.coalesce("doc_id", F.lit(-(1 << 63)))
 
     chars = frequencies.where("term = -2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    slots = min(MOST_SLOTS, max(int(session.conf.get("spark.sql.shuffle.partitions")), chars // SLOT_CHARS))
+    tasks = int(session.conf.get("spark.sql.shuffle.partitions"))
+    slots = min(MOST_SLOTS, max(4 * tasks, chars // SLOT_CHARS))  # several a task, so that tasks get alike
     cuts = docs.agg(F.percentile_approx(order, [k / slots for k in range(1, slots)] or [0.5], F.lit(10 * slots)).alias("cuts")).first()["cuts"]
     cuts = np.unique(np.array(cuts if cuts and slots > 1 else [], np.int64))
 
@@ -198,7 +199,7 @@ def compare_with_next(documents: DataFrame, text: str = "text") -> DataFrame:
         if len(held) > 1:
             yield flush()
 
-    return dealt.repartition(slots, "slot").sortWithinPartitions("slot", "copy", order, "text").mapInArrow(compare, _SCHEMA)
+    return dealt.repartition(max(tasks, slots // 4), "slot").sortWithinPartitions("slot", "copy", order, "text").mapInArrow(compare, _SCHEMA)
 
 
 _NAMES = [part.split()[0] for part in _SCHEMA.split(", ")]
