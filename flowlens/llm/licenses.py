@@ -30,20 +30,47 @@ _MARKUP = re.compile(r"\[\[|\]\]|\{\{\w+:(\d+)-(\d+)\}\}")
 
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: The wording of public license texts and notices, with their optional and replaceable regions marked.
+_MIT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without "
+    "limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following "
+    "conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software the software is provided as is "
+    "without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the "
+    "{{holders:1-12}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+_ISC = (
+    "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+    "the software is provided as is and {{holder:1-12}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {{holder:1-12}} be liable "
+    "for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of "
+    "or in connection with the use or performance of this software"
+)
+_BSD_HEAD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright "
+    "notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the "
+    "documentation and or other materials provided with the distribution"
+)
+_BSD_NAMES = "[[3]] neither the name of {{holder:1-12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_TAIL = (
+    "this software is provided by {{holders:1-12}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall {{holders:1-12}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data "
+    "or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software "
+    "even if advised of the possibility of such damage"
+)
+#: The wording of public license texts and notices, with their optional and replaceable regions marked. The first are whole
+#: texts, those named "notice" what points to a license or to a part of one.
 TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software"),
+    ("mit", _MIT),
+    ("isc", _ISC),
+    ("bsd-2-clause", f"{_BSD_HEAD} {_BSD_TAIL}"),
+    ("bsd-3-clause", f"{_BSD_HEAD} {_BSD_NAMES} {_BSD_TAIL}"),
     ("mit-notice", "[[this {{work:1-3}} is]] [[released]] [[licensed]] under the [[terms of the]] mit license"),
-    ("isc", "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("bsd-2-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
-    ("bsd-3-clause", "[[3]] neither the name of {{holder:1-12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("apache-2.0", "licensed under the apache license version 2 0 [[the license]]"),
-    ("apache-notice", "you may not use this file except in compliance with the license you may obtain a copy of the license at [[http]] [[https]] www apache org licenses license 2 0"),
+    ("bsd-names-notice", _BSD_NAMES),
+    ("apache-notice", "licensed under the apache license version 2 0 [[the license]]"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at [[http]] [[https]] www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("gpl-notice", "licensed under the [[terms of the]] gnu [[lesser]] [[affero]] general public license [[as published by the free software foundation]] [[either]] version {{number:1-1}} [[0]]"),
     ("gpl-or-later", "{{work:1-6}} is free software you can redistribute it and or modify it under the terms of the gnu [[lesser]] [[affero]] general public license as published by the free software foundation either version {{number:1-1}} of the license or at your option any later version"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by", "licensed under [[a]] [[the]] creative commons attribution {{number:1-3}} [[international]] [[unported]] license"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at [[http]] [[https]] mozilla org mpl 2 0"),
+    ("cc-by-notice", "licensed under [[a]] [[the]] creative commons attribution {{number:1-3}} [[international]] [[unported]] license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
 )
 
 

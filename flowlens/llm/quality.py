@@ -3,7 +3,7 @@
 ``statistics`` turns texts into fixed-width vectors in numpy; ``fit`` boosts trees on a bounded labelled sample; ``Forest`` keeps the
 trees as flat arrays and walks all rows through a tree level by level.
 
-Defined cases: a null text counts as empty and gets a score like any other vector (all statistics 0); of a very long text every
+Defined cases: a NUL character parts words as white space does; a null text counts as empty and gets a score like any other vector (all statistics 0); of a very long text every
 character counts, repetition being measured in blocks and averaged by words; with no labelled row every score is 1, with one class it
 is that class; repeated rows get equal scores; of splits of equal gain the first statistic and the lowest cut wins; an empty table gives no
 rows. Only the text, doc_id and the label are read, so other columns may have any names.

@@ -258,3 +258,21 @@ def test_mixing_stage_takes_the_planned_words(spark, odd):
     made = corpus_pipeline.mix(spark, docs, odd).groupBy("doc_id").agg(F.sum(mixing.word_count("text")).alias("made"))
     both = planned.join(made, "doc_id", "left").select("taken", F.coalesce("made", F.lit(0)).alias("made")).collect()
     assert all(r["taken"] == r["made"] for r in both)
+
+
+def test_band_keeps_the_terms_of_its_document_frequencies(spark):
+    import numpy as np
+
+    from flowlens.llm import fingerprint
+
+    docs = spark.createDataFrame([(f"every w{k % 3} own{k}",) for k in range(60)] + [(None,)], "text string")
+    kept = fingerprint.band(fingerprint.document_frequencies(docs).cache(), least=2, most=0.5)
+    name = lambda word: fingerprint.term_pairs([word])
+    assert [bool(fingerprint._is_kept(name(w), kept)[0]) for w in ("every", "w0", "w2", "own5")] == [False, True, True, False] and np.unpackbits(kept).sum() == 3
+
+
+def test_components_with_a_heavy_node(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HEAVY_NODE", 5)
+    edges = [(0, k) for k in range(1, 40)] + [(k, k + 1) for k in range(100, 112)] + [(7, 105), (200, 201)]
+    got = {r["node"]: r["root"] for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys([*range(40), *range(100, 113)], 0), 200: 200, 201: 200}
