@@ -393,11 +393,16 @@ def _forest_rows(dealt: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(_by_key(link, ["a", "b"], [pa.int64()] * 2), "a long, b long")
 
 
-def link_components(documents: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``documents`` (which need doc_id and the text)."""
+def _classes(documents: DataFrame, text: str, words: int) -> tuple[DataFrame, DataFrame]:
+    """Each document's class (see ``class_hashes``), and the classes of non-empty sets with their smallest id and number of documents."""
     small_batches(documents.sparkSession)
     hashed = checkpointed(class_hashes(documents, text, words))
-    classes = checkpointed(hashed.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("outline").alias("outline")))
+    grouped = hashed.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("outline").alias("outline"))
+    return hashed, checkpointed(grouped)
+
+
+def _units(documents: DataFrame, classes: DataFrame, text: str, words: int, percent: int) -> DataFrame:
+    """(unit, side, cls, n, outline): classes that share a signature meet in a unit, or in one for each pair of blocks of a large bucket."""
     # One number for each size of set that occurs: the input of the cost model.
     sizes = {r["n"]: r["c"] for r in classes.groupBy("n").agg(F.count("*").alias("c")).collect()}
     largest = max(sizes, default=0)
@@ -414,7 +419,72 @@ def link_components(documents: DataFrame, text: str = "text", words: int = WORDS
     i, j = F.least("block", "_with"), F.greatest("block", "_with")
     units = units.select(F.xxhash64("bucket", i, j).alias("unit"), (F.col("block") != i).cast("int").alias("side"), "cls", "n")
     outlines = classes.select(F.col("h1").alias("cls"), "outline").dropDuplicates(["cls"])
-    units = units.join(outlines, "cls").select("unit", "side", "cls", "n", "outline")
+    return units.join(outlines, "cls").select("unit", "side", "cls", "n", "outline")
+
+
+def candidate_pairs(outlines: list[bytes], sizes: np.ndarray, side: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """The pairs whose sizes and outlines allow a link; where both sides 0 and 1 occur, those across."""
+    n, bins = len(outlines), min(map(len, outlines))
+    counts = np.stack([np.frombuffer(o, np.uint8).reshape(-1, bins).sum(axis=0, dtype=np.int32) for o in outlines])
+    across, out = side.min() != side.max(), []
+    for p in np.flatnonzero(side == 0) if across else range(n - 1):
+        other = (side == 1) if across else (np.arange(n) > p)
+        others = np.flatnonzero(other & (100 * sizes >= percent * sizes[p]) & (100 * sizes[p] >= percent * sizes))
+        apart = np.abs(counts[others] - counts[p]).sum(axis=1)
+        out += [(int(p), int(q)) for q in others[apart * (100 + percent) <= (sizes[others] + sizes[p]) * (100 - percent)]]
+    return out
+
+
+def link_pairs(documents: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(a, b, n_a, n_b, shared): every link between different sets, a < b being the smallest ids of documents with these sets.
+
+    All links of the join, where ``link_components`` needs a spanning forest only: candidates are the same, each pair is verified exactly, once.
+    Documents with equal sets are in ``class_members``; their pairs are not written out. The result is as large as the number of links.
+    """
+    _, classes = _classes(documents, text, words)
+    units = _units(documents, classes, text, words, percent)
+
+    def meet(rows: list[tuple]) -> list[tuple]:
+        _, side, names, sizes, outlines = zip(*{r[2]: r for r in rows}.values())
+        return [tuple(sorted((names[p], names[q]))) for p, q in candidate_pairs(list(outlines), np.array(sizes, np.int64), np.array(side), percent)]
+
+    met = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_by_key(meet, ["a", "b"], [pa.int64()] * 2), "a long, b long")
+    pairs = checkpointed(met.distinct())
+    needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "h1")
+    ids = classes.join(needed, "h1", "left_semi").select(F.col("rep").alias("doc_id"))
+    sets = _set_rows(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id", "left_semi"), "text", words)
+    sets = checkpointed(sets.groupBy("cls").agg(F.first("tokens").alias("tokens")))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                shared = len(np.intersect1d(s, t, assume_unique=True))
+                if 100 * shared >= percent * (len(s) + len(t) - shared):
+                    out.append((a, b, len(s), len(t), shared))
+            if out:
+                yield _arrow(list(zip(*out)), [pa.int64()] * 5, ["a", "b", "n_a", "n_b", "shared"])
+
+    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
+    found = both.mapInArrow(verify, "a long, b long, n_a long, n_b long, shared long")
+    names = classes.select(F.col("h1").alias("_h"), "rep")
+    found = found.join(names.select(F.col("_h").alias("a"), F.col("rep").alias("_ra")), "a").join(names.select(F.col("_h").alias("b"), F.col("rep").alias("_rb")), "b")
+    turned = F.col("_ra") > F.col("_rb")
+    pick = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
+    return found.select(pick("_ra", "_rb").alias("a"), pick("_rb", "_ra").alias("b"), pick("n_a", "n_b").alias("n_a"), pick("n_b", "n_a").alias("n_b"), "shared")
+
+
+def class_members(documents: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
+    """(doc_id, class_id, copies): the smallest id among documents with an equal set, and how many there are; a row for each document with a set."""
+    hashed, classes = _classes(documents, text, words)
+    return hashed.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "h1", "h2").join(classes.select("h1", "h2", F.col("rep").alias("class_id"), "copies"), ["h1", "h2"]).select("doc_id", "class_id", "copies")
+
+
+def link_components(documents: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``documents`` (which need doc_id and the text)."""
+    hashed, classes = _classes(documents, text, words)
+    units = _units(documents, classes, text, words, percent)
     subs = checkpointed(_refined(units.repartition("unit").sortWithinPartitions("unit"), percent).distinct())
 
     needed = checkpointed(classes.join(subs.select(F.col("cls").alias("h1")).distinct(), "h1", "left_semi").select(F.col("rep").alias("doc_id")))

@@ -276,3 +276,23 @@ def test_components_with_a_heavy_node(spark, monkeypatch):
     edges = [(0, k) for k in range(1, 40)] + [(k, k + 1) for k in range(100, 112)] + [(7, 105), (200, 201)]
     got = {r["node"]: r["root"] for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys([*range(40), *range(100, 113)], 0), 200: 200, 201: 200}
+
+
+def test_link_pairs_are_all_links_between_different_sets(spark, monkeypatch):
+    from tests.llm.test_functions import reference_sets
+
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 3)
+    base = [f"w{k}" for k in range(50)]
+    texts = {k: " ".join(base[: k % 25] + [f"z{k % 25}"] + base[k % 25 + 1 :]) for k in range(30)} | {40: "", 41: "a b", 42: "a b"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = dict(zip(texts, reference_sets(list(texts.values()), 3)))
+    first = {k: min(j for j in texts if sets[j] == sets[k]) for k in texts if sets[k]}
+    want = {}
+    for a in set(first.values()):
+        for b in set(first.values()):
+            shared = len(sets[a] & sets[b])
+            if a < b and 100 * shared >= 80 * len(sets[a] | sets[b]):
+                want[a, b] = (len(sets[a]), len(sets[b]), shared)
+    got = {(r["a"], r["b"]): (r["n_a"], r["n_b"], r["shared"]) for r in jaccard.link_pairs(docs, percent=80).collect()}
+    assert got == want and len(want) > 50
+    assert {r["doc_id"]: (r["class_id"], r["copies"]) for r in jaccard.class_members(docs).collect()} == {k: (c, sum(x == c for x in first.values())) for k, c in first.items()}
