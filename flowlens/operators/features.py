@@ -61,3 +61,8 @@ def fit_scaler(rows: DataFrame, columns: tuple[str, ...]) -> dict[str, tuple[flo
 
 def scale(rows: DataFrame, scaler: dict[str, tuple[float, float]]) -> DataFrame:
     return rows.withColumns({c: (F.col(c).cast("double") - m) / s for c, (m, s) in scaler.items()})
+
+
+def model_columns(rows: DataFrame, names: list[str], suffix: str = "_norm") -> list[str]:
+    """The normalized column of each name where there is one, else the raw one."""
+    return [f"{n}{suffix}" if f"{n}{suffix}" in rows.columns else n for n in names]

@@ -62,9 +62,9 @@ def histogram(rows: DataFrame, field: str, step: float = 0.05) -> DataFrame:
 
 
 def latest_by_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The newest row of each key."""
-    newest = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn")
+    """The newest row of each key, by one aggregation, so that a busy key is combined before the shuffle."""
+    newest = rows.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("_newest"))
+    return newest.select("_newest.*")
 
 
 def latest(rows: DataFrame, n: int, by: str = "us", tie: str = "alert_id") -> DataFrame:

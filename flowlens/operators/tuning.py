@@ -303,3 +303,15 @@ def alert_payload(fused: DataFrame) -> DataFrame:
 def tuning_scores(results: DataFrame, threshold: float) -> DataFrame:
     """A detector's results as scores to tune on: what it found and at which threshold become features."""
     return results.select("event_id", "us", "src_ip", F.coalesce(F.col("dst_ip").cast("string"), F.lit("")).alias("dst_ip"), "model_name", "score", F.struct("is_anomaly", F.lit(threshold).alias("threshold")).alias("features"))
+
+
+def fuse_by(method: str, scores: DataFrame, labelled: DataFrame | None = None, weights: dict[str, float] | None = None, models: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
+    """Fusion by method: "weighted" by given weights (equal ones without), "logistic" by weights learned from ``labelled`` (wide, with label)."""
+    models = models or sorted(weights or {})
+    if method == "weighted":
+        return fuse(scores, weights or dict.fromkeys(models, 1 / len(models)), threshold)
+    if method == "logistic":
+        if labelled is None:
+            raise ValueError("logistic fusion needs labelled rows")
+        return fuse(scores, logistic_weights(labelled, models), threshold)
+    raise ValueError(f"unknown method of fusion: {method}")

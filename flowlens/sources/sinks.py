@@ -20,10 +20,10 @@ def index_name(topic: str | Column, fallback: str = "unclassified") -> Column:
     return F.coalesce(F.regexp_replace(F.nullif(topic, F.lit("")), "^sensor-(.*)$", "logs-$1"), F.lit(fallback))
 
 
-def write_by_date(rows: DataFrame, path: str, us: str = "us", mode: str = "append") -> None:
-    """Parquet partitioned by event date, one file a task and date."""
+def write_by_date(rows: DataFrame, path: str, us: str = "us", mode: str = "append", files: int = 16) -> None:
+    """Parquet partitioned by event date, in up to ``files`` files a date, so that a day is not one task's work."""
     dated = rows.withColumn("date", F.date_from_unix_date(F.floor(F.col(us) / 86_400_000_000).cast("int")))
-    dated.repartition("date").write.mode(mode).partitionBy("date").parquet(path)
+    dated.repartition("date", F.pmod(F.xxhash64(*rows.columns), F.lit(files))).write.mode(mode).partitionBy("date").parquet(path)
 
 
 def drop_before(spark: SparkSession, path: str, date: str) -> DataFrame:

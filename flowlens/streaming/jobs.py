@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from flowlens.operators.rollups import latest_by_key
 from flowlens.operators.severity import validate
 
 
@@ -111,6 +112,5 @@ def drain(stream: DataFrame, folder: str, mode: str, keys: list[str] | None = No
     if mode == "complete":
         return rows.where(F.col("_batch") == rows.agg(F.max("_batch")).first()[0]).drop("_batch")
     if keys:
-        newest = Window.partitionBy(*keys).orderBy(F.desc("_batch"))
-        return rows.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn", "_batch")
+        return latest_by_key(rows, keys, ["_batch"]).drop("_batch")
     return rows.drop("_batch")

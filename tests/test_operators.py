@@ -317,3 +317,18 @@ def test_events_without_a_score_stay_in_active_learning(spark):
     rows = spark.createDataFrame([(1, "a", 0.5), (2, "a", None), (3, "a", 0.9)], "event_id long, model_name string, score double")
     assert tuning.active_learning(rows, 0.5).count() == 3
     assert [r["event_id"] for r in tuning.unlabelled_queries(rows.where("score IS NOT NULL"), rows.where("event_id = 1")).collect()] == [3]
+
+
+def test_fusion_methods(spark):
+    rows = spark.createDataFrame([(1, "a", 0.2), (1, "b", 0.8)], "event_id long, model_name string, score double")
+    assert one(tuning.fuse_by("weighted", rows, models=["a", "b"]))["fused"] == pytest.approx(0.5)
+    assert one(tuning.fuse_by("weighted", rows, weights={"a": 1.0, "b": 3.0}))["fused"] == pytest.approx(0.65)
+    for wrong in ("logistic", "other"):
+        with pytest.raises(ValueError):
+            tuning.fuse_by(wrong, rows, models=["a", "b"])
+
+
+def test_model_columns_prefer_normalized_ones(spark):
+    from flowlens.operators import features
+
+    assert features.model_columns(spark.createDataFrame([(1, 2, 3)], "a int, a_norm int, b int"), ["a", "b"]) == ["a_norm", "b"]
