@@ -88,10 +88,11 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.calibration[0] + evidence @ self.calibration[1:], -30, 30)))
 
 
-def _seed_words(sample: DataFrame, least: int = 8, odds: float = 12.0, deviations: float = 2.5) -> np.ndarray:
+def _seed_words(sample: DataFrame, least: int = 3, odds: float = 12.0, deviations: float = 5.0) -> np.ndarray:
     """Hashes of the units whose share of toxic documents is at least ``odds`` times that of clean ones, the most telling first.
 
-    At least ``least`` toxic documents must hold a unit, and more than expected by ``deviations`` of a Poisson count; ties go to the smaller hash.
+    At least ``least`` toxic documents must hold a unit, more by ``deviations`` standard deviations than if it were as common in both classes;
+    ties go to the smaller hash.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,9 +110,10 @@ def _seed_words(sample: DataFrame, least: int = 8, odds: float = 12.0, deviation
         return np.zeros(0, np.uint64)
     by_word = sample.select("text", "y").mapInPandas(count, "word long, y long, n long").groupBy("word").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
     toxic, clean = F.col("a") / n[1], (F.col("b") + 0.5) / n[0]
-    # A unit must also stand in so many more toxic documents than clean ones lead to expect that chance does not explain it.
-    excess = F.col("a") - n[1] * clean
-    rows = by_word.where((F.col("a") >= least) & (toxic >= odds * clean) & (excess >= deviations * F.sqrt(F.col("a")))).orderBy(F.desc(toxic - clean), "word").limit(SEED_WORDS).collect()
+    # Were a unit as common in both classes, its documents would fall into the toxic one by that class's share of the sample.
+    share, both = n[1] / (n[0] + n[1]), F.col("a") + F.col("b")
+    excess = F.col("a") - share * both
+    rows = by_word.where((F.col("a") >= least) & (toxic >= odds * clean) & (excess >= deviations * F.sqrt(both * share * (1 - share)))).orderBy(F.desc(toxic - clean), "word").limit(SEED_WORDS).collect()
     return np.sort(np.array([r["word"] for r in rows], np.int64).view(np.uint64))
 
 
