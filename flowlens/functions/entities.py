@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.scalars import col
 
-IPV4 = r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"
-HEX = r"\b[0-9a-fA-F]{32,64}\b"
-HOST = r"\b[A-Za-z][A-Za-z0-9]*-[A-Za-z0-9-]*[A-Za-z0-9]\b"
+#: Patterns of addresses, of hashes that stand for addresses, of host names and of alert ids; boundaries are those of any letters.
+IPV4 = r"(?U)\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
+HEX = r"(?iU)\b[0-9a-f]{32,64}\b"
+HOST = r"(?U)\b[A-Z][A-Z0-9-]{2,}(?:\.[A-Za-z0-9-]+)*\b"
+ALERT_ID = r"(?iU)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b"
 
 
 def found(text: str | Column, pattern: str) -> Column:
@@ -18,7 +20,8 @@ def found(text: str | Column, pattern: str) -> Column:
 
 
 def ips(text: str | Column) -> Column:
-    return F.filter(found(text, IPV4), lambda x: F.length(x) >= 7)
+    """Addresses, and the hashes that stand for them once they are pseudonyms."""
+    return F.array_sort(F.array_distinct(F.concat(found(text, IPV4), found(text, HEX))))
 
 
 def hashes(text: str | Column) -> Column:
@@ -26,8 +29,8 @@ def hashes(text: str | Column) -> Column:
 
 
 def hosts(text: str | Column) -> Column:
-    """Names with a hyphen, of at least five characters."""
-    return F.filter(found(text, HOST), lambda x: (F.length(x) >= 5) & x.contains("-"))
+    """Upper-case names of at least three characters, with what follows them after dots."""
+    return found(text, HOST)
 
 
 def unsupported(named: str | Column, allowed: str | Column) -> Column:
@@ -35,9 +38,6 @@ def unsupported(named: str | Column, allowed: str | Column) -> Column:
     return F.array_except(col(named), col(allowed))
 
 
-ALERT_ID = r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b"
-
-
 def alert_ids(text: str | Column) -> Column:
     return found(text, ALERT_ID)
 

@@ -9,10 +9,13 @@ from flowlens.functions.scalars import day_of_week, hour_of_day, is_common_port,
 
 WINDOW = 300_000_000
 HOST_COLUMNS = ("unique_destinations", "unique_ports", "dns_queries_count", "nxdomain_ratio", "avg_dns_query_length")
-#: The columns of the event vector, in order.
-EVENT_COLUMNS = (
-    "duration", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "bytes_total", "bytes_ratio", "dst_port", "is_common_port", "hour_of_day", "day_of_week", "is_weekend", *HOST_COLUMNS,
+#: The columns of the event vector in order, first the numeric ones, then the flags.
+NUMERIC_COLUMNS = (
+    "duration", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "bytes_total", "bytes_ratio", "dst_port", "hour_of_day", "day_of_week", "unique_destinations", "unique_ports", "dns_queries_count", "nxdomain_ratio",
+    "avg_dns_query_length",
 )
+FLAG_COLUMNS = ("is_common_port", "is_weekend")
+EVENT_COLUMNS = NUMERIC_COLUMNS + FLAG_COLUMNS
 
 
 def host_aggregates(conn: DataFrame, dns: DataFrame) -> DataFrame:

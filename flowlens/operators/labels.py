@@ -133,15 +133,18 @@ register_label_source("vendor", 1.5, 0.5, vendor_labels)
 def label_events(events: DataFrame, records: dict[str, DataFrame], window: int = matching.WINDOW, weights: dict[str, float] | None = None) -> DataFrame:
     """End to end: each source labels its records, labels go to the nearest event at their addresses within ``window``, votes are agreed upon.
 
-    events: event_id, us, src_ip, dst_ip; records by source name, each with label_id, us, src_ip, dst_ip and what its source reads.
+    events: event_id, us, src_ip, dst_ip; records by source name, each with label_id, us, src_ip, dst_ip and what its source reads, with the
+    id of an attack technique as ``mitre_attack_id`` where it has one.
     """
     votes = None
     for place, (name, rows) in enumerate(records.items()):
         made = SOURCES[name].weak_labels(rows)
-        at = rows.select("label_id", "us", "src_ip", "dst_ip")
+        technique = F.col("mitre_attack_id") if "mitre_attack_id" in rows.columns else F.lit(None).cast("string").alias("mitre_attack_id")
+        at = rows.select("label_id", "us", "src_ip", "dst_ip", technique)
         matched = matching.match_events(at.join(made.select("label_id"), "label_id", "left_semi"), events, window).select("label_id", "event_id")
-        part = made.select("label_id", "label", "confidence", "event_type", "source").join(at.select("label_id", "us"), "label_id").join(matched, "label_id")
-        part = part.select("event_id", "us", "source", "label", "confidence", "event_type", F.struct(F.lit(place).alias("source"), "label_id").alias("ord"))
+        part = made.select("label_id", "label", "confidence", "event_type", "source").join(at, "label_id").join(matched, "label_id")
+        ord_ = F.struct(F.lit(place).alias("source"), "label_id").alias("ord")
+        part = part.select("event_id", "us", "src_ip", "dst_ip", "source", "label", "confidence", "event_type", "mitre_attack_id", ord_)
         votes = part if votes is None else votes.unionByName(part)
     return consensus(votes, weights)
 
@@ -151,29 +154,40 @@ def supervised(agreed: DataFrame) -> DataFrame:
     return agreed.select("event_id", "us", "label", F.lit("consensus").alias("source"), "confidence", "event_type")
 
 
-def consensus(votes: DataFrame, weights: dict[str, float] | None = None, abstain: float = 0.1, decision: float = 0.0, analyst: str | None = "analyst") -> DataFrame:
-    """(event_id, us, label, confidence, score, event_type, sources, votes_positive, votes_negative, votes_abstain) of events that get a label.
+def consensus(votes: DataFrame, weights: dict[str, float] | None = None, abstain: float = 0.0, decision: float = 0.0, analyst: str | None = "analyst") -> DataFrame:
+    """What the votes of each event agree on, for events that get a label.
 
-    The score is the weighted mean of the signed votes; below ``abstain`` there is no label. The latest analyst vote overrides it with
-    confidence 1 and no counts. Votes without an event or a label only count as abstentions. Time and place are those of the first vote. All of it is one aggregation by event.
+    (event_id, us, src_ip, dst_ip, label, confidence, score, event_type, mitre_attack_id, sources, breakdown, votes_positive, votes_negative,
+    votes_abstain). Abstentions and votes without an event are dropped first. The score is the weighted mean of the signed votes; without weight, or
+    below ``abstain``, there is no label. The latest analyst vote, the first of several at one time, overrides it with confidence 1, without counts and
+    breakdown; the order of sums does not decide (12 digits). Time and addresses are those of the first vote, type and technique those of the first that has one; ``breakdown`` has the last
+    vote of each source. All of it is one aggregation by event. Addresses and technique are null where votes have none.
     """
     weights = weights if weights is not None else {s.name: s.weight for s in SOURCES.values()}
-    w = _table("source", weights, 1.0) * F.col("confidence")
-    said = F.col("label").isNotNull()
-    sign = F.when(F.col("label"), 1.0).otherwise(-1.0)
-    by_analyst = said & (F.col("source") == (analyst or ""))
-    rows = votes.where("event_id IS NOT NULL").groupBy("event_id").agg(
-        F.sum(F.when(said, sign * w)).alias("_num"), F.sum(F.when(said, w)).alias("_den"), F.max(F.when(by_analyst, F.struct("us", "ord", "label"))).alias("_analyst"), F.min(F.struct("ord", "us")).alias("_first"),
-        F.min(F.when(said & F.col("event_type").isNotNull(), F.struct("ord", "event_type"))).alias("_type"), F.array_sort(F.collect_set(F.when(said, F.col("source")))).alias("sources"),
-        F.count(F.when(F.col("label"), 1)).alias("_pos"), F.count(F.when(~F.col("label"), 1)).alias("_neg"), F.count(F.when(~said, 1)).alias("_abs"),
+    there = [c if c in votes.columns else F.lit(None).cast("string").alias(c) for c in ("src_ip", "dst_ip", "mitre_attack_id")]
+    said = votes.select("event_id", "us", "source", "label", "confidence", "event_type", "ord", *there).where("event_id IS NOT NULL AND event_id <> '' AND label IS NOT NULL" if dict(votes.dtypes)["event_id"] == "string" else "event_id IS NOT NULL AND label IS NOT NULL")
+    said = said.withColumn("_weight", _table("source", weights, 1.0))
+    w, sign = F.col("_weight") * F.col("confidence"), F.when(F.col("label"), 1.0).otherwise(-1.0)
+    # The last vote of a source is told before the event's: a row per (event, source) meets in the second aggregation.
+    by_source = said.groupBy("event_id", "source").agg(
+        F.sum(sign * w).alias("_num"), F.sum(w).alias("_den"), F.min(F.struct(-F.col("us"), "ord", "label")).alias("_latest"), F.min(F.struct("ord", "us", "src_ip", "dst_ip")).alias("_first"),
+        F.min(F.when(F.col("event_type") != "", F.struct("ord", "event_type"))).alias("_type"), F.min(F.when(F.col("mitre_attack_id") != "", F.struct("ord", "mitre_attack_id"))).alias("_technique"),
+        F.max(F.struct("ord", "label", "confidence", F.col("_weight").alias("weight"))).alias("_last"), F.count(F.when(F.col("label"), 1)).alias("_pos"), F.count(F.when(~F.col("label"), 1)).alias("_neg"),
+    )
+    rows = by_source.groupBy("event_id").agg(
+        F.sum("_num").alias("_num"), F.sum("_den").alias("_den"), F.min(F.when(F.col("source") == (analyst or ""), F.col("_latest"))).alias("_analyst"), F.min("_first").alias("_first"), F.min("_type").alias("_type"),
+        F.min("_technique").alias("_technique"), F.array_sort(F.collect_list(F.struct("source", F.struct("_last.label", "_last.confidence", "_last.weight").alias("vote")))).alias("_votes"),
+        F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"),
     )
     overridden = F.col("_analyst").isNotNull()
-    score = F.when(F.col("_den") > 0, F.col("_num") / F.col("_den"))
-    out = rows.withColumn("score", score).where(overridden | (F.abs("score") >= abstain))
-    count = lambda c: F.when(overridden, F.lit(0)).otherwise(F.col(c)).cast("long")
+    out = rows.withColumn("score", F.when(F.col("_den") > 0, F.col("_num") / F.col("_den"))).where(overridden | (F.abs("score") >= abstain))
+    count = lambda c: F.when(overridden, F.lit(0)).otherwise(c).cast("long")
+    none = F.create_map().cast("map<string,struct<label:boolean,confidence:double,weight:double>>")
     return out.select(
-        "event_id", F.col("_first.us").alias("us"), F.when(overridden, F.col("_analyst.label")).otherwise(F.col("score") > decision).alias("label"), F.when(overridden, 1.0).otherwise(F.abs("score")).alias("confidence"),
-        "score", F.col("_type.event_type").alias("event_type"), F.concat_ws(",", "sources").alias("sources"), count("_pos").alias("votes_positive"), count("_neg").alias("votes_negative"), count("_abs").alias("votes_abstain"),
+        "event_id", F.col("_first.us").alias("us"), F.col("_first.src_ip").alias("src_ip"), F.col("_first.dst_ip").alias("dst_ip"), F.when(overridden, F.col("_analyst.label")).otherwise(F.round("score", 12) > decision).alias("label"),
+        F.when(overridden, 1.0).otherwise(F.abs("score")).alias("confidence"), "score", F.col("_type.event_type").alias("event_type"), F.col("_technique.mitre_attack_id").alias("mitre_attack_id"),
+        F.concat_ws(",", "_votes.source").alias("sources"), F.when(overridden, none).otherwise(F.map_from_entries("_votes")).alias("breakdown"),
+        count(F.col("_pos")).alias("votes_positive"), count(F.col("_neg")).alias("votes_negative"), F.lit(0).cast("long").alias("votes_abstain"),
     )
 
 

@@ -33,6 +33,17 @@ def historical(flows: DataFrame) -> DataFrame:
     return rows.withColumn("deviation", F.when(F.col("bytes_p99") > 0, F.col("bytes_sum") / F.col("bytes_p99")).otherwise(0.0))
 
 
+def historical_of_source(flows: DataFrame) -> DataFrame:
+    """Per source the history of the destination that it sent most to: dst_ip, first seen, p99 and sum of bytes sent, deviation of the sum from p99.
+
+    Ties go to the smaller address. A row per pair meets in the second aggregation.
+    """
+    pairs = flows.groupBy("src_ip", "dst_ip").agg(F.min("us").alias("first_seen_us"), F.percentile("orig_bytes", 0.99).alias("bytes_p99"), F.sum("orig_bytes").alias("bytes_sum"))
+    top = pairs.groupBy("src_ip").agg(F.min(F.struct(-F.col("bytes_sum"), "dst_ip", "first_seen_us", "bytes_p99", "bytes_sum")).alias("t"))
+    rows = top.select("src_ip", "t.dst_ip", "t.first_seen_us", "t.bytes_p99", "t.bytes_sum")
+    return rows.withColumn("deviation", F.when(F.col("bytes_p99") > 0, F.col("bytes_sum") / F.col("bytes_p99")).otherwise(0.0))
+
+
 def top_peer(flows: DataFrame) -> DataFrame:
     """Per source the destination that it sent most to; ties go to the smaller address. Sums first, so the window sees a row per pair."""
     sums = flows.groupBy("src_ip", "dst_ip").agg(F.sum("orig_bytes").alias("bytes_sum"))

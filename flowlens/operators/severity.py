@@ -6,31 +6,66 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.scalars import severity_label
+from flowlens.operators import ranges
 
 WEIGHTS = {"model": 0.40, "asset": 0.25, "intel": 0.15, "history": 0.10, "correlation": 0.10}
-ENRICHMENTS = ("asset", "geo", "intel", "history")
 
-
-#: Tags that make an address suspicious without its being known as malicious.
+#: Names of the enrichments, in order, and tags that make an address suspicious without its being known as malicious.
+ENRICHMENTS = ("asset", "geoip", "threat_intel", "historical")
 SUSPICIOUS_TAGS = ("botnet", "c2-server", "malware", "phishing", "suspicious")
 
 
-def enrich(groups: DataFrame, assets: DataFrame, geo: DataFrame, intel: DataFrame, history: DataFrame) -> DataFrame:
-    """Left joins of the four look-ups: criticality (2 where unknown), country, malicious with tags, deviation; and which of them failed.
+def _failing(rows: DataFrame | None) -> Column:
+    """Whether a row of a look-up stands for one that was not answered."""
+    return F.coalesce(F.col("failed"), F.lit(False)) if rows is not None and "failed" in rows.columns else F.lit(False)
+
 
-    groups: src_ip, dst_ip, and targets as an array ``target_ips`` of all its distinct ones; assets: src_ip, criticality; geo: dst_ip, country;
-    intel: ip, tag, malicious; history: dst_ip, deviation. Intelligence counts for any address of a group: malicious if one of them is, with the
-    tags of all. Pseudonyms are in no look-up and so miss by themselves. Sides are left to Spark, which broadcasts them while small.
+def enrich(groups: DataFrame, assets: DataFrame | None, geo: DataFrame | None, intel: DataFrame | None, history: DataFrame | None) -> DataFrame:
+    """Adds what the four look-ups know of each group, and which of them failed.
+
+    groups: src_ip, session, and target_ips, an array of distinct targets in the order in which they are asked for; assets: src_ip, criticality;
+    geo: ranges first, last with country; intel: ip, tag; history: src_ip, deviation. Adds criticality (2 where unknown or 0), country of the
+    first target that lies in a range, malicious with the tags of the first address, source before targets, that is known, suspicious (its
+    tags say so), deviation of the source's main target. A source of enrichment fails where it is None, or where the look-up that counts has ``failed``
+    set; then it knows nothing. A look-up without a hit is no failure. Targets that are no numbers, pseudonyms among them, are in no range.
     """
-    known = intel.groupBy("ip").agg(F.collect_set("tag").alias("_tags"), F.max(F.coalesce("malicious", F.lit(False))).alias("_bad"))
-    addresses = groups.select("src_ip", "session", F.explode(F.array_union(F.array("src_ip"), "target_ips")).alias("ip"))
-    met = addresses.join(known, "ip").groupBy("src_ip", "session").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_tags")))).alias("_tags"), F.max("_bad").alias("malicious"))
-    rows = groups.join(assets, "src_ip", "left").join(geo, "dst_ip", "left").join(history, "dst_ip", "left").join(met, ["src_ip", "session"], "left")
-    rows = rows.withColumn("tags", F.when(F.col("_tags").isNotNull(), F.concat_ws(",", "_tags"))).withColumn("suspicious", F.coalesce(F.arrays_overlap("_tags", F.array(*[F.lit(t) for t in SUSPICIOUS_TAGS])), F.lit(False))).drop("_tags")
-    missing = {"asset": F.col("criticality").isNull(), "geo": F.col("country").isNull(), "intel": F.col("tags").isNull(), "history": F.col("deviation").isNull()}
-    failed = F.concat_ws(",", *[F.when(missing[e], e) for e in ENRICHMENTS])
-    rows = rows.withColumn("failed_sources", failed).withColumn("partial", failed != "")
-    return rows.withColumn("criticality", F.coalesce(F.when(F.col("criticality") > 0, F.col("criticality")), F.lit(2))).withColumn("malicious", F.coalesce("malicious", F.lit(False)))
+    keys = ["src_ip", "session"]
+    down = {name: F.lit(table is None) for name, table in zip(ENRICHMENTS, (assets, geo, intel, history))}
+    rows = groups
+    if assets is not None:
+        known = assets.groupBy("src_ip").agg(F.max_by("criticality", F.col("criticality")).alias("_criticality"), F.max(_failing(assets)).alias("_asset"))
+        rows = rows.join(known, "src_ip", "left")
+        down["asset"] = F.coalesce("_asset", F.lit(False))
+    else:
+        rows = rows.withColumn("_criticality", F.lit(None).cast("int"))
+    if geo is not None:
+        targets = groups.select(*keys, F.posexplode("target_ips").alias("_place", "_ip"))
+        found = ranges.locate(targets, geo, "_ip").select("number", "country")
+        met = targets.join(found, targets["_ip"].cast("long") == found["number"]).groupBy(*keys).agg(F.min_by("country", "_place").alias("country"))
+        rows = rows.join(met, keys, "left")
+    else:
+        rows = rows.withColumn("country", F.lit(None).cast("string"))
+    if intel is not None:
+        known = intel.groupBy("ip").agg(F.array_sort(F.collect_set("tag")).alias("_tags"), F.max(_failing(intel)).alias("_intel"))
+        addresses = groups.select(*keys, F.posexplode(F.concat(F.array("src_ip"), "target_ips")).alias("_place", "ip"))
+        met = addresses.join(known, "ip").groupBy(*keys).agg(F.min_by(F.struct("_tags", "_intel"), "_place").alias("_met"))
+        rows = rows.join(met, keys, "left")
+        down["threat_intel"] = F.coalesce("_met._intel", F.lit(False))
+    else:
+        rows = rows.withColumn("_met", F.lit(None).cast("struct<_tags:array<string>,_intel:boolean>"))
+    if history is not None:
+        rows = rows.join(history.groupBy("src_ip").agg(F.max("deviation").alias("_deviation"), F.max(_failing(history)).alias("_historical")), "src_ip", "left")
+        down["historical"] = F.coalesce("_historical", F.lit(False))
+    else:
+        rows = rows.withColumn("_deviation", F.lit(None).cast("double"))
+    rows = rows.withColumn("_down", F.array_compact(F.array(*[F.when(down[e], e) for e in ENRICHMENTS])))
+    hit = F.col("_met").isNotNull() & ~down["threat_intel"]
+    rows = rows.withColumns({
+        "criticality": F.coalesce(F.when(~down["asset"] & (F.col("_criticality") > 0), F.col("_criticality")), F.lit(2)), "malicious": hit, "tags": F.when(hit, F.concat_ws(",", "_met._tags")),
+        "suspicious": hit & F.coalesce(F.arrays_overlap("_met._tags", F.array(*[F.lit(t) for t in SUSPICIOUS_TAGS])), F.lit(False)), "deviation": F.when(~down["historical"], F.col("_deviation")),
+        "failed_sources": F.array_join("_down", ","), "partial": F.size("_down") > 0,
+    })
+    return rows.drop("_criticality", "_asset", "_met", "_deviation", "_historical", "_down")
 
 
 def components(model: Column, criticality: Column, malicious: Column, suspicious: Column, deviation: Column, alerts: Column) -> dict[str, Column]:
@@ -50,27 +85,36 @@ def severity(parts: dict[str, Column]) -> Column:
     return F.bround(F.round(F.least(F.lit(100.0), total), 9)).cast("int")
 
 
+def bonus(parts: dict[str, Column]) -> Column:
+    """Whether one of the two factors was applied."""
+    return ((parts["intel"] >= 100) & (parts["asset"] >= 80)) | ((parts["correlation"] >= 100) & (parts["model"] >= 70))
+
+
 def score_groups(enriched: DataFrame) -> DataFrame:
-    """Adds the five components, ``severity_score`` and ``severity_label``."""
+    """Adds the five components, ``severity_score``, ``severity_label`` and ``bonus_applied``."""
     parts = components(F.col("severity"), F.col("criticality"), F.col("malicious"), F.col("suspicious"), F.col("deviation"), F.col("alerts"))
     rows = enriched.withColumns({f"c_{k}": v for k, v in parts.items()})
-    rows = rows.withColumn("severity_score", severity({k: F.col(f"c_{k}") for k in parts}))
+    rows = rows.withColumn("severity_score", severity({k: F.col(f"c_{k}") for k in parts})).withColumn("bonus_applied", bonus({k: F.col(f"c_{k}") for k in parts}))
     return rows.withColumn("severity_label", severity_label("severity_score"))
 
 
-#: Actions that wait for a hand, and the ladder of actions by severity: action, target, priority, runs by itself.
+#: Actions that wait for a hand, and the ladder of actions by severity: action, target, priority, runs by itself, justification.
 DESTRUCTIVE = ("isolate_host", "block_ip", "block_domain", "quarantine")
 LADDER = {
-    "critical": (("notify_soc", "soc-team", "immediate", True), ("create_ticket", "thehive", "immediate", True), ("isolate_host", None, "high", False)),
-    "high": (("notify_soc", "soc-team", "high", True), ("create_ticket", "thehive", "high", True)),
-    "medium": (("create_ticket", "thehive", "medium", True),),
-    "low": (("log_only", "opensearch", "low", True),),
-}
+    "critical": (
+        ("notify_soc", "soc-team", "immediate", True, "Severidad crítica requiere notificación inmediata"), ("create_ticket", "thehive", "immediate", True, "Crear caso para tracking"),
+        ("isolate_host", None, "high", False, "Aislamiento requiere aprobación humana"),
+    ),
+    "high": (("notify_soc", "soc-team", "high", True, "Severidad alta requiere notificación"), ("create_ticket", "thehive", "high", True, "Crear caso para tracking")),
+    "medium": (("create_ticket", "thehive", "medium", True, "Crear caso para monitorización"),),
+    "low": (("log_only", "opensearch", "low", True, "Severidad baja, solo logging"),),
+}
 
 
 def actions(label: Column, host: Column) -> Column:
-    """The ladder's actions for a severity label: array<struct<action, target, priority, auto_execute>>; ``host`` is what is to be isolated."""
-    one = lambda a: F.struct(F.lit(a[0]).alias("action"), (F.lit(a[1]) if a[1] else host.cast("string")).alias("target"), F.lit(a[2]).alias("priority"), F.lit(a[3]).alias("auto_execute"))
+    """The ladder's actions for a severity label: array<struct<action, target, priority, auto_execute, justification>>; ``host`` is to be isolated."""
+    names = ("action", "target", "priority", "auto_execute", "justification")
+    one = lambda a: F.struct(*[(host.cast("string") if value is None else F.lit(value)).alias(name) for name, value in zip(names, a)])
     out = None
     for name, ladder in LADDER.items():
         made = F.array(*map(one, ladder))
@@ -84,11 +128,13 @@ def adjusted(score: Column, adjustment: Column) -> Column:
 
 
 def incidents(scored: DataFrame) -> DataFrame:
-    """The deterministic incident of each group: title, description, reason, false-positive text, actions and those that need a hand.
+    """The deterministic incident of each group: title, description, correlation_reason, false_positive_assessment and recommended_actions.
 
-    scored: alerts, kinds (sorted, comma and space joined), src_ip, hosts, pattern (null without one), severity_score, severity_label,
-    malicious, deviation. The wording is fixed.
+    scored: alerts, kinds (sorted, comma and space joined), src_ip, hosts, pattern (null without one), reason, severity_score, severity_label,
+    malicious, deviation. The wording is fixed. Only a group that an attack pattern brought, not one of an expired session, is said to follow it;
+    without ``reason`` every pattern counts as one.
     """
+    by_pattern = F.col("reason").startswith("attack_pattern") if "reason" in scored.columns else F.col("pattern").isNotNull()
     text = lambda c: F.col(c).cast("string")
     kinds = F.when(F.coalesce(F.col("kinds"), F.lit("")) == "", "anomalía").otherwise(F.col("kinds"))
     title = F.concat(F.lit("Incidente correlacionado: "), kinds, F.lit(" ("), text("alerts"), F.lit(" alertas, severidad "), text("severity_score"), F.lit(")"))
@@ -97,7 +143,7 @@ def incidents(scored: DataFrame) -> DataFrame:
         F.when(F.coalesce(F.col("kinds"), F.lit("")) != "", F.concat(F.lit("Tipos de evento: "), F.col("kinds"), F.lit(". "))).otherwise(""), F.lit("Entidad: "), text("src_ip"), F.lit(". "),
         F.when(F.col("pattern").isNotNull(), F.concat(F.lit("Patrón detectado: "), F.col("pattern"), F.lit("."))).otherwise(""),
     )
-    how = F.when(F.col("pattern").isNotNull(), F.concat(F.lit(" y siguen el patrón de ataque "), F.col("pattern"))).otherwise(" y ocurren en proximidad temporal")
+    how = F.when(by_pattern, F.concat(F.lit(" y siguen el patrón de ataque "), F.col("pattern"))).otherwise(" y ocurren en proximidad temporal")
     reason = F.concat(F.lit("Las "), text("alerts"), F.lit(" alertas comparten la misma entidad ("), text("src_ip"), F.lit(")"), how, F.lit("."))
     judged = (
         F.when(F.col("malicious"), "IP destino marcada como maliciosa en threat intel. FP descartado.")
@@ -106,18 +152,39 @@ def incidents(scored: DataFrame) -> DataFrame:
     )
     host = F.coalesce(F.element_at(F.split("hosts", ","), 1), text("src_ip"))
     rows = scored.withColumn("title", title).withColumn("description", description).withColumn("correlation_reason", reason)
-    rows = rows.withColumn("false_positive_assessment", F.concat(F.lit("Evaluación automática (sin LLM): "), judged)).withColumn("_actions", actions(F.col("severity_label"), host))
-    named = lambda which: F.array_join(F.transform(which, lambda a: a["action"]), ",")
-    priorities = F.array_join(F.transform("_actions", lambda a: F.concat(a["action"], F.lit(":"), a["target"], F.lit(":"), a["priority"])), ",")
-    return rows.withColumn("actions", priorities).withColumn("manual_actions", named(F.filter("_actions", lambda a: ~a["auto_execute"]))).drop("_actions")
-
-
-def timeline(alerts: DataFrame, by: list[str]) -> DataFrame:
-    """The alerts of a group in order as text, with a closing entry."""
-    entries = F.array_sort(F.collect_list(F.struct("us", "alert_id", "event_type")))
-    rows = alerts.groupBy(*by).agg(entries.alias("_e"))
-    line = F.array_join(F.transform("_e", lambda e: F.concat(e["us"].cast("string"), F.lit(" "), e["event_type"])), "; ")
-    return rows.select(*by, F.concat(line, F.lit("; incident created")).alias("timeline"))
+    rows = rows.withColumn("false_positive_assessment", F.concat(F.lit("Evaluación automática (sin LLM): "), judged))
+    return rows.withColumn("recommended_actions", actions(F.col("severity_label"), host))
+
+
+#: Fixed value: the last entry of a timeline.
+PUBLISHED = "Brain: incidente correlacionado y publicado"
+
+
+def iso_time(us: str | Column) -> Column:
+    """Epoch microseconds as ISO time in UTC, with a fraction only where there is one."""
+    us = F.col(us) if isinstance(us, str) else us
+    seconds, fraction = F.floor(us / 1_000_000), F.pmod(us, F.lit(1_000_000))
+    day, of_day = F.date_from_unix_date(F.floor(seconds / 86_400).cast("int")), F.pmod(seconds, F.lit(86_400))
+    clock = F.format_string("%02d:%02d:%02d", F.floor(of_day / 3600), F.floor(of_day % 3600 / 60), of_day % 60)
+    return F.concat(day.cast("string"), F.lit("T"), clock, F.when(fraction > 0, F.format_string(".%06d", fraction)).otherwise(""), F.lit("Z"))
+
+
+def timeline(alerts: DataFrame, by: list[str], published_us: int) -> DataFrame:
+    """The alerts of a group in order as entries (timestamp, event), with a closing one at ``published_us``.
+
+    An event is told by what its alert has of source, event_type, ml_score, severity and rule_message. Entries of equal time are in order of alert_id.
+    """
+    text = lambda c, made: F.when(F.col(c).isNotNull(), made(F.col(c).cast("string"))) if c in alerts.columns else F.lit(None).cast("string")
+    filled = lambda c, made: F.when(F.col(c) != "", made(F.col(c))) if c in alerts.columns else F.lit(None).cast("string")
+    event = F.concat_ws(
+        " ", filled("source", lambda v: v), filled("event_type", lambda v: F.concat(F.lit("("), v, F.lit(")"))), text("ml_score", lambda v: F.concat(F.lit("score "), v)),
+        text("severity", lambda v: F.concat(F.lit("severidad "), v)), filled("rule_message", lambda v: F.concat(F.lit("— "), v)),
+    )
+    event = F.when(event == "", F.concat(F.lit("Alerta "), F.substring(F.col("alert_id").cast("string"), 1, 8))).otherwise(event)
+    rows = alerts.select(*by, F.struct("us", "alert_id", iso_time("us").alias("timestamp"), event.alias("event")).alias("e")).groupBy(*by).agg(F.array_sort(F.collect_list("e")).alias("_e"))
+    entries = F.transform("_e", lambda e: F.struct(e["timestamp"].alias("timestamp"), e["event"].alias("event")))
+    last = F.struct(iso_time(F.lit(published_us)).alias("timestamp"), F.lit(PUBLISHED).alias("event"))
+    return rows.select(*by, F.concat(entries, F.array(last)).alias("timeline"))
 
 
 def validate(rows: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlens.operators import detectors as D
 from flowlens.operators import features
+from flowlens.session import shared_folder
 from flowlens.sources import adapters as A
 from flowlens.sources import generate, logs
 from flowlens.streaming import jobs
@@ -19,11 +19,7 @@ STATES = ["bytes_out", "unique_destinations", "unique_ports", "connection_count"
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="flowlens-")
+    root = shared_folder(spark)
     return f"{root}/stream-{uuid.uuid4().hex}"
 
 

@@ -13,6 +13,8 @@ from flowlens.sources import adapters as A
 
 #: The driver's events are sparse, so the reaches are hours here; the operators' defaults are seconds.
 REACH = 6 * A.HOUR
+#: Records that analysts look at: those of the highest levels.
+REVIEWED = "level >= 14"
 SPLIT = "(SELECT (min(us) + max(us)) // 2 AS mid FROM ev)"
 
 
@@ -32,7 +34,7 @@ ALIGNED = (
 
 
 def votes(s, d):
-    """Four sources label the same events: by severity, level, correlation, and an analyst for a tenth of them."""
+    """Four sources label the same events: by severity, level, correlation, and an analyst for those of the highest levels."""
     rows = A.label_rows(s, d).withColumn("level", F.col("level"))
     base = rows.select("label_id", "us")
 
@@ -41,7 +43,7 @@ def votes(s, d):
         kind = F.col("event_type") if "event_type" in got.columns else F.lit(None).cast("string")
         return got.withColumn("event_type", kind).join(base, "label_id").select(F.floor(F.col("label_id") / 4).alias("event_id"), "us", "source", "label", "confidence", "event_type", (F.col("label_id") * 10 + ordinal).alias("ord"))
 
-    analyst = rows.where("label_id % 10 = 0")
+    analyst = rows.where(REVIEWED)
     out = of("ids", 0, rows).unionByName(of("hids", 1, A.host_records(s, d))).unionByName(of("correlation", 2, rows)).unionByName(of("analyst", 3, analyst))
     return out
 
@@ -50,7 +52,7 @@ VOTES = (
     f"{A.EVENTS}, {A.LABELS}, votes AS (SELECT label_id // 4 AS event_id, us, 'ids' AS source, true AS label, ids_conf AS confidence, ids_type AS event_type, label_id * 10 AS ord, 1.2::DOUBLE AS w FROM lab "
     "UNION ALL SELECT label_id // 4, us, 'hids', true, hids_conf, hids_type, label_id * 10 + 1, 1.0::DOUBLE FROM lab WHERE level >= 6 "
     "UNION ALL SELECT label_id // 4, us, 'correlation', true, confidence * 0.8::DOUBLE, tactic_type, label_id * 10 + 2, 0.7::DOUBLE FROM lab WHERE confidence * 0.8::DOUBLE >= 0.3 "
-    "UNION ALL SELECT label_id // 4, us, 'analyst', label, 1.0::DOUBLE, 'analyst_confirmed', label_id * 10 + 3, 2.0::DOUBLE FROM lab WHERE label_id % 10 = 0)"
+    "UNION ALL SELECT label_id // 4, us, 'analyst', label, 1.0::DOUBLE, 'analyst_confirmed', label_id * 10 + 3, 2.0::DOUBLE FROM lab WHERE level >= 14)"
 )
 
 
@@ -60,14 +62,23 @@ def machine_votes(s, d):
     return A.events(s, d).select(
         F.floor(F.col("event_id") / 3).alias("event_id"), "us", F.element_at(F.array(F.lit("ids"), F.lit("hids"), F.lit("intel"), F.lit("other")), (k % 4 + 1).cast("int")).alias("source"),
         F.when(k % 5 == 0, F.lit(None)).otherwise(k % 2 == 0).cast("boolean").alias("label"), ((k + 1) / 128).alias("confidence"), F.when(k % 3 == 0, F.col("event_type")).alias("event_type"), F.col("event_id").alias("ord"),
+        F.col("user_id").alias("src_ip"), k.alias("dst_ip"), F.when(k % 7 == 0, F.concat(F.lit("T"), k.cast("string"))).alias("mitre_attack_id"),
     )
 
 
+def _breakdown(column="breakdown"):
+    """Votes by source as text."""
+    one = lambda e: F.concat_ws(":", e["key"], e["value"]["label"].cast("string"), e["value"]["confidence"].cast("string"), e["value"]["weight"].cast("string"))
+    return F.array_join(F.array_sort(F.transform(F.map_entries(column), one)), ",")
+
+
 CONSENSUS = (
-    f"WITH {A.EVENTS}, v AS (SELECT event_id // 3 AS event_id, us, (ARRAY['ids', 'hids', 'intel', 'other'])[k % 4 + 1] AS source, CASE WHEN k % 5 = 0 THEN NULL ELSE k % 2 = 0 END AS label, (k + 1) / 128 AS confidence, CASE WHEN k % 3 = 0 THEN event_type END AS event_type, event_id AS ord FROM ev), "
-    "w AS (SELECT *, CASE source WHEN 'ids' THEN 1.2::DOUBLE WHEN 'hids' THEN 1.0::DOUBLE WHEN 'intel' THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END * confidence AS wc FROM v), "
-    "g AS (SELECT event_id, arg_min(us, ord) AS us, sum(CASE WHEN label THEN wc WHEN NOT label THEN -wc END) / sum(CASE WHEN label IS NOT NULL THEN wc END) AS score, arg_min(event_type, ord) FILTER (label IS NOT NULL AND event_type IS NOT NULL) AS event_type, coalesce(string_agg(DISTINCT source, ',' ORDER BY source) FILTER (label IS NOT NULL), '') AS sources, count(*) FILTER (label) AS votes_positive, count(*) FILTER (NOT label) AS votes_negative, count(*) FILTER (label IS NULL) AS votes_abstain FROM w GROUP BY 1) "
-    "SELECT event_id, us, score > 0 AS label, round(abs(score), 6) AS confidence, round(score, 6) AS score, event_type, sources, votes_positive, votes_negative, votes_abstain FROM g WHERE round(abs(score), 9) >= 0.1"
+    f"WITH {A.EVENTS}, v AS (SELECT event_id // 3 AS event_id, us, user_id AS src_ip, k AS dst_ip, (ARRAY['ids', 'hids', 'intel', 'other'])[k % 4 + 1] AS source, k % 2 = 0 AS label, (k + 1) / 128 AS confidence, CASE WHEN k % 3 = 0 THEN event_type END AS event_type, CASE WHEN k % 7 = 0 THEN concat('T', k) END AS mitre, event_id AS ord FROM ev WHERE k % 5 <> 0), "
+    "w AS (SELECT *, CASE source WHEN 'ids' THEN 1.2::DOUBLE WHEN 'hids' THEN 1.0::DOUBLE WHEN 'intel' THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM v), "
+    "b AS (SELECT event_id, string_agg(concat(source, ':', label, ':', confidence, ':', weight), ',' ORDER BY source) AS breakdown FROM (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY event_id, source ORDER BY ord DESC) = 1) GROUP BY 1), "
+    "g AS (SELECT event_id, arg_min(us, ord) AS us, arg_min(src_ip, ord) AS src_ip, arg_min(dst_ip, ord) AS dst_ip, sum(CASE WHEN label THEN weight * confidence ELSE -weight * confidence END) / sum(weight * confidence) AS score, arg_min(event_type, ord) FILTER (event_type IS NOT NULL) AS event_type, "
+    "arg_min(mitre, ord) FILTER (mitre IS NOT NULL) AS mitre_attack_id, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, count(*) FILTER (label) AS votes_positive, count(*) FILTER (NOT label) AS votes_negative FROM w GROUP BY 1) "
+    "SELECT event_id, us, src_ip, dst_ip, round(score, 12) > 0 AS label, round(abs(score), 6) AS confidence, round(score, 6) AS score, event_type, mitre_attack_id, sources, breakdown, votes_positive, votes_negative, 0::BIGINT AS votes_abstain FROM g JOIN b USING (event_id)"
 )
 
 
@@ -85,7 +96,7 @@ _RECORDS = ("ids", "intel", "correlation", "analyst")
 def label_events(s, d):
     """All events labelled from the records of four sources."""
     rows = A.label_rows(s, d)
-    records = {name: rows.where("label_id % 10 = 0") if name == "analyst" else rows for name in _RECORDS}
+    records = {name: rows.where(REVIEWED) if name == "analyst" else rows for name in _RECORDS}
     return L.label_events(A.events(s, d).select("event_id", "us", F.col("user_id").alias("src_ip"), F.col("k").alias("dst_ip")), records)
 
 
@@ -100,10 +111,9 @@ def _grid_sql(weight: str) -> str:
 
 _SIX = ", ".join(f"round({c}, 6) AS {c}" for c in ("threshold", "precision", "recall", "f1", "cost", "youden"))
 _FIGURES = ("threshold", "precision", "recall", "f1", "cost", "youden")
-_MODEL = "isolation_forest"
 
 
-def halves(s, d, model=_MODEL):
+def halves(s, d, model):
     """Scores before and after the middle of the time span."""
     rows = A.scores(s, d).where(F.col("model_name") == model)
     mid = rows.agg(F.floor((F.min("us") + F.max("us")) / 2).alias("mid"))
@@ -111,10 +121,27 @@ def halves(s, d, model=_MODEL):
     return both.where("us < mid"), both.where("us >= mid")
 
 
-def _halves_sql(model=_MODEL):
+def _halves_sql(model):
     return f"WITH {A.SCORES}, mid AS {SPLIT}, r AS (SELECT score FROM scores, mid WHERE model_name = '{model}' AND us < mid), c AS (SELECT score FROM scores, mid WHERE model_name = '{model}' AND us >= mid)"
 
 
+def _by_model(measure):
+    """A distance between the halves of each model's scores."""
+
+    def run(s, d):
+        out = None
+        for model in A.MODELS:
+            rows = measure(*halves(s, d, model)).withColumn("model_name", F.lit(model))
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    return run
+
+
+def _by_model_sql(name: str, made: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{m}' AS model_name, v AS {name} FROM ({_halves_sql(m)}{made})" for m in A.MODELS)
+
+
 def _drift(s, d):
     out = None
     for model in A.MODELS:
@@ -187,7 +214,7 @@ QUERIES = {
     "weak_labels_corr": _weak("correlation"),
     "weak_labels_vendor": lambda s, d: L.vendor_labels(A.label_rows(s, d), minimum=at_least("severity_name", "medium")),
     "label_events": lambda s, d: L.supervised(label_events(s, d)).withColumn("confidence", F.round("confidence", 6)),
-    "consensus_vote": lambda s, d: rounded(L.consensus(machine_votes(s, d)).where("round(abs(score), 9) >= 0.1"), "confidence", "score"),
+    "consensus_vote": lambda s, d: rounded(L.consensus(machine_votes(s, d)).withColumn("breakdown", _breakdown()), "confidence", "score"),
     "consensus_analyst": lambda s, d: L.consensus(votes(s, d)).select("event_id", "us", "label", F.round("confidence", 6).alias("confidence"), "event_type", "sources"),
     "source_stats": lambda s, d: rounded(L.source_stats(votes(s, d)), "avg_confidence"),
     "unlabeled_events": lambda s, d: L.unlabeled(A.label_rows(s, d).select(F.floor(F.col("label_id") / 4).alias("event_id")).unionByName(A.events(s, d).select(F.floor(F.col("event_id") / 3).alias("event_id"))).distinct(), L.consensus(votes(s, d))),
@@ -202,9 +229,9 @@ QUERIES = {
     "optimal_threshold_cost": lambda s, d: rounded(T.optimal(T.sweep(A.judged(s, d)), "cost"), *_FIGURES),
     "roc_auc": lambda s, d: rounded(T.roc_auc(A.judged(s, d)), "roc_auc"),
     "average_precision": lambda s, d: rounded(T.average_precision(A.judged(s, d)), "average_precision"),
-    "psi_drift": lambda s, d: rounded(T.psi(*halves(s, d)), "psi"),
-    "ks_statistic": lambda s, d: rounded(T.ks_distance(*halves(s, d)), "ks"),
-    "wasserstein": lambda s, d: rounded(T.wasserstein(*halves(s, d)), "wasserstein"),
+    "psi_drift": lambda s, d: rounded(_by_model(T.psi)(s, d), "psi"),
+    "ks_statistic": lambda s, d: rounded(_by_model(T.ks_distance)(s, d), "ks"),
+    "wasserstein": lambda s, d: rounded(_by_model(T.wasserstein)(s, d), "wasserstein"),
     "drift_recommend": _drift,
     "al_uncertainty": lambda s, d: rounded(T.event_scores(A.scores(s, d)).select("event_id", T.uncertainty(F.col("mean_score"), 0.5).alias("uncertainty")), "uncertainty"),
     "al_disagreement": lambda s, d: rounded(T.event_scores(A.scores(s, d)).select("event_id", T.disagreement(F.col("sd"), F.col("models")).alias("disagreement")), "disagreement"),
@@ -230,16 +257,16 @@ SQL = {
     "weak_labels_vendor": f"WITH {A.EVENTS}, {A.LABELS} SELECT label_id, true AS label, vendor_conf AS confidence, vendor_type AS event_type FROM lab WHERE k % 5 >= 1 QUALIFY row_number() OVER (PARTITION BY src_ip, dst_ip, round_even(us / 1000000, 0) ORDER BY us, label_id) = 1",
     "label_events": (
         f"WITH {A.EVENTS}, {A.LABELS}, made AS (SELECT 0 AS so, label_id, us, src_ip, dst_ip, 'ids' AS source, true AS label, ids_conf AS confidence, ids_type AS event_type, 1.2::DOUBLE AS w FROM lab UNION ALL SELECT 1, label_id, us, src_ip, dst_ip, 'intel', true, intel_conf, intel_type, 1.3::DOUBLE FROM lab "
-        "UNION ALL SELECT 2, label_id, us, src_ip, dst_ip, 'correlation', true, confidence * 0.8::DOUBLE, tactic_type, 0.7::DOUBLE FROM lab WHERE confidence * 0.8::DOUBLE >= 0.3 UNION ALL SELECT 3, label_id, us, src_ip, dst_ip, 'analyst', label, 1.0::DOUBLE, 'analyst_confirmed', 2.0::DOUBLE FROM lab WHERE label_id % 10 = 0), "
+        "UNION ALL SELECT 2, label_id, us, src_ip, dst_ip, 'correlation', true, confidence * 0.8::DOUBLE, tactic_type, 0.7::DOUBLE FROM lab WHERE confidence * 0.8::DOUBLE >= 0.3 UNION ALL SELECT 3, label_id, us, src_ip, dst_ip, 'analyst', label, 1.0::DOUBLE, 'analyst_confirmed', 2.0::DOUBLE FROM lab WHERE level >= 14), "
         "v AS (SELECT m.*, e.event_id FROM made m JOIN ev e ON e.user_id = m.src_ip AND e.k = m.dst_ip AND abs(e.us - m.us) <= 60000000 QUALIFY row_number() OVER (PARTITION BY so, label_id ORDER BY abs(e.us - m.us), e.us, e.event_id) = 1), "
-        "g AS (SELECT event_id, arg_min(us, (so, label_id)) AS us, sum(CASE WHEN label THEN w * confidence ELSE -w * confidence END) / sum(w * confidence) AS score, arg_max(label, (us, so, label_id)) FILTER (source = 'analyst') AS an, arg_min(event_type, (so, label_id)) AS event_type FROM v GROUP BY 1) "
-        "SELECT event_id, us, coalesce(an, score > 0) AS label, 'consensus' AS source, CASE WHEN an IS NULL THEN round(abs(score), 6) ELSE 1 END AS confidence, event_type FROM g WHERE an IS NOT NULL OR abs(score) >= 0.1"
+        "g AS (SELECT event_id, arg_min(us, (so, label_id)) AS us, sum(CASE WHEN label THEN w * confidence ELSE -w * confidence END) / sum(w * confidence) AS score, arg_max(label, (us, -so, -label_id)) FILTER (source = 'analyst') AS an, arg_min(event_type, (so, label_id)) AS event_type FROM v GROUP BY 1) "
+        "SELECT event_id, us, coalesce(an, round(score, 12) > 0) AS label, 'consensus' AS source, CASE WHEN an IS NULL THEN round(abs(score), 6) ELSE 1 END AS confidence, event_type FROM g"
     ),
     "consensus_vote": CONSENSUS,
-    "consensus_analyst": f"WITH {VOTES}, g AS (SELECT event_id, arg_min(us, ord) AS us, sum(CASE WHEN label THEN w * confidence WHEN NOT label THEN -w * confidence END) / sum(w * confidence) AS score, arg_max(label, (us, ord)) FILTER (source = 'analyst') AS an, arg_min(event_type, ord) FILTER (event_type IS NOT NULL) AS event_type, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM votes GROUP BY 1) SELECT event_id, us, coalesce(an, score > 0) AS label, round(CASE WHEN an IS NOT NULL THEN 1 ELSE abs(score) END, 6) AS confidence, event_type, sources FROM g WHERE an IS NOT NULL OR abs(score) >= 0.1",
+    "consensus_analyst": f"WITH {VOTES}, g AS (SELECT event_id, arg_min(us, ord) AS us, sum(CASE WHEN label THEN w * confidence WHEN NOT label THEN -w * confidence END) / sum(w * confidence) AS score, arg_max(label, (us, -ord)) FILTER (source = 'analyst') AS an, arg_min(event_type, ord) FILTER (event_type IS NOT NULL) AS event_type, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM votes GROUP BY 1) SELECT event_id, us, coalesce(an, round(score, 12) > 0) AS label, round(CASE WHEN an IS NOT NULL THEN 1 ELSE abs(score) END, 6) AS confidence, event_type, sources FROM g",
     "source_stats": f"WITH {VOTES} SELECT source, count(*) AS n, count(*) FILTER (label) AS positive, count(*) FILTER (NOT label) AS negative, count(*) FILTER (label IS NULL) AS abstained, round(avg(confidence), 6) AS avg_confidence FROM votes GROUP BY 1",
-    "unlabeled_events": f"WITH {VOTES}, g AS (SELECT event_id FROM votes GROUP BY 1 HAVING max(CASE WHEN source = 'analyst' THEN 1 ELSE 0 END) = 1 OR abs(sum(CASE WHEN label THEN w * confidence ELSE -w * confidence END) / sum(w * confidence)) >= 0.1) SELECT event_id FROM (SELECT label_id // 4 AS event_id FROM lab UNION SELECT event_id // 3 FROM ev) WHERE event_id NOT IN (SELECT event_id FROM g)",
-    "consensus_incidents": f"WITH {VOTES}, g AS (SELECT event_id, sum(CASE WHEN label THEN w * confidence WHEN NOT label THEN -w * confidence END) / sum(w * confidence) AS score, arg_max(label, (us, ord)) FILTER (source = 'analyst') AS an FROM votes GROUP BY 1) SELECT count(*) AS n FROM g WHERE an OR (an IS NULL AND score > 0.5)",
+    "unlabeled_events": f"WITH {VOTES} SELECT event_id FROM (SELECT label_id // 4 AS event_id FROM lab UNION SELECT event_id // 3 FROM ev) WHERE event_id NOT IN (SELECT event_id FROM votes)",
+    "consensus_incidents": f"WITH {VOTES}, g AS (SELECT event_id, sum(CASE WHEN label THEN w * confidence WHEN NOT label THEN -w * confidence END) / sum(w * confidence) AS score, arg_max(label, (us, -ord)) FILTER (source = 'analyst') AS an FROM votes GROUP BY 1) SELECT count(*) AS n FROM g WHERE an OR (an IS NULL AND score > 0.5)",
     "confusion_matrix": f"{_MATRIX} SELECT * FROM m",
     "kpi_metrics": f"{_KPI} SELECT * EXCLUDE (coverage, precision_pct), round(coverage, 6) AS coverage, round(precision_pct, 6) AS precision_pct FROM k",
     "gap_analysis": f"{_KPI} SELECT model_name, coverage >= 90 AS coverage_met, precision_pct >= 85 AS precision_pct_met, advantage >= 0 AS advantage_met, coverage >= 90 AND precision_pct >= 85 AND advantage >= 0 AS all_met FROM k",
@@ -250,9 +277,9 @@ SQL = {
     "optimal_threshold_cost": _grid_sql("1.0::DOUBLE") + f"SELECT model_name, {_SIX} FROM sw QUALIFY row_number() OVER (PARTITION BY model_name ORDER BY round(sw.cost, 12) DESC, sw.threshold) = 1",
     "roc_auc": f"WITH {A.JUDGED} SELECT p.model_name, round(avg(CASE WHEN p.score > n.score THEN 1.0::DOUBLE WHEN p.score = n.score THEN 0.5::DOUBLE ELSE 0 END), 6) AS roc_auc FROM judged p JOIN judged n ON p.model_name = n.model_name AND p.label AND NOT n.label GROUP BY 1",
     "average_precision": f"WITH {A.JUDGED}, s AS (SELECT model_name, score, count(*) FILTER (label) AS p, count(*) AS n FROM judged GROUP BY 1, 2), c AS (SELECT model_name, p, sum(p) OVER w AS cp, sum(n) OVER w AS cn, sum(p) OVER (PARTITION BY model_name) AS ap FROM s WINDOW w AS (PARTITION BY model_name ORDER BY score DESC)) SELECT model_name, round(sum(p / ap * cp / cn), 6) AS average_precision FROM c GROUP BY 1",
-    "psi_drift": f"{_halves_sql()} SELECT round({_PSI}, 6) AS psi",
-    "ks_statistic": f"{_halves_sql()}, {_GAPS} SELECT round(max(gap), 6) AS ks FROM g",
-    "wasserstein": f"{_halves_sql()}, {_GAPS} SELECT round(sum(gap * coalesce(width, 0)), 6) AS wasserstein FROM g",
+    "psi_drift": _by_model_sql("psi", f" SELECT round({_PSI}, 6) AS v"),
+    "ks_statistic": _by_model_sql("ks", f", {_GAPS} SELECT round(max(gap), 6) AS v FROM g"),
+    "wasserstein": _by_model_sql("wasserstein", f", {_GAPS} SELECT round(sum(gap * coalesce(width, 0)), 6) AS v FROM g"),
     "drift_recommend": " UNION ALL ".join(f"SELECT '{m}' AS model_name, CASE WHEN v > 0.001 THEN 1::BIGINT ELSE 0::BIGINT END AS drifted_metrics, CASE WHEN v <= 0.001 THEN 'none' WHEN v / 0.001 < 1.5 THEN 'low' WHEN v / 0.001 < 2 THEN 'medium' ELSE 'high' END AS severity, v > 0.001 AS retune FROM ({_halves_sql(m)} SELECT {_PSI} AS v)" for m in A.MODELS),
     "al_uncertainty": f"{_AL} SELECT event_id, round(uncertainty, 6) AS uncertainty FROM f",
     "al_disagreement": f"{_AL} SELECT event_id, round(disagreement, 6) AS disagreement FROM f",

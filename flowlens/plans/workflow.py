@@ -144,8 +144,8 @@ SQL = {
     "unlabelled_queries": f"WITH {A.SCORES}, {A.LABELS}, g AS (SELECT event_id, avg(round(score, 9)) AS m, count(score) AS models FROM scores WHERE event_id NOT IN (SELECT label_id FROM lab) GROUP BY 1) SELECT event_id, round(m, 6) AS unified_score, models, round(1 - abs(m - 0.5), 6) AS uncertainty, m >= 0.5 AS suggested_label, 'unlabeled' AS reason FROM g ORDER BY m DESC, event_id LIMIT 20",
     "baseline_round_trip": f"WITH {BASE} SELECT src_ip, service, metric, round(mean, 6) AS mean, round(std, 6) AS std, round(min_val, 6) AS min_val, round(max_val, 6) AS max_val, round(p50, 6) AS p50, round(p95, 6) AS p95, round(p99, 6) AS p99, sample_count FROM base",
     "invented_entities": (
-        r"WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE len(list_distinct(list_filter(regexp_extract_all(t, '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b'), lambda x: length(x) >= 7))) END AS ips, "
-        r"len(list_distinct(list_filter(regexp_extract_all(t, '\b[A-Za-z][A-Za-z0-9]*-[A-Za-z0-9-]*[A-Za-z0-9]\b'), lambda x: length(x) >= 5))) AS hosts, len(list_distinct(regexp_extract_all(t, '(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b'))) AS alert_ids FROM t"
+        r"WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '[^\x00-\x7F\P{L}]', '_', 'g'), '[^\x00-\x7F\P{N}]', '_', 'g') AS t FROM documents) SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE len(list_distinct(list_concat(regexp_extract_all(t, '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b'), regexp_extract_all(t, '(?i)\b[0-9a-f]{32,64}\b')))) END AS ips, "
+        r"len(list_distinct(regexp_extract_all(t, '\b[A-Z][A-Z0-9-]{2,}(?:\.[A-Za-z0-9-]+)*\b'))) AS hosts, len(list_distinct(regexp_extract_all(t, '(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b'))) AS alert_ids FROM t"
     ),
     "optimal_threshold_weighted": plan.weighted_optimum_sql(),
     "vote_totals": f"WITH {plan.VOTES} SELECT count(*) AS votes, count(*) FILTER (label) AS positive FROM votes",

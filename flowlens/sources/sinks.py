@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlens.operators.severity import DESTRUCTIVE
+
 
 def as_messages(rows: DataFrame, key: str, topic: str) -> DataFrame:
     """(topic, key, value): what a Kafka sink takes; the value is the row as JSON."""
@@ -37,10 +39,25 @@ def dead_letters(rejected: DataFrame, component: str) -> DataFrame:
     return rejected.select(F.to_json(F.struct(*columns)).alias("original_message"), "error", F.lit(component).alias("component"))
 
 
-def action_payload(incidents: DataFrame, destructive: tuple[str, ...]) -> DataFrame:
-    """(incident key columns, playbook, auto, manual): actions that run by themselves and those that wait for a hand."""
-    every = F.split("actions", ",")
-    return incidents.withColumn("auto", F.filter(every, lambda a: ~a.isin(*destructive))).withColumn("manual", F.filter(every, lambda a: a.isin(*destructive)))
+#: The response that an incident of each severity starts.
+PLAYBOOKS = {"critical": "brain-critical-response", "high": "brain-high-response", "medium": "brain-medium-response", "low": "brain-low-response"}
+
+
+def playbook(label: str | Column) -> Column:
+    """The playbook of a severity label; that of low severity for any other."""
+    label = F.col(label) if isinstance(label, str) else label
+    names = F.create_map(*[F.lit(x) for pair in PLAYBOOKS.items() for x in pair])
+    return F.coalesce(names[label], F.lit(PLAYBOOKS["low"]))
+
+
+def action_payload(incidents: DataFrame) -> DataFrame:
+    """Adds playbook, auto_execute_actions and manual_review_actions to incidents with severity_label and recommended_actions.
+
+    An action runs by itself if it says so and is none of the destructive ones, whatever it says; all others wait for a hand.
+    """
+    runs = lambda a: F.coalesce(a["auto_execute"], F.lit(False)) & ~F.coalesce(a["action"].isin(*DESTRUCTIVE), F.lit(False))
+    every = "recommended_actions"
+    return incidents.withColumns({"playbook": playbook("severity_label"), "auto_execute_actions": F.filter(every, runs), "manual_review_actions": F.filter(every, lambda a: ~runs(a))})
 
 
 def fan_out(*writers: Callable[[DataFrame, int], None], failed: Callable[[Callable, Exception], None] | None = None) -> Callable[[DataFrame, int], None]:

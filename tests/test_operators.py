@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlens.functions import entities, privacy, scalars
-from flowlens.operators import correlate, detectors, labels, matching, severity, tuning
+from flowlens.operators import correlate, detectors, features, labels, matching, ranges, rollups, severity, tuning
 from flowlens.sources import generate, logs, sinks
 
 S = 1_000_000
@@ -64,13 +64,33 @@ def test_consensus(spark):
     got = {r["event_id"]: r for r in labels.consensus(votes(spark, [
         ("one", 1, "ids", True, 0.9, "scan", 0), ("split", 1, "ids", True, 0.9, None, 0), ("split", 2, "hids", False, 0.5, "x", 1), ("none", 1, "ids", None, 0.9, None, 0),
         ("over", 1, "ids", True, 0.9, None, 0), ("over", 2, "analyst", False, 1.0, None, 1), ("over", 3, "analyst", True, 1.0, None, 2), ("zero", 1, "ids", True, 0.0, None, 0), (None, 1, "ids", True, 1.0, None, 0),
+        ("", 1, "ids", True, 1.0, None, 0), ("near", 1, "hids", True, 0.5, None, 0), ("near", 2, "hids", False, 0.47, None, 1), ("tie", 1, "hids", True, 0.5, None, 0), ("tie", 2, "hids", False, 0.5, None, 1),
+        ("late", 5, "ids", None, 0.9, "scan", 0), ("late", 9, "hids", True, 0.9, "", 1), ("late", 9, "intel", True, 0.9, "x", 2), ("same", 3, "analyst", False, 1.0, None, 1), ("same", 3, "analyst", True, 1.0, None, 2),
     ])).collect()}
-    assert set(got) == {"one", "split", "over"}
+    assert set(got) == {"one", "split", "over", "near", "tie", "late", "same"}
     assert got["one"]["label"] and got["one"]["confidence"] == pytest.approx(1.0) and got["one"]["event_type"] == "scan"
     assert got["split"]["score"] == pytest.approx((1.08 - 0.5) / 1.58) and got["split"]["event_type"] == "x"
-    assert got["over"]["label"] and got["over"]["confidence"] == 1 and got["over"]["votes_positive"] == 0
+    assert got["over"]["label"] and got["over"]["confidence"] == 1 and got["over"]["votes_positive"] == 0 and got["over"]["breakdown"] == {}
+    # A narrow majority is a label, a tie is the negative one: nothing is held back below a score of 0.
+    assert got["near"]["label"] and got["near"]["confidence"] == pytest.approx(0.03 / 0.97) and (got["tie"]["label"], got["tie"]["confidence"]) == (False, 0)
+    # Abstentions are dropped first: they lend neither their time nor their type, and are not counted.
+    assert (got["late"]["us"], got["late"]["event_type"], got["late"]["votes_abstain"], got["late"]["sources"]) == (9, "x", 0, "hids,intel")
+    assert {k: tuple(v) for k, v in got["split"]["breakdown"].items()} == {"ids": (True, 0.9, 1.2), "hids": (False, 0.5, 1.0)}
+    assert {k: tuple(v) for k, v in got["near"]["breakdown"].items()} == {"hids": (False, 0.47, 1.0)}  # the last vote of a source
+    assert got["same"]["label"] is False  # of two latest the first
     plain = {r["event_id"]: r for r in labels.consensus(votes(spark, [("over", 1, "ids", True, 0.9, None, 0), ("over", 2, "analyst", False, 1.0, None, 1)]), analyst=None).collect()}
     assert plain["over"]["label"] is False
+    held = labels.consensus(votes(spark, [("near", 1, "hids", True, 0.5, None, 0), ("near", 2, "hids", False, 0.47, None, 1)]), abstain=0.1)
+    assert held.count() == 0
+
+
+def test_consensus_keeps_addresses_and_technique(spark):
+    rows = spark.createDataFrame(
+        [("e", 3, "hids", True, 0.5, None, 2, "A", "X", None), ("e", 2, "ids", True, 0.9, "scan", 1, "B", "Y", "T1046"), ("e", 1, "intel", None, 0.9, "x", 0, "C", "Z", "T9999"), ("e", 4, "correlation", True, 0.5, "y", 3, "A", "X", "T1000")],
+        "event_id string, us long, source string, label boolean, confidence double, event_type string, ord long, src_ip string, dst_ip string, mitre_attack_id string",
+    )
+    got = one(labels.consensus(rows))
+    assert (got["us"], got["src_ip"], got["dst_ip"], got["event_type"], got["mitre_attack_id"]) == (2, "B", "Y", "scan", "T1046")
 
 
 def test_hids_minimum_comes_before_the_factor(spark):
@@ -104,19 +124,98 @@ def test_incidents_follow_the_ladder(spark):
     rows = [("A", 3, "scan", "h1,h2", "lateral_movement", 85, "critical", True, 1.0), ("B", 2, "anomaly, scan", None, None, 65, "high", False, 6.0), ("C", 1, "scan", "h", None, 45, "medium", False, None), ("D", 1, "", "h", None, 5, "low", False, 1.0)]
     frame = spark.createDataFrame(rows, "src_ip string, alerts long, kinds string, hosts string, pattern string, severity_score int, severity_label string, malicious boolean, deviation double")
     got = {r["src_ip"]: r for r in severity.incidents(frame).collect()}
-    assert got["A"]["actions"] == "notify_soc:soc-team:immediate,create_ticket:thehive:immediate,isolate_host:h1:high" and got["A"]["manual_actions"] == "isolate_host"
-    assert [got[k]["actions"] for k in "BCD"] == ["notify_soc:soc-team:high,create_ticket:thehive:high", "create_ticket:thehive:medium", "log_only:opensearch:low"] and got["B"]["manual_actions"] == ""
+    told = lambda row: [(a["action"], a["target"], a["priority"], a["auto_execute"]) for a in row["recommended_actions"]]
+    assert told(got["A"]) == [("notify_soc", "soc-team", "immediate", True), ("create_ticket", "thehive", "immediate", True), ("isolate_host", "h1", "high", False)]
+    assert [told(got[k]) for k in "BCD"] == [[("notify_soc", "soc-team", "high", True), ("create_ticket", "thehive", "high", True)], [("create_ticket", "thehive", "medium", True)], [("log_only", "opensearch", "low", True)]]
+    assert all(a["justification"] for r in got.values() for a in r["recommended_actions"])
+    expired = one(severity.incidents(frame.where("src_ip = 'A'").withColumn("reason", F.lit("session_expired_pattern_lateral_movement"))))
+    assert expired["correlation_reason"].endswith("proximidad temporal.") and "Patrón detectado: lateral_movement." in expired["description"]
     assert "FP descartado" in got["A"]["false_positive_assessment"] and "FP improbable" in got["B"]["false_positive_assessment"] and "revisión manual" in got["C"]["false_positive_assessment"]
     assert got["D"]["title"] == "Incidente correlacionado: anomalía (1 alertas, severidad 5)" and "patrón de ataque lateral_movement." in got["A"]["correlation_reason"] and got["C"]["correlation_reason"].endswith("proximidad temporal.")
 
 
+def test_no_destructive_action_runs_by_itself(spark):
+    schema = "id string, severity_label string, recommended_actions array<struct<action:string,target:string,priority:string,auto_execute:boolean,justification:string>>"
+    said = [(name, "h", "high", True, "") for name in (*severity.DESTRUCTIVE, "notify_soc")] + [("create_ticket", "t", "low", False, ""), ("log_only", "t", "low", None, ""), (None, "t", "low", True, "")]
+    got = {r["id"]: r for r in sinks.action_payload(spark.createDataFrame([("a", "critical", said), ("b", "odd", []), ("c", None, None)], schema)).collect()}
+    assert [a["action"] for a in got["a"]["auto_execute_actions"]] == ["notify_soc", None]
+    assert [a["action"] for a in got["a"]["manual_review_actions"]] == [*severity.DESTRUCTIVE, "create_ticket", "log_only"]
+    assert [got[k]["playbook"] for k in "abc"] == ["brain-critical-response", "brain-low-response", "brain-low-response"]
+    # The incidents of the ladder, whole.
+    frame = spark.createDataFrame([("A", 3, "scan", "h1", "x", 85, "critical", True, 1.0)], "src_ip string, alerts long, kinds string, hosts string, pattern string, severity_score int, severity_label string, malicious boolean, deviation double")
+    row = one(sinks.action_payload(severity.incidents(frame)))
+    assert [a["action"] for a in row["auto_execute_actions"]] == ["notify_soc", "create_ticket"] and [a["action"] for a in row["manual_review_actions"]] == ["isolate_host"]
+
+
+def enriched(spark, groups, assets=(), geo=(), intel=(), history=()):
+    made = lambda rows, schema: None if rows is None else spark.createDataFrame(list(rows), schema)
+    return {r["src_ip"]: r for r in severity.enrich(
+        spark.createDataFrame(groups, "src_ip long, session long, target_ips array<long>"), made(assets, "src_ip long, criticality int, failed boolean"), made(geo, "first long, last long, country string"),
+        made(intel, "ip long, tag string, failed boolean"), made(history, "src_ip long, deviation double, failed boolean"),
+    ).collect()}
+
+
+def test_enrichment_takes_the_first_hit_and_fails_only_where_a_source_does(spark):
+    groups = [(1, 1, [50, 60, 70]), (2, 1, [80]), (3, 1, [90, 70]), (4, 1, [95])]
+    got = enriched(
+        spark, groups, [(1, 5, False), (2, 4, True), (3, 0, False)], [(60, 65, "ES"), (66, 99, "FR")], [(60, "cdn", False), (60, "seen", False), (70, "botnet", False), (90, "x", True), (2, "c2-server", None)],
+        [(1, 18.0, False), (4, 3.0, True)],
+    )
+    # No hit is no failure; the first known address decides, its tags only, and any hit flags.
+    assert (got[1]["malicious"], got[1]["tags"], got[1]["suspicious"], got[1]["country"], got[1]["criticality"], got[1]["deviation"], got[1]["failed_sources"], got[1]["partial"]) == (True, "cdn,seen", False, "ES", 5, 18.0, "", False)
+    assert (got[2]["malicious"], got[2]["tags"], got[2]["suspicious"], got[2]["country"], got[2]["criticality"], got[2]["failed_sources"], got[2]["partial"]) == (True, "c2-server", True, "FR", 2, "asset", True)
+    assert (got[3]["malicious"], got[3]["tags"], got[3]["criticality"], got[3]["failed_sources"]) == (False, None, 2, "threat_intel")  # the failing look-up comes before the hit
+    assert (got[4]["malicious"], got[4]["deviation"], got[4]["failed_sources"], got[4]["criticality"]) == (False, None, "historical", 2)
+    down = enriched(spark, groups[:1], None, None, None, None)[1]
+    assert (down["failed_sources"], down["criticality"], down["country"], down["malicious"], down["deviation"]) == ("asset,geoip,threat_intel,historical", 2, None, False, None)
+
+
 def test_tags_without_malice_count_half(spark):
-    groups = spark.createDataFrame([("A", 1, "X", ["X", "Y"]), ("B", 1, "Z", ["Z"]), ("C", 1, "W", ["W"])], "src_ip string, session long, dst_ip string, target_ips array<string>")
-    intel = spark.createDataFrame([("Y", "botnet", False), ("Z", "cdn", True), ("W", "cdn", False)], "ip string, tag string, malicious boolean")
-    none = lambda schema: spark.createDataFrame([], schema)
-    rows = severity.enrich(groups, none("src_ip string, criticality int"), none("dst_ip string, country string"), intel, none("dst_ip string, deviation double"))
-    rows = severity.score_groups(rows.withColumn("severity", F.lit(10.0)).withColumn("alerts", F.lit(1)))
-    assert {r["src_ip"]: (r["malicious"], r["suspicious"], r["c_intel"]) for r in rows.collect()} == {"A": (False, True, 50.0), "B": (True, False, 100.0), "C": (False, False, 0.0)}
+    rows = spark.createDataFrame([("A", False, True), ("B", True, False), ("C", False, False)], "src_ip string, malicious boolean, suspicious boolean")
+    rows = severity.score_groups(rows.withColumns({"severity": F.lit(10.0), "alerts": F.lit(1), "criticality": F.lit(2), "deviation": F.lit(None).cast("double")}))
+    assert {r["src_ip"]: (r["c_intel"], r["bonus_applied"]) for r in rows.collect()} == {"A": (50.0, False), "B": (100.0, False), "C": (0.0, False)}
+
+
+def test_history_is_that_of_the_main_target_of_a_source(spark):
+    rows = spark.createDataFrame([("A", "X", 1, 100), ("A", "X", 2, 100), ("A", "Y", 3, 150), ("B", "Y", 4, 900), ("C", "Y", 5, 0), ("D", "Z", 6, 10), ("D", "W", 7, 10)], "src_ip string, dst_ip string, us long, orig_bytes long")
+    got = {r["src_ip"]: (r["dst_ip"], r["first_seen_us"], r["bytes_sum"], r["deviation"]) for r in rollups.historical_of_source(rows).collect()}
+    assert got == {"A": ("X", 1, 200, 2.0), "B": ("Y", 4, 900, 1.0), "C": ("Y", 5, 0, 0.0), "D": ("W", 7, 10, 1.0)}
+
+
+def test_ranges_equal_a_plain_search(spark):
+    draw = np.random.default_rng(4)
+    table = [(int(a), int(a + w), k) for k, (a, w) in enumerate(zip(draw.integers(0, 5000, 300), draw.choice([0, 1, 7, 64, 900, -3], 300)))] + [(0, 2**40, 300), (2**40 - 5, 2**41, 301)]
+    numbers = [int(v) for v in draw.integers(0, 6000, 500)] * 2 + [0, 2**40, 2**40 + 1, 2**41, 2**41 + 1, -1, None]
+    frame = spark.createDataFrame(table, "first long, last long, name long")
+    got = {r["number"]: r["name"] for r in ranges.locate(spark.createDataFrame([(v,) for v in numbers], "number long"), frame).collect()}
+    inside = lambda v: min(((b - a, a, b, k) for a, b, k in table if a <= v <= b), default=None)
+    assert got == {v: inside(v)[3] for v in set(numbers) if v is not None and v >= 0 and inside(v)}
+    cut = {(r["first"], r["last"]): r["b"] for r in frame.select("first", "last", ranges.block_column("first", "last").alias("b")).collect()}
+    for (a, b), blocks in cut.items():
+        covered = sorted((k["block"] << k["bits"], (k["block"] + 1) << k["bits"]) for k in blocks or [])
+        assert [x for pair in covered for x in pair][:1] == ([a] if a <= b else []) and all(p[1] == q[0] for p, q in zip(covered, covered[1:])) and (not covered or covered[-1][1] == b + 1) and len(covered) <= 126
+    assert ranges.locate(spark.createDataFrame([(5,)], "number long"), frame.limit(0)).count() == 0
+    asked = spark.createDataFrame([("10.0.1.2",), ("256.0.0.1",), ("hash:10.0.1.2",), ("f" * 64,), ("::1",), (None,)], "a string").select(ranges.address_number("a").alias("n"), ranges.is_pseudonym("a").alias("p")).collect()
+    assert [r["n"] for r in asked] == [10 * 2**24 + 258, None, None, None, None, None] and [r["p"] for r in asked] == [False, False, True, True, False, None]
+
+
+def test_timeline_entries(spark):
+    rows = spark.createDataFrame([("g", "b", 1_782_864_000_500_000, "hids", "scan", None, 40, "rule"), ("g", "a", 1_782_864_000_000_000, "ids", "", 0.5, None, None), ("g", "c" * 20, 1_782_950_399_000_000, None, None, None, None, None)], "k string, alert_id string, us long, source string, event_type string, ml_score double, severity int, rule_message string")
+    got = [tuple(e) for e in one(severity.timeline(rows, ["k"], 1_782_950_400_000_000))["timeline"]]
+    assert got == [
+        ("2026-07-01T00:00:00Z", "ids score 0.5"), ("2026-07-01T00:00:00.500000Z", "hids (scan) severidad 40 — rule"), ("2026-07-01T23:59:59Z", "Alerta cccccccc"), ("2026-07-02T00:00:00Z", severity.PUBLISHED),
+    ]
+
+
+def test_event_vector_has_the_numeric_columns_first():
+    assert features.EVENT_COLUMNS[-2:] == ("is_common_port", "is_weekend") and len(features.EVENT_COLUMNS) == 17 and features.EVENT_COLUMNS[7:10] == ("dst_port", "hour_of_day", "day_of_week")
+
+
+def test_entities_of_a_group(spark):
+    rows = spark.createDataFrame([(3, 30, "A", "Z", "h2", "ids"), (1, 10, "A", "Y", "h9", "ids"), (2, 20, "A", "Y", "h2", "hids"), (4, 5, "B", "Y", None, "ids")], "alert_id long, us long, src_ip string, dst_ip string, host string, source string")
+    got = {r["src_ip"]: r for r in correlate.group_entities(rows, ["src_ip"]).collect()}
+    assert (got["A"]["src_hosts"], got["A"]["dst_hosts"], got["A"]["src_ips"], got["A"]["dst_ips"], got["A"]["unique_sources"], got["A"]["alert_count"]) == (["h9", "h2"], [], ["A"], ["Y", "Z"], 2, 3)
+    assert got["B"]["src_hosts"] == [] and got["B"]["time_span_seconds"] == 0
 
 
 def test_baseline_without_deviation_or_service(spark):
@@ -231,8 +330,9 @@ def test_times_pseudonyms_and_entities(spark):
     assert [r["us"] for r in times] == [1_782_864_000 * S] * 3 + [None]
     row = one(spark.createDataFrame([("10.0.0.1", None, "")], "a string, b string, c string").select(privacy.pseudonym("a", "s").alias("a"), privacy.pseudonym("b", "s").alias("b"), privacy.indexed_pseudonym("c", "s").alias("c"), privacy.vendor_pseudonym("c", "s").alias("d"), privacy.is_pseudonym(F.lit("f" * 32)).alias("e")))
     assert row["a"] != row["b"] and row["c"] == "" and row["d"] == "unknown" and row["e"]
-    named = one(spark.createDataFrame([("see srv-db-01 at 10.0.0.1 and 10.0.0.1, id " + "a" * 32,)], "t string").select(entities.ips("t").alias("i"), entities.hosts("t").alias("h"), entities.hashes("t").alias("x")))
-    assert named["i"] == ["10.0.0.1"] and named["h"] == ["srv-db-01"] and named["x"] == ["a" * 32]
+    text = "see SRV-DB-01.corp.local, WEB-02 and srv-db-01, a well-known state-of-the-art host at 10.0.0.1 and 10.0.0.1, id " + "aB" * 16
+    named = one(spark.createDataFrame([(text,)], "t string").select(entities.ips("t").alias("i"), entities.hosts("t").alias("h"), entities.hashes("t").alias("x")))
+    assert named["i"] == ["10.0.0.1", "aB" * 16] and named["h"] == ["SRV-DB-01.corp.local", "WEB-02"] and named["x"] == ["aB" * 16]
 
 
 def test_validation_and_sinks(spark, tmp_path):
