@@ -4,7 +4,7 @@ Tokens come from a public tokenizer, an end id closes each document. Whole windo
 a block of documents, in parts of at most ``GRAIN`` tokens, are then divided among windows: differencing keeps partial partitions, merges
 the two of the largest imbalance by pairing the fullest windows of the one with the emptiest of the other, and ends with near-equal
 windows. It starts with as many windows as the sum needs; whenever one exceeds its capacity the count rises by one and all are divided
-again. So the padding of a block is what its count rose by, spread over its windows.
+again, with finer parts where these are too alike to level. So the padding of a block is what its count rose by, spread over its windows.
 
 Blocks are formed inside a task from the rows as they come, with a bound on their tokens; no shuffle and no global order are needed, and a
 lost task makes the same windows again.
@@ -40,6 +40,8 @@ BLOCK_ITEMS = 1024
 GRAIN = 512
 #: So many rests for each window have a part that halves down to this many tokens.
 FINE, LEAST = 0.5, 16
+#: Where parts are too alike, so that windows would take more than this many times their tokens, finer ones level them.
+MOST_RISE = 1.005
 
 #: A single space between two other characters: the tokenizer's pattern always splits before it.
 _PLACE = re.compile(r"(?<=\S)(?= \S)")
@@ -130,39 +132,53 @@ def difference(sizes: list[int], windows: int) -> list[list[int]]:
     return groups
 
 
-def parts_of(rest: int, fine: bool, grain: int = GRAIN) -> list[int]:
-    """Sizes of the parts in which a rest is dealt: of like size and at most ``grain`` tokens; of a ``fine`` one the last part halves down to ``LEAST``."""
+def parts_of(rest: int, fine: bool, grain: int = GRAIN, least: int = LEAST) -> list[int]:
+    """Sizes of the parts in which a rest is dealt: of like size and at most ``grain`` tokens; of a ``fine`` one the last part halves down to ``least``."""
     number = -(-rest // grain)
     parts = [rest * (i + 1) // number - rest * i // number for i in range(number)]
-    while fine and parts[-1] >= 2 * LEAST:
+    while fine and parts[-1] >= 2 * least:
         parts[-1:] = [parts[-1] - parts[-1] // 2, parts[-1] // 2]
     return parts
 
 
+def _cut(lengths: list[int], window: int, grain: int, share: float, least: int) -> list[tuple[int, int, int]]:
+    """(item, start, length) of the parts of the rests; ``share`` rests for each window have a part that halves down to ``least``."""
+    parts, total, fine = [], 0, 0
+    for k, n in enumerate(lengths):
+        rest = n % window
+        if rest:
+            at, level = n - rest, fine * window < total * share
+            for size in parts_of(rest, level, grain, least):
+                parts.append((k, at, size))
+                at += size
+            total, fine = total + rest, fine + level
+    return parts
+
+
 def pack(lengths: list[int], window: int = WINDOW, grain: int = GRAIN) -> list[list[tuple[int, int, int]]]:
     """Windows of (item, start, length): every token of every item lies in exactly one piece, in windows of at most ``window`` tokens.
 
-    Whole windows are cut off long items. The rests, in parts, are divided by ``difference`` into as few windows as their sum needs; while one
-    exceeds its capacity the number of windows rises, to what the excess over the mean asks for, and they are divided again.
+    Whole windows are cut off long items. The rests, in parts, are divided by ``difference`` into as few windows as their sum needs. Where one
+    exceeds its capacity, its excess over the mean tells how many windows would hold all, and the count rises to that. If that is more than
+    ``MOST_RISE`` of the sum, the parts are too alike to level: a rest for each window is then cut down to single tokens, and all are divided again.
     """
-    out, rests, total, fine = [], [], 0, 0
-    for k, n in enumerate(lengths):
-        out += [[(k, a, window)] for a in range(0, n - window + 1, window)]
-        if n % window:
-            at, level = n - n % window, fine * window < total * FINE  # small parts level the windows: so many rests a window give some
-            for size in parts_of(n % window, level, grain):
-                rests.append((k, at, size))
-                at += size
-            total, fine = total + n % window, fine + level
-    if not rests:
+    out = [[(k, a, window)] for k, n in enumerate(lengths) for a in range(0, n - window + 1, window)]
+    total = sum(n % window for n in lengths)
+    if not total:
         return out
-    windows = -(-total // window)
+    windows, level = -(-total // window), True
+    rests = _cut(lengths, window, grain, FINE, LEAST)
     while True:
         groups = difference([r[2] for r in rests], windows)
         largest = max(sum(rests[i][2] for i in group) for group in groups)
         if largest <= window:
             break
-        windows = max(windows + 1, int(total / (window - (largest - total / windows)))) if largest - total / windows < window / 2 else windows + 1
+        excess = largest - total / windows
+        needed = max(windows + 1, int(total / (window - excess)) if excess < window / 2 else 0)
+        if level and (needed * window > total * MOST_RISE or excess >= window / 2):
+            level, rests = False, _cut(lengths, window, grain, 1, 1)
+        else:
+            windows = needed
     for group in groups:
         held: list[tuple[int, int, int]] = []
         for k, a, n in sorted(rests[i] for i in group):

@@ -122,6 +122,13 @@ def test_windows_are_near_equal_and_their_count_rises(monkeypatch):
     assert [len(packing.pack([700] * 3, window=w, grain=700)) for w in (1050, 1399, 1400)] == [3, 3, 2]
 
 
+@pytest.mark.parametrize("lengths", [[1100] * 1024, [1025] * 1024, [1500] * 1024, [1025] * 600, [100] * 1024, [1030, 700] * 512, [1900] * 300])
+def test_like_lengths_are_packed_with_little_padding(lengths):
+    windows = packing.pack(lengths)
+    assert sum(p[2] for w in windows for p in w) == sum(lengths) and max(sum(p[2] for p in w) for w in windows) <= 2048
+    assert len(windows) * 2048 <= 1.005 * sum(lengths) + 2048
+
+
 def test_differencing_is_near_equal():
     rng = random.Random(3)
     sizes = [rng.randint(1, 400) for _ in range(400)]
