@@ -129,8 +129,7 @@ class Correlator(StatefulProcessor):
 
     @staticmethod
     def _frame(rows: list[tuple]) -> pd.DataFrame:
-        made = pd.DataFrame(rows, columns=[part.split()[0] for part in GROUPS.split(", ")])
-        return made.astype({"alert_id": "Int64", "us": "int64", "src_ip": "int64"})
+        return pd.DataFrame(rows, columns=[part.split()[0] for part in GROUPS.split(", ")], dtype=object)
 
 
 def correlate_alerts(stream: DataFrame, window: int = WINDOW, gap: int = GAP, least: int = 2, history: int = HISTORY, delay: str = "1 hour") -> DataFrame:
