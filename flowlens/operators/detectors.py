@@ -1,12 +1,13 @@
 """Anomaly detectors: isolation forest, autoencoder and hidden Markov model, fitted and applied by Spark.
 
-The trees of the forest and the autoencoder are fitted on at most ``SAMPLE`` rows, taken by a hash of the id; scores' bounds and thresholds come
-from all rows (``calibrated``). The hidden Markov model is fitted on all windows of all hosts, whose sums Spark collects in each round. A model
+The trees of the forest, each of 256 rows, are drawn from at most ``SAMPLE`` rows, taken by a hash of the id; the autoencoder is fitted on all rows in
+rounds, the hidden Markov model on all windows of all hosts, whose sums Spark collects in each round. Bounds and thresholds come from all rows. A model
 is applied to all rows in Arrow batches, or per host for sequences. Fitted on an empty table, a forest gives 0.5 for every row, the others 0. Its parameters are plain arrays that ``artifacts`` writes as JSON.
 """
 
 from __future__ import annotations
 
+import copy
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
@@ -16,6 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.operators.features import fit_scaler
+from flowlens.session import cut
+
 SAMPLE = 20_000
 SEED = 42
 
@@ -124,37 +128,110 @@ class Autoencoder:
         return np.minimum(1.0, self.error(x) / (2 * self.threshold)) if self.threshold > 0 else np.zeros(len(x))
 
 
-def fit_autoencoder(x: np.ndarray, hidden: tuple[int, ...] = (64, 32, 16, 32, 64), epochs: int = 50, batch: int = 32, rate: float = 1e-3, seed: int = SEED) -> Autoencoder:
-    """Adam on the squared error over the rows of the sample; the threshold is the 99th percentile of the training error."""
+#: Layers between input and output, rows of a step, and the rate of Adam.
+HIDDEN, STEP_ROWS, RATE = (64, 32, 16, 32, 64), 32, 1e-3
+#: Rounds over all rows; in each, every part of the rows goes on from the same parameters and their means are the next ones.
+#: A part with few rows passes over them again until it has taken so many steps in a round.
+ROUNDS, LEAST_STEPS = 20, 300
+
+
+def _fresh(mean: np.ndarray, sd: np.ndarray, hidden: tuple[int, ...], rng: np.random.Generator) -> Autoencoder:
+    sizes = [len(mean), *hidden, len(mean)]
+    return Autoencoder([rng.normal(0, np.sqrt(2 / a), (a, b)) for a, b in zip(sizes, sizes[1:])], [np.zeros(b) for b in sizes[1:]], mean, np.where(sd > 0, sd, 1.0))
+
+
+class Adam:
+    """Steps on the squared error of a model's parameters, with their moments."""
+
+    def __init__(self, model: Autoencoder, rate: float):
+        self.model, self.rate, self.t = model, rate, 0
+        self.m, self.v = [np.zeros_like(p) for p in self.parameters], [np.zeros_like(p) for p in self.parameters]
+
+    @property
+    def parameters(self) -> list[np.ndarray]:
+        return [*self.model.weights, *self.model.biases]
+
+    def step(self, part: np.ndarray) -> None:
+        model = self.model
+        layers = model._forward(part)
+        delta, gw, gb = 2 * (layers[-1] - part) / part.size, [], []
+        for k in range(len(model.weights) - 1, -1, -1):
+            gw.insert(0, layers[k].T @ delta)
+            gb.insert(0, delta.sum(axis=0))
+            if k:
+                delta = (delta @ model.weights[k].T) * (layers[k] > 0)
+        self.t += 1
+        for p, g, mk, vk in zip(self.parameters, [*gw, *gb], self.m, self.v):
+            mk += 0.1 * (g - mk)
+            vk += 0.001 * (g * g - vk)
+            p -= self.rate * (mk / (1 - 0.9**self.t)) / (np.sqrt(vk / (1 - 0.999**self.t)) + 1e-8)
+
+
+def fit_autoencoder(x: np.ndarray, hidden: tuple[int, ...] = HIDDEN, epochs: int = 50, batch: int = STEP_ROWS, rate: float = RATE, seed: int = SEED) -> Autoencoder:
+    """Adam on the squared error over rows that fit in memory; the threshold is the 99th percentile of the training error."""
     rng = np.random.default_rng(seed)
     if not len(x):
         return Autoencoder([np.zeros((x.shape[1], x.shape[1]))], [np.zeros(x.shape[1])], np.zeros(x.shape[1]), np.ones(x.shape[1]))
-    sd = x.std(axis=0)
-    sizes = [x.shape[1], *hidden, x.shape[1]]
-    model = Autoencoder([rng.normal(0, np.sqrt(2 / a), (a, b)) for a, b in zip(sizes, sizes[1:])], [np.zeros(b) for b in sizes[1:]], x.mean(axis=0), np.where(sd > 0, sd, 1.0))
-    z = (x - model.mean) / model.sd
-    parameters = [*model.weights, *model.biases]
-    m, v, t = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters], 0
+    model = _fresh(x.mean(axis=0), x.std(axis=0), hidden, rng)
+    z, adam = (x - model.mean) / model.sd, Adam(model, rate)
     for _ in range(epochs):
         order = rng.permutation(len(z))
         for a in range(0, len(z), batch):
-            part = z[order[a : a + batch]]
-            layers = model._forward(part)
-            delta, gw, gb = 2 * (layers[-1] - part) / part.size, [], []
-            for k in range(len(model.weights) - 1, -1, -1):
-                gw.insert(0, layers[k].T @ delta)
-                gb.insert(0, delta.sum(axis=0))
-                if k:
-                    delta = (delta @ model.weights[k].T) * (layers[k] > 0)
-            t += 1
-            for p, g, mk, vk in zip(parameters, [*gw, *gb], m, v):
-                mk += 0.1 * (g - mk)
-                vk += 0.001 * (g * g - vk)
-                p -= rate * (mk / (1 - 0.9**t)) / (np.sqrt(vk / (1 - 0.999**t)) + 1e-8)
+            adam.step(z[order[a : a + batch]])
     model.threshold = float(np.percentile(model.error(x), 99))
     return model
 
 
+def fit_autoencoder_rows(rows: DataFrame, columns: list[str], hidden: tuple[int, ...] = HIDDEN, rounds: int = ROUNDS, batch: int = STEP_ROWS, rate: float = RATE, seed: int = SEED) -> Autoencoder:
+    """The autoencoder of all rows, in synchronous rounds; its threshold is left to ``calibrated``.
+
+    Mean and deviation come from one aggregation. In a round every part of the rows, in Arrow batches, takes Adam's steps from the parameters that the
+    round began with, several times over where its rows are few; Spark sums the parameters that the parts end with, by their rows, and the means begin the next round. What goes back and
+    forth has the size of the model, whatever the rows; moments are kept by the parts' rounds, not across them. The rows are checkpointed, so parts
+    stay the same in every round and after a lost executor.
+    """
+    rows = cut(rows.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]))
+    scaler = fit_scaler(rows, tuple(columns))
+    mean, sd = (np.array([scaler[c][k] for c in columns], float) for k in (0, 1))
+    if rows.isEmpty():
+        return fit_autoencoder(np.zeros((0, len(columns))))
+    model = _fresh(mean, sd, hidden, np.random.default_rng(seed))
+    shapes = [p.shape for p in Adam(model, rate).parameters]
+    for number in range(rounds):
+        shared = rows.sparkSession.sparkContext.broadcast(model)
+
+        def descend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own, rng, seen = copy.deepcopy(shared.value), np.random.default_rng(seed + number), 0  # noqa: B023
+            adam, held = Adam(own, rate), []
+
+            def descend_once(z: np.ndarray) -> None:
+                order = rng.permutation(len(z))
+                for a in range(0, len(z), batch):
+                    adam.step(z[order[a : a + batch]])
+
+            for pdf in batches:
+                z = (pdf.to_numpy(float) - own.mean) / own.sd
+                descend_once(z)
+                seen += len(z)
+                held = [*held, z] if seen <= LEAST_STEPS * batch else []
+            while held and adam.t < LEAST_STEPS:
+                descend_once(np.concatenate(held))
+            if seen:
+                flat = np.concatenate([p.ravel() for p in adam.parameters])
+                yield pd.DataFrame({"place": np.arange(len(flat), dtype=np.int32), "total": flat * seen, "n": seen})
+
+        made = rows.mapInPandas(descend, "place int, total double, n long").groupBy("place").agg((F.sum("total") / F.sum("n")).alias("v")).toPandas()
+        flat, at = made.sort_values("place")["v"].to_numpy(float), 0
+        parameters = []
+        for shape in shapes:
+            parameters.append(flat[at : at + int(np.prod(shape))].reshape(shape))
+            at += int(np.prod(shape))
+        half = len(parameters) // 2
+        model = Autoencoder(parameters[:half], parameters[half:], model.mean, model.sd)
+        shared.unpersist()
+    return model
+
+
 #: Names of the states, and what a window in each scores at least.
 STATE_LABELS = ("normal", "scan", "exfil", "c2")
 STATE_BASE = {"normal": 0.1, "scan": 0.6, "exfil": 0.8, "c2": 0.7, "unknown": 0.5}
@@ -374,7 +451,7 @@ def from_artifact(text: str):
 
 
 register_detector("isolation_forest", lambda rows, columns, key: calibrated(rows, columns, fit_forest(sample(rows, columns, key))), lambda rows, columns, model, key: score_rows(rows, columns, model, key, "isolation_forest"))
-register_detector("autoencoder", lambda rows, columns, key: calibrated(rows, columns, fit_autoencoder(sample(rows, columns, key))), lambda rows, columns, model, key: score_rows(rows, columns, model, key, "autoencoder"))
+register_detector("autoencoder", lambda rows, columns, key: calibrated(rows, columns, fit_autoencoder_rows(rows, columns)), lambda rows, columns, model, key: score_rows(rows, columns, model, key, "autoencoder"))
 
 
 def detect(rows: DataFrame, columns: list[str], key: str, names: tuple[str, ...] = ("isolation_forest", "autoencoder"), windows: DataFrame | None = None, window_columns: list[str] | None = None) -> DataFrame:

@@ -369,6 +369,20 @@ def test_detectors_rank_outliers_and_survive_artifacts(spark):
     assert both.count() == 602 and one(both.where("model_name = 'isolation_forest'").orderBy(F.desc("score")))["id"] == 300
 
 
+def test_an_autoencoder_of_all_rows_is_as_good_as_the_plain_fit(spark):
+    rng = np.random.default_rng(3)
+    hidden = rng.normal(0, 1, (6000, 2))
+    x = np.tanh(hidden @ rng.normal(0, 1, (2, 6))) * [1, 10, 100, 1, 5, 1] + rng.normal(0, 0.05, (6000, 6)) + [5, 0, 0, 0, 0, 1]
+    names = [f"c{k}" for k in range(6)]
+    frame = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{n} double" for n in names)).repartition(4)
+    plain = detectors.fit_autoencoder(x, (16, 2, 16), 20)
+    made = detectors.fit_autoencoder_rows(frame, names, (16, 2, 16), 20)
+    assert np.allclose(made.mean, x.mean(axis=0)) and np.allclose(made.sd, x.std(axis=0))
+    assert made.error(x).mean() < 1.05 * plain.error(x).mean()
+    skewed = detectors.fit_autoencoder_rows(frame.coalesce(1).unionByName(frame.limit(3)), names, (4,), 2)
+    assert np.isfinite(skewed.error(x)).all()
+
+
 def test_generators_repeat_and_mix(spark):
     a, b = generate.flows(spark, 500), generate.flows(spark, 500)
     assert a.exceptAll(b).count() == 0 and a.where("kind <> 'normal'").count() < 50 and generate.lookups(spark, 100).count() == 100
