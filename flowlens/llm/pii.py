@@ -2,7 +2,8 @@
 
 The base patterns are the contract: their spans always stay. The CRF is trained from a small labelled table (``labelled_table``) of
 sentences with emails, addresses, cards, phones, identity numbers and secrets (keys, tokens, passwords) in many written forms, beside
-numbers and names that are none of these; it is decoded by Viterbi in numpy batches, over whitespace tokens. A run of tokens of one kind
+numbers and names that are none of these; it is decoded by Viterbi in numpy batches, over tokens parted by white space, signs of
+assignment, quotes and brackets, so that a value glued to its name has a token of its own. A run of tokens of one kind
 is divided into its values (``_values``), each a span, added where no base span overlaps.
 
 Defined cases: a null text counts as empty and has no spans (``redact_column`` leaves it null); a very long text is matched whole by the
@@ -95,15 +96,41 @@ _DIGIT = re.compile("[0-9]").search
 _SPELLED_EMAIL = re.compile(r"(?i)[\w.-]+(?: dot [\w-]+)* at [\w-]+(?: dot [\w-]+)+|[\w.-]+ ?[(\[]at[)\]] ?[\w-]+(?: ?(?:\.|[(\[]dot[)\]]) ?[\w-]+)+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
 
 
+#: What parts tokens beside white space: signs of assignment, quotes, brackets and marks of lists, so that a glued value has its own token.
+SEPARATORS = "=:,;|\"'`()[]{}<>"
+
+
+def _separators() -> np.ndarray:
+    table = np.zeros(128, bool)
+    table[[ord(c) for c in SEPARATORS]] = True
+    return table
+
+
+def _within_address(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the places hold a colon of an address: hex digits, at most four, before it, and one or another colon behind it, as a time of day has, too."""
+    hexes = ((codes >= 48) & (codes <= 57)) | ((codes >= 65) & (codes <= 70)) | ((codes >= 97) & (codes <= 102))
+    colon = codes == 58
+    edge = np.maximum.accumulate(np.where(hexes, -1, np.arange(len(codes))))  # the last place that is no hex digit
+    length = np.where(at > 0, at - 1 - edge[at - 1], 0)
+    led = (at > 0) & (((length >= 1) & (length <= 4) & ((edge[at - 1] < 0) | ~char_tables()["alnum"][codes[edge[at - 1]]])) | colon[at - 1])
+    behind = codes[np.minimum(at + 1, len(codes) - 1)]
+    return colon[at] & led & (hexes[np.minimum(at + 1, len(codes) - 1)] | (behind == 58))
+
+
 def token_features(block: Block) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed features of whitespace tokens: shape, length, and word, each of the token and its neighbours. Also starts, ends, pieces.
+    """Hashed features of tokens: shape, length, word and the marks around them, of the token and its neighbours. Also starts, ends, pieces.
 
     The shape maps letters to x or X and digits to 9 and collapses repeats in tokens without a digit or @; others keep their lengths.
     """
     tables = char_tables()
-    starts, ends, piece = block.words("~space")
     codes = block.codes
+    parts = _separators()[np.minimum(codes, 127)] & (codes < 128)
+    parts[parts] = ~_within_address(codes, np.flatnonzero(parts))
+    inside = ~(tables["space"][codes] | parts)
+    inside[block.at + block.lengths] = False
+    starts, ends, piece = block.runs(inside)
     kind = np.where(tables["alpha"][codes], np.where(tables["upper"][codes], 1, 2), np.where(tables["digit"][codes], 3, np.where(codes < 128, codes, 4))).astype(np.uint32)
+    named = (kind == 1) | (kind == 2) | (kind == 3)
     marked = np.concatenate([[0], np.cumsum((kind == 3) | (codes == 64))])
     telling = marked[ends] > marked[starts]
     keep = np.ones(len(codes), bool)
@@ -118,10 +145,13 @@ def token_features(block: Block) -> tuple[list[np.ndarray], np.ndarray, np.ndarr
         collapse[starts] = True
         kept = np.concatenate([[0], np.cumsum(collapse)])
         shape[telling] = run_hashes(digits[collapse], kept[starts[telling]], kept[ends[telling]]) + np.uint64(1)
-    # The word without its marks: what cues such as "phone:" share with "phone".
-    word = run_hashes(np.where(tables["alpha"][codes] | (kind == 3), block.lower, 0), starts, ends)
-    last_mark = ~(tables["alpha"][codes[ends - 1]] | (kind[ends - 1] == 3)) & (ends - starts > 1)
-    word = np.where(last_mark, run_hashes(block.lower, starts, ends - last_mark), run_hashes(block.lower, starts, ends)) if len(starts) else word
+    # The word without a mark at its end, and its last part: "client_secret" ends as "secret" does.
+    stop = ends - (~named[ends - 1] & (ends - starts > 1))
+    word = run_hashes(block.lower, starts, stop)
+    enclosed = (starts > 0) & np.isin(codes[starts - 1], (40, 91)) & np.isin(codes[np.minimum(ends, len(codes) - 1)], (41, 93))
+    word = np.where(enclosed, word + np.uint64(1), word)  # "(at)" is another word than "at"
+    mark = np.maximum.accumulate(np.where(named, -1, np.arange(len(codes))))
+    part = run_hashes(block.lower, np.minimum(np.maximum(starts, mark[stop - 1] + 1), stop), stop)
     first, last = np.diff(piece, prepend=-1) != 0, np.diff(piece, append=-1) != 0
 
     def near(h: np.ndarray, step: int) -> np.ndarray:
@@ -133,12 +163,18 @@ def token_features(block: Block) -> tuple[list[np.ndarray], np.ndarray, np.ndarr
     # How often digits and letters, or lower and upper case, take turns in a token, by its length: keys and tokens do so, words and numbers do not.
     turns = np.concatenate([[0, 0], np.cumsum((kind[1:] != kind[:-1]) & (kind[1:] <= 3) & (kind[:-1] <= 3) & (kind[1:] > 0) & (kind[:-1] > 0))])
     mixed = np.minimum(turns[ends] - turns[np.minimum(starts + 1, ends)], 6).astype(np.uint64) + np.uint64(8) * np.minimum((ends - starts) // 6, 7).astype(np.uint64)
+    around = np.where(tables["space"][codes], 32, np.minimum(codes, 255)).astype(np.uint64)
+    before = np.where(starts > 0, around[starts - 1], 32).astype(np.uint64)
+    before2 = np.where(starts > 1, around[starts - 2], 32).astype(np.uint64)
+    after = around[np.minimum(ends, len(codes) - 1)]
     # Two words before: the name of an assigned value stands there.
-    features = [shape, size + np.uint64(64) * telling, word, near(shape, 1), near(shape, -1), near(word, 1), near(word, -1), mixed, near(near(word, 1), 1)]
+    features = [
+        shape, size + np.uint64(64) * telling, word, near(shape, 1), near(shape, -1), near(word, 1), near(word, -1), mixed, near(near(word, 1), 1), near(part, 1), before + np.uint64(256) * before2, after + np.uint64(256) * before,
+    ]
     return [(mix(h + np.uint64(k << 58)) >> np.uint64(64 - BITS)).astype(np.int64) for k, h in enumerate(features)], starts, ends, piece
 
 
-def labelled_table(rows: int = 1600, seed: int = 11) -> list[tuple[str, list[tuple[int, int, int]]]]:
+def labelled_table(rows: int = 3000, seed: int = 11) -> list[tuple[str, list[tuple[int, int, int]]]]:
     """The small labelled table: sentences with their (start, end, kind number) spans, written by rule from forms and contexts."""
     rng = np.random.default_rng(seed)
     digit = lambda n: "".join(map(str, rng.integers(0, 10, n)))
@@ -148,21 +184,34 @@ def labelled_table(rows: int = 1600, seed: int = 11) -> list[tuple[str, list[tup
     syllables = "an ber con de el fer gra hi in jo ka lo mi ne or pa que ri sa tion un ver wa xi yo za".split()
     word = lambda: "".join(pick(syllables) for _ in range(rng.integers(1, 4)))
     name = lambda: pick("ana ben carla david emma felix grace hugo ines jan".split())
+    iban = lambda digits, gap: pick(["GB", "DE", "FR", "ES", "IT", "NL"]) + digit(2) + gap + gap.join(digits[k : k + 4] for k in range(0, len(digits), 4))
     forms = (
-        (lambda: f"{name()}.{word()}@{word()}.{pick(['com', 'org', 'net', 'example.com'])}", lambda: f"{digit(2)}@{word()}{digit(1)}.example.com", lambda: f"{name()} at {word()} dot com", lambda: f"{name()} dot {word()} at {word()} dot org", lambda: f"{name()}(at){word()}.com", lambda: f"{name()}[at]{word()}[dot]net"),
+        (lambda: f"{name()}.{word()}@{word()}.{pick(['com', 'org', 'net', 'example.com'])}", lambda: f"{digit(2)}@{word()}{digit(1)}.example.com", lambda: f"{name()} at {word()} dot com", lambda: f"{name()} dot {word()} at {word()} dot org", lambda: f"{name()}(at){word()}.com", lambda: f"{name()}[at]{word()}[dot]net", lambda: f"{word()} (at) {word()} (dot) {pick(['com', 'org', 'net'])}", lambda: f"{word()} [at] {word()} [dot] {pick(['com', 'org', 'net'])}", lambda: f"{word()} at {word()} dot {pick(['com', 'org', 'net'])}"),
         (lambda: ".".join(str(rng.integers(1, 256)) for _ in range(4)), lambda: ":".join(f"{rng.integers(4096, 65536):x}" for _ in range(8))),
         (lambda: digit(16), lambda: "-".join(digit(4) for _ in range(4)), lambda: " ".join(digit(4) for _ in range(4)), lambda: f"{digit(4)} {digit(6)} {digit(5)}", lambda: digit(13), lambda: f"{digit(4)} {digit(4)} {digit(4)} {digit(1)}"),
         (lambda: f"+{digit(1)} ({digit(3)}) {digit(3)}-{digit(4)}", lambda: f"({digit(3)}) {digit(3)}-{digit(4)}", lambda: f"{digit(3)}-{digit(3)}-{digit(4)}", lambda: f"{digit(3)}.{digit(3)}.{digit(4)}", lambda: f"+{digit(2)} {digit(3)} {digit(3)} {digit(4)}", lambda: f"00{digit(2)} {digit(2)} {digit(7)}", lambda: f"0{digit(3)} {digit(3)} {digit(3)}", lambda: f"+{digit(2)} {digit(2)} {digit(4)} {digit(4)}"),
-        (lambda: f"{digit(3)}-{digit(2)}-{digit(4)}", lambda: f"{pick(['GB', 'DE', 'FR', 'ES'])}{digit(2)} {digit(4)} {digit(4)} {digit(4)} {digit(4)}", lambda: f"{pick('ABCDEFGH')}{pick('ABCDEFGH')}{digit(6)}{pick('ABCD')}"),
-        (lambda: f'"{some(hexes, 40)}"', lambda: f'"{some(hexes, 32)}"', lambda: some(hexes, 64), lambda: f"'{some(letters, 24)}'", lambda: some(letters, 40), lambda: f"AKIA{some(letters.upper(), 16)}", lambda: f"ghp_{some(letters, 36)}", lambda: f"sk-{some(letters, 32)}", lambda: f"eyJ{some(letters, 17)}.eyJ{some(letters, 30)}.{some(letters, 27)}", lambda: f"{word().capitalize()}{digit(3)}{pick('!#%')}{some(letters, 4)}"),
+        (lambda: f"{digit(3)}-{digit(2)}-{digit(4)}", lambda: f"{pick(['GB', 'DE', 'FR', 'ES'])}{digit(2)} {digit(4)} {digit(4)} {digit(4)} {digit(4)}", lambda: f"{pick('ABCDEFGH')}{pick('ABCDEFGH')}{digit(6)}{pick('ABCD')}", lambda: iban(digit(int(rng.choice([16, 18, 20]))), " "), lambda: iban(digit(int(rng.choice([14, 18, 20, 21]))), " "), lambda: iban(digit(int(rng.choice([14, 16, 18, 20]))), ""), lambda: digit(9)),
+        (lambda: f'"{some(hexes, 40)}"', lambda: f'"{some(hexes, 32)}"', lambda: some(hexes, 64), lambda: f"'{some(letters, 24)}'", lambda: some(letters, 40), lambda: f"AKIA{some(letters.upper(), 16)}", lambda: f"ghp_{some(letters, 36)}", lambda: f"sk-{some(letters, 32)}", lambda: f"eyJ{some(letters, 17)}.eyJ{some(letters, 30)}.{some(letters, 27)}", lambda: f"{word().capitalize()}{digit(3)}{pick('!#%')}{some(letters, 4)}", lambda: f"{some(letters[:26], 4)}{digit(3)}{pick('!#%$')}{some(letters[:26], 3)}", lambda: some(letters, int(rng.integers(20, 48))), lambda: some(letters, int(rng.integers(24, 40)))),
     )
-    cues = (("email", "write to", "mail", "e-mail:", "reach", ""), ("address", "host", "from ip", "server", ""), ("card", "card number", "visa", "paid with", ""), ("call", "phone", "tel:", "mobile", "ring", ""), ("ssn", "passport", "iban", "social security number", "id number"), ("token =", "token", "api_key =", "api key:", "secret =", "secret key", "password:", "password =", "key =", "access token:", "authorization: bearer", "auth ="))
-    others = (lambda: f"{rng.integers(1900, 2100)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}", lambda: f"{rng.integers(1, 29)}/{rng.integers(1, 13)}/{rng.integers(1990, 2030)}", lambda: f"${digit(3)}.{digit(2)}", lambda: f"version {digit(1)}.{digit(1)}.{digit(1)}", lambda: digit(rng.integers(1, 9)), lambda: f"{digit(2)}:{digit(2)}", lambda: f"order {digit(10)}", lambda: f"{digit(2)}%", lambda: f"page {digit(3)}", lambda: f"at {word()}", lambda: f"{word()} dot {word()}", lambda: f"{digit(1)},{digit(3)},{digit(3)}", lambda: f"{word()}{pick(['###', '$$$', '%%%', '!!', ' |', '***', '&&&'])}", lambda: digit(20), lambda: f"@{word()}", lambda: word().upper(), lambda: f"commit {some(hexes, 40)}", lambda: f"sha256 {some(hexes, 64)}", lambda: f"token {word()}", lambda: f"key = {word()}", lambda: f"secret {word()}", lambda: f"{word()} = {digit(2)}", lambda: f"https://{word()}.example.org/{word()}/{some(letters, 12)}", lambda: f"{word()}{digit(2)}")
+    cues = (("email", "write to", "mail", "e-mail:", "reach", "", "", "contact"), ("address", "host", "from ip", "server", ""), ("card", "card number", "visa", "paid with", ""), ("call", "phone", "tel:", "mobile", "ring", "", "call me at", "reach us at", "at", ""), ("ssn", "ssn:", "SSN", "passport", "iban", "iban:", "account", "social security number", "id number"), ("token =", "token", "api_key =", "api key:", "secret =", "secret key", "password:", "password =", "key =", "access token:", "authorization: bearer", "auth ="))
+    others = (lambda: f"{rng.integers(1900, 2100)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}", lambda: f"{rng.integers(1, 29)}/{rng.integers(1, 13)}/{rng.integers(1990, 2030)}", lambda: f"${digit(3)}.{digit(2)}", lambda: f"version {digit(1)}.{digit(1)}.{digit(1)}", lambda: digit(rng.integers(1, 9)), lambda: f"{digit(2)}:{digit(2)}", lambda: f"order {digit(10)}", lambda: f"{digit(2)}%", lambda: f"page {digit(3)}", lambda: f"at {word()}", lambda: f"{word()} dot {word()}", lambda: f"{digit(1)},{digit(3)},{digit(3)}", lambda: f"{word()}{pick(['###', '$$$', '%%%', '!!', ' |', '***', '&&&'])}", lambda: digit(20), lambda: f"@{word()}", lambda: word().upper(), lambda: f"commit {some(hexes, 40)}", lambda: f"sha256 {some(hexes, 64)}", lambda: f"token {word()}", lambda: f"key = {word()}", lambda: f"secret {word()}", lambda: f"{word()} = {digit(2)}", lambda: f"https://{word()}.example.org/{word()}/{some(letters, 12)}", lambda: f"{word()}{digit(2)}", lambda: f"{word()}={digit(rng.integers(1, 5))}", lambda: f"{word()}({word()}, {word()})", lambda: f'{{"{word()}": "{word()}", "n": {digit(3)}}}', lambda: f"{word()}: {word()}", lambda: f"({word()} at {word()})", lambda: f"{pick(['token', 'key', 'secret', 'password'])}={word()}", lambda: f"{pick(['password', 'token'])}: {word()}", lambda: f"isbn {digit(3)}-{digit(1)}-{digit(2)}-{digit(6)}-{digit(1)}", lambda: f"{digit(9)} {word()}", lambda: f"[{digit(2)}]", lambda: f"id={digit(5)}", lambda: f"id {digit(4)}", lambda: f"{word()}_{word()}={word()}_{word()}", lambda: f"{word()} #{digit(6)}", lambda: f"tracking {digit(12)}")
+    # A value may be glued to its name, and a secret may stand in quotes or in a pair of a JSON object or a setting.
+    names = ("email mail contact", "ip host server", "card visa number", "phone tel mobile", "ssn iban id", "token api_key secret key password access_token auth secret_key API_KEY passwd apikey private_key TOKEN")
+    pairs = ("{n}={v}", "{n}:{v}", "{n}: {v}", "{n} = {v}", '{n}="{v}"', "{n}='{v}'", "{n}: '{v}'", '{{"{n}": "{v}"}}', '{{"{n}":"{v}"}}', '"{n}":"{v}",', '{{"user": "x", "{n}": "{v}", "n": 1}}', "({n}={v})", "?{n}={v}")
     table = []
     for _ in range(rows):
         text, spans = " ".join(word() for _ in range(rng.integers(0, 6))), []
         for _ in range(rng.integers(0, 3)):
-            if rng.random() < 0.55:
+            roll = rng.random()
+            if roll < 0.2:
+                kind = int(rng.choice(len(KINDS), p=[0.08, 0.05, 0.07, 0.1, 0.2, 0.5]))
+                value = pick(forms[kind])().strip("\"'")
+                made = pick(pairs).format(n=pick(names[kind].split()), v=value)
+                lead = f"{text} ".lstrip()
+                at = len(lead) + made.rindex(value)
+                spans.append((at, at + len(value), kind))
+                text = lead + made
+            elif roll < 0.62:
                 kind = int(rng.integers(len(KINDS)))
                 lead = f"{text} {pick(cues[kind])}".strip()
                 form, mark = pick(forms[kind]), pick([", ", " ", "; "])
@@ -221,6 +270,7 @@ _FORMS = {
 #: A secret in a tagged run, without the name it is assigned to and the quotes around it.
 _SECRET = re.compile(r"""(?![A-Za-z_-]+[=:])[^\s"'=:,;<>()]{8,}""")
 _AT = re.compile(r"@|(?i:at)(?![^\W_])")
+_LED_BY_AT, _NAME_BEFORE = re.compile(r"(?i)at(?![^\W_])"), re.compile(r"[\w.-]+ ?[(\[]?$")
 #: Digits below and beyond which no piece of a run is acceptable, and the most atoms of a piece; the run as a whole may have more.
 _DIGITS = {2: (13, 19), 3: (7, 15), 4: (6, 30)}
 _MOST_ATOMS = 40
@@ -303,6 +353,11 @@ def crf_spans(crf: Crf, texts: list[str]) -> list[list[tuple[int, int, int]]]:
             shift = int(block.begin[k] - block.at[k])
             a, b = int(starts[group[0]]) + shift, int(ends[group[-1]]) + shift
             text = texts[block.rows[k]]
+            if kind == 0 and _LED_BY_AT.match(text, a):  # the name before an "at" belongs to it
+                before = _NAME_BEFORE.search(text, max(0, a - 80), a)
+                a = before.start() if before else a
+            if a and text[a - 1] == "(" and ")" in text[a:b]:  # a phone number's bracket is no part of its first token
+                a -= 1
             found[block.rows[k]] += [(i, kind, j) for i, j in _values(kind, text, a, b)]
     return found
 
