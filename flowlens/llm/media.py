@@ -53,6 +53,35 @@ def lookup(counts: tuple, symbols: tuple) -> np.ndarray:
     return table
 
 
+@lru_cache(maxsize=64)
+def flat_blocks(dc: tuple, ac: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """For any 16 bits that begin with a whole flat block (a DC code, its bits, the end of block): how many bits it has, and its difference.
+
+    0 bits where the block is not flat, or longer, or where there is no code.
+    """
+    patterns = np.arange(1 << 16, dtype=np.int64)
+    found = lookup(*dc).astype(np.int64)
+    bits, used = found & 255, (found >> 8) + (found & 255)
+    inside = (found >= 256) & (used < 16)
+    used = np.where(inside, used, 0)
+    low = (patterns >> (16 - used)) & ((1 << bits) - 1)
+    stop = lookup(*ac).astype(np.int64)[(patterns << used) & 0xFFFF]
+    inside &= (stop >= 256) & (stop & 255 == 0) & (used + (stop >> 8) <= 16)
+    diff = np.where(low < (1 << bits) >> 1, low - (1 << bits) + 1, low)
+    return np.where(inside, used + (stop >> 8), 0), np.where(inside, diff, 0)
+
+
+@lru_cache(maxsize=1)
+def _block_codes() -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the whole flat block for each difference from -255 to 255, and how many they are; the end of block is a single 0."""
+    codes = huffman_codes(DC_COUNTS, DC_SYMBOLS)
+    code, size = (np.array([codes[s][k] for s in DC_SYMBOLS], np.int64) for k in (0, 1))
+    diff = np.arange(-255, 256)
+    category = np.array([int(abs(d)).bit_length() for d in diff.tolist()])
+    low = np.where(diff < 0, diff + (1 << category) - 1, diff)
+    return ((code[category] << category) | low) << 1, size[category] + category + 1
+
+
 def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
@@ -67,22 +96,18 @@ def _header(rows: int) -> bytes:
 
 def _scans(payload: np.ndarray, rows_of: list[int]) -> list[bytes]:
     """Entropy-coded data of frames whose bytes stand one after the other in ``payload``; each row of blocks is a restart interval."""
-    codes = huffman_codes(DC_COUNTS, DC_SYMBOLS)
-    code, size = (np.array([codes[s][k] for s in DC_SYMBOLS], np.int64) for k in (0, 1))
-    value = payload.reshape(-1, ROW).astype(np.int64) - 128
-    diff = np.diff(value, axis=1, prepend=0)
-    category = np.ceil(np.log2(np.abs(diff) + 1)).astype(np.int64)
-    low = np.where(diff < 0, diff + (1 << category) - 1, diff)
-    length = size[category] + category + 1  # with the end of block, a single 0
-    symbol = ((code[category] << category) | low) << 1
+    symbols, lengths = _block_codes()
+    value = payload.reshape(-1, ROW).astype(np.int16) - 128
+    diff = np.diff(value, axis=1, prepend=np.int16(0)) + 255
+    symbol, length = symbols[diff], lengths[diff]
     end = np.cumsum(length, axis=1)
     offset = end - length
-    whole = symbol << (24 - (offset & 7) - length)
+    whole = np.ascontiguousarray((symbol << (24 - (offset & 7) - length)).T.astype(np.uint32))
     buffer, line = np.zeros((len(value), 48), np.uint8), np.arange(len(value))
-    for k in range(ROW):
-        at, bits = offset[:, k] >> 3, whole[:, k]
-        for shift in (16, 8, 0):
-            buffer[line, at + 2 - shift // 8] |= ((bits >> shift) & 255).astype(np.uint8)
+    flat, first = buffer.ravel(), np.ascontiguousarray((line[:, None] * 48 + (offset >> 3)).T)
+    for at, bits in zip(first, whole):
+        for k, shift in enumerate((16, 8, 0)):
+            flat[at + k] |= (bits >> np.uint32(shift)).astype(np.uint8)
     used = -(-end[:, -1] // 8)
     buffer[line, used - 1] |= ((1 << (-end[:, -1] % 8)) - 1).astype(np.uint8)
     flat, owner = buffer[np.arange(48) < used[:, None]], np.repeat(line, used)
@@ -123,14 +148,18 @@ def encode(payloads: list[bytes]) -> list[bytes]:
 
 @dataclass
 class Frame:
-    """What the markers of one JPEG say. components: (id, horizontal, vertical, quantizer of DC); coders: (component, DC, AC table) in scan order."""
+    """What the markers of one JPEG say. components: (id, horizontal, vertical, quantizer of DC); coders: (component, DC, AC table) in scan order.
+
+    data: the scan without stuffing and restart markers; cuts: where its restart intervals begin, and its end.
+    """
 
     width: int
     height: int
     components: list[tuple[int, int, int, int]]
     coders: list[tuple[int, tuple, tuple]]
     interval: int
-    segments: list[np.ndarray]
+    data: np.ndarray
+    cuts: np.ndarray
     end: int
 
 
@@ -180,22 +209,36 @@ def parse(media: bytes, at: int = 0) -> Frame:
         raise ValueError("no frame, or components not in one scan")
     by_id = {c[0]: i for i, c in enumerate(components)}
     coders = [(by_id[body[1 + 2 * i]], tables[body[2 + 2 * i] >> 4], tables[16 | body[2 + 2 * i] & 15]) for i in range(body[0])]
-    data = np.frombuffer(media, np.uint8, offset=at)
-    marks = np.flatnonzero(data[:-1] == 255)
-    after = data[marks + 1]
-    stop = marks[(after != 0) & ((after < 0xD0) | (after > 0xD7))]
-    if not len(stop):
-        raise ValueError("no end of scan")
-    stop = int(stop[0])
-    cuts = marks[(after >= 0xD0) & (after <= 0xD7) & (marks < stop)]
-    zeros = marks[(after == 0) & (marks < stop)] + 1
-    plain = np.ones(stop, bool)
-    plain[zeros], plain[cuts], plain[cuts + 1] = False, False, False
-    clean, upto = data[:stop][plain], np.concatenate([[0], np.cumsum(plain)])
-    segments = np.split(clean, upto[cuts])
+    clean, cuts, stop = _scan(np.frombuffer(media, np.uint8, offset=at))
     if media[at + stop + 1] != 0xD9:
         raise ValueError("more than one scan")
-    return Frame(shape[1], shape[0], [(*c[:3], quantizers[c[3]]) for c in components], coders, interval, segments, at + stop + 2)
+    return Frame(shape[1], shape[0], [(*c[:3], quantizers[c[3]]) for c in components], coders, interval, clean, cuts, at + stop + 2)
+
+
+def _scan(data: np.ndarray, size: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, int]:
+    """(entropy-coded bytes, starts of the restart intervals with the end, where the marker after the scan stands); read in slices up to that marker."""
+    parts, cuts, held, begin = [], [0], 0, 0
+    while begin < len(data) - 1:
+        part = data[begin : begin + size + 1]  # with the byte after, which tells what a last 255 is
+        marks = np.flatnonzero(part[:-1] == 255)
+        after = part[marks + 1]
+        ends = marks[(after != 0) & ((after < 0xD0) | (after > 0xD7))]
+        stop = int(ends[0]) if len(ends) else len(part) - 1
+        restarts = marks[(after >= 0xD0) & (after <= 0xD7) & (marks < stop)]
+        plain = np.ones(len(part), bool)
+        plain[marks[(after == 0) & (marks < stop)] + 1] = False
+        plain[restarts], plain[restarts + 1] = False, False
+        if begin and data[begin - 1] == 255 and (data[begin] == 0 or 0xD0 <= data[begin] <= 0xD7):
+            plain[0] = False  # the second byte of a pair that began in the slice before
+        plain = plain[:stop]
+        upto = np.concatenate([[0], np.cumsum(plain)])
+        cuts += (held + upto[restarts]).tolist()
+        parts.append(part[:stop][plain])
+        held += int(upto[-1])
+        if len(ends):
+            return np.concatenate(parts), np.array([*cuts, held]), begin + stop
+        begin += len(part) - 1
+    raise ValueError("no end of scan")
 
 
 def thumbnails(frames: list[Frame]) -> list[np.ndarray]:
@@ -208,7 +251,7 @@ def thumbnails(frames: list[Frame]) -> list[np.ndarray]:
         part, size = [], 0
         for i in members:
             part.append(i)
-            size += sum(map(len, frames[i].segments))
+            size += len(frames[i].data)
             if size >= BATCH_BYTES or i == members[-1]:
                 for k, image in zip(part, _lockstep([frames[k] for k in part], components, coders)):
                     out[k] = image
@@ -226,25 +269,40 @@ def _lockstep(frames: list[Frame], components: tuple, coders: tuple) -> list[np.
     images = [np.zeros(rows * cols * v0 * h0, np.int64) for rows, cols in grids]
     base = np.cumsum([0, *[len(x) for x in images]])
     flat = np.zeros(base[-1], np.int64)
-    lanes = [(i, k, s) for i, f in enumerate(frames) for k, s in enumerate(f.segments)]
-    total = np.array([grids[i][0] * grids[i][1] for i, *_ in lanes])
-    step = np.array([frames[i].interval or total[n] for n, (i, *_) in enumerate(lanes)])
-    first = np.array([k for _, k, _ in lanes]) * step
+    counts = np.array([len(f.cuts) - 1 for f in frames])
+    owner = np.repeat(np.arange(len(frames)), counts)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    total = np.array([rows * cols for rows, cols in grids])[owner]
+    step = np.where((every := np.array([f.interval for f in frames])[owner]) > 0, every, total)
+    first = number * step
     units = np.clip(total - first, 0, step)
-    cols = np.array([grids[i][1] for i, *_ in lanes])
-    origin = base[[i for i, *_ in lanes]]
-    data = np.concatenate([*[s for *_, s in lanes], np.zeros(64, np.uint8)]).astype(np.uint32)
+    cols = np.array([c for _, c in grids])[owner]
+    origin = base[owner]
+    data = np.concatenate([*[f.data for f in frames], np.zeros(64, np.uint8)]).astype(np.uint32)
     window = (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]
-    sizes = np.array([len(s) for *_, s in lanes])
+    sizes = np.concatenate([np.diff(f.cuts) for f in frames])
     at = (np.cumsum(sizes) - sizes) * 8
     limit = (len(window) - 1) * 8
-    predicted = np.zeros((len(components), len(lanes)), np.int64)
+    predicted = np.zeros((len(components), len(owner)), np.int64)
 
     def peek(where: np.ndarray) -> np.ndarray:
         where = np.minimum(where, limit)
         return ((window[where >> 3] >> (16 - (where & 7)).astype(np.uint32)) & np.uint32(0xFFFF)).astype(np.int64)
 
+    # One component of one block a unit: a flat block, if it is one, is read by one look at 16 bits.
+    single = len(per_unit) == 1 and per_unit[0][3:] == (1, 1)
+    flat_bits, flat_diff = flat_blocks(*per_unit[0][1:3]) if single else (None, None)
+    least, place = int(units.min(initial=0)), origin + first
     for t in range(int(units.max(initial=0))):
+        live = slice(None) if t < least else np.flatnonzero(units > t)
+        if single:
+            seen = peek(at[live])
+            bits = flat_bits[seen]
+            if bits.all():
+                at[live] += bits
+                predicted[0, live] += flat_diff[seen]
+                flat[place[live] + t] = predicted[0, live]
+                continue
         live = np.flatnonzero(units > t)
         for c, dc, ac, h, v in per_unit:
             dc_table, ac_table = lookup(*dc), lookup(*ac)
@@ -302,6 +360,10 @@ def decode(media: list[bytes]) -> list[list[np.ndarray] | None]:
 def thumbnail_hash(image: np.ndarray) -> str:
     """64 bits as hex: whether each cell of the thumbnail averaged to 8 x 8 is above their mean."""
     rows, cols = (np.linspace(0, n, 9).astype(int) for n in image.shape)
+    if min(image.shape) >= 8:
+        sums = np.add.reduceat(np.add.reduceat(image, rows[:-1], axis=0, dtype=np.int64), cols[:-1], axis=1)
+        cell = sums / (np.diff(rows)[:, None] * np.diff(cols))
+        return np.packbits(cell > cell.mean()).tobytes().hex()
     padded_sum = np.zeros((image.shape[0] + 1, image.shape[1] + 1))
     padded_sum[1:, 1:] = image.astype(float).cumsum(0).cumsum(1)
     lo_r, hi_r, lo_c, hi_c = rows[:-1], np.maximum(rows[1:], rows[:-1] + 1), cols[:-1], np.maximum(cols[1:], cols[:-1] + 1)

@@ -406,9 +406,9 @@ def test_secrets_are_tagged_and_hashes_in_other_places_are_not():
 def test_added_spans_never_touch_base_spans_in_linear_time():
     import time
 
-    text = "mail a@b.co ssn 123-45-6789, " * 6500
+    text, model = "mail a@b.co ssn 123-45-6789, " * 6500, pii.model()  # what is timed is the text, not the fit
     began = time.process_time()
-    base, spans = pii.find(pii.model(), [text])[0]
+    base, spans = pii.find(model, [text])[0]
     assert time.process_time() - began < 3 and len(base) == 6500 and len(spans) > 12_000
     assert all(a[2] <= b[0] for a, b in zip(spans, spans[1:]))
 
@@ -426,3 +426,31 @@ def test_fingerprint_terms_equal_a_plain_count():
     # "three" and "four" are outside the band, so only "one" and "two" are hashed; a text without a kept term keeps all.
     assert fingerprint.as_hex(fingerprint.fingerprints(["one two three"], kept)) == fingerprint.as_hex(fingerprint.fingerprints(["two one"], kept))
     assert fingerprint.as_hex(fingerprint.fingerprints(["four"], kept)) != fingerprint.as_hex(fingerprint.fingerprints(["three"], kept))
+
+
+def test_scans_are_read_in_slices_up_to_their_end():
+    rng = np.random.default_rng(8)
+    payload = media.padded(rng.integers(0, 256, 40_000, dtype=np.uint8).tobytes())
+    stored = media.encode([payload])[0]
+    begin = stored.index(b"\xff\xda") + 10
+    data = np.frombuffer(stored, np.uint8, offset=begin)
+    whole = media._scan(data)
+    for size in (1, 2, 3, 7, 100, 4096):
+        clean, cuts, stop = media._scan(np.concatenate([data, np.zeros(50, np.uint8)]), size)
+        assert (clean == whole[0]).all() and (cuts == whole[1]).all() and stop == whole[2] == len(data) - 2
+    with pytest.raises(ValueError, match="no end"):
+        media._scan(data[:-2])
+
+
+def test_parsing_is_linear_in_the_medium():
+    import time
+
+    took = []
+    for size in (1 << 20, 1 << 23):
+        stored = media.encode([media.padded(b"some text " * (size // 10))])[0]
+        began = time.process_time()
+        at = frames = 0
+        while at < len(stored):
+            at, frames = media.parse(stored, at).end, frames + 1
+        took.append(time.process_time() - began)
+    assert took[1] < 16 * took[0] + 0.5 and frames == -(-(1 << 23) // media.FRAME_BYTES)
