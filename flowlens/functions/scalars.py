@@ -26,6 +26,12 @@ def parse_time(text: str | Column) -> Column:
     return F.coalesce(F.when(number.isNotNull(), F.timestamp_micros(F.round(number * 1_000_000).cast("long"))), F.try_to_timestamp(text))
 
 
+def alert_time(text: str | Column) -> Column:
+    """A timestamp from ISO 8601 text, with Z, an offset or none (read as UTC); null for anything else, an epoch number among it."""
+    text = col(text).cast("string")
+    return F.when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.try_to_timestamp(text))
+
+
 def clamp(value: str | Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), col(value)))
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.operators.scan import meet, running
+
 GRID = 100
 LOW, HIGH = 0.01, 0.99
 COSTS = {"tp": 1.0, "tn": 1.0, "fp": -1.0, "fn": -10.0}
@@ -79,25 +81,36 @@ def optimal(swept: DataFrame, metric: str = "cost", by: tuple[str, ...] = ("mode
     return out.select(*by, "threshold", "precision", "recall", "f1", "cost", "youden")
 
 
-def by_score(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Positives and negatives at each distinct score, with those above it: what the curves need."""
-    sums = rows.groupBy(*by, "score").agg(F.count(F.when(F.col("label"), 1)).alias("p"), F.count(F.when(~F.col("label"), 1)).alias("n"))
-    desc = Window.partitionBy(*by).orderBy(F.desc("score"))
-    above, every = desc.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
-    return sums.withColumn("p_above", F.coalesce(F.sum("p").over(above), F.lit(0))).withColumn("n_above", F.coalesce(F.sum("n").over(above), F.lit(0))).withColumn("p_all", F.sum("p").over(every)).withColumn("n_all", F.sum("n").over(every))
+#: Scores are dealt into slices of this width for sums over all scores of a model.
+SCORE_SLICE = 1 / 1024
+
+
+def by_score(rows: DataFrame, by: tuple[str, ...], weight: str | None = None) -> DataFrame:
+    """Weight of positives (p) and negatives (n) at each distinct score, of those above it, and of all: what the curves need; weight 1 without one.
+
+    Rows are summed by score first. What is above comes from sums over slices of scores, so no task has all the scores of a model. A null score
+    counts as lower than all others.
+    """
+    w = F.col(weight) if weight else F.lit(1)
+    none = F.lit(0.0) if weight else F.lit(0)
+    score = F.coalesce(F.col("score").cast("double"), F.lit(float("-inf")))
+    sums = rows.groupBy(*by, (-score).alias("_below")).agg(F.coalesce(F.sum(F.when(F.col("label"), w)), none).alias("p"), F.coalesce(F.sum(F.when(~F.col("label"), w)), none).alias("n"))
+    upto = running(sums.withColumn("_slice", F.floor(F.col("_below") / SCORE_SLICE)), [*by], ["_below"], {"_p": F.col("p"), "_n": F.col("n")})
+    every = sums.groupBy(*by).agg(F.sum("p").alias("p_all"), F.sum("n").alias("n_all"))
+    return meet(upto, every, [*by]).select(*by, (-F.col("_below")).alias("score"), "p", "n", (F.col("_p") - F.col("p")).alias("p_above"), (F.col("_n") - F.col("n")).alias("n_above"), "p_all", "n_all")
 
 
-def roc_auc(rows: DataFrame, by: tuple[str, ...] = ("model_name",)) -> DataFrame:
+def roc_auc(rows: DataFrame, by: tuple[str, ...] = ("model_name",), weight: str | None = None) -> DataFrame:
     """Area under the ROC curve: a negative is below the positives above it and half below those it ties with; 0.5 with one class."""
     area = F.try_divide(F.sum(F.col("n") * (F.col("p_above") + F.col("p") / 2)), F.max(F.col("p_all") * F.col("n_all")))
-    return by_score(rows, by).groupBy(*by).agg(F.coalesce(area, F.lit(0.5)).alias("roc_auc"))
+    return by_score(rows, by, weight).groupBy(*by).agg(F.coalesce(area, F.lit(0.5)).alias("roc_auc"))
 
 
-def average_precision(rows: DataFrame, by: tuple[str, ...] = ("model_name",)) -> DataFrame:
+def average_precision(rows: DataFrame, by: tuple[str, ...] = ("model_name",), weight: str | None = None) -> DataFrame:
     """Sum of recall steps times precision; 0 without positives, 1 without negatives."""
     p, n = F.col("p") + F.col("p_above"), F.col("n") + F.col("n_above")
-    area = F.sum(F.try_divide(F.col("p"), F.col("p_all")) * p / (p + n))
-    return by_score(rows, by).groupBy(*by).agg(F.coalesce(area, F.lit(0.0)).alias("average_precision"))
+    area = F.sum(F.coalesce(F.try_divide(F.col("p"), F.col("p_all")) * F.try_divide(p, p + n), F.lit(0.0)))
+    return by_score(rows, by, weight).groupBy(*by).agg(area.alias("average_precision"))
 
 
 def shares(rows: DataFrame, field: str = "score", bins: int = 10) -> DataFrame:

@@ -229,6 +229,8 @@ QUERIES = {
     "optimal_threshold_cost": lambda s, d: rounded(T.optimal(T.sweep(A.judged(s, d)), "cost"), *_FIGURES),
     "roc_auc": lambda s, d: rounded(T.roc_auc(A.judged(s, d)), "roc_auc"),
     "average_precision": lambda s, d: rounded(T.average_precision(A.judged(s, d)), "average_precision"),
+    "roc_auc_weighted": lambda s, d: rounded(T.roc_auc(A.judged(s, d), weight="confidence"), "roc_auc"),
+    "average_precision_weighted": lambda s, d: rounded(T.average_precision(A.judged(s, d), weight="confidence"), "average_precision"),
     "psi_drift": lambda s, d: rounded(_by_model(T.psi)(s, d), "psi"),
     "ks_statistic": lambda s, d: rounded(_by_model(T.ks_distance)(s, d), "ks"),
     "wasserstein": lambda s, d: rounded(_by_model(T.wasserstein)(s, d), "wasserstein"),
@@ -277,6 +279,8 @@ SQL = {
     "optimal_threshold_cost": _grid_sql("1.0::DOUBLE") + f"SELECT model_name, {_SIX} FROM sw QUALIFY row_number() OVER (PARTITION BY model_name ORDER BY round(sw.cost, 12) DESC, sw.threshold) = 1",
     "roc_auc": f"WITH {A.JUDGED} SELECT p.model_name, round(avg(CASE WHEN p.score > n.score THEN 1.0::DOUBLE WHEN p.score = n.score THEN 0.5::DOUBLE ELSE 0 END), 6) AS roc_auc FROM judged p JOIN judged n ON p.model_name = n.model_name AND p.label AND NOT n.label GROUP BY 1",
     "average_precision": f"WITH {A.JUDGED}, s AS (SELECT model_name, score, count(*) FILTER (label) AS p, count(*) AS n FROM judged GROUP BY 1, 2), c AS (SELECT model_name, p, sum(p) OVER w AS cp, sum(n) OVER w AS cn, sum(p) OVER (PARTITION BY model_name) AS ap FROM s WINDOW w AS (PARTITION BY model_name ORDER BY score DESC)) SELECT model_name, round(sum(p / ap * cp / cn), 6) AS average_precision FROM c GROUP BY 1",
+    "roc_auc_weighted": f"WITH {A.JUDGED} SELECT p.model_name, round(sum(p.confidence * n.confidence * CASE WHEN p.score > n.score THEN 1.0::DOUBLE WHEN p.score = n.score THEN 0.5::DOUBLE ELSE 0 END) / sum(p.confidence * n.confidence), 6) AS roc_auc FROM judged p JOIN judged n ON p.model_name = n.model_name AND p.label AND NOT n.label GROUP BY 1",
+    "average_precision_weighted": f"WITH {A.JUDGED}, s AS (SELECT model_name, score, coalesce(sum(confidence) FILTER (label), 0) AS p, sum(confidence) AS n FROM judged GROUP BY 1, 2), c AS (SELECT model_name, p, sum(p) OVER w AS cp, sum(n) OVER w AS cn, sum(p) OVER (PARTITION BY model_name) AS ap FROM s WINDOW w AS (PARTITION BY model_name ORDER BY score DESC)) SELECT model_name, round(sum(p / ap * cp / cn), 6) AS average_precision FROM c GROUP BY 1",
     "psi_drift": _by_model_sql("psi", f" SELECT round({_PSI}, 6) AS v"),
     "ks_statistic": _by_model_sql("ks", f", {_GAPS} SELECT round(max(gap), 6) AS v FROM g"),
     "wasserstein": _by_model_sql("wasserstein", f", {_GAPS} SELECT round(sum(gap * coalesce(width, 0)), 6) AS v FROM g"),

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from flowlens.functions.privacy import pseudonym
 from flowlens.functions.scalars import parse_time
@@ -66,6 +66,27 @@ def read_tsv(lines: DataFrame, columns: list[str] | None = None, salt: str | Non
     return rows, body.where(broken).select("value")
 
 
+_ENDS = "timestamp timestamp, uid string, src_ip string, dst_ip string, src_port long, dst_port long, "
+#: The columns of each kind of log. Names and types of the data model.
+LOG_SCHEMAS = {
+    "conn": f"{_ENDS}protocol string, duration double, orig_bytes long, resp_bytes long, orig_pkts long, resp_pkts long, service string, conn_state string",
+    "dns": f"{_ENDS}protocol string, query string, qclass long, qtype string, rcode string, rcode_name string, answers array<string>, ttl array<long>",
+    "http": f"{_ENDS}method string, host string, uri string, user_agent string, status_code long, request_body_len long, response_body_len long",
+    "ssl": f"{_ENDS}version string, cipher string, server_name string, resumed boolean, subject string, issuer string",
+}
+
+
+def read_log(lines: DataFrame, kind: str, salt: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, quarantined lines) of a log of a kind, with the columns of ``LOG_SCHEMAS`` in order; those that the log has not are null, others go."""
+    schema = StructType.fromDDL(LOG_SCHEMAS[kind])
+    rows, broken = read_tsv(lines, schema.names, salt)
+    there = set(rows.columns)
+    plain = lambda f: F.col(f.name).try_cast(f.dataType) if not isinstance(f.dataType, ArrayType) else F.transform(f.name, lambda x: x.try_cast(f.dataType.elementType))
+    listed = dict(rows.dtypes)
+    made = [(plain(f) if f.name in there and (not isinstance(f.dataType, ArrayType) or listed[f.name].startswith("array")) else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields]
+    return rows.select(*made), broken
+
+
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """The lines under ``path``; none where there is no such path."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

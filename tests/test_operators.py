@@ -446,3 +446,42 @@ def test_model_columns_prefer_normalized_ones(spark):
     from flowlens.operators import features
 
     assert features.model_columns(spark.createDataFrame([(1, 2, 3)], "a int, a_norm int, b int"), ["a", "b"]) == ["a_norm", "b"]
+
+
+def test_curves_of_one_model_run_over_slices(spark):
+    rng = np.random.default_rng(5)
+    rows = [("m", float(s), bool(y), float(w)) for s, y, w in zip(np.round(rng.random(900), 2) * 3 - 1, rng.random(900) < 0.3, rng.random(900))] + [("m", None, True, 0.5), ("one", 0.5, True, 1.0), ("none", 0.5, False, 1.0)]
+    frame = spark.createDataFrame(rows, "model_name string, score double, label boolean, w double")
+    for weight in (None, "w"):
+        of = {r["model_name"]: r["roc_auc"] for r in tuning.roc_auc(frame, weight=weight).collect()}
+        precision = {r["model_name"]: r["average_precision"] for r in tuning.average_precision(frame, weight=weight).collect()}
+        value = lambda s: -np.inf if s is None else s
+        pos = [(value(s), w if weight else 1) for m, s, y, w in rows if m == "m" and y]
+        neg = [(value(s), w if weight else 1) for m, s, y, w in rows if m == "m" and not y]
+        area = sum(a * b * (1 if s > t else 0.5 if s == t else 0) for s, a in pos for t, b in neg) / sum(a for _, a in pos) / sum(b for _, b in neg)
+        assert of["m"] == pytest.approx(area) and (of["one"], of["none"]) == (0.5, 0.5)
+        total, step = sum(a for _, a in pos), 0.0
+        for score in {s for s, _ in pos}:
+            tp = sum(a for s, a in pos if s >= score)
+            step += sum(a for s, a in pos if s == score) / total * tp / (tp + sum(b for s, b in neg if s >= score))
+        assert precision["m"] == pytest.approx(step) and (precision["one"], precision["none"]) == (1.0, 0.0)
+
+
+def test_alert_times_are_iso_text_only(spark):
+    texts = ["2026-07-01T00:00:00Z", "2026-07-01T02:00:00+02:00", "2026-07-01", "2026-07-01T00:00:00.25", "1782864000", "1782864000.5", "", "never", "20260701", None]
+    got = [r["us"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.unix_micros(scalars.alert_time("t")).alias("us")).collect()]
+    at = 1_782_864_000 * S
+    assert got == [at, at, at, at + 250_000, *[None] * 6]
+
+
+def test_logs_of_each_kind_have_their_columns(spark):
+    head = "#fields\tts\tuid\tid.orig_h\tid.orig_p\tid.resp_h\tid.resp_p\tproto\tquery\tqclass\tqtype_name\trcode\tanswers\tTTLs\textra\n#types\ttime\tstring\taddr\tport\taddr\tport\tenum\tstring\tcount\tstring\tcount\tvector[string]\tvector[interval]\tstring"
+    body = "1782864000.5\tu1\t10.0.0.1\t5\t10.0.0.2\t53\tudp\thost.example\t1\tA\t3\ta,b\t300.0\tx\n1782864001\tu2\t10.0.0.1\t-\t-\t53\tudp\t-\t-\t-\t-\t-\t-\t-\nbad\tu3"
+    rows, broken = logs.read_log(spark.createDataFrame([(line,) for line in f"{head}\n{body}".split("\n")], "value string"), "dns")
+    assert rows.columns == ["timestamp", "uid", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "query", "qclass", "qtype", "rcode", "rcode_name", "answers", "ttl"] and broken.count() == 1
+    first, second = rows.orderBy("uid").collect()
+    assert (first["src_port"], first["query"], first["rcode"], first["answers"], first["rcode_name"], first["ttl"]) == (5, "host.example", "3", ["a", "b"], None, None)
+    assert (second["src_port"], second["dst_ip"], second["query"], second["answers"]) == (0, None, None, [])
+    for kind in logs.LOG_SCHEMAS:
+        empty, _ = logs.read_log(spark.createDataFrame([], "value string"), kind)
+        assert empty.count() == 0 and empty.columns[:2] == ["timestamp", "uid"]
