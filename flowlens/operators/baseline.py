@@ -46,6 +46,14 @@ def compare(conn: DataFrame, base: DataFrame, sigmas: float = 3.0) -> DataFrame:
     return joined.select("uid", "metric", "value", z.alias("z"), ratio.alias("ratio"), F.coalesce(F.col("std") > 0, F.lit(False)).alias("_varies")).withColumn("is_anomalous", F.col("_varies") & ((F.abs("z") > sigmas) | (F.col("ratio") > 1))).drop("_varies")
 
 
+def of_hosts(base: DataFrame, asked: DataFrame) -> DataFrame:
+    """The baselines of hosts: asked has src_ip, and service, null or empty for all services of the host. A baseline that is asked for twice comes once."""
+    wanted = asked.where("src_ip IS NOT NULL").select("src_ip", F.nullif("service", F.lit("")).alias("service")).distinct()
+    every = base.join(wanted.where("service IS NULL").select("src_ip"), "src_ip", "left_semi")
+    named = base.join(wanted.where("service IS NOT NULL"), ["src_ip", "service"], "left_semi")
+    return every.unionByName(named.join(wanted.where("service IS NULL").select("src_ip"), "src_ip", "left_anti"))
+
+
 def to_artifact(base: DataFrame, window_hours: int = 24) -> DataFrame:
     """Baselines as JSON lines (column ``value``), each with the width of the window they were taken over."""
     return base.select(F.to_json(F.struct(F.lit(window_hours).alias("window_hours"), *base.columns)).alias("value"))

@@ -360,7 +360,22 @@ def fit_hmm_windows(windows: DataFrame, columns: list[str], key: str = "src_ip",
     cuts = flat.agg(F.percentile_approx(total, [k / states for k in range(1, states)])).first()[0]
     part = sum(((total > c).cast("int") for c in cuts), F.lit(0))
     sums_of = {r["part"]: r for r in flat.groupBy(part.alias("part")).agg(*[F.avg(F.col("w")[k]).alias(f"m{k}") for k in every]).collect()}
-    model = _first_guess(np.array([[sums_of[s][f"m{k}"] for k in every] if s in sums_of else center for s in range(states)], float), center, spread, seed)
+    first = _first_guess(np.array([[sums_of[s][f"m{k}"] for k in every] if s in sums_of else center for s in range(states)], float), center, spread, seed)
+    try:
+        model = _fitted(held, first, rounds)
+    except ArithmeticError:  # sums that are no numbers: once more, with fewer rounds
+        model = _fitted(held, first, min(rounds, RETRY_ROUNDS))
+    finally:
+        held.unpersist()
+    return _named(model, columns)
+
+
+#: Rounds of a fit that is tried again after one that failed.
+RETRY_ROUNDS = 10
+
+
+def _fitted(held: DataFrame, model: Hmm, rounds: int) -> Hmm:
+    """Rounds of expectation, summed by Spark, and maximization; ArithmeticError where parameters cease to be numbers."""
     for _ in range(rounds):
         now = model
 
@@ -375,8 +390,9 @@ def fit_hmm_windows(windows: DataFrame, columns: list[str], key: str = "src_ip",
 
         parts = held.mapInPandas(sums, "place int, v double").groupBy("place").agg(F.sum("v").alias("v")).orderBy("place").collect()
         model = _improved(model, np.array([r["v"] for r in parts]))
-    held.unpersist()
-    return _named(model, columns)
+        if not all(np.isfinite(x).all() for x in (model.start, model.step, model.means, model.variances)):
+            raise ArithmeticError("the fit has come to parameters that are no numbers")
+    return model
 
 
 def calibrated(rows: DataFrame, columns: list[str], model):

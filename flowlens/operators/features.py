@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +68,16 @@ def scale(rows: DataFrame, scaler: dict[str, tuple[float, float]]) -> DataFrame:
     return rows.withColumns({c: (F.col(c).cast("double") - m) / s for c, (m, s) in scaler.items()})
 
 
+def scaler_artifact(scaler: dict[str, tuple[float, float]]) -> str:
+    """A scaler as JSON, in the order of its columns."""
+    return json.dumps({"columns": list(scaler), "mean": [m for m, _ in scaler.values()], "sd": [s for _, s in scaler.values()]})
+
+
+def scaler_from_artifact(text: str) -> dict[str, tuple[float, float]]:
+    fields = json.loads(text)
+    return {c: (m, s) for c, m, s in zip(fields["columns"], fields["mean"], fields["sd"], strict=True)}
+
+
 def model_columns(rows: DataFrame, names: list[str], suffix: str = "_norm") -> list[str]:
     """The normalized column of each name where there is one, else the raw one."""
     return [f"{n}{suffix}" if f"{n}{suffix}" in rows.columns else n for n in names]

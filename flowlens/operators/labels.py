@@ -70,10 +70,15 @@ HIDS_TYPES = {
 VENDOR_TYPES = ("exfiltration", "c2_beaconing", "lateral_movement", "dns_tunneling", "scan")
 
 
+def _technique(records: DataFrame) -> Column:
+    """The id of the attack technique that a record names, null where records have none."""
+    return (F.col("mitre_attack_id") if "mitre_attack_id" in records.columns else F.lit(None)).cast("string").alias("mitre_attack_id")
+
+
 def ids_labels(records: DataFrame, min_confidence: float = 0.5) -> DataFrame:
     """Signature alerts: confidence by severity, type by category."""
     rows = records.withColumn("_c", _table("severity", IDS_CONFIDENCE, 0.5)).where(F.col("_c") >= min_confidence)
-    return rows.select("label_id", F.lit(True).alias("label"), F.col("_c").alias("confidence"), _table("category", IDS_TYPES, "anomaly").alias("event_type"))
+    return rows.select("label_id", F.lit(True).alias("label"), F.col("_c").alias("confidence"), _table("category", IDS_TYPES, "anomaly").alias("event_type"), _technique(records))
 
 
 def hids_labels(records: DataFrame, min_confidence: float = 0.5, least_level: int = 6) -> DataFrame:
@@ -99,13 +104,13 @@ def intel_labels(records: DataFrame, min_confidence: float = 0.5) -> DataFrame:
     tagged = lambda *names: F.arrays_overlap("tags", F.array(*[F.lit(n) for n in names]))
     kind = F.when(tagged("c2", "botnet"), "c2_beaconing").when(tagged("exfiltration"), "exfiltration").when(tagged("scan", "recon"), "scan").otherwise("threat_intel_match")
     rows = records.withColumn("_c", _table("threat_level", INTEL_CONFIDENCE, 0.6)).where(F.col("_c") >= min_confidence)
-    return rows.select("label_id", F.lit(True).alias("label"), F.col("_c").alias("confidence"), kind.alias("event_type"))
+    return rows.select("label_id", F.lit(True).alias("label"), F.col("_c").alias("confidence"), kind.alias("event_type"), _technique(records))
 
 
 def correlation_labels(records: DataFrame, min_confidence: float = 0.3, factor: float = 0.8) -> DataFrame:
     """Correlated incidents: their confidence times ``factor``, type by tactic."""
     rows = records.withColumn("_c", F.col("confidence") * factor).where(F.col("_c") >= min_confidence)
-    return rows.select("label_id", F.lit(True).alias("label"), F.col("_c").alias("confidence"), tactic_event_type("tactic").alias("event_type"))
+    return rows.select("label_id", F.lit(True).alias("label"), F.col("_c").alias("confidence"), tactic_event_type("tactic").alias("event_type"), _technique(records))
 
 
 def analyst_labels(records: DataFrame, min_confidence: float = 0.0) -> DataFrame:
@@ -139,10 +144,10 @@ def label_events(events: DataFrame, records: dict[str, DataFrame], window: int =
     votes = None
     for place, (name, rows) in enumerate(records.items()):
         made = SOURCES[name].weak_labels(rows)
-        technique = F.col("mitre_attack_id") if "mitre_attack_id" in rows.columns else F.lit(None).cast("string").alias("mitre_attack_id")
-        at = rows.select("label_id", "us", "src_ip", "dst_ip", technique)
+        at = rows.select("label_id", "us", "src_ip", "dst_ip")
+        technique = "mitre_attack_id" if "mitre_attack_id" in made.columns else F.lit(None).cast("string").alias("mitre_attack_id")
         matched = matching.match_events(at.join(made.select("label_id"), "label_id", "left_semi"), events, window).select("label_id", "event_id")
-        part = made.select("label_id", "label", "confidence", "event_type", "source").join(at, "label_id").join(matched, "label_id")
+        part = made.select("label_id", "label", "confidence", "event_type", "source", technique).join(at, "label_id").join(matched, "label_id")
         ord_ = F.struct(F.lit(place).alias("source"), "label_id").alias("ord")
         part = part.select("event_id", "us", "src_ip", "dst_ip", "source", "label", "confidence", "event_type", "mitre_attack_id", ord_)
         votes = part if votes is None else votes.unionByName(part)

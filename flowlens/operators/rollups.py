@@ -67,6 +67,12 @@ def panel(rows: DataFrame, metric: str, field: str | None = None, by: tuple[str,
     return out.orderBy(F.desc("doc_count"), *by).limit(size) if size else out
 
 
+def nested_terms(rows: DataFrame, field: str, size: int | None = None) -> DataFrame:
+    """(term, doc_count) over the values of an array: a row counts once for each of its distinct values; the most frequent first."""
+    out = rows.select(F.explode(F.array_distinct(F.col(field))).alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("doc_count"))
+    return out.orderBy(F.desc("doc_count"), "term").limit(size) if size else out
+
+
 def histogram(rows: DataFrame, field: str, step: float = 0.05) -> DataFrame:
     """Rows by interval of ``step``, numbered from 0."""
     return rows.groupBy(F.floor(F.col(field) / step).alias("bin")).agg(F.count("*").alias("n"))

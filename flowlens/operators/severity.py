@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.scalars import severity_label
 from flowlens.operators import ranges
+from flowlens.session import cut
 
 WEIGHTS = {"model": 0.40, "asset": 0.25, "intel": 0.15, "history": 0.10, "correlation": 0.10}
 
@@ -29,7 +30,7 @@ def enrich(groups: DataFrame, assets: DataFrame | None, geo: DataFrame | None, i
     tags say so), deviation of the source's main target. A source of enrichment fails where it is None, or where the look-up that counts has ``failed``
     set; then it knows nothing. A look-up without a hit is no failure. Targets that are no numbers, pseudonyms among them, are in no range.
     """
-    keys = ["src_ip", "session"]
+    keys, groups = ["src_ip", "session"], cut(groups)  # read once for each look-up
     down = {name: F.lit(table is None) for name, table in zip(ENRICHMENTS, (assets, geo, intel, history))}
     rows = groups
     if assets is not None:
@@ -156,6 +157,49 @@ def incidents(scored: DataFrame) -> DataFrame:
     return rows.withColumn("recommended_actions", actions(F.col("severity_label"), host))
 
 
+#: What an outside explanation may say: a title of so many characters, an adjustment of so many points either way.
+TITLE_CHARS, MOST_ADJUSTMENT = 100, 20
+_ACTION = "array<struct<action:string,target:string,priority:string,auto_execute:boolean,justification:string>>"
+
+
+def valid_explanation(row: str = "e") -> Column:
+    """Whether an explanation (a struct) has all its texts, a title that is not too long, a confidence from 0 to 1 and an adjustment in bounds."""
+    e = F.col(row)
+    texts = ("title", "description", "explanation", "correlation_reason", "false_positive_assessment")
+    ok = (F.length(e["title"]) <= TITLE_CHARS) & e["confidence"].between(0, 1) & F.coalesce(e["severity_adjustment"], F.lit(0)).between(-MOST_ADJUSTMENT, MOST_ADJUSTMENT)
+    for t in texts:
+        ok = ok & e[t].isNotNull()
+    return F.coalesce(ok, F.lit(False))
+
+
+def with_explanation(made: DataFrame, outside: DataFrame, by: list[str]) -> DataFrame:
+    """Incidents of ``incidents`` with what an outside system explains of them, where that is valid; the others stay as they are.
+
+    outside: ``by``, title, description, explanation, correlation_reason, false_positive_assessment, severity_adjustment, confidence and
+    recommended_actions. The severity is moved within 0 and 100, its label follows if it was moved; the actions are the outside ones, of which
+    those without a name go and no destructive one runs by itself. Adds explanation, confidence, xai_available and tags.
+    """
+    told = outside.select(*[F.col(k).alias(f"_key_{k}") for k in by], F.struct(*[c for c in outside.columns if c not in by]).alias("e"))
+    told = told.where(valid_explanation()).groupBy(*[f"_key_{k}" for k in by]).agg(F.max_by("e", F.col("e.confidence")).alias("e"))
+    same = F.lit(True)
+    for k in by:
+        same = same & (F.col(k) == F.col(f"_key_{k}"))
+    rows = made.join(told, same, "left").drop(*[f"_key_{k}" for k in by])
+    has, move = F.col("e").isNotNull(), F.coalesce("e.severity_adjustment", F.lit(0))
+    score = F.when(has, adjusted(F.col("severity_score"), move).cast("int")).otherwise(F.col("severity_score"))
+    by_hand = lambda a: F.struct(
+        a["action"].alias("action"), F.coalesce(a["target"], F.lit("")).alias("target"), F.coalesce(a["priority"], F.lit("medium")).alias("priority"),
+        (F.coalesce(a["auto_execute"], F.lit(False)) & ~a["action"].isin(*DESTRUCTIVE)).alias("auto_execute"), F.coalesce(a["justification"], F.lit("")).alias("justification"),
+    )
+    theirs = F.transform(F.filter(F.coalesce("e.recommended_actions", F.array().cast(_ACTION)), lambda a: F.coalesce(a["action"], F.lit("")) != ""), by_hand)
+    text = {c: F.coalesce(F.col(f"e.{c}"), F.col(c)) for c in ("title", "description", "correlation_reason", "false_positive_assessment")}
+    return rows.withColumns({
+        **text, "explanation": F.col("e.explanation"), "confidence": F.coalesce("e.confidence", F.lit(0.5)), "recommended_actions": F.when(has, theirs).otherwise(F.col("recommended_actions")),
+        "severity_label": F.when(has & (move != 0), severity_label(score)).otherwise(F.col("severity_label")), "severity_score": score, "xai_available": has,
+        "tags": F.when(has, F.array().cast("array<string>")).otherwise(F.array(F.lit("needs_xai_reprocess"))),
+    }).drop("e")
+
+
 #: Fixed value: the last entry of a timeline.
 PUBLISHED = "Brain: incidente correlacionado y publicado"
 
@@ -227,6 +271,18 @@ def by_category(ours: DataFrame, theirs: DataFrame, categories: tuple[str, ...]
     return names.join(sums, "event_type", "left").select("event_type", F.coalesce("_a", F.lit(0)).cast("long").alias("incidents"), F.coalesce("_b", F.lit(0)).cast("long").alias("other_incidents"))
 
 
+def totals(tables: dict[str, DataFrame], incidents_: DataFrame) -> DataFrame:
+    """(kind, name, n): rows of each table, incidents that are not of low severity (those without a label among them), and incidents by label."""
+    out = None
+    for name, rows in tables.items():
+        part = rows.agg(F.count("*").alias("n")).select(F.lit("total").alias("kind"), F.lit(name).alias("name"), "n")
+        out = part if out is None else out.unionByName(part)
+    kept = incidents_.where(~F.col("severity_label").eqNullSafe("low"))
+    every = kept.agg(F.count("*").alias("n")).select(F.lit("total").alias("kind"), F.lit("incidents").alias("name"), "n")
+    by_label = kept.where("severity_label IS NOT NULL").groupBy("severity_label").agg(F.count("*").alias("n")).select(F.lit("severity").alias("kind"), F.col("severity_label").alias("name"), "n")
+    return (every if out is None else out.unionByName(every)).unionByName(by_label)
+
+
 def route_feedback(feedback: DataFrame) -> dict[str, DataFrame]:
     """What verdicts on incidents lead to: patterns to filter, patterns to reinforce, incidents to review, and the log of severity changes."""
     verdict = lambda v: feedback.where(F.col("verdict") == v)

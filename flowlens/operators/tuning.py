@@ -232,6 +232,14 @@ def fuse(scores: DataFrame, weights: dict[str, float], threshold: float = 0.5) -
     return rows.select("event_id", F.when(F.col("_w") > 0, F.col("_s") / F.col("_w")).otherwise(0.0).alias("fused")).withColumn("is_anomaly", F.col("fused") >= threshold)
 
 
+def contributions(scores: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """What each model gives to a weighted fusion: its weight times its score, on the mean over all events; a score that is missing gives 0."""
+    w = F.coalesce(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])[F.col("model_name")], F.lit(0.0))
+    sums = scores.groupBy("model_name").agg(F.sum(F.coalesce(w * F.col("score"), F.lit(0.0))).alias("_sum"))
+    events = scores.agg(F.countDistinct("event_id").alias("_n"))
+    return sums.crossJoin(F.broadcast(events)).select("model_name", F.coalesce(F.try_divide("_sum", "_n"), F.lit(0.0)).alias("contribution"))  # one row
+
+
 def fuse_batch(scores: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Per event: models, whether any calls it anomalous, mean score."""
     return scores.groupBy("event_id").agg(F.concat_ws(",", F.array_sort(F.collect_set("model_name"))).alias("models"), F.max(F.col("score") > threshold).alias("any_anomaly"), F.avg("score").alias("mean_score"))

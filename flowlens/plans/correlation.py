@@ -11,6 +11,7 @@ from flowlens.operators import ranges as R
 from flowlens.operators import rollups
 from flowlens.operators import severity as S
 from flowlens.plans.detection import rounded
+from flowlens.session import cut
 from flowlens.sources import adapters as A
 from flowlens.sources import sinks
 
@@ -30,7 +31,7 @@ _KEYS = ("src_ip", "session")
 
 def groups(s, d):
     """Sessions of at least three alerts with their metrics, kinds, targets as they first occur, last target, pattern and reason."""
-    rows = by_session(s, d)
+    rows = cut(by_session(s, d))
     target = rows.groupBy(*_KEYS).agg(F.max_by("dst_ip", F.struct("us", "alert_id")).alias("dst_ip"), F.concat_ws(", ", F.array_sort(F.collect_set("event_type"))).alias("kinds"))
     shown = C.attack_patterns(A.alerts(s, d), GAP).select(*_KEYS, "pattern", F.concat(F.lit("attack_pattern_"), "pattern").alias("reason"))
     made = C.group_metrics(rows, list(_KEYS)).where("alerts >= 3").join(target, list(_KEYS)).join(C.in_order(rows, list(_KEYS), "dst_ip", "target_ips"), list(_KEYS))

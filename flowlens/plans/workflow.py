@@ -9,8 +9,10 @@ from flowlens.operators import baseline
 from flowlens.operators import correlate as C
 from flowlens.operators import labels as L
 from flowlens.operators import matching as M
+from flowlens.operators import rollups
 from flowlens.operators import severity as S
 from flowlens.operators import tuning as T
+from flowlens.plans import correlation
 from flowlens.plans import tuning as plan
 from flowlens.plans.detection import BASE, rounded
 from flowlens.sources import adapters as A
@@ -95,6 +97,41 @@ def _trivial(s, d):
     return rows.where(C.needs_no_explanation(F.col("n"), F.col("severity"), F.col("pattern"))).select("alert_id")
 
 
+def _explained(s, d):
+    """Incidents with explanations for two of three sessions, some of them out of bounds."""
+    n = F.col("src_ip") * 7 + F.col("session")
+    made = S.incidents(correlation.scored(s, d))
+    action = lambda name, auto: F.struct(F.lit(name).alias("action"), F.lit("host").alias("target"), F.lit("high").alias("priority"), F.lit(auto).alias("auto_execute"), F.lit("").alias("justification"))
+    said = made.where(n % 3 > 0).select(
+        "src_ip", "session", F.concat(F.lit("Explained "), n.cast("string")).alias("title"), F.lit("d").alias("description"), F.lit("why").alias("explanation"), F.lit("r").alias("correlation_reason"), F.lit("f").alias("false_positive_assessment"),
+        (n % 51 - 25).cast("int").alias("severity_adjustment"), (n % 10 / 10).alias("confidence"), F.array(action("block_ip", True), action("notify_soc", True), action("create_ticket", False)).alias("recommended_actions"),
+    )
+    rows = S.with_explanation(made, said, ["src_ip", "session"])
+    auto = F.array_join(F.transform(F.filter("recommended_actions", lambda a: a["auto_execute"]), lambda a: a["action"]), ",")
+    return rows.select("src_ip", "session", "severity_score", "severity_label", F.when(F.col("xai_available"), F.col("title")).otherwise("").alias("title"), "confidence", "xai_available", auto.alias("automatic"), F.array_join("tags", ",").alias("tags"))
+
+
+def _nested(s, d):
+    rows = C.group_entities(correlation.by_session(s, d), ["src_ip", "session"], "source_type")
+    return rollups.nested_terms(rows, "dst_ips").select(F.col("term").cast("long").alias("term"), "doc_count")
+
+
+def _totals(s, d):
+    return S.totals({"flows": A.conn(s, d), "lookups": A.dns(s, d)}, correlation.scored(s, d))
+
+
+def _truth(s, d):
+    """What the first flow of the source within a second says of a result."""
+    truth = A.events(s, d).where("event_type IN ('view', 'click', 'purchase')").select("event_id", "us", F.col("user_id").alias("src_ip"), (F.col("k") % 2 == 0).alias("label"), F.lit(1.0).alias("confidence"))
+    rows = M.nearby_consensus(A.scores(s, d).where("model_name = 'hmm'").select("us", "src_ip"), truth, 1_000_000)
+    return rows.select("us", "src_ip", F.coalesce("label", F.lit(False)).alias("label"), F.col("label").isNotNull().alias("found"))
+
+
+def _of_hosts(s, d):
+    asked = A.read(s, d, "supplier").select(F.col("s_suppkey").alias("src_ip"), F.when(F.col("s_suppkey") % 3 == 0, "view").when(F.col("s_suppkey") % 3 == 1, "").alias("service"))
+    return baseline.of_hosts(baseline.baselines(A.conn(s, d), A.dns(s, d)), asked).select("src_ip", "service", "metric", F.round("mean", 9).alias("mean"), F.round("p99", 9).alias("p99"))
+
+
 QUERIES = {
     "comparison_report": _report,
     "comparison_by_category": lambda s, d: S.by_category(*_incidents(s, d)[:2]),
@@ -106,6 +143,12 @@ QUERIES = {
     "range_closed": lambda s, d: M.in_range(A.alerts(s, d).withColumn("us", F.col("us") - F.col("us") % DAY), T0, T0 + 7 * DAY, closed=True).select("alert_id", "us"),
     "in_list": lambda s, d: M.in_list(A.alerts(s, d), A.label_rows(s, d).where("severity = 1"), "src_ip").select("alert_id"),
     "no_explanation": _trivial,
+    "incident_explained": _explained,
+    "incident_terms": _nested,
+    "kpi_totals": _totals,
+    "nearby_truth": _truth,
+    "baseline_of_hosts": _of_hosts,
+    "fusion_contributions": lambda s, d: rounded(T.contributions(plan._sparse_scores(s, d), plan.WEIGHTS), "contribution"),
     "fused_by_time_and_source": lambda s, d: T.by_time_and_source(_results(s, d), 8),
     "most_suspicious": lambda s, d: T.most_suspicious(T.by_time_and_source(_results(s, d), 8)),
     "nearby_consensus": lambda s, d: M.nearby_consensus(T.by_time_and_source(_results(s, d), 8), _agreed(s, d)).select("us", "src_ip", F.coalesce("label", F.lit(False)).alias("label"), F.col("label").isNotNull().alias("found")),
@@ -132,6 +175,19 @@ SQL = {
     "range_half_open": f"WITH {A.ALERTS} SELECT alert_id, us FROM alerts WHERE us >= {T0} AND us < {T0 + 7 * DAY}",
     "range_closed": f"WITH {A.ALERTS} SELECT alert_id, us - us % {DAY} AS us FROM alerts WHERE us - us % {DAY} BETWEEN {T0} AND {T0 + 7 * DAY}",
     "in_list": f"WITH {A.ALERTS}, {A.LABELS} SELECT alert_id FROM alerts WHERE src_ip IN (SELECT src_ip FROM lab WHERE severity = 1)",
+    "incident_explained": (
+        f"WITH {correlation.SCORED}, x AS (SELECT *, src_ip * 7 + session AS n, (src_ip * 7 + session) % 51 - 25 AS adj FROM fin), y AS (SELECT *, n % 3 > 0 AND abs(adj) <= 20 AS told FROM x), z AS (SELECT *, CASE WHEN told THEN least(100, greatest(0, severity_score + adj)) ELSE severity_score END AS moved FROM y) "
+        "SELECT src_ip, session, CAST(moved AS INTEGER) AS severity_score, CASE WHEN moved >= 80 THEN 'critical' WHEN moved >= 60 THEN 'high' WHEN moved >= 40 THEN 'medium' ELSE 'low' END AS severity_label, CASE WHEN told THEN concat('Explained ', n) ELSE '' END AS title, CASE WHEN told THEN n % 10 / 10 ELSE 0.5 END AS confidence, told AS xai_available, "
+        "CASE WHEN told THEN 'notify_soc' ELSE CASE severity_label WHEN 'critical' THEN 'notify_soc,create_ticket' WHEN 'high' THEN 'notify_soc,create_ticket' WHEN 'medium' THEN 'create_ticket' ELSE 'log_only' END END AS automatic, CASE WHEN told THEN '' ELSE 'needs_xai_reprocess' END AS tags FROM z"
+    ),
+    "incident_terms": f"WITH {correlation.SESSION} SELECT CAST(dst_ip AS BIGINT) AS term, count(*) AS doc_count FROM (SELECT DISTINCT src_ip, session, dst_ip FROM ses) GROUP BY 1",
+    "kpi_totals": (
+        f"WITH {correlation.SCORED} SELECT 'total' AS kind, 'flows' AS name, count(*) AS n FROM ev WHERE event_type IN ('view', 'click', 'purchase') UNION ALL SELECT 'total', 'lookups', count(*) FROM ev WHERE event_type = 'signup' "
+        "UNION ALL SELECT 'total', 'incidents', count(*) FROM fin WHERE severity_label <> 'low' UNION ALL SELECT 'severity', severity_label, count(*) FROM fin WHERE severity_label <> 'low' GROUP BY 2"
+    ),
+    "nearby_truth": f"WITH {A.EVENTS}, f AS (SELECT us, user_id AS src_ip FROM ev), n AS (SELECT f.us, f.src_ip, e.k % 2 = 0 AS label FROM f JOIN ev e ON e.user_id = f.src_ip AND e.event_type IN ('view', 'click', 'purchase') AND abs(e.us - f.us) < 1000000 QUALIFY row_number() OVER (PARTITION BY f.us, f.src_ip ORDER BY e.us, e.event_id) = 1) SELECT us, src_ip, coalesce(label, false) AS label, label IS NOT NULL AS found FROM f LEFT JOIN n USING (us, src_ip)",
+    "baseline_of_hosts": f"WITH {BASE} SELECT src_ip, service, metric, round(mean, 9) AS mean, round(p99, 9) AS p99 FROM base JOIN supplier ON s_suppkey = src_ip WHERE s_suppkey % 3 <> 0 OR service = 'view'",
+    "fusion_contributions": f"WITH {A.SCORES} SELECT model_name, round(sum(CASE WHEN event_id % 5 = 0 AND model_name = 'hmm' THEN 0 ELSE score * CASE model_name WHEN 'isolation_forest' THEN 0.5::DOUBLE WHEN 'autoencoder' THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END END) / (SELECT count(DISTINCT event_id) FROM scores), 6) AS contribution FROM scores GROUP BY 1",
     "no_explanation": f"WITH {A.ALERTS} SELECT alert_id FROM alerts WHERE dst_ip % 3 = 0 AND severity < 40 AND dst_ip % 5 <> 0",
     "fused_by_time_and_source": f"WITH {_RESULTS} SELECT * FROM fus",
     "most_suspicious": f"WITH {_RESULTS} SELECT * FROM fus ORDER BY avg_score DESC, us, src_ip LIMIT 50",

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlens.functions.scalars import playbook
 from flowlens.operators.severity import DESTRUCTIVE
 
 
@@ -43,13 +44,6 @@ def dead_letters(rejected: DataFrame, component: str) -> DataFrame:
 PLAYBOOKS = {"critical": "brain-critical-response", "high": "brain-high-response", "medium": "brain-medium-response", "low": "brain-low-response"}
 
 
-def playbook(label: str | Column) -> Column:
-    """The playbook of a severity label; that of low severity for any other."""
-    label = F.col(label) if isinstance(label, str) else label
-    names = F.create_map(*[F.lit(x) for pair in PLAYBOOKS.items() for x in pair])
-    return F.coalesce(names[label], F.lit(PLAYBOOKS["low"]))
-
-
 def action_payload(incidents: DataFrame) -> DataFrame:
     """Adds playbook, auto_execute_actions and manual_review_actions to incidents with severity_label and recommended_actions.
 
@@ -57,7 +51,7 @@ def action_payload(incidents: DataFrame) -> DataFrame:
     """
     runs = lambda a: F.coalesce(a["auto_execute"], F.lit(False)) & ~F.coalesce(a["action"].isin(*DESTRUCTIVE), F.lit(False))
     every = "recommended_actions"
-    return incidents.withColumns({"playbook": playbook("severity_label"), "auto_execute_actions": F.filter(every, runs), "manual_review_actions": F.filter(every, lambda a: ~runs(a))})
+    return incidents.withColumns({"playbook": playbook("severity_label", PLAYBOOKS), "auto_execute_actions": F.filter(every, runs), "manual_review_actions": F.filter(every, lambda a: ~runs(a))})
 
 
 def fan_out(*writers: Callable[[DataFrame, int], None], failed: Callable[[Callable, Exception], None] | None = None) -> Callable[[DataFrame, int], None]:
@@ -98,6 +92,11 @@ def load_run(spark: SparkSession, path: str, run_id: str) -> dict:
     return {"parameters": json.loads(rows[0]["parameters"]), "figures": json.loads(rows[0]["figures"])}
 
 
+def list_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The ids of the runs that are kept, each with the hash of its parameters, in order."""
+    return spark.read.parquet(path).select("run_id", "parameters_hash").orderBy("run_id")
+
+
 def markdown(row: dict, title: str) -> str:
     """A one-row result as a report."""
     lines = [f"# {title}", "", "| Figure | Value |", "| --- | --- |"]

@@ -485,3 +485,45 @@ def test_logs_of_each_kind_have_their_columns(spark):
     for kind in logs.LOG_SCHEMAS:
         empty, _ = logs.read_log(spark.createDataFrame([], "value string"), kind)
         assert empty.count() == 0 and empty.columns[:2] == ["timestamp", "uid"]
+
+
+def test_an_outside_explanation_replaces_the_fallback_where_it_is_valid(spark):
+    frame = spark.createDataFrame([(k, 2, "scan", "h", None, 75, "high", False, 1.0) for k in range(6)], "k long, alerts long, kinds string, hosts string, pattern string, severity_score int, severity_label string, malicious boolean, deviation double").withColumn("src_ip", F.col("k"))
+    action = "struct<action:string,target:string,priority:string,auto_execute:boolean,justification:string>"
+    said = lambda k, title="T", move=10, confidence=0.9, acts=(("isolate_host", "h", "high", True, "x"), ("notify_soc", None, None, True, None), ("", "t", "low", True, ""), ("log_only", "t", "low", None, "")): (k, title, "d", "e", "r", "f", move, confidence, list(acts))
+    rows = [said(0), said(1, move=30), said(2, title="T" * 101), said(3, confidence=1.5), said(4, move=None, acts=()), said(4, title="less sure", confidence=0.1), said(9)]
+    outside = spark.createDataFrame(rows, f"k long, title string, description string, explanation string, correlation_reason string, false_positive_assessment string, severity_adjustment int, confidence double, recommended_actions array<{action}>")
+    got = {r["k"]: r for r in severity.with_explanation(severity.incidents(frame), outside, ["k"]).collect()}
+    assert (got[0]["severity_score"], got[0]["severity_label"], got[0]["title"], got[0]["xai_available"], got[0]["tags"], got[0]["confidence"]) == (85, "critical", "T", True, [], 0.9)
+    assert [(a["action"], a["target"], a["priority"], a["auto_execute"]) for a in got[0]["recommended_actions"]] == [("isolate_host", "h", "high", False), ("notify_soc", "", "medium", True), ("log_only", "t", "low", False)]
+    for k in (1, 2, 3, 5):  # out of bounds, too long, too sure, or none
+        assert (got[k]["severity_score"], got[k]["xai_available"], got[k]["explanation"], got[k]["tags"]) == (75, False, None, ["needs_xai_reprocess"]) and got[k]["title"].startswith("Incidente")
+    assert (got[4]["title"], got[4]["severity_score"], got[4]["severity_label"], got[4]["recommended_actions"]) == ("T", 75, "high", []) and len(got) == 6
+
+
+def test_scalers_and_runs_are_kept(spark, tmp_path):
+    scaler = {"b": (0.1, 2.0), "a": (1e-17, 1.0)}
+    assert features.scaler_from_artifact(features.scaler_artifact(scaler)) == scaler and list(features.scaler_from_artifact(features.scaler_artifact(scaler))) == ["b", "a"]
+    for run in ("r2", "r1"):
+        sinks.save_run(spark, f"{tmp_path}/runs", run, {"a": run}, {})
+    assert [r["run_id"] for r in sinks.list_runs(spark, f"{tmp_path}/runs").collect()] == ["r1", "r2"]
+
+
+def test_a_failing_fit_is_tried_again_with_fewer_rounds(spark, monkeypatch):
+    rows = spark.createDataFrame([(h, t, float(t % 5), float(h)) for h in range(3) for t in range(30)], "src_ip long, window_us long, bytes_out double, unique_destinations double")
+    tried, real = [], detectors._fitted
+
+    def fitted(held, model, rounds):
+        tried.append(rounds)
+        if rounds > detectors.RETRY_ROUNDS:
+            raise ArithmeticError
+        return real(held, model, 2)
+
+    monkeypatch.setattr(detectors, "_fitted", fitted)
+    assert detectors.fit_hmm_windows(rows, ["bytes_out", "unique_destinations"]) is not None and tried == [20, 10]
+
+
+def test_labels_carry_the_technique_of_their_record(spark):
+    record = spark.createDataFrame([(1, 1, "Network Scan", "T1046"), (2, 3, "x", None)], "label_id long, severity int, category string, mitre_attack_id string")
+    assert {r["label_id"]: r["mitre_attack_id"] for r in labels.SOURCES["ids"].weak_labels(record).collect()} == {1: "T1046", 2: None}
+    assert labels.SOURCES["ids"].weak_labels(record.drop("mitre_attack_id")).columns[-2:] == ["mitre_attack_id", "source"]
