@@ -191,9 +191,21 @@ def recommend(results: DataFrame) -> DataFrame:
     return rows.select("model_name", "drifted_metrics", F.element_at(F.array(F.lit("none"), F.lit("low"), F.lit("medium"), F.lit("high")), (F.col("_rank") + 1).cast("int")).alias("severity"), (F.col("drifted_metrics") > 0).alias("retune"))
 
 
-def event_scores(scores: DataFrame) -> DataFrame:
-    """Per event: mean score, population deviation and number of models."""
-    return scores.groupBy("event_id").agg(F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("sd"), F.count("score").alias("models"))
+#: The order in which an event's scores are added up. A sum of doubles depends on it, and with that the bin of a mean on the edge of two.
+MODEL_ORDER = ("isolation_forest", "autoencoder", "hmm")
+
+
+def event_scores(scores: DataFrame, order: tuple[str, ...] = MODEL_ORDER) -> DataFrame:
+    """Per event: mean score, population deviation and number of models.
+
+    The mean adds the models in ``order``, however the rows come in, others after them; without ``model_name`` rows are added as they come.
+    """
+    mean = F.avg("score")
+    if "model_name" in scores.columns:
+        of = lambda c: F.coalesce(F.sum(F.when(c, F.col("score"))), F.lit(0.0))
+        name = F.col("model_name")
+        mean = F.try_divide(sum((of(name == m) for m in order), F.lit(0.0)) + of(~F.coalesce(name.isin(*order), F.lit(False))), F.count("score"))
+    return scores.groupBy("event_id").agg(mean.alias("mean_score"), F.stddev_pop("score").alias("sd"), F.count("score").alias("models"))
 
 
 def uncertainty(score: Column, threshold: float, sigma: float = 0.15) -> Column:

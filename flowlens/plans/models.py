@@ -114,7 +114,8 @@ def stream_votes(s: SparkSession, d: str) -> DataFrame:
 def stream_questions(s: SparkSession, d: str) -> DataFrame:
     rows = jobs.event_stream(s, d)
     value, k = F.col("value"), F.col("k")
-    scores = rows.select("event_id", F.explode(F.array(F.least(F.lit(1.0), value / 500), k / 100, F.least(F.lit(1.0), value / 1000 + k / 200))).alias("score"))
+    made = {"isolation_forest": F.least(F.lit(1.0), value / 500), "autoencoder": k / 100, "hmm": F.least(F.lit(1.0), value / 1000 + k / 200)}
+    scores = rows.select("event_id", F.explode(F.array(*[F.struct(F.lit(m).alias("model_name"), c.alias("score")) for m, c in made.items()])).alias("s")).select("event_id", "s.*")
     return questions.ask_over(scores, _folder(s), 0.5).withColumn("priority", F.round("priority", 6))
 
 

@@ -44,7 +44,7 @@ def heaps(rows: DataFrame, k: int) -> DataFrame:
 
 
 def local_priorities(scores: DataFrame, threshold: float) -> DataFrame:
-    """What a batch of model scores (event_id, score) adds: a row per event with its bin and the part of its priority that does not move."""
+    """What a batch of model scores (event_id, score, model_name if there is one) adds: a row per event with its bin and the part of its priority that does not move."""
     rows = event_scores(scores.where("event_id IS NOT NULL"))
     place = F.coalesce(F.least(F.floor(F.col("mean_score") * BINS), F.lit(BINS - 1)), F.lit(-1)).cast("int")
     local = 0.5 * uncertainty(F.col("mean_score"), threshold) + 0.3 * disagreement(F.col("sd"), F.col("models"))

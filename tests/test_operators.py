@@ -433,6 +433,17 @@ def test_events_without_a_score_stay_in_active_learning(spark):
     assert [r["event_id"] for r in tuning.unlabelled_queries(rows.where("score IS NOT NULL"), rows.where("event_id = 1")).collect()] == [3]
 
 
+def test_a_mean_score_does_not_depend_on_the_order_of_rows(spark):
+    rows = [("isolation_forest", 0.05), ("autoencoder", 0.75), ("hmm", 0.4), ("other", None)]
+    for turn in range(4):
+        for part in (rows[turn:] + rows[:turn], list(reversed(rows[turn:] + rows[:turn]))):
+            got = one(tuning.event_scores(spark.createDataFrame([(1, *r) for r in part], "event_id long, model_name string, score double").coalesce(1)))
+            assert (got["mean_score"], got["models"]) == ((0.05 + 0.75 + 0.4) / 3, 3)
+    none = one(tuning.event_scores(spark.createDataFrame([(1, "hmm", None), (1, None, None)], "event_id long, model_name string, score double")))
+    assert none["mean_score"] is None and none["models"] == 0
+    assert one(tuning.event_scores(spark.createDataFrame([(1, None, 0.5), (1, "new", 0.75)], "event_id long, model_name string, score double")))["mean_score"] == 0.625
+
+
 def test_fusion_methods(spark):
     rows = spark.createDataFrame([(1, "a", 0.2), (1, "b", 0.8)], "event_id long, model_name string, score double")
     assert one(tuning.fuse_by("weighted", rows, models=["a", "b"]))["fused"] == pytest.approx(0.5)

@@ -42,6 +42,18 @@ def test_query(spark, data, duck, part, name):
         assert x == pytest.approx(y, abs=2e-6) if any(isinstance(v, float) for v in x) else x == y
 
 
+def test_means_on_the_edge_of_a_bin(spark, tmp_path):
+    """Events whose exact mean score is the edge of two bins, where a sum of doubles falls on either side by its order; one thread adds in the SQL's order."""
+    connection = duckdb.connect(config={"threads": 1})
+    edges = "SELECT v, k FROM range(0, 50001, 100) a(v), range(100) b(k) WHERE (least(100000, 2 * v) + 1000 * k + least(100000, v + 500 * k)) % 30000 = 0"
+    table = f"SELECT row_number() OVER (ORDER BY v, k) AS event_id, TIMESTAMP '2024-01-01' AS ts, 1::BIGINT AS user_id, 'click' AS event_type, v / 100 AS value, concat('{{\"k\": ', k, '}}') AS props FROM ({edges})"
+    connection.sql(f"COPY ({table}) TO '{tmp_path}/events.parquet'")
+    connection.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got, want = tuning.QUERIES["al_diversity"](spark, str(tmp_path)), connection.sql(tuning.SQL["al_diversity"])
+    a, b = comparable(got.columns, [tuple(r) for r in got.collect()]), comparable(want.columns, want.fetchall())
+    assert a and a == b
+
+
 def test_sql_names_have_queries():
     for part in PARTS:
         assert set(part.SQL) <= set(part.QUERIES)
