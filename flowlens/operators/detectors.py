@@ -32,8 +32,20 @@ def register_detector(name: str, fit: Callable, transform: Callable) -> None:
 
 
 def sample(rows: DataFrame, columns: list[str], key: str, bound: int = SAMPLE) -> np.ndarray:
-    got = rows.select(key, *[F.col(c).cast("double").alias(c) for c in columns]).orderBy(F.xxhash64(key), key).limit(bound).toPandas()
-    return got[columns].fillna(0.0).to_numpy(float)
+    """The ``bound`` rows of the smallest hashes of their key, all where there are fewer; ties by key.
+
+    Hashes are even, so those rows lie below a cut that follows from the number of rows. Only rows below it are ordered: the first of every part
+    meet, about twice ``bound`` in all however many parts there are. Where too few lie below it, as where keys repeat, the cut is raised.
+    """
+    rows = rows.select(F.xxhash64(key).alias("_hash"), F.col(key).alias("_key"), *[F.col(c).cast("double").alias(c) for c in columns])
+    there = rows.count()
+    share = 2 * bound / max(there, 1)
+    while True:
+        below = rows.where(F.col("_hash") < int(share * 2**64) - 2**63) if share < 1 else rows
+        got = below.orderBy("_hash", "_key").limit(bound).toPandas()
+        if share >= 1 or len(got) == min(bound, there):
+            return got[columns].fillna(0.0).to_numpy(float)
+        share *= 4
 
 
 @dataclass

@@ -369,6 +369,34 @@ def test_detectors_rank_outliers_and_survive_artifacts(spark):
     assert both.count() == 602 and one(both.where("model_name = 'isolation_forest'").orderBy(F.desc("score")))["id"] == 300
 
 
+def _sent_to_driver(spark, run) -> int:
+    """Bytes of results that tasks hand to the driver while ``run`` runs."""
+    context = spark.sparkContext._jsc.sc()
+
+    def total():
+        context.listenerBus().waitUntilEmpty(30_000)
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return {(stages.apply(k).stageId(), stages.apply(k).attemptId()): stages.apply(k).resultSize() for k in range(stages.size())}
+
+    before = total()
+    run()
+    return sum(v for k, v in total().items() if k not in before)
+
+
+def test_a_sample_is_the_first_hashes_and_sends_no_more_for_more_parts(spark):
+    wide = spark.range(0, 40_000, 1, 40).select("id", F.col("id").cast("double").alias("a"))
+    got = []
+    assert _sent_to_driver(spark, lambda: got.extend(detectors.sample(wide, ["a"], "id", 1000)[:, 0])) < 600_000
+    first = wide.orderBy(F.xxhash64("id"), "id").limit(1000).toPandas()["a"]
+    assert got == list(first)
+    # Keys that repeat: few hashes, so that too few rows or too many may lie below a first cut.
+    for keys in (1, 3, 50):
+        same = wide.select((F.col("id") % keys).alias("id"), "a")
+        assert len(detectors.sample(same, ["a"], "id", 1000)) == 1000
+    assert len(detectors.sample(wide, ["a"], "id", 100_000)) == 40_000
+    assert detectors.sample(wide.limit(0), ["a"], "id").shape == (0, 1)
+
+
 def test_an_autoencoder_of_all_rows_is_as_good_as_the_plain_fit(spark):
     rng = np.random.default_rng(3)
     hidden = rng.normal(0, 1, (6000, 2))
