@@ -138,8 +138,8 @@ def _located(s, d):
     asked = A.read(s, d, "orders").select("o_orderkey", shown.alias("address")).withColumn("number", R.address_number("address"))
     first = 10 * 2**24 + F.col("c_custkey") * 7
     table = A.read(s, d, "customer").select(first.alias("first"), (first + F.col("c_custkey") * 13 % 300).alias("last"), "c_custkey")
-    found = R.locate(asked, table).select(F.col("number").alias("_number"), "c_custkey", (F.col("last") - F.col("first")).alias("width"))
-    return asked.join(found, F.col("number") == F.col("_number"), "left").select("o_orderkey", "address", F.coalesce("c_custkey", F.lit(-1)).alias("c_custkey"), F.coalesce("width", F.lit(-1)).alias("width"))
+    found = R.with_range(asked, table).withColumn("width", F.col("last") - F.col("first"))
+    return found.select("o_orderkey", "address", F.coalesce("c_custkey", F.lit(-1)).alias("c_custkey"), F.coalesce("width", F.lit(-1)).alias("width"))
 
 
 def _dedup(s, d):

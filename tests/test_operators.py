@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions import entities, privacy, scalars
 from flowlens.operators import correlate, detectors, features, labels, matching, ranges, rollups, severity, tuning
+from flowlens.plans import correlation
 from flowlens.sources import generate, logs, sinks
 
 S = 1_000_000
@@ -199,6 +200,30 @@ def test_ranges_equal_a_plain_search(spark):
     assert [r["n"] for r in asked] == [10 * 2**24 + 258, None, None, None, None, None] and [r["p"] for r in asked] == [False, False, True, True, False, None]
 
 
+def test_rows_without_a_number_are_not_one_task(spark, data):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, ("-1", "false")):
+            spark.conf.set(n, v)
+        got = correlation.QUERIES["range_lookup"](spark, data)
+        parts = [r["count"] for r in got.where("address LIKE 'hash:%'").groupBy(F.spark_partition_id()).agg(F.count("*").alias("count"), F.max("width")).collect()]
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
+    assert len(parts) > 1 and max(parts) < 0.5 * sum(parts)
+
+
+def test_ranges_that_share_a_block_and_lengths_with_few_and_many_blocks(spark):
+    draw = np.random.default_rng(6)
+    table = [(int(a), int(a + w), k) for k, (a, w) in enumerate(zip(draw.integers(0, 4000, 6000), draw.choice([0, 1, 2, 5, 40], 6000)))] + [(0, 2**50, 6000), (0, 2**62 - 1, 6001)] + [(100, 200, k) for k in range(6002, 6100)]
+    numbers = [int(v) for v in draw.integers(0, 6000, 800)] + [2**49, 2**51, -3, None, None]
+    rows = spark.createDataFrame(list(enumerate(numbers)), "id long, number long")
+    got = {r["id"]: (r["number"], r["name"]) for r in ranges.with_range(rows, spark.createDataFrame(table, "first long, last long, name long")).collect()}
+    inside = lambda v: min(((b - a, a, b, k) for a, b, k in table if v is not None and a <= v <= b), default=(None,))[-1]
+    assert got == {k: (v, inside(v)) for k, v in enumerate(numbers)}
+
+
 def test_timeline_entries(spark):
     rows = spark.createDataFrame([("g", "b", 1_782_864_000_500_000, "hids", "scan", None, 40, "rule"), ("g", "a", 1_782_864_000_000_000, "ids", "", 0.5, None, None), ("g", "c" * 20, 1_782_950_399_000_000, None, None, None, None, None)], "k string, alert_id string, us long, source string, event_type string, ml_score double, severity int, rule_message string")
     got = [tuple(e) for e in one(severity.timeline(rows, ["k"], 1_782_950_400_000_000))["timeline"]]
