@@ -1,7 +1,7 @@
 """Anomaly detectors: isolation forest, autoencoder and hidden Markov model, fitted and applied by Spark.
 
 The trees of the forest, each of 256 rows, are drawn from at most ``SAMPLE`` rows, taken by a hash of the id; the autoencoder is fitted on all rows in
-rounds, the hidden Markov model on all windows of all hosts, whose sums Spark collects in each round. Bounds and thresholds come from all rows. A model
+rounds, the hidden Markov model on all windows of all hosts, many hosts at a time, whose sums Spark collects in each round. Bounds and thresholds come from all rows. A model
 is applied to all rows in Arrow batches, or per host for sequences. Fitted on an empty table, a forest gives 0.5 for every row, the others 0. Its parameters are plain arrays that ``artifacts`` writes as JSON.
 """
 
@@ -267,17 +267,33 @@ class Hmm:
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, float]:
         """The likeliest states of a sequence and its log-likelihood."""
-        e, step = self.emissions(x), np.log(self.step + 1e-300)
-        best, back, forward = np.log(self.start + 1e-300) + e[0], [], np.log(self.start + 1e-300) + e[0]
-        for row in e[1:]:
-            options = best[:, None] + step
-            back.append(options.argmax(0))
-            best = options.max(0) + row
-            forward = np.logaddexp.reduce(forward[:, None] + step, axis=0) + row
-        path = [int(best.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        return np.array(path[::-1]), float(np.logaddexp.reduce(forward))
+        return self.decode_all([x])[0]
+
+    def decode_all(self, sequences: list[np.ndarray]) -> list[tuple[np.ndarray, float]]:
+        """The same of each of several, all of which take a step in time at once."""
+        step, got = np.log(self.step + 1e-300), [(np.zeros(0, int), 0.0)] * len(sequences)
+        for part, n, x in _ranked(sequences):
+            alive, begin = _alive(n)
+            e, back, last = self.emissions(x), np.zeros((len(x), len(self.start)), int), np.zeros(len(part), int)
+            best = forward = np.log(self.start + 1e-300) + e[: alive[0]]
+            likely, path = np.zeros(len(part)), np.zeros(len(x), int)
+            for t in range(len(alive)):
+                here = slice(begin[t], begin[t + 1])
+                if t:
+                    options = best[: alive[t], :, None] + step
+                    back[here], best = options.argmax(1), options.max(1) + e[here]
+                    forward = np.logaddexp.reduce(forward[: alive[t], :, None] + step, axis=1) + e[here]
+                on = alive[t + 1] if t + 1 < len(alive) else 0  # the others end here
+                last[on : alive[t]], likely[on : alive[t]] = best[on:].argmax(1), np.logaddexp.reduce(forward[on:], axis=1)
+            state = last
+            for t in range(len(alive) - 1, -1, -1):
+                here = slice(begin[t], begin[t + 1])
+                path[here] = state[: alive[t]]
+                if t:
+                    state = np.concatenate([back[here][np.arange(alive[t]), state[: alive[t]]], last[alive[t] : alive[t - 1]]])
+            for k, place in enumerate(part):
+                got[place] = (path[begin[: n[k]] + k], float(likely[k]))
+        return got
 
 
 def label_states(means: np.ndarray, columns: list[str]) -> list[str]:
@@ -294,26 +310,65 @@ def label_states(means: np.ndarray, columns: list[str]) -> list[str]:
     return labels
 
 
-def _expected(model: Hmm, x: np.ndarray) -> np.ndarray:
-    """Sums of a sequence's expectations, flat: starts, steps, and for each state its weight, its features and their squares (standardized)."""
-    states = len(model.start)
-    z, e = (x - model.center) / model.spread, model.emissions(x)
-    p = np.exp(e - e.max(1, keepdims=True))
-    forward, scale, step = np.zeros_like(p), np.zeros(len(p)), np.zeros((states, states))
-    state = model.start * p[0]
-    for t in range(len(p)):
-        state = (state @ model.step) * p[t] if t else state
-        scale[t] = state.sum() or 1e-300
-        state = forward[t] = state / scale[t]
-    beta, gamma = np.ones(states), np.zeros_like(p)
-    for t in range(len(p) - 1, -1, -1):
-        gamma[t] = forward[t] * beta
-        gamma[t] /= gamma[t].sum() or 1e-300
-        if t:
-            pair = forward[t - 1][:, None] * model.step * (p[t] * beta)[None]
-            step += pair / (pair.sum() or 1e-300)
-            beta = model.step @ (p[t] * beta) / scale[t]
-    return np.concatenate([gamma[0], step.ravel(), gamma.sum(0), (gamma.T @ z).ravel(), (gamma.T @ z**2).ravel()])
+#: Windows that are held at once, with what is computed for them.
+TOGETHER = 200_000
+
+
+def _ranked(sequences: list[np.ndarray], most: int = TOGETHER) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sequences side by side, for a step in time of all of them at once: their places in the list, the longest first, and lengths, and their rows.
+
+    The rows are in order of time, then of that order, so that those of a time are one run, of as many sequences as are so long.
+    """
+    lengths = np.array([len(s) for s in sequences], int)
+    order = np.argsort(-lengths, kind="stable")
+    at = 0
+    while at < len(order) and lengths[order[at]]:
+        to = at + max(1, most // int(lengths[order[at]]))
+        part = order[at:to]
+        part, at = part[lengths[part] > 0], to
+        n = lengths[part]
+        t = np.concatenate([np.arange(k) for k in n])
+        yield part, n, np.concatenate([sequences[k] for k in part])[np.argsort(t, kind="stable")]
+
+
+def _alive(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For lengths in falling order: how many sequences have a window at each time, and where those of a time begin."""
+    alive = np.searchsorted(-n, -np.arange(n[0]), side="left")
+    return alive, np.concatenate([[0], np.cumsum(alive)])
+
+
+def _expected(model: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
+    """Sums of the sequences' expectations, flat: starts, steps, and for each state its weight, its features and their squares (standardized)."""
+    states, width = model.means.shape
+    total = np.zeros(states + states * states + states + 2 * states * width)
+    for _, n, x in _ranked(sequences):
+        alive, begin = _alive(n)
+        z, e = (x - model.center) / model.spread, model.emissions(x)
+        p = np.exp(e - e.max(1, keepdims=True))
+        forward, scale, step = np.zeros_like(p), np.zeros((len(p), 1)), np.zeros((states, states))
+        state = model.start * p[: alive[0]]
+        for t in range(len(alive)):
+            here = slice(begin[t], begin[t + 1])
+            state = (state[: alive[t]] @ model.step) * p[here] if t else state
+            sums = state.sum(1, keepdims=True)
+            scale[here] = np.where(sums > 0, sums, 1e-300)
+            state = forward[here] = state / scale[here]
+        beta, gamma = np.ones((0, states)), np.zeros_like(p)
+        for t in range(len(alive) - 1, -1, -1):
+            here = slice(begin[t], begin[t + 1])
+            beta = np.concatenate([beta, np.ones((alive[t] - len(beta), states))])  # of sequences that end here
+            made = forward[here] * beta
+            sums = made.sum(1, keepdims=True)
+            gamma[here] = made / np.where(sums > 0, sums, 1e-300)
+            if t:
+                ahead = p[here] * beta
+                past = forward[begin[t - 1] : begin[t - 1] + alive[t]]
+                # Each pair's expectations sum to 1; the sum of a pair is past @ step . ahead.
+                sums = ((past @ model.step) * ahead).sum(1, keepdims=True)
+                step += (past / np.where(sums > 0, sums, 1e-300)).T @ ahead
+                beta = ahead @ model.step.T / scale[here]
+        total += np.concatenate([gamma[: alive[0]].sum(0), (step * model.step).ravel(), gamma.sum(0), (gamma.T @ z).ravel(), (gamma.T @ z**2).ravel()])
+    return total
 
 
 def _improved(model: Hmm, sums: np.ndarray) -> Hmm:
@@ -347,7 +402,7 @@ def fit_hmm(sequences: list[np.ndarray], columns: list[str], states: int = 4, ro
     order = np.argsort(((x - center) / spread).sum(1), kind="stable")
     model = _first_guess(np.array([x[part].mean(0) for part in np.array_split(order, states)]), center, spread, seed)
     for _ in range(rounds):
-        model = _improved(model, sum(_expected(model, s) for s in sequences))
+        model = _improved(model, _expected(model, sequences))
     return _named(model, columns)
 
 
@@ -389,18 +444,17 @@ RETRY_ROUNDS = 10
 def _fitted(held: DataFrame, model: Hmm, rounds: int) -> Hmm:
     """Rounds of expectation, summed by Spark, and maximization; ArithmeticError where parameters cease to be numbers."""
     for _ in range(rounds):
-        now = model
+        now, width = model, len(model.center)
 
         def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = None
             for pdf in batches:
-                for x in pdf["x"]:
-                    made = _expected(now, np.stack(x).astype(float))
-                    total = made if total is None else total + made
+                made = _expected(now, [x.reshape(-1, width) for x in pdf["x"]])
+                total = made if total is None else total + made
             if total is not None:
                 yield pd.DataFrame({"place": np.arange(len(total)), "v": total})
 
-        parts = held.mapInPandas(sums, "place int, v double").groupBy("place").agg(F.sum("v").alias("v")).orderBy("place").collect()
+        parts = held.select(F.flatten("x").alias("x")).mapInPandas(sums, "place int, v double").groupBy("place").agg(F.sum("v").alias("v")).orderBy("place").collect()
         model = _improved(model, np.array([r["v"] for r in parts]))
         if not all(np.isfinite(x).all() for x in (model.start, model.step, model.means, model.variances)):
             raise ArithmeticError("the fit has come to parameters that are no numbers")
@@ -455,14 +509,22 @@ def score_sequences(windows: DataFrame, columns: list[str], model: Hmm | None, k
     shared = windows.sparkSession.sparkContext.broadcast(model)
     schema = f"{key} long, {order} long, state_label string, score double, is_anomaly boolean"
 
-    def decode(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, pdf = shared.value, pdf.sort_values(order)
-        path, likelihood = m.decode(pdf[columns].fillna(0.0).to_numpy(float))
-        labels = [m.labels[k] for k in path]
-        score = np.clip(np.array([STATE_BASE.get(v, 0.5) for v in labels]) + np.clip(-likelihood / 100, 0, 0.2), 0, 1)
-        return pd.DataFrame({key: pdf[key], order: pdf[order], "state_label": labels, "score": score, "is_anomaly": (score > 0.5) | (np.array(labels) != "normal")})
+    value = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in columns]
+    held = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).isNull().alias("_none"), F.col(order).cast("long").alias(order), *value))).alias("s"))
+    held = held.select(key, F.transform("s", lambda w: w[order]).alias("at"), F.flatten(F.transform("s", lambda w: F.array(*[w[c] for c in columns]))).alias("x"))
 
-    return rows.groupBy(key).applyInPandas(decode, schema)
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        base = np.array([STATE_BASE.get(v, 0.5) for v in m.labels])
+        for pdf in batches:
+            found = m.decode_all([x.reshape(-1, len(columns)) for x in pdf["x"]])
+            n = [len(path) for path, _ in found]
+            path, likelihood = np.concatenate([p for p, _ in found] or [np.zeros(0, int)]), np.repeat([v for _, v in found], n)
+            labels = np.array(m.labels, object)[path]
+            score = np.clip(base[path] + np.clip(-likelihood / 100, 0, 0.2), 0, 1)
+            yield pd.DataFrame({key: pdf[key].astype("Int64").repeat(n).array, order: pd.array(np.concatenate(list(pdf["at"]) or [[]]), dtype="Int64"), "state_label": labels, "score": score, "is_anomaly": (score > 0.5) | (labels != "normal")})
+
+    return held.mapInPandas(decode, schema)
 
 
 def artifact(model) -> str:

@@ -468,6 +468,40 @@ def test_detectors_on_an_empty_table_and_all_windows(spark):
     assert {r["state_label"] for r in detectors.score_sequences(windows, columns, None).collect()} == {"unknown"}
 
 
+def test_sequences_taken_together_are_as_one_by_one(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    columns = ["bytes_out", "unique_destinations"]
+    sequences = [rng.gamma(1, 1, (n, 2)) * [1000, 3] for n in [1, 7, 2, 7, 30, 1, 4]]
+    model = detectors.fit_hmm(sequences, columns, rounds=3)
+    for most in (detectors.TOGETHER, 10):
+        made = [list(detectors._ranked(sequences, most)), detectors._expected(model, sequences)]
+        assert sorted(int(k) for part, *_ in made[0] for k in part) == list(range(7)) and (most > 10) == (len(made[0]) == 1)
+        assert np.allclose(made[1], sum(detectors._expected(model, [s]) for s in sequences))
+    # Each path by trying all of them, the likelihood as their sum.
+    for s, (path, likelihood) in zip(sequences, model.decode_all(sequences)):
+        if len(s) > 4:
+            continue
+        e, step, start = model.emissions(s), np.log(model.step + 1e-300), np.log(model.start + 1e-300)
+        every = {p: start[p[0]] + e[0, p[0]] + sum(step[a, b] + e[t + 1, b] for t, (a, b) in enumerate(zip(p, p[1:]))) for p in np.ndindex(*[4] * len(s))}
+        assert tuple(path) == max(every, key=every.get) and likelihood == pytest.approx(np.logaddexp.reduce(list(every.values())))
+    # All take a step in time at once, so there is one look at the emissions however many there are.
+    calls, real = [], detectors.Hmm.emissions
+    monkeypatch.setattr(detectors.Hmm, "emissions", lambda self, x: calls.append(len(x)) or real(self, x))
+    model.decode_all(sequences)
+    detectors._expected(model, sequences)
+    assert calls == [52, 52]
+    monkeypatch.undo()
+    # A null host or time and values that are missing stay as they were.
+    rows = [(h, t, float(h * t % 7), float(t % 3)) for h in range(60) for t in range(h % 5 + 1)] + [(None, 1, 2.0, None), (None, None, float("nan"), 1.0)]
+    windows = spark.createDataFrame(rows, "src_ip long, window_us long, bytes_out double, unique_destinations double").repartition(3)
+    got = {(r["src_ip"], r["window_us"]): (r["state_label"], r["score"]) for r in detectors.score_sequences(windows, columns, model).collect()}
+    assert set(got) == {r[:2] for r in rows}
+    for host in (0, 4, 33, None):
+        mine = sorted((r for r in rows if r[0] == host), key=lambda r: (r[1] is None, r[1]))
+        path, _ = model.decode(np.nan_to_num(np.array([r[2:] for r in mine], float)))
+        assert [got[r[:2]][0] for r in mine] == [model.labels[k] for k in path]
+
+
 def test_fan_out_goes_on_after_a_failed_sink(spark):
     seen = []
 
