@@ -33,8 +33,14 @@ from flowlens.llm.common import checkpointed, small_batches
 WORDS = 3
 PERCENT = 90
 BLOCK_SETS, BLOCK_TOKENS, CLUSTER_TOKENS = 512, 1 << 20, 1 << 22
+#: How many times as many sets a block may have where only groups are asked for: outlines are small, and near copies need few comparisons.
+OUTLINE_BLOCKS = 16
+#: Numbers that a comparison of many outlines, or the matrix of many sets' tokens, holds at once.
+PAIR_CELLS, MATRIX_CELLS = 1 << 18, 1 << 23
 #: Tables of up to this many rows (a few dozen bytes each) are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Ids alone are broadcast up to this number, as the other side holds the texts.
+BROADCAST_IDS = 1_000_000
 SALTS = 16
 #: From so many edges on a node of the graph of links counts as heavy, at least.
 HEAVY_NODE = 1000
@@ -88,23 +94,43 @@ def outline(tokens: np.ndarray) -> bytes:
     return np.minimum(np.bincount((tokens & np.uint64(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
 
 
+def _fits(counts: np.ndarray, sizes: np.ndarray, side: np.ndarray | None, some: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and outlines allow a link between each of ``some`` and each of ``others``; with ``side``, only between sides."""
+    x, y = sizes[some][:, None], sizes[others][None, :]
+    apart = np.abs(counts[some][:, None, :] - counts[others][None, :, :]).sum(axis=2)
+    fit = (apart * (100 + percent) <= (x + y) * (100 - percent)) & (100 * x >= percent * y) & (100 * y >= percent * x)
+    return fit if side is None else fit & (side[some][:, None] != side[others][None, :])
+
+
 def survivors(outlines: list[bytes], sizes: np.ndarray, side: np.ndarray, percent: int = PERCENT) -> list[np.ndarray]:
-    """Groups of sets that hang together by pairs whose sizes and outlines allow a link; where both sides 0 and 1 occur, by pairs across."""
+    """Groups of sets that hang together by pairs whose sizes and outlines allow a link; where both sides 0 and 1 occur, by pairs across.
+
+    A group grows from its first set: what it met last is held against what no group has yet, so copies of one text take a few comparisons each.
+    """
     n = len(outlines)
     bins = min(map(len, outlines))
     counts = np.stack([np.frombuffer(o, np.uint8).reshape(-1, bins).sum(axis=0, dtype=np.int32) for o in outlines])
-    across = side.min() != side.max()
-    group = np.arange(n)
-    for p in np.flatnonzero(side == 0) if across else range(n - 1):
-        other = (group != group[p]) & ((side == 1) if across else (np.arange(n) > p))
-        other &= (100 * sizes >= percent * sizes[p]) & (100 * sizes[p] >= percent * sizes)
-        others = np.flatnonzero(other)
-        if len(others):
-            apart = np.abs(counts[others] - counts[p]).sum(axis=1)
-            for q in others[apart * (100 + percent) <= (sizes[others] + sizes[p]) * (100 - percent)]:
-                if group[q] != group[p]:
-                    group[group == group[q]] = group[p]
-    return [members for g in np.unique(group) if len(members := np.flatnonzero(group == g)) > 1]
+    side = side if side.min() != side.max() else None
+    rest, out = np.arange(n), []
+    whole = n * n * bins <= PAIR_CELLS
+    if whole:
+        fit = _fits(counts, sizes, side, rest, rest, percent)
+        fit[rest, rest] = False
+        rest = np.flatnonzero(fit.any(axis=1))
+    while len(rest):
+        members, front, rest = [rest[:1]], rest[:1], rest[1:]
+        while len(front) and len(rest):
+            met = np.zeros(len(rest), bool)
+            step = len(front) if whole else max(1, PAIR_CELLS // (len(rest) * bins))
+            for a in range(0, len(front), step):
+                left = np.flatnonzero(~met)
+                some = front[a : a + step]
+                met[left] = (fit[np.ix_(some, rest[left])] if whole else _fits(counts, sizes, side, some, rest[left], percent)).any(axis=0)
+            front, rest = rest[met], rest[~met]
+            members.append(front)
+        if len(members) > 1 and sum(map(len, members)) > 1:
+            out.append(np.sort(np.concatenate(members)))
+    return out
 
 
 @lru_cache(maxsize=8)
@@ -222,6 +248,53 @@ def forest(sets: list[np.ndarray], group: np.ndarray, percent: int = PERCENT) ->
     return edges
 
 
+def spanning_links(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links between all sets; where both sides 0 and 1 occur, of the links across.
+
+    Shared tokens of many pairs at once are a product of matrices: a column for each token that at least two sets have. Where these are too
+    many, tokens share columns and the product is no less than what is shared; pairs that it lets through are then counted one by one.
+    """
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    side = side if side.min() != side.max() else None
+    _, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = (often > 1)[token]
+    column = (np.cumsum(often > 1) - 1)[token[common]]
+    known = int((often > 1).sum())
+    columns = max(1, min(known, MATRIX_CELLS // n))
+    has = np.zeros((n, columns), np.float32)
+    np.add.at(has.reshape(-1), np.repeat(np.arange(n), sizes)[common] * columns + column % columns, np.float32(1))
+    if np.einsum("ij,ij->i", has, has, dtype=np.float64).max() >= 1 << 24:  # no product is larger; up to here 32 bits hold them exactly
+        has = has.astype(np.float64)
+    rest, edges = np.arange(n), []
+    while len(rest):
+        front, rest = rest[:1], rest[1:]
+        while len(front) and len(rest):
+            by = np.full(len(rest), -1)
+            for a in range(0, len(front), 256):
+                left = np.flatnonzero(by < 0)
+                if not len(left):
+                    break
+                some, others = front[a : a + 256], rest[left]
+                x, y = sizes[some][:, None], sizes[others][None, :]
+                shared = (has[some] @ has[others].T).astype(np.float64)
+                fit = (100 * shared >= percent * (x + y - shared)) & (100 * x >= percent * y) & (100 * y >= percent * x)
+                if side is not None:
+                    fit &= side[some][:, None] != side[others][None, :]
+                for k in np.flatnonzero(fit.any(axis=0)):
+                    for p in some[fit[:, k]]:
+                        if columns == known or _linked(sets[p], sets[others[k]], percent):
+                            by[left[k]] = p
+                            break
+            edges += [(int(p), int(q)) for p, q in zip(by[by >= 0], rest[by >= 0])]
+            front, rest = rest[by >= 0], rest[by < 0]
+    return edges
+
+
+def _linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    shared = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * shared >= percent * (len(s) + len(t) - shared)
+
+
 def _state(pairs: DataFrame) -> tuple:
     """Number of the edges (a, b), a sum of their hashes, and how many edges the most frequent b has."""
     by_b = pairs.groupBy("b").agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
@@ -356,7 +429,7 @@ def _by_key(run_group, names: list[str], types: list):
 
 
 def _refined(units: DataFrame, percent: int) -> DataFrame:
-    """(sub, first, cls, n) from (unit, side, cls, n, outline): the groups of a unit that outlines leave, named by their members."""
+    """(sub, first, cls, n, members) from (unit, side, cls, n, outline): the groups of a unit that outlines leave, named by their members."""
 
     def refine(rows: list[tuple]) -> list[tuple]:
         _, side, names, sizes, outlines = zip(*{r[2]: r for r in rows}.values())
@@ -364,21 +437,23 @@ def _refined(units: DataFrame, percent: int) -> DataFrame:
         for members in survivors(list(outlines), np.array(sizes, np.int64), np.array(side), percent):
             cls = sorted(names[k] for k in members)
             sub = set_hashes(np.array(cls, np.int64).view(np.uint64))[0]
-            out += [(sub, cls[0], names[k], sizes[k]) for k in members]
+            out += [(sub, cls[0], names[k], sizes[k], len(cls)) for k in members]
         return out
 
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-    return units.mapInArrow(_by_key(refine, ["sub", "first", "cls", "n"], types), "sub long, first long, cls long, n int")
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    return units.mapInArrow(_by_key(refine, ["sub", "first", "cls", "n", "members"], types), "sub long, first long, cls long, n int, members int")
 
 
 def _forest_rows(dealt: DataFrame, percent: int) -> DataFrame:
-    """(a, b) class edges from (place, cls, subs, tokens), a place being a part of a cluster."""
+    """(a, b) class edges from (place, cls, side, subs, tokens), a place being a part of a cluster; without subs, all its pairs are compared."""
 
     def link(rows: list[tuple]) -> list[tuple]:
         rows = list({r[1]: r for r in rows}.values())
-        names, sets, subs, out = [r[1] for r in rows], [np.frombuffer(r[3], np.uint64) for r in rows], {}, []
+        names, sets, subs, out = [r[1] for r in rows], [np.frombuffer(r[4], np.uint64) for r in rows], {}, []
+        if rows[0][3] is None:
+            return [(names[p], names[q]) for p, q in spanning_links(sets, np.array([r[2] for r in rows]), percent)] if len(rows) > 1 else []
         for k, r in enumerate(rows):
-            for sub in r[2]:
+            for sub in r[3]:
                 subs.setdefault(sub, []).append(k)
         group = np.arange(len(names))
         # The largest first: what they link need not be looked at again in the others.
@@ -401,8 +476,8 @@ def _classes(documents: DataFrame, text: str, words: int) -> tuple[DataFrame, Da
     return hashed, checkpointed(grouped)
 
 
-def _units(documents: DataFrame, classes: DataFrame, text: str, words: int, percent: int) -> DataFrame:
-    """(unit, side, cls, n, outline): classes that share a signature meet in a unit, or in one for each pair of blocks of a large bucket."""
+def _units(documents: DataFrame, classes: DataFrame, text: str, words: int, percent: int, larger: int = 1) -> DataFrame:
+    """(unit, side, cls, n, outline): classes that share a signature meet in a unit, or in one for each pair of blocks, ``larger`` times the usual ones, of a large bucket."""
     # One number for each size of set that occurs: the input of the cost model.
     sizes = {r["n"]: r["c"] for r in classes.groupBy("n").agg(F.count("*").alias("c")).collect()}
     largest = max(sizes, default=0)
@@ -410,10 +485,10 @@ def _units(documents: DataFrame, classes: DataFrame, text: str, words: int, perc
 
     # Buckets of at least two classes; those with the same members count once.
     by_sig = Window.partitionBy("sig")
-    met = rows.select("cls", "n", F.min("cls").over(by_sig).alias("_least"), F.max("cls").over(by_sig).alias("_most"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).over(by_sig).alias("_all"), F.count("*").over(by_sig).alias("_count"))
+    met = rows.select("cls", "n", F.min("cls").over(by_sig).alias("_least"), F.max("cls").over(by_sig).alias("_most"), F.sum(F.shiftrightunsigned(F.xxhash64("cls"), 32)).over(by_sig).alias("_all"), F.count("*").over(by_sig).alias("_count"))
     buckets = met.where("_least <> _most").select(F.xxhash64("_all", "_count", "_least", "_most").alias("bucket"), "cls", "n").distinct()
     per = Window.partitionBy("bucket")
-    blocks_of = F.ceil(F.greatest(F.count("*").over(per) / BLOCK_SETS, F.sum("n").over(per) / BLOCK_TOKENS)).cast("int")
+    blocks_of = F.ceil(F.greatest(F.count("*").over(per) / (BLOCK_SETS * larger), F.sum("n").over(per) / (BLOCK_TOKENS * larger))).cast("int")
     units = buckets.select("bucket", "cls", "n", blocks_of.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     units = units.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     i, j = F.least("block", "_with"), F.greatest("block", "_with")
@@ -484,22 +559,33 @@ def class_members(documents: DataFrame, text: str = "text", words: int = WORDS)
 def link_components(documents: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``documents`` (which need doc_id and the text)."""
     hashed, classes = _classes(documents, text, words)
-    units = _units(documents, classes, text, words, percent)
+    units = _units(documents, classes, text, words, percent, OUTLINE_BLOCKS)
     subs = checkpointed(_refined(units.repartition("unit").sortWithinPartitions("unit"), percent).distinct())
 
     needed = checkpointed(classes.join(subs.select(F.col("cls").alias("h1")).distinct(), "h1", "left_semi").select(F.col("rep").alias("doc_id")))
-    hint = F.broadcast if needed.count() <= BROADCAST_ROWS else (lambda df: df)
+    hint = F.broadcast if needed.count() <= BROADCAST_IDS else (lambda df: df)
     sets = _set_rows(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).join(hint(needed), "doc_id", "left_semi"), "text", words)
 
-    # Groups that share classes form clusters. A part of a cluster is a task's work: it holds each of its sets once, whatever the groups.
+    # Groups that share classes form clusters. A part of a cluster is a task's work. Near copies share many groups: where these hold more pairs
+    # than the cluster, all its pairs are compared, each once, in pairs of blocks. Elsewhere a part holds some groups, each of its sets once.
     clusters = components(subs.select(F.col("cls").alias("a"), F.col("first").alias("b")))
-    placed = checkpointed(subs.join(clusters, F.col("cls") == F.col("node")).select(F.col("root").alias("cluster"), "sub", "cls", "n"))
-    load = placed.groupBy("cluster", "cls").agg(F.first("n").alias("n"), F.sum("n").alias("m")).groupBy("cluster").agg(F.sum("n").alias("once"), F.sum("m").alias("all"))
-    # Most clusters are one part. Only the parts of the others are joined, so that a large cluster is not dealt by its number alone.
-    load = checkpointed(load.where(F.col("once") > CLUSTER_TOKENS).select("cluster", F.ceil(F.col("all") / CLUSTER_TOKENS).cast("int").alias("parts")))
+    placed = checkpointed(subs.join(clusters, F.col("cls") == F.col("node")).select(F.col("root").alias("cluster"), "sub", "cls", "n", "members"))
+    load = placed.groupBy("cluster", "cls").agg(F.first("n").alias("n"), F.sum("n").alias("m"), F.sum("members").alias("met")).groupBy("cluster")
+    load = load.agg(F.count("*").alias("sets"), F.sum("n").alias("once"), F.sum("m").alias("all"), F.sum("met").alias("pairs"))
+    blocks_of = F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("once") / BLOCK_TOKENS)).cast("int")
+    parts_of = F.when(F.col("once") > CLUSTER_TOKENS, F.ceil(F.col("all") / CLUSTER_TOKENS)).otherwise(1).cast("int")
+    load = load.select("cluster", F.when(F.col("pairs") >= F.col("sets") * F.col("sets"), blocks_of).alias("blocks"), parts_of.alias("parts"))
+    # Most clusters are one block. Only the others are joined, so that a large cluster is not dealt by its number alone.
+    load = checkpointed(load.where("blocks IS NULL OR blocks > 1").withColumn("_sparse", F.col("blocks").isNull()))
     hint = F.broadcast if load.count() <= BROADCAST_ROWS else (lambda df: df)
-    placed = placed.join(hint(load), "cluster", "left").withColumn("place", F.xxhash64("cluster", F.pmod(F.xxhash64("sub"), F.coalesce("parts", F.lit(1)))))
-    dealt = placed.groupBy("place", "cls").agg(F.collect_set("sub").alias("subs")).join(sets, "cls").select("place", "cls", "subs", "tokens")
+    placed = placed.join(hint(load), "cluster", "left")
+    dense = placed.where("_sparse IS NULL OR NOT _sparse").select("cluster", "cls", F.coalesce("blocks", F.lit(1)).alias("blocks")).distinct()
+    dense = dense.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    i, j = F.least("block", "_with"), F.greatest("block", "_with")
+    dense = dense.select(F.xxhash64("cluster", i, j).alias("place"), "cls", (F.col("block") != i).cast("int").alias("side"), F.lit(None).cast("array<long>").alias("subs"))
+    sparse = placed.where("_sparse").withColumn("place", F.xxhash64("cluster", F.pmod(F.xxhash64("sub"), F.col("parts"))))
+    sparse = sparse.groupBy("place", "cls").agg(F.collect_set("sub").alias("subs")).select("place", "cls", F.lit(0).alias("side"), "subs")
+    dealt = dense.unionByName(sparse).join(sets, "cls").select("place", "cls", "side", "subs", "tokens")
     found = components(_forest_rows(dealt.repartition("place").sortWithinPartitions("place"), percent))
 
     # The smallest id of each component, then of each class that stands alone with its copies.
@@ -522,7 +608,7 @@ def one_of_each(documents: DataFrame, text: str = "text", words: int = WORDS, pe
     Only ids that go, or that occur more than once, are joined to the texts.
     """
     found = checkpointed(link_components(documents, text, words, percent))
-    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_IDS else df
     gone = checkpointed(found.where("doc_id <> component_id").select("doc_id").distinct())
     kept = documents.join(small(gone), "doc_id", "left_anti")
     twice = checkpointed(found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"))

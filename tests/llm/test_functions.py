@@ -343,6 +343,36 @@ def test_linked_sets_always_share_a_signature():
                     assert of[a] & of[b]
 
 
+def test_outlines_and_links_group_sets_as_all_pairs_do(monkeypatch):
+    rng = np.random.default_rng(4)
+
+    def groups(n, pairs):
+        of = list(range(n))
+        for a, b in pairs:
+            of = [of[a] if x == of[b] else x for x in of]
+        return {frozenset(k for k in range(n) if of[k] == x) for x in of}
+
+    for case in range(40):
+        n, base = int(rng.integers(2, 40)), rng.integers(0, 1 << 62, int(rng.integers(1, 200))).astype(np.uint64)
+        sets = []
+        for _ in range(n):
+            changed = rng.random(len(base)) < rng.random() * 0.15
+            s = np.where(changed, rng.integers(0, 1 << 62, len(base)).astype(np.uint64), base)
+            sets.append(np.unique(s[: max(1, int(len(s) * rng.uniform(0.7, 1.3)))]))
+        side = rng.integers(0, 2, n) if case % 2 else np.zeros(n, int)
+        sizes, outlines = np.array([len(s) for s in sets]), [jaccard.outline(s) for s in sets]
+        shared = lambda p, q: len(np.intersect1d(sets[p], sets[q]))
+        pairs = [(p, q) for p, q in itertools.combinations(range(n), 2) if len(set(side)) < 2 or side[p] != side[q]]
+        links = {(p, q) for p, q in pairs if 100 * shared(p, q) >= 80 * (sizes[p] + sizes[q] - shared(p, q))}
+        for pair_cells, matrix_cells in ((1 << 18, 1 << 23), (200, 7 * n)):  # one comparison of all or many; a column for each token or shared ones
+            monkeypatch.setattr(jaccard, "PAIR_CELLS", pair_cells)
+            monkeypatch.setattr(jaccard, "MATRIX_CELLS", matrix_cells)
+            left = {frozenset(g.tolist()) for g in jaccard.survivors(outlines, sizes, side, 80)}
+            assert left == {g for g in groups(n, jaccard.candidate_pairs(outlines, sizes, side, 80)) if len(g) > 1}
+            edges = {tuple(sorted(e)) for e in jaccard.spanning_links(sets, side, 80)}
+            assert edges <= links and groups(n, edges) == groups(n, links) and len(edges) == n - len(groups(n, links))
+
+
 def test_token_sets_of_odd_texts_and_across_blocks():
     texts = [*ODD, "one two three four " * 60_000]
     assert [len(s) for _, s in jaccard.token_sets(texts)] == [len(r) for r in reference_sets(texts, 3)]

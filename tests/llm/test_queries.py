@@ -1,6 +1,7 @@
 """The numbered queries and the pipeline on a table of odd rows, on an empty table, and against brute force."""
 
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -233,6 +234,22 @@ def test_jaccard_components(spark, odd, words, percent, monkeypatch):
     assert kept == sorted([-1, *{i for i, c in want.items() if i == c}])
 
 
+def test_near_copies_of_one_text_are_dealt_out_and_each_pair_meets_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 10)
+    dealt, before = [], jaccard._forest_rows
+    monkeypatch.setattr(jaccard, "_forest_rows", lambda rows, percent: dealt.append(rows) or before(rows, percent))
+    base = [f"w{k}" for k in range(200)]
+    texts = {k: " ".join(base[:k] + [f"z{k}"] + base[k + 1 :]) for k in range(0, 180, 3)}
+    got = jaccard.link_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), words=5, percent=80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict.fromkeys(texts, 0)
+    held = {}
+    for r in dealt[0].select("place", "cls", "side").collect():
+        held.setdefault(r["place"], []).append((r["cls"], r["side"]))
+    assert max(map(len, held.values())) < 45  # of 60; blocks are dealt by a hash
+    met = [frozenset((a, b)) for rows in held.values() for (a, x), (b, y) in itertools.combinations(rows, 2) if len({s for _, s in rows}) < 2 or x != y]
+    assert len(met) == len(set(met)) == 60 * 59 // 2
+
+
 def test_pipeline(spark, odd):
     docs, sizes = spark.read.parquet(f"{odd}/documents.parquet"), []
     for name, stage in corpus_pipeline.STAGES[:-1]:
